@@ -82,3 +82,39 @@ def sliding_counts(df: DataFrame, keys: list[str], us_col: str, secs: float,
         outs.append(F.sum(f"_dd_{n}").over(run).alias(n))
     x = x.select(*[F.col(c) for c in in_cols], F.col("_q"), *outs).filter(F.col("_q")).drop("_q")
     return x
+
+
+def row_blocks(df: DataFrame, keys: list[str], us_col: str, order_cols: list[str], carry: int,
+               bucket_secs: float = 3600.0, block_rows: int = 1_000_000) -> DataFrame:
+    """Prepare row-ordered windows (lag, last-n rows) that stay exact when one
+    key holds a large share of the rows.
+
+    Each row gets `_grank`, its 0-based position inside its key in
+    (`order_cols`) order: a row number inside (key, time bucket) plus the row
+    count of the key's earlier buckets (a small per-bucket table).  Rows are then
+    grouped in blocks of `block_rows` consecutive positions and the last `carry`
+    rows of each block are copied into the next block (`_carry` = true).  Callers
+    window over partitionBy(keys + ['_blk']).orderBy('_grank') and drop carried
+    rows afterwards; every block except a key's last one is full, so one
+    preceding block always holds the `carry` rows needed.
+    """
+    if carry >= block_rows:
+        raise ValueError("carry must be smaller than block_rows")
+    bsize = int(bucket_secs * 1_000_000)
+    x = df.withColumn("_tb", F.expr(f"`{us_col}` div {bsize}"))
+    kcols = [F.col(k) for k in keys]
+    counts = x.groupBy(*kcols, F.col("_tb")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(*keys, "_tb", (F.sum("_n").over(
+        Window.partitionBy(*kcols).orderBy("_tb").rowsBetween(Window.unboundedPreceding, 0))
+        - F.col("_n")).alias("_start"))
+    local = Window.partitionBy(*kcols, F.col("_tb")).orderBy(*[F.col(c) for c in order_cols])
+    x = (x.withColumn("_lr", F.row_number().over(local))
+          .join(starts, keys + ["_tb"])
+          .withColumn("_grank", F.col("_start") + F.col("_lr") - 1)
+          .drop("_tb", "_lr", "_start"))
+    blk = F.expr(f"_grank div {block_rows}")
+    copies = F.array(F.struct(blk.alias("_blk"), F.lit(False).alias("_carry")),
+                     F.when(F.expr(f"_grank % {block_rows}") >= block_rows - carry,
+                            F.struct((blk + 1).alias("_blk"), F.lit(True).alias("_carry"))))
+    x = x.select("*", F.inline(F.filter(copies, lambda c: c.isNotNull())))
+    return x.repartition(*kcols, F.col("_blk"))

@@ -1,3 +1,3 @@
 """Import every query module so the registry is complete."""
-from flowsight.plans import behavior_q, clean_q, reports_q  # noqa: F401
+from flowsight.plans import behavior_q, clean_q, features_q, reports_q  # noqa: F401
 from flowsight.plans.registry import ORACLE, QUERIES  # noqa: F401

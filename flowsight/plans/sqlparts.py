@@ -102,3 +102,23 @@ DIRTY = """dirty AS (
 
 def with_dirty(*ctes: str) -> str:
     return "WITH " + ",\n".join([DIRTY, *ctes]) + "\n"
+
+
+FEATS = """feats AS (
+  SELECT l_orderkey * 8 + l_linenumber AS id,
+         CASE WHEN l_linenumber = 1 THEN 0.0 ELSE l_quantity * 1000.0 END AS Flow_Duration,
+         l_quantity AS Tot_Fwd_Pkts, CAST(l_linenumber AS DOUBLE) AS Tot_Bwd_Pkts,
+         l_extendedprice AS TotLen_Fwd_Pkts, l_extendedprice * l_discount AS TotLen_Bwd_Pkts,
+         l_extendedprice / l_quantity AS Fwd_Pkt_Len_Max, l_tax * 100.0 AS Pkt_Len_Mean,
+         l_discount * 100.0 AS Pkt_Size_Avg, l_extendedprice / l_quantity * 1000.0 AS "Flow_Byts/s",
+         l_quantity / l_linenumber AS "Flow_Pkts/s",
+         CAST(l_linenumber % 2 AS DOUBLE) AS SYN_Flag_Cnt, CAST(l_linenumber % 3 AS DOUBLE) AS ACK_Flag_Cnt,
+         CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS PSH_Flag_Cnt,
+         CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS RST_Flag_Cnt,
+         CASE WHEN l_returnflag = 'A' THEN 'Brute_Force' WHEN l_returnflag = 'R' THEN 'Port_Scan'
+              ELSE 'Normal' END AS Label
+  FROM lineitem)"""
+
+
+def with_feats(*ctes: str) -> str:
+    return "WITH " + ",\n".join([FEATS, *ctes]) + "\n"

@@ -87,3 +87,34 @@ def dirty_lineitem(li: DataFrame) -> DataFrame:
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty_lineitem(table(spark, sf_dir, "lineitem"))
+
+
+def flow_features_from_lineitem(li: DataFrame) -> DataFrame:
+    """Flow-feature table stand-in with the reference's column naming (rates with
+    '/', packet-length and flag-count columns, Label)."""
+    ln = F.col("l_linenumber")
+    q_, p_ = F.col("l_quantity"), F.col("l_extendedprice")
+    label = F.when(F.col("l_returnflag") == "A", "Brute_Force").when(F.col("l_returnflag") == "R", "Port_Scan") \
+             .otherwise("Normal")
+    return li.select(
+        (F.col("l_orderkey") * 8 + ln).alias("id"),
+        F.when(ln == 1, F.lit(0.0)).otherwise(q_ * 1000.0).alias("Flow_Duration"),
+        q_.alias("Tot_Fwd_Pkts"),
+        ln.cast("double").alias("Tot_Bwd_Pkts"),
+        p_.alias("TotLen_Fwd_Pkts"),
+        (p_ * F.col("l_discount")).alias("TotLen_Bwd_Pkts"),
+        (p_ / q_).alias("Fwd_Pkt_Len_Max"),
+        (F.col("l_tax") * 100.0).alias("Pkt_Len_Mean"),
+        (F.col("l_discount") * 100.0).alias("Pkt_Size_Avg"),
+        (p_ / q_ * 1000.0).alias("Flow_Byts/s"),
+        (q_ / ln).alias("Flow_Pkts/s"),
+        (ln % 2).cast("double").alias("SYN_Flag_Cnt"),
+        (ln % 3).cast("double").alias("ACK_Flag_Cnt"),
+        F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("PSH_Flag_Cnt"),
+        F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0).alias("RST_Flag_Cnt"),
+        label.alias("Label"),
+    )
+
+
+def flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_features_from_lineitem(table(spark, sf_dir, "lineitem"))
