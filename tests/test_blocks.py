@@ -6,13 +6,13 @@ from conftest import SF01
 from flowsight.functions.columns import r6
 from flowsight.operators import behavior as B
 from flowsight.operators import windows as W
-from flowsight.plans.registry import ORACLE
+from flowsight.plans.all import ORACLE
 from flowsight.sources.tables import flows
 from oracle_check import compare, duck
 
 
 def test_rolling_with_tiny_blocks(spark):
-    x = W.rolling_stats(flows(spark, SF01).select("id", "us", "src_ip", "value"), "value", block_rows=7)
+    x = W.rolling_stats(flows(spark, SF01).select("id", "us", "src_ip", "value"), "value", block_rows=13)
     cols = ["value_rolling_mean_10", "value_rolling_std_10", "value_rolling_max_10", "value_diff",
             "value_pct_change"]
     x = x.select("id", *[r6(F.col(c)).alias(c) for c in cols])
