@@ -118,3 +118,24 @@ def flow_features_from_lineitem(li: DataFrame) -> DataFrame:
 
 def flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_features_from_lineitem(table(spark, sf_dir, "lineitem"))
+
+
+def kb_from_documents(docs: DataFrame) -> DataFrame:
+    """Technique knowledge-base stand-in (id, name, description, mitigation):
+    one technique per document, id T<1000 + doc_id>, full text as description."""
+    from flowsight.operators.attack import techniques_from
+    x = docs.select(F.concat(F.lit("T"), (F.lit(1000) + F.col("doc_id")).cast("string")).alias("Tactic ID"),
+                    F.concat_ws(" ", "source", "lang").alias("Tactic Name"),
+                    F.col("text").alias("Description"),
+                    F.concat(F.lit("Review source "), F.col("source")).alias("Mitigation Steps"),
+                    F.col("doc_id").alias("_ord"))
+    return techniques_from(x, "Tactic ID", "Tactic Name", "Description", "Mitigation Steps", "_ord")
+
+
+def actors_from_documents(docs: DataFrame) -> DataFrame:
+    """Actor/technique table stand-in: group = source, techniques a ';' list
+    with one non-technique token to exercise the filter."""
+    return docs.select(F.col("source").alias("APT Group Name"),
+                       F.concat(F.lit("T"), (F.lit(1000) + F.col("doc_id")).cast("string"), F.lit("; "),
+                                F.col("lang"), F.lit(";T"), F.col("n_chars").cast("string"), F.lit(" "))
+                       .alias("Group Techniques"))
