@@ -41,3 +41,52 @@ def global_row_number(df: DataFrame, key: str, ascending: bool = True, out: str
           .withColumn(out, F.col("_off") + F.col("_local"))
           .drop("_bkt", "_off", "_local", sk))
     return x, n
+
+
+HASH_SPACE = 1 << 32
+
+
+def hash32(*cols, seed: int = 42):
+    """Reproducible 32-bit hash of (seed, cols): first 8 hex digits of md5."""
+    s = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")
+
+
+def rank_within(df: DataFrame, part: list[str], h: str, tiebreak: str, out: str = "rank",
+                buckets: int = 64) -> DataFrame:
+    """0-based rank of each row inside `part` ordered by (h, tiebreak), where h
+    is a uniform hash in [0, 2^32).  Equal-width hash buckets split every group
+    (a hot class too) into `buckets` pieces; the row counts of earlier pieces
+    (a table of |groups| x buckets rows) give each piece its offset."""
+    width = HASH_SPACE // buckets
+    x = df.withColumn("_hb", (F.col(h) / F.lit(width)).cast("int"))
+    sizes = x.groupBy(*part, "_hb").agg(F.count(F.lit(1)).alias("_n"))
+    offs = sizes.select(*part, "_hb", (F.sum("_n").over(
+        Window.partitionBy(*part).orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+        .alias("_off"))
+    w = Window.partitionBy(*part, "_hb").orderBy(h, tiebreak)
+    return (x.withColumn("_lr", F.row_number().over(w)).join(offs, part + ["_hb"])
+             .withColumn(out, F.col("_off") + F.col("_lr") - 1).drop("_hb", "_lr", "_off"))
+
+
+def global_cumsum(df: DataFrame, key: str, cols: list[str], rows_per_bucket: int = 2_000_000,
+                  suffix: str = "_cum") -> DataFrame:
+    """Inclusive running sums of `cols` in ascending order of the unique numeric
+    `key` over the whole table, using quantile buckets + bucket offsets."""
+    n = df.count()
+    k = max(1, math.ceil(n / rows_per_bucket))
+    x = df.withColumn("_sk", F.col(key).cast("double"))
+    if k > 1:
+        cuts = sorted(set(x.approxQuantile("_sk", [i / k for i in range(1, k)], 1.0 / (8 * k))))
+        x = Bucketizer(splits=[-math.inf] + cuts + [math.inf], inputCol="_sk", outputCol="_bkt").transform(x)
+        x = x.withColumn("_bkt", F.col("_bkt").cast("int"))
+    else:
+        x = x.withColumn("_bkt", F.lit(0))
+    tot = x.groupBy("_bkt").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
+    ow = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_bkt", *[F.coalesce(F.sum(f"_t{i}").over(ow), F.lit(0)).alias(f"_o{i}")
+                                for i in range(len(cols))])
+    w = Window.partitionBy("_bkt").orderBy("_sk").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(F.broadcast(offs), "_bkt")
+    return x.select(*[F.col(c) for c in df.columns],
+                    *[(F.col(f"_o{i}") + F.sum(c).over(w)).alias(c + suffix) for i, c in enumerate(cols)])
