@@ -61,3 +61,36 @@ def apply_session_conf(spark: SparkSession) -> None:
             spark.conf.set(k, BASE_CONF[k])
         except Exception:  # pragma: no cover - static conf in some deployments
             pass
+
+
+# --- shared-filesystem helpers (Hadoop FileSystem API: local, HDFS, object stores)
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def join_path(base: str, *parts: str) -> str:
+    return "/".join([base.rstrip("/"), *[p.strip("/") for p in parts]])
+
+
+def fs_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def fs_list(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(str(s.getPath().toString()) for s in fs.listStatus(p))
+
+
+def fs_move(spark: SparkSession, src: str, dst: str, mtime_ms: int | None = None) -> None:
+    fs, s = _fs(spark, src)
+    _, d = _fs(spark, dst)
+    fs.mkdirs(d.getParent())
+    fs.rename(s, d)
+    if mtime_ms is not None:
+        fs.setTimes(d, mtime_ms, -1)
