@@ -28,6 +28,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         b = b.master(master)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf.setdefault("spark.driver.memory", "8g")  # local mode: the driver JVM is the executor
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
