@@ -222,3 +222,9 @@ def constant_column_table(df: DataFrame, exclude=("Label", "label")) -> DataFram
         aggs.append((F.min(v).isNull() | (F.min(v) == F.max(v))).alias(f"k{i}"))
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"k{i}").alias("is_constant")) for i, c in enumerate(cols)]
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def benign_rows(df: DataFrame, label: str = "Label", benign: str = "Normal") -> DataFrame:
+    """Rows labelled benign; every row when there is none."""
+    b = df.filter(col(label) == benign)
+    return b if b.take(1) else df

@@ -1,3 +1,3 @@
 """Import every query module so the registry is complete."""
-from flowsight.plans import attack_q, behavior_q, clean_q, features_q, graph_q, metrics_q, ml_q, reports_q, streaming_q  # noqa: F401
+from flowsight.plans import attack_q, behavior_q, clean_q, features_q, graph_q, io_q, metrics_q, ml_q, reports_q, streaming_q  # noqa: F401
 from flowsight.plans.registry import ORACLE, QUERIES  # noqa: F401
