@@ -221,3 +221,11 @@ def q_centrality(spark, sf):
     x = G.attach_centrality(f.select("id", "src"), cent)
     return x.select("id", "src", r6(F.col("degree_centrality")).alias("degree_centrality"),
                     r6(F.col("clustering")).alias("clustering"))
+
+
+@register("betweenness")
+def q_betweenness(spark, sf):
+    """K4: 100 pivots (smallest ids), normalised; rows-only here, exactness is
+    tested against brute-force Brandes in tests/test_graph_algos.py."""
+    b = G.betweenness(G.distinct_edges(_f(spark, sf)), k=100)
+    return b.select("node", r6(F.col("betweenness")).alias("betweenness"))
