@@ -49,13 +49,12 @@ def src_fanout(df: DataFrame, secs: float = dims.WINDOW_SECONDS, src="src_ip", d
 
 
 def auth_rate(df: DataFrame, secs: float = dims.WINDOW_SECONDS, dst="dst_ip", port="dst_port",
-              us="us", order_col="id", bucket_secs: float = 3600.0) -> DataFrame:
+              us="us", order_col="id", bucket_secs: float = 3600.0, where=None) -> DataFrame:
     """Attempts per (destination, auth port) in (t - secs, t]; NULL for other ports."""
     is_auth = F.col(port).isin(*dims.AUTH_PORTS)
-    auth = sliding_counts(df.filter(is_auth), [dst, port], us, secs, count_col="auth_count",
-                          order_col=order_col, bucket_secs=bucket_secs)
-    rest = df.filter(~is_auth | F.col(port).isNull()).withColumn("auth_count", F.lit(None).cast("long"))
-    return auth.unionByName(rest)
+    cond = is_auth if where is None else (is_auth & where)
+    return sliding_counts(df, [dst, port], us, secs, count_col="auth_count", order_col=order_col,
+                          bucket_secs=bucket_secs, where=cond)
 
 
 def behavioral_verdict(df: DataFrame, secs: float = dims.WINDOW_SECONDS,
@@ -65,41 +64,33 @@ def behavioral_verdict(df: DataFrame, secs: float = dims.WINDOW_SECONDS,
                        bucket_secs: float = 3600.0) -> DataFrame:
     """Adds src_rate, src_fanout, auth_count, behavioral_attack,
     behavioral_confidence, behavioral_reason.  Input rows are kept whole;
-    safe flows get NULL counts and no verdict."""
-    safe = safe_flow(src_ip, dst_ip, local_ips)
-    live = df.filter(~safe)
-    x = sliding_counts(live, [src_ip], us, secs, count_col="src_rate",
+    safe flows get NULL counts and no verdict.  Two hash exchanges in total:
+    (source, bucket) and (destination, port, bucket)."""
+    live = ~safe_flow(src_ip, dst_ip, local_ips)
+    x = sliding_counts(df, [src_ip], us, secs, count_col="src_rate",
                        distinct={"src_fanout": dst_ip}, order_col=order_col,
-                       bucket_secs=bucket_secs)
-    x = auth_rate(x, secs, dst_ip, port, us, order_col, bucket_secs)
+                       bucket_secs=bucket_secs, where=live)
+    x = auth_rate(x, secs, dst_ip, port, us, order_col, bucket_secs, where=live)
 
     rate, fan, auth = F.col("src_rate"), F.col("src_fanout"), F.col("auth_count")
     secs_txt = str(int(secs)) if float(secs).is_integer() else str(secs)
-    attack = (F.when(rate >= flood, "HTTP_Flood").when(fan >= scan, "Port_Scan")
-              .when(auth.isNotNull() & (auth >= brute), "Brute_Force"))
-    conf = (F.when(rate >= flood, F.least(rate / float(2 * flood), F.lit(1.0)))
-            .when(fan >= scan, F.least(fan / float(2 * scan), F.lit(1.0)))
-            .when(auth.isNotNull() & (auth >= brute), F.least(auth / float(2 * brute), F.lit(1.0)))
+    r1 = F.coalesce(rate >= flood, F.lit(False))
+    r2 = F.coalesce(fan >= scan, F.lit(False))
+    r3 = F.coalesce(auth >= brute, F.lit(False))
+    attack = F.when(r1, "HTTP_Flood").when(r2, "Port_Scan").when(r3, "Brute_Force")
+    conf = (F.when(r1, F.least(rate / float(2 * flood), F.lit(1.0)))
+            .when(r2, F.least(fan / float(2 * scan), F.lit(1.0)))
+            .when(r3, F.least(auth / float(2 * brute), F.lit(1.0)))
             .otherwise(F.lit(0.0)))
-    reason = (F.when(rate >= flood, F.concat(F.lit("DDoS: "), rate.cast("string"),
-                                             F.lit(" outbound flows from "), F.col(src_ip),
-                                             F.lit(f" in {secs_txt}s")))
-              .when(fan >= scan, F.concat(F.lit("Scan: "), fan.cast("string"),
-                                          F.lit(" distinct hosts contacted by "), F.col(src_ip)))
-              .when(auth.isNotNull() & (auth >= brute),
-                    F.concat(F.lit("Brute Force: "), auth.cast("string"), F.lit(" auth attempts to "),
-                             F.col(dst_ip), F.lit(":"), F.col(port).cast("string")))
+    reason = (F.when(r1, F.concat(F.lit("DDoS: "), rate.cast("string"), F.lit(" outbound flows from "),
+                                  F.col(src_ip), F.lit(f" in {secs_txt}s")))
+              .when(r2, F.concat(F.lit("Scan: "), fan.cast("string"),
+                                 F.lit(" distinct hosts contacted by "), F.col(src_ip)))
+              .when(r3, F.concat(F.lit("Brute Force: "), auth.cast("string"), F.lit(" auth attempts to "),
+                                 F.col(dst_ip), F.lit(":"), F.col(port).cast("string")))
               .otherwise(F.lit("")))
-    x = x.select("*", attack.alias("behavioral_attack"), conf.alias("behavioral_confidence"),
-                 reason.alias("behavioral_reason"))
-    rest = (df.filter(safe)
-              .select("*", F.lit(None).cast("long").alias("src_rate"),
-                      F.lit(None).cast("long").alias("src_fanout"),
-                      F.lit(None).cast("long").alias("auth_count"),
-                      F.lit(None).cast("string").alias("behavioral_attack"),
-                      F.lit(0.0).alias("behavioral_confidence"),
-                      F.lit("").alias("behavioral_reason")))
-    return x.unionByName(rest)
+    return x.select("*", attack.alias("behavioral_attack"), conf.alias("behavioral_confidence"),
+                    reason.alias("behavioral_reason"))
 
 
 def behavioral_override(df: DataFrame) -> DataFrame:

@@ -29,11 +29,14 @@ _REAL, _BACK, _FWD = 0, 1, 2
 
 def sliding_counts(df: DataFrame, keys: list[str], us_col: str, secs: float,
                    count_col: str | None = None, distinct: dict[str, str] | None = None,
-                   order_col: str = "id", bucket_secs: float = 3600.0) -> DataFrame:
+                   order_col: str = "id", bucket_secs: float = 3600.0, where=None) -> DataFrame:
     """Add per-row counts over the frame (us - w, us] within `keys`.
 
     count_col: output name for the row count (None to skip).
     distinct:  {output name: column} for distinct counts of `column`.
+    where:     optional predicate; rows failing it are neither counted nor
+               answered (their outputs are NULL) but stay in the result, so
+               callers never branch and re-join the plan.
     All input columns are carried through; project before calling.
     """
     distinct = distinct or {}
@@ -42,44 +45,48 @@ def sliding_counts(df: DataFrame, keys: list[str], us_col: str, secs: float,
     us = F.col(us_col)
     b = F.expr(f"`{us_col}` div {bsize}")
     in_cols = df.columns
+    x = df.withColumn("_in", F.coalesce(where, F.lit(False)) if where is not None else F.lit(True))
+    inside = F.col("_in")
 
     copies = [F.struct(b.alias("_bk"), F.lit(_REAL).alias("_role")),
-              F.when(us >= (b + 1) * bsize - w,
+              F.when(inside & (us >= (b + 1) * bsize - w),
                      F.struct((b + 1).alias("_bk"), F.lit(_BACK).alias("_role")))]
     if distinct:
-        copies.append(F.when(us < b * bsize + w,
+        copies.append(F.when(inside & (us < b * bsize + w),
                              F.struct((b - 1).alias("_bk"), F.lit(_FWD).alias("_role"))))
-    x = (df.select("*", F.inline(F.filter(F.array(*copies), lambda c: c.isNotNull())))
-           .repartition(*[F.col(k) for k in keys], F.col("_bk")))
+    x = (x.select("*", F.inline(F.filter(F.array(*copies), lambda c: c.isNotNull())))
+          .repartition(*[F.col(k) for k in keys], F.col("_bk")))
 
     part = [F.col(k) for k in keys] + [F.col("_bk")]
     for name, vcol in distinct.items():
-        wn = Window.partitionBy(*part, F.col(vcol)).orderBy(us, F.col(order_col))
+        wn = Window.partitionBy(*part, inside, F.col(vcol)).orderBy(us, F.col(order_col))
         x = x.withColumn(f"_nxt_{name}", F.lead(us).over(wn))
     x = x.filter(F.col("_role") != _FWD)
 
-    # delta events: query row (+1s), expiry of the row (-1 count), end of each
-    # distinct coverage interval (-1 distinct)
-    ev_fields = ["_t", "_dc", "_q"] + [f"_dd_{n}" for n in distinct]
-
-    def ev(t, dc, qflag, dd):
+    # delta events: the row itself (+1s, answered if real), expiry of the row
+    # (-1 count), end of each distinct coverage interval (-1 distinct);
+    # rows outside `where` only carry their (unanswered) query row
+    def ev(t, dc, qflag, dd, on=None):
         fields = [t.alias("_t"), F.lit(dc).alias("_dc"), qflag.alias("_q")]
         fields += [F.lit(dd.get(n, 0)).alias(f"_dd_{n}") for n in distinct]
-        return F.struct(*fields)
+        st = F.struct(*fields)
+        return st if on is None else F.when(on, st)
 
-    events = [ev(us, 1, F.col("_role") == _REAL, {n: 1 for n in distinct}),
-              ev(us + w, -1, F.lit(False), {})]
+    real = F.col("_role") == _REAL
+    events = [F.when(inside, ev(us, 1, real, {n: 1 for n in distinct}))
+              .otherwise(ev(us, 0, real, {})),
+              ev(us + w, -1, F.lit(False), {}, on=inside)]
     for n in distinct:
         end = F.least(us + w, F.coalesce(F.col(f"_nxt_{n}"), us + w))
-        events.append(ev(end, 0, F.lit(False), {n: -1}))
-    x = x.select("*", F.inline(F.array(*events)))
+        events.append(ev(end, 0, F.lit(False), {n: -1}, on=inside))
+    x = x.select("*", F.inline(F.filter(F.array(*events), lambda c: c.isNotNull())))
 
     run = Window.partitionBy(*part).orderBy(F.col("_t")).rangeBetween(Window.unboundedPreceding, 0)
     outs = []
     if count_col:
-        outs.append(F.sum("_dc").over(run).alias(count_col))
+        outs.append(F.when(inside, F.sum("_dc").over(run)).alias(count_col))
     for n in distinct:
-        outs.append(F.sum(f"_dd_{n}").over(run).alias(n))
+        outs.append(F.when(inside, F.sum(f"_dd_{n}").over(run)).alias(n))
     x = x.select(*[F.col(c) for c in in_cols], F.col("_q"), *outs).filter(F.col("_q")).drop("_q")
     return x
 
