@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from flowsight import dims
 from flowsight.functions.columns import col, is_finite, is_missing, q
-from flowsight.operators.stats import exact_quantile
+from flowsight.operators.stats import exact_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -78,11 +78,8 @@ def impute_median(df: DataFrame, cols=None, exclude=("Label", "label")) -> DataF
     """Fill NULL/NaN of numeric columns with the exact median of the rest."""
     cols = cols or numeric_columns(df, exclude)
     ratios = missing_ratios(df, cols)
-    fills = {}
-    for c in cols:
-        if ratios[c] > 0:
-            m = exact_quantile(df, c, 0.5)
-            fills[c] = m
+    need = [c for c in cols if ratios[c] > 0]
+    fills = exact_quantiles(df, need, 0.5) if need else {}
     return df.select(*[F.when(is_missing(col(c)), F.lit(fills[c]).cast(df.schema[c].dataType))
                        .otherwise(col(c)).alias(c) if c in fills and fills[c] is not None else col(c)
                        for c in df.columns])
@@ -143,8 +140,10 @@ def missing_report(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame, drop_cols=dims.IDENTITY_COLUMNS, max_missing: float = 0.5) -> DataFrame:
-    """B1 -> B2 -> B3/B4/B5 -> B6 -> B7."""
-    x = drop_duplicate_rows(df)
+    """B1 -> B2 -> B3/B4/B5 -> B6 -> B7.  The deduplicated table is written
+    once to the reliable checkpoint directory, so the statistics jobs that
+    follow read it instead of repeating the dedup shuffle."""
+    x = drop_duplicate_rows(df).checkpoint()
     x = replace_infinities(x)
     x = drop_sparse_columns(x, max_missing)
     x = impute_median(x)

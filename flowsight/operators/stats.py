@@ -1,11 +1,12 @@
 """Exact order statistics without gathering a column in one task.
 
-`exact_quantile` finds the k-th smallest value by repeated narrowing: approximate
-quantiles (bounded sketch) split the current value band into buckets, one
-counting job locates the bucket holding rank k, and once the band holds at most
-`max_collect` values those few values are fetched and ranked on the driver.
-Values equal to a bucket bound are handled by counting them as their own band.
-Interpolation follows the linear rule (pandas / Spark `percentile`).
+`exact_quantiles` finds the needed order statistics of several columns at once
+by narrowing: one approximate-quantile job (bounded sketches) proposes split
+points for every column, one aggregation counts the rows below, at and between
+those points, and the few values of the bands that hold the wanted ranks are
+fetched (at most `max_collect` per column); a band that is still too large is
+narrowed again with the same two steps.  Interpolation follows the linear rule
+(pandas / Spark `percentile`).
 """
 from __future__ import annotations
 
@@ -17,66 +18,150 @@ from pyspark.sql import functions as F
 from flowsight.functions.columns import col as qcol
 
 
-def _kth(df: DataFrame, c: str, k: int, n: int, max_collect: int, splits: int) -> float:
-    lo, hi, below = -math.inf, math.inf, 0  # band is [lo, hi]; `below` values are < lo
-    v = qcol(c)
-    for _ in range(64):
-        band = df.filter((v >= lo) & (v <= hi))
-        size = n - below if (lo == -math.inf and hi == math.inf) else band.count()
-        if size <= max_collect:
-            vals = sorted(r[0] for r in band.select(v).collect())
-            return float(vals[k - below])
-        probs = [i / splits for i in range(1, splits)]
-        cuts = sorted(set(x for x in band.approxQuantile(c, probs, 1.0 / (4 * splits))))
-        cuts = [x for x in cuts if lo < x < hi] if not math.isinf(lo) or not math.isinf(hi) else cuts
+def _gt(v, a):
+    """v > a, where a = -inf means unbounded (so -inf itself is inside)."""
+    return F.lit(True) if a == -math.inf else (v > a)
+
+
+def _lt(v, b):
+    return F.lit(True) if b == math.inf else (v < b)
+
+
+def _inside(x: float, a: float, b: float) -> bool:
+    return (a == -math.inf or x > a) and (b == math.inf or x < b)
+
+
+def _bands(df: DataFrame, cols: list[str], bounds: dict, splits: int) -> dict:
+    """For each column with band (lo, hi) (open interval), return the list of
+    (kind, a, b, count) sub-bands in value order."""
+    probs = [i / splits for i in range(1, splits)]
+    sub = {}
+    exprs = []
+    for c in cols:
+        lo, hi = bounds[c]
+        v = qcol(c)
+        inb = v.isNotNull() & _gt(v, lo) & _lt(v, hi)
+        band = df.filter(inb).select(v.alias("_v"))
+        cuts = sorted(set(x for x in band.approxQuantile("_v", probs, 1.0 / (4 * splits)) if _inside(x, lo, hi)))
+        sub[c] = cuts
         if not cuts:
-            cuts = [band.agg(F.min(v)).first()[0]]
-        # buckets: (-, c0), [c0, c0], (c0, c1), [c1, c1], ... so repeated values collapse
-        exprs = [F.count_if(v < cuts[0]).alias("b0")]
+            exprs += [F.count_if(inb).alias(f"{c}__all"), F.min(F.when(inb, v)).alias(f"{c}__mn"),
+                      F.max(F.when(inb, v)).alias(f"{c}__mx")]
+            continue
+        exprs.append(F.count_if(inb & (v < cuts[0])).alias(f"{c}__b"))
         for i, x in enumerate(cuts):
-            exprs.append(F.count_if(v == x).alias(f"e{i}"))
-            nxt = cuts[i + 1] if i + 1 < len(cuts) else None
-            cond = (v > x) if nxt is None else ((v > x) & (v < nxt))
-            exprs.append(F.count_if(cond).alias(f"g{i}"))
-        row = band.agg(*exprs).first()
-        pos = below
-        bounds = [("open", lo, cuts[0], row["b0"])]
+            nxt = cuts[i + 1] if i + 1 < len(cuts) else hi
+            exprs.append(F.count_if(v == x).alias(f"{c}__e{i}"))
+            exprs.append(F.count_if((v > x) & _lt(v, nxt)).alias(f"{c}__g{i}"))
+    row = df.agg(*exprs).first().asDict()
+    out = {}
+    for c in cols:
+        lo, hi = bounds[c]
+        cuts = sub[c]
+        if not cuts:
+            mn, mx = row[f"{c}__mn"], row[f"{c}__mx"]
+            if mn is not None and mn == mx:      # one repeated value: a point band
+                out[c] = [("point", mn, mn, row[f"{c}__all"])]
+            elif mn is not None:                 # split at the band minimum
+                out[c] = [("point", mn, mn, None), ("open", mn, hi, None)]
+                cnt = df.agg(F.count_if(qcol(c) == mn).alias("e"),
+                             F.count_if((qcol(c) > mn) & _lt(qcol(c), hi)).alias("g")).first()
+                out[c] = [("point", mn, mn, cnt["e"]), ("open", mn, hi, cnt["g"])]
+            else:
+                out[c] = [("open", lo, hi, 0)]
+            continue
+        parts = [("open", lo, cuts[0], row[f"{c}__b"])]
         for i, x in enumerate(cuts):
-            bounds.append(("point", x, x, row[f"e{i}"]))
             nxt = cuts[i + 1] if i + 1 < len(cuts) else hi
-            bounds.append(("open", x, nxt, row[f"g{i}"]))
-        for kind, a, b, cnt in bounds:
-            if k < pos + cnt:
-                if kind == "point":
-                    return float(a)
-                # open interval (a, b): narrow to the values strictly inside
-                inner = df.filter((v > a) & (v < b)) if not math.isinf(a) else df.filter(v < b)
-                if math.isinf(b):
-                    inner = df.filter(v > a)
-                df, n, below, k = inner, cnt, 0, k - pos
-                lo, hi = -math.inf, math.inf
-                break
-            pos += cnt
-        else:  # pragma: no cover
-            raise RuntimeError("rank outside the data")
-    raise RuntimeError("exact_quantile did not converge")  # pragma: no cover
+            parts += [("point", x, x, row[f"{c}__e{i}"]), ("open", x, nxt, row[f"{c}__g{i}"])]
+        out[c] = parts
+    return out
 
 
-def exact_quantile(df: DataFrame, c: str, p: float = 0.5, max_collect: int = 100_000,
-                   splits: int = 256) -> float | None:
-    """Linear-interpolated p-quantile of the non-missing (not NULL, not NaN) values."""
-    v = qcol(c)
-    x = df.select(v.cast("double").alias(c)).filter(v.isNotNull() & ~F.isnan(v)).cache()
-    try:
-        n = x.count()
+def order_statistics(df: DataFrame, want: dict[str, list[int]], max_collect: int = 100_000,
+                     splits: int = 256) -> dict[str, dict[int, float]]:
+    """want: column -> 0-based ranks among its non-missing values; df must hold
+    only non-missing values per column (NULL elsewhere)."""
+    result = {c: {} for c in want}
+    # state per (column, rank): open band (lo, hi) and number of values below lo
+    todo = {(c, k): (-math.inf, math.inf, 0) for c, ks in want.items() for k in ks}
+    for _ in range(32):
+        if not todo:
+            return result
+        cols = sorted({c for c, _ in todo})
+        # refine each column's distinct bands (ranks often share one)
+        groups = {}
+        for (c, k), band in todo.items():
+            groups.setdefault((c, band), []).append(k)
+        bounds = {}
+        pending = []
+        for (c, (lo, hi, below)), ks in groups.items():
+            if c in bounds:          # two different bands of one column: do one now, one next round
+                continue
+            bounds[c] = (lo, hi)
+            pending.append((c, lo, hi, below, ks))
+        parts = _bands(df, sorted(bounds), bounds, splits)
+        collect = {}
+        for c, lo, hi, below, ks in pending:
+            for k in ks:
+                pos = below
+                for kind, a, b, cnt in parts[c]:
+                    if k < pos + cnt:
+                        if kind == "point":
+                            result[c][k] = float(a)
+                            del todo[(c, k)]
+                        elif cnt <= max_collect:
+                            collect.setdefault(c, {}).setdefault((a, b, pos), []).append(k)
+                            del todo[(c, k)]
+                        else:
+                            todo[(c, k)] = (a, b, pos)
+                        break
+                    pos += cnt
+        if collect:
+            sel = []
+            for c, bands in collect.items():
+                cond = None
+                for (a, b, _), _ks in bands.items():
+                    one = _gt(qcol(c), a) & _lt(qcol(c), b)
+                    cond = one if cond is None else (cond | one)
+                sel.append(F.when(cond, qcol(c)).alias(c))
+            rows = df.select(*sel).filter(" OR ".join(f"`{c}` IS NOT NULL" for c in collect)).collect()
+            for c, bands in collect.items():
+                for (a, b, pos), ks in bands.items():
+                    vals = sorted(r[c] for r in rows if r[c] is not None and _inside(r[c], a, b))
+                    for k in ks:
+                        result[c][k] = float(vals[k - pos])
+    raise RuntimeError("order_statistics did not converge")  # pragma: no cover
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], p: float = 0.5, max_collect: int = 100_000,
+                    splits: int = 256) -> dict[str, float | None]:
+    """Linear-interpolated p-quantile of the non-missing (not NULL, not NaN)
+    values of each column, all columns sharing the same few jobs."""
+    clean = df.select(*[F.when(qcol(c).isNotNull() & ~F.isnan(qcol(c)), qcol(c).cast("double")).alias(c)
+                        for c in cols])
+    counts = clean.agg(*[F.count(qcol(c)).alias(c) for c in cols]).first().asDict()
+    want, pos = {}, {}
+    for c in cols:
+        n = counts[c]
         if n == 0:
-            return None
+            continue
         h = (n - 1) * p
         k1 = int(math.floor(h))
-        a = _kth(x, c, k1, n, max_collect, splits)
-        if h == k1 or k1 + 1 >= n:
-            return a
-        b = _kth(x, c, k1 + 1, n, max_collect, splits)
-        return a + (h - k1) * (b - a)
-    finally:
-        x.unpersist()
+        ks = [k1] if (h == k1 or k1 + 1 >= n) else [k1, k1 + 1]
+        want[c], pos[c] = ks, h
+    stats = order_statistics(clean, want, max_collect, splits) if want else {}
+    out = {}
+    for c in cols:
+        if c not in want:
+            out[c] = None
+            continue
+        ks = want[c]
+        a = stats[c][ks[0]]
+        out[c] = a if len(ks) == 1 else a + (pos[c] - ks[0]) * (stats[c][ks[1]] - a)
+    return out
+
+
+def exact_quantile(df: DataFrame, c: str, p: float = 0.5, max_collect: int = 100_000,
+                   splits: int = 256) -> float | None:
+    return exact_quantiles(df, [c], p, max_collect, splits)[c]
