@@ -23,7 +23,7 @@ _SAFE = [f.replace("/", "_per_") for f in FEATURES]
 def prepared(spark, sf):
     """Features -> split (J1) -> standard scaling fitted on train (H8)."""
     f = flow_features(spark, sf).select("id", *[F.col(f"`{a}`").alias(b) for a, b in zip(FEATURES, _SAFE)], "Label")
-    s = K.stratified_split(f, "Label", "id")
+    s = K.stratified_split(f, "Label", "id").cache()   # reused by every fit / score job below
     stats = X.fit_standard(s.filter(F.col("split") == "train"), _SAFE)
     return X.apply_standard(s, stats)
 
@@ -80,3 +80,20 @@ def q_importance(spark, sf):
     """Mean absolute contribution per feature, top 20."""
     g = ml.global_importance(_explained(spark, sf)).limit(20)
     return g.select("feature", r6(F.col("importance")).alias("importance"))
+
+
+@register("iforest")
+def q_iforest(spark, sf):
+    """Isolation forest (200 trees, 256 samples) fitted on benign train
+    rows, offset at contamination 0.05; detector metrics on the test split."""
+    from flowsight.operators import iforest as I
+    p = prepared(spark, sf)
+    benign = p.filter((F.col("split") == "train") & (F.col("Label") == "Normal"))
+    nodes, psi = I.fit_iforest(benign, _SAFE, 200, 256)
+    nodes = nodes.cache()
+    train_scores = I.score_iforest(benign, _SAFE, nodes, psi).select("iforest_score").cache()
+    offset = I.iforest_threshold(train_scores)
+    test = I.score_iforest(p.filter(F.col("split") == "test"), _SAFE, nodes, psi)
+    flagged = test.withColumn("is_anomaly", F.col("iforest_score") < F.lit(offset)) \
+                  .withColumn("a", F.col("Label") != "Normal")
+    return M.binary_metrics(flagged, "a", "is_anomaly").withColumn("offset", r6(F.lit(offset)))
