@@ -292,3 +292,35 @@ def betweenness(edges: DataFrame, k: int | None = 100, normalized: bool = True,
            else nodes.select("node", F.lit(0.0).alias("b")))
     return nodes.join(agg, "node", "left").select(
         "node", (F.coalesce(F.col("b"), F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+
+
+def propagate(x: DataFrame, edges: DataFrame, cols: list[str], hops: int = 2, norm: str = "mean") -> DataFrame:
+    """J13 features: [x, A x, A^2 x] per node, messages flowing along edges
+    (src -> dst).  norm='mean': average over in-neighbours (0 without any);
+    norm='sym': sum over in-neighbours and the node itself of
+    x_u / sqrt(d_u d_v), d = in-degree + 1.  Each hop is one join and one
+    partially aggregated groupBy (hubs are combined map-side)."""
+    e = edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    out = x
+    cur = x.select("node", *cols)
+    if norm == "sym":
+        deg = e.groupBy(F.col("dst").alias("node")).agg((F.count(F.lit(1)) + 1).alias("_d"))
+        deg = x.select("node").join(deg, "node", "left").fillna(1, ["_d"])
+    for h in range(1, hops + 1):
+        if norm == "mean":
+            msg = e.join(cur.withColumnRenamed("node", "src"), "src")
+            agg = msg.groupBy(F.col("dst").alias("node")).agg(*[F.avg(c).alias(c) for c in cols])
+        elif norm == "sym":
+            cd = cur.join(deg, "node")
+            msg = e.join(cd.withColumnRenamed("node", "src").withColumnRenamed("_d", "_ds"), "src") \
+                   .join(deg.withColumnRenamed("node", "dst").withColumnRenamed("_d", "_dd"), "dst")
+            selfm = cd.select(F.col("node").alias("dst"), *cols, F.col("_d").alias("_ds"), F.col("_d").alias("_dd"))
+            msg = msg.select("dst", *cols, "_ds", "_dd").unionByName(selfm)
+            agg = msg.groupBy(F.col("dst").alias("node")).agg(
+                *[F.sum(F.col(c) / F.sqrt(F.col("_ds") * F.col("_dd"))).alias(c) for c in cols])
+        else:
+            raise ValueError(norm)
+        nxt = x.select("node").join(agg, "node", "left").fillna(0.0, cols)
+        out = out.join(nxt.select("node", *[F.col(c).alias(f"{c}_h{h}") for c in cols]), "node")
+        cur = nxt
+    return out

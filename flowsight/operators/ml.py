@@ -159,3 +159,40 @@ def global_importance(df: DataFrame) -> DataFrame:
     """Mean absolute contribution per feature, descending (F3 = limit)."""
     x = df.select(F.inline("contributions"))
     return x.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance")).orderBy(F.desc("importance"))
+
+
+# --- node classification (J13) and next-event sequence model (J14) ----------
+
+def train_node_classifier(feats: DataFrame, labels: DataFrame, feature_cols: list[str], seed: int = 42):
+    """Logistic regression on propagated node features; nodes split 60/20/20 by
+    a seeded hash; risk = 100 x (1 - P(Normal)).  Returns (scored nodes, model)."""
+    from flowsight.operators.ordering import HASH_SPACE, hash32
+    d = feats.join(labels, "node")  # nodes that were a source have a label
+    h = hash32("node", seed=seed)
+    d = d.withColumn("split", F.when(h < F.lit(int(0.6 * HASH_SPACE)), "train")
+                     .when(h < F.lit(int(0.8 * HASH_SPACE)), "val").otherwise("test"))
+    model = train(d.filter(F.col("split") == "train"), feature_cols, "label", "logistic")
+    labels_order = model.stages[0].labels
+    p = evaluate(model, d, "label")
+    if "Normal" in labels_order:
+        i = labels_order.index("Normal")
+        p = p.withColumn("node_risk", (1.0 - vector_to_array("probability")[i]) * 100.0)
+    else:
+        p = p.withColumn("node_risk", F.lit(100.0))
+    return p.select("node", "split", "label", "predicted", "node_risk"), model
+
+
+def sequence_features(seqs: DataFrame, n_feats: int, n: int = 20) -> tuple[DataFrame, list[str]]:
+    """Flatten the n x f sequence into columns plus mean / max pooling per feature."""
+    cols, exprs = [], []
+    for t in range(n):
+        for j in range(n_feats):
+            name = f"s{t}_{j}"
+            cols.append(name)
+            exprs.append(F.col("sequence")[t][j].alias(name))
+    for j in range(n_feats):
+        vals = F.transform("sequence", lambda v: v[j])
+        exprs.append((F.aggregate(vals, F.lit(0.0), lambda a, b: a + b) / n).alias(f"mean_{j}"))
+        exprs.append(F.array_max(vals).alias(f"max_{j}"))
+        cols += [f"mean_{j}", f"max_{j}"]
+    return seqs.select("*", *exprs), cols

@@ -97,3 +97,34 @@ def q_iforest(spark, sf):
     flagged = test.withColumn("is_anomaly", F.col("iforest_score") < F.lit(offset)) \
                   .withColumn("a", F.col("Label") != "Normal")
     return M.binary_metrics(flagged, "a", "is_anomaly").withColumn("offset", r6(F.lit(offset)))
+
+
+@register("node_classifier")
+def q_node_classifier(spark, sf):
+    """Node features (D11) propagated two hops (mean), logistic
+    regression on majority labels (D12), node risk."""
+    from flowsight.operators import graph as G
+    f = flows(spark, sf)
+    x = G.node_matrix(f, ["value", "confidence"])
+    cols = ["value", "confidence", "out_degree", "in_degree"]
+    feats = G.propagate(x, G.distinct_edges(f), cols, hops=2, norm="mean").cache()
+    fcols = cols + [f"{c}_h{h}" for h in (1, 2) for c in cols]
+    scored, _ = ml.train_node_classifier(feats, G.majority_label(f), fcols)
+    return scored.select("node", "split", "label", "predicted", r6(F.col("node_risk")).alias("node_risk"))
+
+
+@register("sequence_model")
+def q_sequence_model(spark, sf):
+    """Next-event attack probability from the previous 20 flows of the same
+    source (E5 sequences, flattened and pooled, logistic regression); metrics on
+    the test split."""
+    from flowsight.operators import windows as W
+    f = flows(spark, sf).select("id", "us", "src_ip", "value", "risk_score", "label")
+    seqs = W.make_sequences(f, ["value", "risk_score"], 20, "label", binary=True)
+    seqs, cols = ml.sequence_features(seqs, 2, 20)
+    seqs = K.stratified_split(seqs.withColumn("target", F.col("target").cast("string")), "target", "id").cache()
+    model = ml.train(seqs.filter(F.col("split") == "train"), cols, "target", "logistic")
+    pred = ml.evaluate(model, seqs.filter(F.col("split") == "test"), "target")
+    b = M.binary_metrics(pred.select((F.col("target") == "1").alias("a"), (F.col("predicted") == "1").alias("p")),
+                         "a", "p")
+    return b.select("tp", "fp", "fn", "tn", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "accuracy")])

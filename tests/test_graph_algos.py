@@ -55,3 +55,27 @@ def test_pagerank_sums_to_one(spark):
     pr = G.pagerank(e)
     total = pr.agg({"pr": "sum"}).first()[0]
     assert abs(total - 1.0) < 1e-6
+
+
+def test_propagate_matches_numpy(spark):
+    import numpy as np
+    edges = [(0, 1), (2, 1), (1, 2), (3, 0), (2, 2), (0, 1)]
+    x = {0: 1.0, 1: 2.0, 2: 4.0, 3: 8.0}
+    e = spark.createDataFrame(edges, "src long, dst long")
+    xf = spark.createDataFrame(list(x.items()), "node long, v double")
+    E = sorted({(a, b) for a, b in edges if a != b})
+    n = 4
+    A = np.zeros((n, n))
+    for a, b in E:
+        A[b, a] = 1.0
+    xv = np.array([x[i] for i in range(n)])
+    indeg = A.sum(axis=1)
+    mean1 = np.where(indeg > 0, A @ xv / np.maximum(indeg, 1), 0.0)
+    mean2 = np.where(indeg > 0, A @ mean1 / np.maximum(indeg, 1), 0.0)
+    d = indeg + 1
+    S = (A + np.eye(n)) / np.sqrt(np.outer(d, d))
+    got = {r["node"]: r for r in G.propagate(xf, e, ["v"], 2, "mean").collect()}
+    sym = {r["node"]: r for r in G.propagate(xf, e, ["v"], 2, "sym").collect()}
+    for i in range(n):
+        assert abs(got[i]["v_h1"] - mean1[i]) < 1e-12 and abs(got[i]["v_h2"] - mean2[i]) < 1e-12
+        assert abs(sym[i]["v_h1"] - (S @ xv)[i]) < 1e-12 and abs(sym[i]["v_h2"] - (S @ S @ xv)[i]) < 1e-12
