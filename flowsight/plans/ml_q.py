@@ -128,3 +128,28 @@ def q_sequence_model(spark, sf):
     b = M.binary_metrics(pred.select((F.col("target") == "1").alias("a"), (F.col("predicted") == "1").alias("p")),
                          "a", "p")
     return b.select("tp", "fp", "fn", "tn", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
+_KNN_D = "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+@register("knn_edges", f"""SELECT src, dst, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT a.vec_id AS src, b.vec_id AS dst, {_KNN_D} AS dist,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY {_KNN_D}, b.vec_id) AS rank
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5""")
+def q_knn(spark, sf):
+    """Exact 5 nearest neighbours of every embedding (no self edges)."""
+    from flowsight.operators.knn import knn_edges
+    from flowsight.sources.tables import table
+    e = knn_edges(table(spark, sf, "embeddings"), "embedding", "vec_id", 5)
+    return e.select("src", "dst", r6(F.col("dist")).alias("dist"), "rank")
+
+
+@register("smote")
+def q_smote(spark, sf):
+    """SMOTE every embedding class up to the majority size."""
+    from flowsight.operators.knn import smote
+    from flowsight.sources.tables import table
+    s = smote(table(spark, sf, "embeddings"), "label", "embedding", "vec_id", 5)
+    return s.select("label", "synthetic_idx", "base_id", "nbr", r6(F.col("u")).alias("u"),
+                    F.size("vec").alias("dim"))
