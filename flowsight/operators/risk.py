@@ -19,7 +19,8 @@ def normalize_weights(weights: dict) -> dict:
 
 def risk_score(df: DataFrame, classifier: str | None = "classifier", graph: str | None = "graph",
                sequence: str | None = "sequence", anomaly: str | None = "anomaly",
-               weights: dict | None = None, out: str = "risk_score") -> DataFrame:
+               weights: dict | None = None, out: str = "risk_score",
+               anomaly_scale: float | None = None) -> DataFrame:
     """Weighted mean of the supplied components x 100, clipped to [0, 100].
     classifier / sequence are probabilities, graph is 0-100 (divided by 100),
     anomaly >= 0 is divided by its 99th percentile and clipped (just clipped for
@@ -34,11 +35,14 @@ def risk_score(df: DataFrame, classifier: str | None = "classifier", graph: str
     if sequence:
         comps.append((F.col(sequence).cast("double"), w["temporal"]))
     if anomaly:
-        st = df.agg(F.count(F.col(anomaly)).alias("n"), F.max(anomaly).alias("mx")).first()
         a = F.col(anomaly).cast("double")
-        if st["n"] > 1 and st["mx"] is not None and st["mx"] > 0:
-            p99 = exact_quantile(df, anomaly, 0.99)
-            a = a / F.lit(p99)
+        if anomaly_scale is not None:          # streams / single rows: a fixed scale (1.0 = clip only)
+            a = a / F.lit(float(anomaly_scale))
+        else:
+            st = df.agg(F.count(F.col(anomaly)).alias("n"), F.max(anomaly).alias("mx")).first()
+            if st["n"] > 1 and st["mx"] is not None and st["mx"] > 0:
+                p99 = exact_quantile(df, anomaly, 0.99)
+                a = a / F.lit(p99)
         comps.append((F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0)), w["autoencoder"]))
     num = sum((F.coalesce(c * wt, F.lit(0.0)) for c, wt in comps), F.lit(0.0))
     den = sum((F.when(c.isNotNull(), F.lit(wt)).otherwise(F.lit(0.0)) for c, wt in comps), F.lit(0.0))

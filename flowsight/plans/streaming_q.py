@@ -23,7 +23,7 @@ def _stage_flow_files(spark, sf):
     base = join_path(ensure_checkpoint_dir(spark), "stream-" + uuid.uuid4().hex)
     f = flows(spark, sf).select("id", F.col("ts").cast("timestamp").alias("ts"), "src_ip", "src_port", "dst_ip",
                                 "dst_port", "protocol", "predicted_attack", "confidence", "risk_score",
-                                "risk_label")
+                                "risk_label", "value")
     staged = join_path(base, "staged")
     f.withColumn("day", F.date_format("ts", "yyyyMMdd")).repartition("day").write.partitionBy("day").parquet(staged)
     src = join_path(base, "src")
@@ -80,3 +80,52 @@ def q_stream_totals(spark, sf):
          .foreachBatch(sink).option("checkpointLocation", out + "-ck").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+_RF = f"rf AS (SELECT * FROM flows WHERE NOT ({_NONROUTE}))"
+_P20 = "OVER (PARTITION BY src_ip ORDER BY us, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+
+
+@register("stream_sequence", with_flows(_RF) + f"""SELECT id, 20 AS padded_len,
+  CAST(20 - count(*) {_P20} AS INTEGER) AS n_pad, round(sum(value) {_P20}, 6) AS padded_sum FROM rf""")
+def q_stream_sequence(spark, sf):
+    """Per-source buffer of the last 20 vectors kept in streaming state
+    (applyInPandasWithState), one day per micro-batch = batch E7 on the same rows."""
+    base, src = _stage_flow_files(spark, sf)
+    seq = D.sequence_stream(D.flow_stream(spark, src, max_files=1), ["value"], 20, "src_ip")
+    out = join_path(base, "seq")
+    q = (seq.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ck")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    x = spark.read.parquet(out)
+    flat = F.flatten("padded")
+    return x.select("id", F.size("padded").alias("padded_len"),
+                    F.size(F.filter("padded", lambda v: v[0] == 0.0)).alias("n_pad"),
+                    r6(F.aggregate(flat, F.lit(0.0), lambda a, b: a + b)).alias("padded_sum"))
+
+
+@register("stream_score")
+def q_stream_score(spark, sf):
+    """I4: a logistic model and scaler fitted on the train split score the test
+    rows arriving as a file stream (stateless), with gates, risk and category."""
+    from flowsight.operators import features as X
+    from flowsight.operators import ml
+    from flowsight.operators.risk import stratified_split
+    from flowsight.plans.ml_q import FEATURES, _SAFE
+    from flowsight.sources.tables import flow_features
+    f = flow_features(spark, sf).select("id", *[F.col(f"`{a}`").alias(b) for a, b in zip(FEATURES, _SAFE)], "Label")
+    s = stratified_split(f, "Label", "id").cache()
+    train = s.filter(F.col("split") == "train")
+    scaler = X.fit_standard(train, _SAFE)
+    model = ml.train(X.apply_standard(train, scaler), _SAFE, "Label", "logistic")
+    base = join_path(ensure_checkpoint_dir(spark), "score-" + uuid.uuid4().hex)
+    s.filter(F.col("split") == "test").drop("split", "Label").repartition(8).write.parquet(join_path(base, "in"))
+    stream = spark.readStream.schema(spark.read.parquet(join_path(base, "in")).schema) \
+                  .option("maxFilesPerTrigger", 2).parquet(join_path(base, "in"))
+    scored = D.score_stream(stream, model, _SAFE, scaler)
+    out = join_path(base, "out")
+    q = (scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ck")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("id", "predicted_attack", r6(F.col("confidence")).alias("confidence"),
+                                          r6(F.col("risk_score")).alias("risk_score"), "risk_label")

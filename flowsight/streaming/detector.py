@@ -24,7 +24,7 @@ from flowsight.session import ensure_checkpoint_dir, fs_exists, join_path
 
 FLOW_SCHEMA = ("id long, ts timestamp, src_ip string, src_port int, dst_ip string, dst_port int, "
                "protocol string, predicted_attack string, confidence double, risk_score double, "
-               "risk_label string")
+               "risk_label string, value double")
 
 
 def flow_stream(spark: SparkSession, path: str, schema: str = FLOW_SCHEMA, fmt: str = "parquet",
@@ -105,3 +105,60 @@ def block_list_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
 def live_totals(stream: DataFrame) -> DataFrame:
     """I8: running totals (complete output mode)."""
     return R.flow_stats(stream)
+
+
+def score_stream(stream: DataFrame, model, feature_cols: list[str], scaler: dict,
+                 anomaly: str | None = None, normal_label: str = "Normal") -> DataFrame:
+    """I4: stateless scoring of a flow stream: align (B10) -> scale (H8) ->
+    fitted pipeline (string indexer + assembler + classifier) -> confidence gate
+    (H14) -> risk (H11, classifier and optional anomaly component, clipped) ->
+    low-risk override (H19) -> category (H12)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from flowsight.operators.clean import align_features
+    from flowsight.operators.features import apply_standard
+    from flowsight.operators.risk import categorize, confidence_gate, low_risk_override, risk_score
+
+    keep = [c for c in stream.columns if c not in feature_cols]
+    x = apply_standard(align_features(stream, feature_cols, keep=keep), scaler)
+    labels = model.stages[0].labels
+    p = model.transform(x)
+    probs = vector_to_array("probability")
+    names = F.array(*[F.lit(v) for v in labels])
+    i_norm = labels.index(normal_label) if normal_label in labels else None
+    p_normal = probs[i_norm] if i_norm is not None else F.lit(0.0)
+    p = p.select(*keep, F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted_attack"),
+                 F.array_max(probs).alias("confidence"), p_normal.alias("p_normal"),
+                 (1.0 - p_normal).alias("classifier"), *([F.col(anomaly)] if anomaly else []))
+    p = confidence_gate(p)
+    p = risk_score(p, classifier="classifier", graph=None, sequence=None, anomaly=anomaly, anomaly_scale=1.0)
+    return categorize(low_risk_override(p))
+
+
+SEQ_STATE = "vectors array<array<double>>"
+
+
+def sequence_stream(stream: DataFrame, cols: list[str], n: int = 20, key: str = "src_ip",
+                    order: tuple = ("ts", "id")) -> DataFrame:
+    """Per-source buffer of the last n feature vectors (the reference keeps
+    one global buffer); each flow gets its left-zero-padded window of n vectors,
+    equal to the batch E7 `padded_sequence` for in-order input."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    out_schema = "id long, src string, padded array<array<double>>"
+
+    def step(k, pdfs, state):
+        buf = list(state.get[0]) if state.exists else []
+        rows = []
+        for pdf in pdfs:
+            pdf = pdf.sort_values(list(order))
+            for rid, vec in zip(pdf["id"], pdf[cols].to_numpy(dtype=float).tolist()):
+                buf = (buf + [vec])[-n:]
+                pad = [[0.0] * len(cols)] * (n - len(buf))
+                rows.append((int(rid), str(k[0]), pad + buf))
+        state.update(([list(v) for v in buf[-(n - 1):]] if n > 1 else [],))
+        yield pd.DataFrame(rows, columns=["id", "src", "padded"])
+
+    return (stream.groupBy(key)
+            .applyInPandasWithState(step, out_schema, SEQ_STATE, "append", GroupStateTimeout.NoTimeout))
