@@ -153,3 +153,16 @@ def q_smote(spark, sf):
     s = smote(table(spark, sf, "embeddings"), "label", "embedding", "vec_id", 5)
     return s.select("label", "synthetic_idx", "base_id", "nbr", r6(F.col("u")).alias("u"),
                     F.size("vec").alias("dim"))
+
+
+@register("save_contributions")
+def q_save_contributions(spark, sf):
+    """Per-row contributions saved as a table and read back."""
+    import uuid
+
+    from flowsight.session import ensure_checkpoint_dir, join_path
+    from flowsight.sources.store import save_table
+    path = join_path(ensure_checkpoint_dir(spark), "contrib-" + uuid.uuid4().hex)
+    x = _explained(spark, sf).select("id", F.inline("contributions"))
+    save_table(x, path)
+    return spark.read.parquet(path).select("id", "feature", r6(F.col("value")).alias("value"))
