@@ -215,7 +215,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
     outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("od"))
     links = e.join(outdeg, "src").select("src", "dst", (1.0 / F.col("od")).alias("w")).cache()
     dangling = nodes.join(outdeg.withColumnRenamed("src", "node"), "node", "left_anti").cache()
-    rank = nodes.select("node", F.lit(1.0 / n).alias("pr"))
+    rank = nodes.select("node", F.lit(1.0 / n).alias("pr")).cache()
     iters = fixed_iter or max_iter
     for i in range(iters):
         dm = rank.join(dangling, "node", "left_semi").agg(F.sum("pr")).first()[0] or 0.0
@@ -224,16 +224,18 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
         new = nodes.join(contrib, "node", "left").select(
             "node", (F.lit(alpha) * (F.coalesce(F.col("c"), F.lit(0.0)) + F.lit(dm / n)) +
                      F.lit((1 - alpha) / n)).alias("pr"))
-        if (i + 1) % checkpoint_every == 0:
-            new = new.checkpoint()
+        # each iteration's ranks are cached (one iteration of work per job);
+        # every few iterations they go to the reliable checkpoint directory
+        new = new.checkpoint() if (i + 1) % checkpoint_every == 0 else new.cache()
+        done = False
         if fixed_iter is None:
             err = new.alias("a").join(rank.alias("b"), "node").agg(
                 F.sum(F.abs(F.col("a.pr") - F.col("b.pr")))).first()[0]
-            rank = new
-            if err < n * tol:
-                break
-        else:
-            rank = new
+            done = err < n * tol
+        rank.unpersist()
+        rank = new
+        if done:
+            break
     return rank
 
 
