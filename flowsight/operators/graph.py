@@ -215,24 +215,26 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
     outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("od"))
     links = e.join(outdeg, "src").select("src", "dst", (1.0 / F.col("od")).alias("w")).cache()
     dangling = nodes.join(outdeg.withColumnRenamed("src", "node"), "node", "left_anti").cache()
-    rank = nodes.select("node", F.lit(1.0 / n).alias("pr")).cache()
+    rank = nodes.select("node", F.lit(1.0 / n).alias("pr"))
     iters = fixed_iter or max_iter
     for i in range(iters):
-        dm = rank.join(dangling, "node", "left_semi").agg(F.sum("pr")).first()[0] or 0.0
+        # dangling mass as a scalar subquery: the iteration stays one lazy plan
+        dm = rank.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("pr"), F.lit(0.0))).scalar()
         contrib = links.join(rank.withColumnRenamed("node", "src"), "src") \
                        .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pr") * F.col("w")).alias("c"))
         new = nodes.join(contrib, "node", "left").select(
-            "node", (F.lit(alpha) * (F.coalesce(F.col("c"), F.lit(0.0)) + F.lit(dm / n)) +
+            "node", (F.lit(alpha) * (F.coalesce(F.col("c"), F.lit(0.0)) + dm / F.lit(float(n))) +
                      F.lit((1 - alpha) / n)).alias("pr"))
-        # each iteration's ranks are cached (one iteration of work per job);
-        # every few iterations they go to the reliable checkpoint directory
-        new = new.checkpoint() if (i + 1) % checkpoint_every == 0 else new.cache()
+        check = fixed_iter is None or (i + 1) % checkpoint_every == 0
+        if check:
+            # cut the lineage in the reliable checkpoint directory (persisted first,
+            # so the eager checkpoint computes the ranks once)
+            new = new.persist().checkpoint()
         done = False
         if fixed_iter is None:
             err = new.alias("a").join(rank.alias("b"), "node").agg(
                 F.sum(F.abs(F.col("a.pr") - F.col("b.pr")))).first()[0]
             done = err < n * tol
-        rank.unpersist()
         rank = new
         if done:
             break

@@ -1,136 +1,159 @@
 """Exact order statistics without gathering a column in one task.
 
-`exact_quantiles` finds the needed order statistics of several columns at once
-by narrowing: one approximate-quantile job (bounded sketches) proposes split
-points for every column, one aggregation counts the rows below, at and between
-those points, and the few values of the bands that hold the wanted ranks are
-fetched (at most `max_collect` per column); a band that is still too large is
-narrowed again with the same two steps.  Interpolation follows the linear rule
-(pandas / Spark `percentile`).
+`exact_quantiles` finds the needed order statistics of several columns at once.
+Infinite values are counted up front (ranks that fall on them are answered
+directly), so every band below is a strict open interval of finite values:
+
+1. one approximate-quantile job per column proposes cut points inside the band
+   (bounded sketches);
+2. one pass assigns every band value to a piece - below the first cut, equal to
+   a cut, or between two cuts - with a JVM-side binary search (Bucketizer) and a
+   small grouped count gives the piece sizes;
+3. the piece holding the wanted rank becomes the new band, or, once it holds at
+   most `max_collect` values, those values are fetched and ranked.
+
+Interpolation follows the linear rule (pandas / Spark `percentile`).
 """
 from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.functions.columns import col as qcol
 
+_FINITE = lambda v: v.isNotNull() & ~F.isnan(v) & (v != float("inf")) & (v != float("-inf"))
 
-def _gt(v, a):
-    """v > a, where a = -inf means unbounded (so -inf itself is inside)."""
-    return F.lit(True) if a == -math.inf else (v > a)
 
+def _in(v, lo, hi):
+    return (v > F.lit(lo)) & (v < F.lit(hi))
 
-def _lt(v, b):
-    return F.lit(True) if b == math.inf else (v < b)
 
-
-def _inside(x: float, a: float, b: float) -> bool:
-    return (a == -math.inf or x > a) and (b == math.inf or x < b)
-
-
-def _bands(df: DataFrame, cols: list[str], bounds: dict, splits: int) -> dict:
-    """For each column with band (lo, hi) (open interval), return the list of
-    (kind, a, b, count) sub-bands in value order."""
+def _pieces(df: DataFrame, cols: list[str], bounds: dict, splits: int) -> dict:
+    """Per column: [(kind, a, b, count)] covering the open band (lo, hi) in order."""
     probs = [i / splits for i in range(1, splits)]
-    sub = {}
-    exprs = []
+    cuts = {}
     for c in cols:
         lo, hi = bounds[c]
-        v = qcol(c)
-        inb = v.isNotNull() & _gt(v, lo) & _lt(v, hi)
-        band = df.filter(inb).select(v.alias("_v"))
-        cuts = sorted(set(x for x in band.approxQuantile("_v", probs, 1.0 / (4 * splits)) if _inside(x, lo, hi)))
-        sub[c] = cuts
-        if not cuts:
-            exprs += [F.count_if(inb).alias(f"{c}__all"), F.min(F.when(inb, v)).alias(f"{c}__mn"),
-                      F.max(F.when(inb, v)).alias(f"{c}__mx")]
-            continue
-        exprs.append(F.count_if(inb & (v < cuts[0])).alias(f"{c}__b"))
-        for i, x in enumerate(cuts):
-            nxt = cuts[i + 1] if i + 1 < len(cuts) else hi
-            exprs.append(F.count_if(v == x).alias(f"{c}__e{i}"))
-            exprs.append(F.count_if((v > x) & _lt(v, nxt)).alias(f"{c}__g{i}"))
-    row = df.agg(*exprs).first().asDict()
+        band = df.filter(_in(qcol(c), lo, hi)).select(qcol(c).alias("_v"))
+        cuts[c] = sorted(set(x for x in band.approxQuantile("_v", probs, 1.0 / (4 * splits)) if lo < x < hi))
+    names = [f"_b{i}" for i in range(len(cols))]
+    x = df.select(*[F.when(_in(qcol(c), *bounds[c]), qcol(c)).otherwise(F.lit(float("nan"))).alias(n)
+                    for c, n in zip(cols, names)])
+    sp = [[-math.inf] + cuts[c] + [math.inf] for c in cols]
+    x = Bucketizer(splitsArray=sp, inputCols=names, outputCols=[n + "_k" for n in names],
+                   handleInvalid="keep").transform(x)
+    items = []
+    for i, n in enumerate(names):
+        j = F.col(n + "_k").cast("int")
+        lower = F.element_at(F.array(*[F.lit(v) for v in sp[i]]), j + 1)   # split below the value
+        k = F.when(F.isnan(n), F.lit(None)).when(j == 0, F.lit(0)) \
+             .when(F.col(n) == lower, 2 * j - 1).otherwise(2 * j)
+        items.append(F.struct(F.lit(i).alias("c"), k.alias("k")))
+    rows = (x.select(F.inline(F.array(*items))).filter(F.col("k").isNotNull())
+             .groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).collect())
+    got = {(r["c"], r["k"]): r["n"] for r in rows}
     out = {}
-    for c in cols:
+    for i, c in enumerate(cols):
         lo, hi = bounds[c]
-        cuts = sub[c]
-        if not cuts:
-            mn, mx = row[f"{c}__mn"], row[f"{c}__mx"]
-            if mn is not None and mn == mx:      # one repeated value: a point band
-                out[c] = [("point", mn, mn, row[f"{c}__all"])]
-            elif mn is not None:                 # split at the band minimum
-                out[c] = [("point", mn, mn, None), ("open", mn, hi, None)]
-                cnt = df.agg(F.count_if(qcol(c) == mn).alias("e"),
-                             F.count_if((qcol(c) > mn) & _lt(qcol(c), hi)).alias("g")).first()
-                out[c] = [("point", mn, mn, cnt["e"]), ("open", mn, hi, cnt["g"])]
-            else:
-                out[c] = [("open", lo, hi, 0)]
+        cs = cuts[c]
+        if not cs:
+            out[c] = [("open", lo, hi, got.get((i, 0), 0))]
             continue
-        parts = [("open", lo, cuts[0], row[f"{c}__b"])]
-        for i, x in enumerate(cuts):
-            nxt = cuts[i + 1] if i + 1 < len(cuts) else hi
-            parts += [("point", x, x, row[f"{c}__e{i}"]), ("open", x, nxt, row[f"{c}__g{i}"])]
+        parts = [("open", lo, cs[0], got.get((i, 0), 0))]
+        for t, cut in enumerate(cs):
+            nxt = cs[t + 1] if t + 1 < len(cs) else hi
+            parts += [("point", cut, cut, got.get((i, 2 * t + 1), 0)),
+                      ("open", cut, nxt, got.get((i, 2 * t + 2), 0))]
         out[c] = parts
     return out
 
 
 def order_statistics(df: DataFrame, want: dict[str, list[int]], max_collect: int = 100_000,
                      splits: int = 256) -> dict[str, dict[int, float]]:
-    """want: column -> 0-based ranks among its non-missing values; df must hold
-    only non-missing values per column (NULL elsewhere)."""
-    result = {c: {} for c in want}
-    # state per (column, rank): open band (lo, hi) and number of values below lo
-    todo = {(c, k): (-math.inf, math.inf, 0) for c, ks in want.items() for k in ks}
-    for _ in range(32):
+    """want: column -> 0-based ranks among the column's non-NULL, non-NaN values."""
+    cols = sorted(want)
+    aggs = []
+    for c in cols:
+        v = qcol(c)
+        aggs += [F.count_if(v == float("-inf")).alias(f"{c}__m"), F.count_if(v == float("inf")).alias(f"{c}__p"),
+                 F.count_if(_FINITE(v)).alias(f"{c}__f")]
+    st = df.agg(*aggs).first().asDict() if cols else {}
+    result = {c: {} for c in cols}
+    todo = {}
+    for c in cols:
+        m, f = st[f"{c}__m"], st[f"{c}__f"]
+        for k in want[c]:
+            if k < m:
+                result[c][k] = -math.inf
+            elif k >= m + f:
+                result[c][k] = math.inf
+            else:
+                todo[(c, k)] = (-math.inf, math.inf, m)   # open band of finite values, m values below
+    sizes = {}
+    for _ in range(40):
         if not todo:
             return result
-        cols = sorted({c for c, _ in todo})
-        # refine each column's distinct bands (ranks often share one)
-        groups = {}
+        # one band per column per round (ranks usually share it)
+        bands = {}
         for (c, k), band in todo.items():
-            groups.setdefault((c, band), []).append(k)
-        bounds = {}
-        pending = []
-        for (c, (lo, hi, below)), ks in groups.items():
-            if c in bounds:          # two different bands of one column: do one now, one next round
-                continue
-            bounds[c] = (lo, hi)
-            pending.append((c, lo, hi, below, ks))
-        parts = _bands(df, sorted(bounds), bounds, splits)
+            bands.setdefault(c, band)
+        small, big = {}, {}
+        for c, band in bands.items():
+            n = sizes.get((c, band))
+            (small if n is not None and n <= max_collect else big)[c] = band
+        parts = _pieces(df, sorted(big), {c: b[:2] for c, b in big.items()}, splits) if big else {}
         collect = {}
-        for c, lo, hi, below, ks in pending:
-            for k in ks:
-                pos = below
-                for kind, a, b, cnt in parts[c]:
-                    if k < pos + cnt:
-                        if kind == "point":
-                            result[c][k] = float(a)
-                            del todo[(c, k)]
-                        elif cnt <= max_collect:
-                            collect.setdefault(c, {}).setdefault((a, b, pos), []).append(k)
-                            del todo[(c, k)]
-                        else:
-                            todo[(c, k)] = (a, b, pos)
-                        break
-                    pos += cnt
+        for (c, k), band in list(todo.items()):
+            if bands[c] != band:
+                continue
+            if c in small:
+                collect.setdefault(c, {}).setdefault(band, []).append(k)
+                del todo[(c, k)]
+                continue
+            pos = band[2]
+            pcs = parts[c]
+            if len(pcs) == 1:   # no cut point: split at the band minimum (repeated values)
+                lo, hi = band[:2]
+                r = df.agg(F.min(F.when(_in(qcol(c), lo, hi), qcol(c))).alias("mn"),
+                           F.max(F.when(_in(qcol(c), lo, hi), qcol(c))).alias("mx")).first()
+                if r["mn"] == r["mx"]:
+                    result[c][k] = float(r["mn"])
+                    del todo[(c, k)]
+                    continue
+                e = df.agg(F.count_if(qcol(c) == r["mn"])).first()[0]
+                pcs = [("point", r["mn"], r["mn"], e), ("open", r["mn"], hi, pcs[0][3] - e)]
+            for kind, a, b, cnt in pcs:
+                if k < pos + cnt:
+                    if kind == "point":
+                        result[c][k] = float(a)
+                        del todo[(c, k)]
+                    else:
+                        nb = (a, b, pos)
+                        sizes[(c, nb)] = cnt
+                        todo[(c, k)] = nb
+                    break
+                pos += cnt
         if collect:
-            sel = []
-            for c, bands in collect.items():
+            sel, conds = [], []
+            for c, bs in collect.items():
                 cond = None
-                for (a, b, _), _ks in bands.items():
-                    one = _gt(qcol(c), a) & _lt(qcol(c), b)
+                for (lo, hi, _) in bs:
+                    one = _in(qcol(c), lo, hi)
                     cond = one if cond is None else (cond | one)
                 sel.append(F.when(cond, qcol(c)).alias(c))
-            rows = df.select(*sel).filter(" OR ".join(f"`{c}` IS NOT NULL" for c in collect)).collect()
-            for c, bands in collect.items():
-                for (a, b, pos), ks in bands.items():
-                    vals = sorted(r[c] for r in rows if r[c] is not None and _inside(r[c], a, b))
+                conds.append(cond)
+            pred = conds[0]
+            for cnd in conds[1:]:
+                pred = pred | cnd
+            rows = df.filter(pred).select(*sel).collect()
+            for c, bs in collect.items():
+                for (lo, hi, below), ks in bs.items():
+                    vals = sorted(r[c] for r in rows if r[c] is not None and lo < r[c] < hi)
                     for k in ks:
-                        result[c][k] = float(vals[k - pos])
+                        result[c][k] = float(vals[k - below])
     raise RuntimeError("order_statistics did not converge")  # pragma: no cover
 
 
@@ -148,8 +171,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], p: float = 0.5, max_collect:
             continue
         h = (n - 1) * p
         k1 = int(math.floor(h))
-        ks = [k1] if (h == k1 or k1 + 1 >= n) else [k1, k1 + 1]
-        want[c], pos[c] = ks, h
+        want[c] = [k1] if (h == k1 or k1 + 1 >= n) else [k1, k1 + 1]
+        pos[c] = h
     stats = order_statistics(clean, want, max_collect, splits) if want else {}
     out = {}
     for c in cols:
