@@ -105,12 +105,17 @@ def roc_auc(df: DataFrame, score: str, positive) -> DataFrame:
 
 
 def roc_auc_ovr(df: DataFrame, label: str, score_cols: dict[str, str]) -> DataFrame:
-    """Macro one-vs-rest AUC over classes present as true labels."""
-    parts = None
-    for cls, sc in score_cols.items():
-        a = roc_auc(df, sc, F.col(label) == cls).select(F.lit(cls).alias("class"), "auc")
-        parts = a if parts is None else parts.unionByName(a)
-    per = parts.filter(F.col("auc").isNotNull())
+    """Macro one-vs-rest AUC over classes present as true labels, all
+    classes in one pass: (class, score) counts, running sums of negatives per
+    class (distributed, see `global_cumsum`), one grouped sum."""
+    items = [F.struct(F.lit(cls).alias("cls"), F.col(sc).cast("double").alias("score"),
+                      (F.col(label) == cls).alias("pos")) for cls, sc in score_cols.items()]
+    x = df.select(F.inline(F.array(*items)))
+    s = x.groupBy("cls", "score").agg(F.count_if(F.col("pos")).alias("np"), F.count_if(~F.col("pos")).alias("nn"))
+    c = global_cumsum(s, "score", ["nn"], part=["cls"])
+    per = c.groupBy("cls").agg(F.try_divide(F.sum(F.col("np") * (F.col("nn_cum") - F.col("nn") * 0.5)),
+                                            (F.sum("np") * F.sum("nn")).cast("double")).alias("auc"))
+    per = per.filter(F.col("auc").isNotNull())
     return per.agg(F.avg("auc").alias("roc_auc_ovr"), F.count(F.lit(1)).alias("n_classes"))
 
 

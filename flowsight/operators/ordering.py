@@ -70,9 +70,12 @@ def rank_within(df: DataFrame, part: list[str], h: str, tiebreak: str, out: str
 
 
 def global_cumsum(df: DataFrame, key: str, cols: list[str], rows_per_bucket: int = 2_000_000,
-                  suffix: str = "_cum") -> DataFrame:
-    """Inclusive running sums of `cols` in ascending order of the unique numeric
-    `key` over the whole table, using quantile buckets + bucket offsets."""
+                  suffix: str = "_cum", part: list[str] = ()) -> DataFrame:
+    """Inclusive running sums of `cols` in ascending order of the numeric `key`
+    (unique inside each `part` group), over the whole table: quantile buckets of
+    the key, per-(part, bucket) totals turned into offsets (a table with one row
+    per part and bucket), and running sums inside each (part, bucket)."""
+    part = list(part)
     n = df.count()
     k = max(1, math.ceil(n / rows_per_bucket))
     x = df.withColumn("_sk", F.col(key).cast("double"))
@@ -82,11 +85,11 @@ def global_cumsum(df: DataFrame, key: str, cols: list[str], rows_per_bucket: int
         x = x.withColumn("_bkt", F.col("_bkt").cast("int"))
     else:
         x = x.withColumn("_bkt", F.lit(0))
-    tot = x.groupBy("_bkt").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
-    ow = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_bkt", *[F.coalesce(F.sum(f"_t{i}").over(ow), F.lit(0)).alias(f"_o{i}")
-                                for i in range(len(cols))])
-    w = Window.partitionBy("_bkt").orderBy("_sk").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.join(F.broadcast(offs), "_bkt")
+    tot = x.groupBy(*part, "_bkt").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
+    ow = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*part, "_bkt", *[F.coalesce(F.sum(f"_t{i}").over(ow), F.lit(0)).alias(f"_o{i}")
+                                       for i in range(len(cols))])
+    w = Window.partitionBy(*part, "_bkt").orderBy("_sk").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(F.broadcast(offs) if not part else offs, part + ["_bkt"])
     return x.select(*[F.col(c) for c in df.columns],
                     *[(F.col(f"_o{i}") + F.sum(c).over(w)).alias(c + suffix) for i, c in enumerate(cols)])
