@@ -27,9 +27,24 @@ from pyspark.sql import functions as F
 _REAL, _BACK, _FWD = 0, 1, 2
 
 
+def choose_bucket_secs(df: DataFrame, keys: list[str], us_col: str, secs: float,
+                       target_rows: int = 2_000_000, start_secs: float = 3600.0) -> float:
+    """Time-bucket length for (key, bucket) partitions: `start_secs` unless some
+    key holds more than `target_rows` rows inside one bucket (a burst), then
+    shorter in proportion, but never shorter than the window `secs`.  One
+    partially aggregated count job; the result only changes partitioning."""
+    start = max(start_secs, secs)
+    b = int(start * 1_000_000)
+    mx = (df.groupBy(*[F.col(k) for k in keys], F.expr(f"`{us_col}` div {b}").alias("_b"))
+            .agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]) or 0
+    if mx <= target_rows:
+        return start
+    return max(float(secs), start * target_rows / mx)
+
+
 def sliding_counts(df: DataFrame, keys: list[str], us_col: str, secs: float,
                    count_col: str | None = None, distinct: dict[str, str] | None = None,
-                   order_col: str = "id", bucket_secs: float = 3600.0, where=None) -> DataFrame:
+                   order_col: str = "id", bucket_secs: float | None = None, where=None) -> DataFrame:
     """Add per-row counts over the frame (us - w, us] within `keys`.
 
     count_col: output name for the row count (None to skip).
@@ -40,6 +55,8 @@ def sliding_counts(df: DataFrame, keys: list[str], us_col: str, secs: float,
     All input columns are carried through; project before calling.
     """
     distinct = distinct or {}
+    if bucket_secs is None:
+        bucket_secs = choose_bucket_secs(df, keys, us_col, secs)
     w = int(round(secs * 1_000_000))
     bsize = int(max(bucket_secs, secs) * 1_000_000)
     us = F.col(us_col)
@@ -92,7 +109,7 @@ def sliding_counts(df: DataFrame, keys: list[str], us_col: str, secs: float,
 
 
 def row_blocks(df: DataFrame, keys: list[str], us_col: str, order_cols: list[str], carry: int,
-               bucket_secs: float = 3600.0, block_rows: int = 1_000_000) -> DataFrame:
+               bucket_secs: float | None = None, block_rows: int = 1_000_000) -> DataFrame:
     """Prepare row-ordered windows (lag, last-n rows) that stay exact when one
     key holds a large share of the rows.
 
@@ -107,6 +124,8 @@ def row_blocks(df: DataFrame, keys: list[str], us_col: str, order_cols: list[str
     """
     if carry >= block_rows:
         raise ValueError("carry must be smaller than block_rows")
+    if bucket_secs is None:
+        bucket_secs = choose_bucket_secs(df, keys, us_col, 1.0)
     bsize = int(bucket_secs * 1_000_000)
     x = df.withColumn("_tb", F.expr(f"`{us_col}` div {bsize}"))
     kcols = [F.col(k) for k in keys]

@@ -38,3 +38,13 @@ def test_verdict_with_small_buckets(spark):
                  "behavioral_attack", r6(F.col("behavioral_confidence")).alias("behavioral_confidence"),
                  "behavioral_reason")
     assert compare(v, duck(SF01), ORACLE["behavioral_verdict"]) is None
+
+
+def test_bucket_shrinks_for_a_burst(spark):
+    from flowsight.operators.sliding import choose_bucket_secs
+    # 50,000 flows of one source within ten minutes, target 1,000 rows per bucket
+    burst = spark.range(50_000).select(F.lit("9.9.9.9").alias("src_ip"),
+                                       (F.lit(1_704_067_200_000_000) + F.col("id") * 12_000).alias("us"))
+    b = choose_bucket_secs(burst, ["src_ip"], "us", 30, target_rows=1_000)
+    assert 30 <= b < 3600 and b == max(30.0, 3600 * 1_000 / 50_000)
+    assert choose_bucket_secs(burst, ["src_ip"], "us", 30, target_rows=100_000) == 3600
