@@ -204,11 +204,13 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6,
-             checkpoint_every: int = 5, fixed_iter: int | None = None) -> DataFrame:
+             checkpoint_every: int = 2, fixed_iter: int | None = None) -> DataFrame:
     """K3: PageRank on distinct directed edges with uniform teleport and dangling
     mass spread uniformly.  Stops when the L1 change is below n x tol (or after
     exactly `fixed_iter` iterations).  Ranks are checkpointed to the session's
-    reliable checkpoint directory every few iterations."""
+    reliable checkpoint directory every `checkpoint_every` iterations; each
+    iteration reads the previous ranks twice (dangling mass and contributions),
+    so the interval also bounds the plan's growth (2^interval)."""
     e = edges.select("src", "dst").distinct()
     nodes = endpoints(e).cache()
     n = nodes.count()
