@@ -37,7 +37,7 @@ def class_weight_column(df: DataFrame, label: str, out: str = "weight") -> DataF
     return df.join(F.broadcast(w), label)  # one row per class
 
 
-def estimator(kind: str, weight: str | None, seed: int = 42):
+def estimator(kind: str, weight: str | None, seed: int = 42, rounds: int = 300):
     w = {"weightCol": weight} if weight else {}
     if kind == "random_forest":       # J7: 200 trees, depth 15, min leaf 2
         # bounded per-pass node statistics (more passes, less executor memory)
@@ -45,7 +45,7 @@ def estimator(kind: str, weight: str | None, seed: int = 42):
                                       minInstancesPerNode=2, seed=seed, maxMemoryInMB=64, cacheNodeIds=True,
                                       checkpointInterval=10, **w)
     if kind == "gbt_ovr":              # J6: boosted trees, one binary model per class
-        gbt = GBTClassifier(maxDepth=8, maxIter=300, stepSize=0.1, subsamplingRate=0.8, seed=seed)
+        gbt = GBTClassifier(maxDepth=8, maxIter=rounds, stepSize=0.1, subsamplingRate=0.8, seed=seed)
         return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label_idx", **w)
     if kind == "logistic":
         return LogisticRegression(featuresCol="features", labelCol="label_idx", maxIter=100, **w)

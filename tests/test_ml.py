@@ -54,3 +54,16 @@ def test_optimize_weights_prefers_informative_component(spark):
         ((F.col("id") * 7919) % 13 / 13.0).alias("noise"))
     w = ml.optimize_weights(df, ["good", "noise"], "label")
     assert w["good"] > 0.9 and abs(sum(w.values()) - 1) < 1e-9
+
+
+def test_gbt_one_vs_rest_learns_separable_classes(spark):
+    from flowsight.operators import metrics as M
+    # three classes separated along one feature; a few boosting rounds suffice
+    df = spark.range(600).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 3 == 1, "B").otherwise("C").alias("Label"),
+        ((F.col("id") % 3) * 10.0 + (F.col("id") % 7) / 7.0).alias("x"), ((F.col("id") * 13) % 11 / 11.0).alias("noise"))
+    weighted = ml.class_weight_column(df, "Label")
+    model = ml.train(weighted, ["x", "noise"], "Label", "gbt_ovr", "weight", rounds=5)
+    pred = ml.evaluate(model, df, "Label")
+    acc = M.classification_metrics(M.confusion_matrix(pred, "Label", "predicted")).first()["accuracy"]
+    assert acc == 1.0
