@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import exact_dedup, mixing
+from flowsight.llm import exact_dedup, mixing, simhash, token_counts
 from flowsight.llm.common import table
 
 QUERIES: dict = {}
@@ -26,6 +26,18 @@ def held_out(modulus: int, remainder: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
 
 
+@register("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text; no SQL: the tokenizer is a library."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@register("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3-word shingles, links at 2 or fewer bits; no SQL: XXH64 is not in it."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
+
+
 @register("op7_exact_dedup", r"""
     WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                                'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
