@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import exact_dedup, mixing, simhash, token_counts
+from flowsight.llm import exact_dedup, mixing, simhash, token_counts, warc
 from flowsight.llm.common import table
 
 QUERIES: dict = {}
@@ -38,6 +38,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
 
 
+@register("op5_warc", r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    q AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+    r AS (SELECT *, strlen(h) >= 1000 AND page_id <> top AS again FROM q)
+    SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+           CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN again THEN top END AS refers_to FROM r""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op7_exact_dedup", r"""
     WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                                'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
