@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import exact_dedup, mixing, simhash, token_counts, warc
+from flowsight.llm import decontaminate, exact_dedup, licenses, mixing, simhash, token_counts, warc
 from flowsight.llm.common import table
 
 QUERIES: dict = {}
@@ -62,6 +62,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@register("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in any document; no SQL: banded alignment."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op9_licenses")
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences of every document; no SQL: the canonical form is a program."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @register("op10_mixing", r"""
     WITH RECURSIVE d AS (
       SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h,
