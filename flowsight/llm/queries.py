@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import decontaminate, exact_dedup, licenses, mixing, simhash, token_counts, warc
+from flowsight.llm import decontaminate, exact_dedup, licenses, lm_score, mixing, simhash, token_counts, toxicity, warc
 from flowsight.llm.common import table
 
 QUERIES: dict = {}
@@ -38,6 +38,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
 
 
+@register("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labels whose crc32 mod 3 is not 1; no SQL: a trained model."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(3, 1))
+    scored = toxicity.score(docs, model, threshold=0.7)
+    return scored.select("doc_id", F.coalesce(held_out(3, 1), F.lit(False)).alias("held_out"), "score", "predicted",
+                         F.size("spans").alias("n_spans"))
+
+
 @register("op5_warc", r"""
     WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
     q AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS top FROM p),
@@ -50,6 +60,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@register("op6_lm_score")
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held out: crc32 mod 10 is 0; no SQL: quantised counts behind hash probes."""
+    return lm_score.score(table(spark, sf_dir, "documents"), held_out(10, 0))
+
+
 @register("op7_exact_dedup", r"""
     WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                                'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
