@@ -38,6 +38,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 STRIP = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 ENDS = (".", "!", "?", ".\"", "!\"", "?\"")
 CACHE_WORDS = 500_000
+#: Marginal from which a token counts in a document's score.
+SUSPECT = 0.25
 #: Characters scored at a time.
 SLICE = 1 << 21
 SPAN_TYPE = "array<struct<start: long, stop: long, marginal: double>>"
@@ -204,11 +206,13 @@ class Tagger:
 
     @staticmethod
     def figures(p: np.ndarray) -> list[float]:
-        """Inputs of the document score: constant, expected toxic tokens, their
+        """Inputs of the document score: constant, expected toxic tokens among the
+        suspect ones (the many near-zero marginals of a long text say nothing), their
         share, and the most certain token."""
         if not len(p):
             return [1.0, 0.0, 0.0, 0.0]
-        return [1.0, float(np.log1p(p.sum())), float(np.sqrt(p.mean())), float(p.max())]
+        some = p[p >= SUSPECT].sum()
+        return [1.0, float(np.log1p(some)), float(np.sqrt(some / len(p))), float(p.max())]
 
     def score(self, p: np.ndarray) -> float:
         if self.field.doc is None:
