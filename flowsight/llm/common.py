@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsight.session import ensure_checkpoint_dir, join_path
@@ -51,6 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def id_key(c: Column) -> Column:
+    """An id as a string that is never null, for plain equality joins and groups."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+
+
 def texts_of(col: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsight.llm.common import map_batches, materialise, parts_for, prepare, texts_of
+from flowsight.llm.common import id_key, map_batches, materialise, parts_for, prepare, texts_of
 
 # ---------------------------------------------------------------- binary fuse
 
@@ -109,16 +109,21 @@ def _keys(digests: pa.Array) -> np.ndarray:
 
 def digests(docs: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
     """(doc_id, digest[, ztext]): SHA-256 of the text with A-Z lowered."""
+    return _digested(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), with_text)
+
+
+def _digested(sel: DataFrame, with_text: bool = False) -> DataFrame:
+    """(carry, text) -> (carry, digest[, ztext])."""
+    carry, kind = sel.dtypes[0]
+
     def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         low = [t.lower() for t in texts_of(b.column(1))]
         cols = [b.column(0), pa.array([hashlib.sha256(t).digest() for t in low], pa.binary())]
         if with_text:
             z = zstandard.ZstdCompressor(level=1)
             cols.append(pa.array([z.compress(t) for t in low], pa.binary()))
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "ztext"][:len(cols)])
-    sel = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = dict(sel.dtypes)["doc_id"]
-    return map_batches(sel, one, f"doc_id {kind}, digest binary" + ", ztext binary" * with_text)
+        yield pa.RecordBatch.from_arrays(cols, [carry, "digest", "ztext"][:len(cols)])
+    return map_batches(sel, one, f"{carry} {kind}, digest binary" + ", ztext binary" * with_text)
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
@@ -197,3 +202,16 @@ def _check_bytes(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str)
     clash = images.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").take(1)
     if clash:
         raise RuntimeError("different texts share one SHA-256 digest")
+
+
+def keep_latest(docs: DataFrame, is_new, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all their columns, that ``exact_dedup`` keeps.  Of rows
+    with one id and equal texts the one whose text sorts first stays."""
+    kept = exact_dedup(docs, is_new, id_col, text_col, **options).where("kept") \
+        .select(id_key(F.col("doc_id")).alias("id"), F.unhex("text_sha256").alias("digest"))
+    rows = _digested(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                                 F.col(text_col).cast("string").alias("text")))
+    return (rows.withColumn("id", id_key(F.col("row").getField(id_col)))
+            .join(kept, ["id", "digest"], "left_semi")
+            .groupBy("id", "digest")
+            .agg(F.min_by("row", F.coalesce(F.col("row").getField(text_col), F.lit(""))).alias("row")).select("row.*"))

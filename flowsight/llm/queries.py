@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import decontaminate, exact_dedup, licenses, lm_score, mixing, simhash, token_counts, toxicity, warc
+from flowsight.llm import (decontaminate, exact_dedup, licenses, lm_score, mixing, simhash, substring_dedup, token_counts,
+                           toxicity, warc)
 from flowsight.llm.common import table
 
 QUERIES: dict = {}
@@ -38,6 +39,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
 
 
+@register("op3_substring_dedup", r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+    s AS (SELECT doc_id, i, word, CASE WHEN i + 34 <= n THEN sha256(string_agg(word, ' ') OVER
+                 (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS h FROM x),
+    c AS (SELECT *, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS dup FROM s),
+    g AS (SELECT *, bool_or(dup) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+          FROM c),
+    a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+                 string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a ON a.doc_id = d.doc_id""")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+
+
 @register("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from labels whose crc32 mod 3 is not 1; no SQL: a trained model."""

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsight.llm.common import connected_components, map_batches, materialise, prepare, texts_of
+from flowsight.llm.common import connected_components, id_key, map_batches, materialise, prepare, texts_of
 
 N_PIVOTS = 16
 #: Hashes whose bits are counted at a time: bounds the memory of a huge text.
@@ -62,11 +62,17 @@ def fingerprint(text: bytes, shingle_words: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle_words: int = 3) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
+    return _printed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), shingle_words)
+
+
+def _printed(sel: DataFrame, shingle_words: int) -> DataFrame:
+    """(carry, text) -> (carry, fp)."""
+    carry, kind = sel.dtypes[0]
+
     def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fp = np.array([fingerprint(t, shingle_words) for t in texts_of(b.column(1))], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
-    sel = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(sel, one, f"doc_id {dict(sel.dtypes)['doc_id']}, fp long")
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [carry, "fp"])
+    return map_batches(sel, one, f"{carry} {kind}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -135,21 +141,43 @@ def links(table: DataFrame, max_bits: int, bucket_cap: int = 256) -> DataFrame:
     return pairs.unionByName(_crowded_links(keyed.join(crowd, "key", "left_semi"), max_bits))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
-                    max_bits: int = 2, bucket_cap: int = 256) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 lower-case hex digits), component_id
-    (smallest id reachable over links, its own included) and group_size."""
+def groups(rows: DataFrame, max_bits: int, bucket_cap: int = 256) -> DataFrame:
+    """rows(doc_id, fp) -> one row per fingerprint: fp, component_id (smallest id of
+    its component), group_size and keep_fp, the least fingerprint that has that id."""
     if max_bits not in (0, 2, 4):
         raise ValueError("max_bits must be 0, 2 or 4")
-    prepare(docs.sparkSession)
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle_words), "simhash-rows")
     uniq = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     table = materialise(pivot_table(uniq, max_bits), "simhash-pivots")
     roots = connected_components(links(table, max_bits, bucket_cap))
     members = materialise(
         table.select("fp", "first", "n").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
         .withColumn("root", F.coalesce("root", "fp")), "simhash-members")
-    label = members.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size"))
-    named = members.join(label, "root").select("fp", "component_id", "group_size")
-    return rows.join(named, "fp").select(
+    top = F.min(F.struct(F.col("first").isNull(), F.col("first").alias("id"), F.col("fp").alias("fp")))
+    label = members.groupBy("root").agg(top.alias("top"), F.sum("n").alias("group_size"))
+    return members.join(label, "root").select("fp", F.col("top.id").alias("component_id"), "group_size",
+                                              F.col("top.fp").alias("keep_fp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
+                    max_bits: int = 2, bucket_cap: int = 256) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 lower-case hex digits), component_id
+    (smallest id reachable over links, its own included) and group_size."""
+    prepare(docs.sparkSession)
+    rows = materialise(fingerprints(docs, id_col, text_col, shingle_words), "simhash-rows")
+    return rows.join(groups(rows, max_bits, bucket_cap), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
+             max_bits: int = 2, bucket_cap: int = 256) -> DataFrame:
+    """The rows of ``docs``, all their columns, with the smallest id of their
+    component (a null id only where it has no other); of rows with that id the one
+    with the least fingerprint and then the first text stays."""
+    prepare(docs.sparkSession)
+    rows = materialise(_printed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                                            F.col(text_col).cast("string").alias("text")), shingle_words), "simhash-docs")
+    named = groups(rows.select(F.col("row").getField(id_col).alias("doc_id"), "fp"), max_bits, bucket_cap)
+    keep = named.where("fp = keep_fp").select(id_key(F.col("component_id")).alias("id"), "fp")
+    return (rows.withColumn("id", id_key(F.col("row").getField(id_col))).join(keep, ["id", "fp"], "left_semi")
+            .groupBy("id", "fp")
+            .agg(F.min_by("row", F.coalesce(F.col("row").getField(text_col), F.lit(""))).alias("row")).select("row.*"))

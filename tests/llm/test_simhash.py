@@ -52,7 +52,11 @@ def test_awkward_and_empty(spark, awkward, empty):
     low = components(fps)
     got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in sh.near_duplicates(awkward).collect())
     assert got == Counter((i, f"{f:016x}", low[f]) for i, f in fps)
-    assert sh.near_duplicates(empty).count() == 0
+    assert sh.near_duplicates(empty).count() == 0 and sh.keep_one(empty).count() == 0
+    kept = sh.keep_one(awkward)
+    assert kept.columns == awkward.columns
+    tops = {low[f] for _, f in fps}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(tops)
 
 
 @pytest.mark.parametrize("cap", [256, 3, 1])
