@@ -119,10 +119,13 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
                                          ["doc_id", "whole", "lines"])
     rows = materialise(map_batches(sel, one, f"doc_id {kind}, whole binary, lines array<binary>"), "licence-rows")
     # rows with the same lines share their result: no row identity is needed
-    per_line = (rows.where(F.size("lines") > 0).select("lines").distinct()
+    some = rows.where(F.size("lines") > 0)
+    per_line = (some.select("lines").distinct()
                 .select("lines", F.explode("lines").alias("digest")).join(known_d, "digest")
                 .groupBy("lines").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("licences")))).alias("line_licences")))
-    return (rows.join(per_line, "lines", "left")
+    lined = some.join(per_line, "lines", "left").select("doc_id", "whole", "line_licences") \
+        .unionByName(rows.where(F.size("lines") == 0).select("doc_id", "whole", F.lit(None).cast("array<string>").alias("line_licences")))
+    return (lined
             .join(known_d.select(F.col("digest").alias("whole"), "licences"), "whole", "left")
             .select("doc_id", F.lower(F.hex("whole")).alias("canonical_sha256"), "licences",
                     F.coalesce("line_licences", F.array().cast("array<string>")).alias("line_licences")))

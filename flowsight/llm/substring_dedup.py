@@ -14,10 +14,10 @@ the wavelet matrix gives every window's number of places, and windows with two o
 more are marked.  Words are compared as such; hashes only decide what meets.
 
 A shard holds about ``shard_segments`` segments.  Anchors that stand in more
-segments than that (a line in a third of all texts) never reach a shard: their
-segments are cut into single windows, which are counted by a 256-bit digest of their
-words (partial sums before the shuffle).  Texts with the same words are sent once,
-with their number as a weight.
+segments than that (a line in a third of all texts) never reach a shard: equal
+segments become one row with a weight (partial sums before the shuffle), and the
+windows of distinct segments are counted by a 256-bit digest of their words.  Texts
+with the same words are sent once, with their number as a weight.
 
 Cases: null and empty texts have no words; fewer words than a window lose nothing;
 repeated rows are copies of each other like any texts; an empty table gives no rows;
@@ -164,8 +164,9 @@ def _prepared(group: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.nda
 # --------------------------------------------------------------- text passes
 
 def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(row, k1, k2, hashes, places): one row per text with a whole window; places
-    are its anchors' word positions.  Written before use, so that ``row`` is fixed."""
+    """(row, k1, k2, hashes, places): one row per text with a whole window; its
+    anchors' hashes, each once, with the word positions where it stands.  Written before
+    use, so that ``row`` is fixed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for b in batches:
@@ -177,18 +178,22 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 own = np.searchsorted(begin, first, side="right") - 1 if len(first) else first
                 while len(own) and (n[own] == 0).any():
                     own = np.where(n[own] == 0, own - 1, own)
-                count = np.bincount(own, minlength=len(n))
-                have = np.flatnonzero(count)
-                keys = [_key(group[i]) for i in have]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(count[have])]), pa.int32())
+                place = at - begin[own] if len(own) else at
+                order = np.lexsort((place, hashes, own))
+                own, hashes, place = own[order], hashes[order], place[order]
+                head = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(hashes) != 0)])[:len(own)])
+                inner = pa.array(np.append(head, len(own)), pa.int32())
+                have, count = np.unique(own[head], return_counts=True)
+                outer = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+                keys = [_key(group[i]) for i in have.tolist()]
+                places = pa.ListArray.from_arrays(inner, pa.array(place, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + len(have))), pa.array([k[0] for k in keys], pa.int64()),
                      pa.array([k[1] for k in keys], pa.int64()),
-                     pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64))),
-                     pa.ListArray.from_arrays(offsets, pa.array(at - begin[own], pa.int64()))],
-                    ["row", "k1", "k2", "hashes", "places"])
+                     pa.ListArray.from_arrays(outer, pa.array(hashes[head].view(np.int64))),
+                     pa.ListArray.from_arrays(outer, places)], ["row", "k1", "k2", "hashes", "places"])
                 row += len(have)
-    return docs.select("text").mapInArrow(run, "row long, k1 long, k2 long, hashes array<long>, places array<long>")
+    return docs.select("text").mapInArrow(run, "row long, k1 long, k2 long, hashes array<long>, places array<array<long>>")
 
 
 def _keyed(docs: DataFrame, kind: str) -> DataFrame:
@@ -209,27 +214,32 @@ def _suspects(anchors: DataFrame, crowd: int) -> DataFrame:
     the corpus; hot ones in more than ``crowd``."""
     each = anchors.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("a")) \
         .select("row", F.col("a.hashes").alias("h"), F.col("a.places").alias("p"))
-    seen = anchors.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    seen = each.groupBy("h").agg(F.sum(F.size("p")).alias("c")).where("c > 1")
     per_row = each.join(seen, "h").groupBy("row").agg(
-        F.collect_list(F.when(F.col("c") <= crowd, F.col("p"))).alias("cold"),
-        F.collect_list(F.when(F.col("c") > crowd, F.col("p"))).alias("hot"))
+        F.flatten(F.collect_list(F.when(F.col("c") <= crowd, F.col("p")))).alias("cold"),
+        F.flatten(F.collect_list(F.when(F.col("c") > crowd, F.col("p")))).alias("hot"))
     # texts with the same words have the same anchors: any row speaks for them
     one = anchors.groupBy("k1", "k2").agg(F.min("row").alias("row"))
     return per_row.join(one, "row").select("k1", "k2", "cold", "hot")
 
 
-PACKED = "shard int, n int, k1 binary, k2 binary, first binary, copies binary, z binary"
+PACKED = ("shard int, k1 binary, k2 binary, first binary, copies binary, z binary, "
+          "hot_k1 long, hot_k2 long, hot_copies long, hot_firsts array<long>")
 
 
 def _cut(suspects: DataFrame, shards: int, window: int, gram: int) -> DataFrame:
-    """Suspect segments of distinct texts, packed by shard.  Shard -1 holds the
-    single windows of hot anchors: their digests, joined."""
+    """Suspect segments of distinct texts.  Shards from 0 on: packed by shard.  Shard
+    -1: one row per text and distinct segment with a hot anchor; ``hot_firsts`` its
+    places, ``z`` the digests of its windows, joined."""
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    kinds = [pa.int32(), *[pa.binary()] * 5, *[pa.int64()] * 3, pa.list_(pa.int64())]
+
     def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         d, c = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        names = {f.name: b.column(i) for i, f in enumerate(b.schema)}
-        k1, k2, copies = (names[x].to_numpy(zero_copy_only=False) for x in ("k1", "k2", "copies"))
-        cold, hot = names["cold"].to_pylist(), names["hot"].to_pylist()
-        texts = [d.decompress(z) for z in names["z"].to_pylist()]
+        cols = {f.name: b.column(i) for i, f in enumerate(b.schema)}
+        k1, k2, copies = (cols[x].to_numpy(zero_copy_only=False) for x in ("k1", "k2", "copies"))
+        cold, hot = cols["cold"].to_pylist(), cols["hot"].to_pylist()
+        texts = [d.decompress(z) for z in cols["z"].to_pylist()]
         for base, group in _groups(texts):
             joined, start, end, h, n = _prepared(group)
             begin = np.cumsum(n) - n
@@ -241,27 +251,26 @@ def _cut(suspects: DataFrame, shards: int, window: int, gram: int) -> DataFrame:
                                                                  for i in range(len(group)) if places[base + i]]])
                 chosen = np.isin(at, marks)
                 shard[chosen] = (_mix(hashes[chosen]) % np.uint64(shards)).astype(np.int64) if code == 0 else -1
+            out = []
             order = np.argsort(shard, kind="stable")
-            order = order[np.searchsorted(shard[order], -1):]
-            edges = np.flatnonzero(np.diff(shard[order], prepend=-9)).tolist() + [len(order)]
+            order = order[np.searchsorted(shard[order], 0):]
+            edges = [*np.flatnonzero(np.diff(shard[order], prepend=-9)).tolist(), len(order)]
             for x, y in zip(edges[:-1], edges[1:]):
-                sel, where = order[x:y], int(shard[order[x]])
-                if where == -1:
-                    size = last[sel] - first[sel] + 1
-                    at0 = np.repeat(first[sel], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    src = np.repeat(own[sel], size)
-                    body = b"".join([hashlib.sha256(joined[s:e]).digest() for s, e in
-                                     zip(start[at0].tolist(), end[at0 + window - 1].tolist())])
-                else:
-                    at0, src = first[sel], own[sel]
-                    body = c.compress(b"\n".join([joined[s:e] for s, e in
-                                                  zip(start[at0].tolist(), end[last[sel] + window - 1].tolist())]))
-                part = base + src
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([where], pa.int32()), pa.array([len(at0)], pa.int32()),
-                     *[pa.array([x.astype(np.int64).tobytes()], pa.binary())
-                       for x in (k1[part], k2[part], at0 - begin[src], copies[part])],
-                     pa.array([body], pa.binary())], [x.split()[0] for x in PACKED.split(", ")])
+                sel = order[x:y]
+                part = base + own[sel]
+                body = b"\n".join([joined[s:e] for s, e in zip(start[first[sel]].tolist(), end[last[sel] + window - 1].tolist())])
+                out.append((int(shard[sel[0]]), *[v.astype(np.int64).tobytes() for v in
+                            (k1[part], k2[part], first[sel] - begin[own[sel]], copies[part])], c.compress(body), None, None, None, None))
+            alike: dict[tuple[int, bytes], list[int]] = {}
+            for i in np.flatnonzero(shard == -1).tolist():
+                alike.setdefault((int(own[i]), joined[start[first[i]]:end[last[i] + window - 1]]), []).append(i)
+            for (text, _), sel in alike.items():
+                w = range(int(first[sel[0]]), int(last[sel[0]]) + 1)
+                z = b"".join([hashlib.sha256(joined[start[k]:end[k + window - 1]]).digest() for k in w])
+                out.append((-1, None, None, None, None, z, int(k1[base + text]), int(k2[base + text]),
+                            int(copies[base + text]), (first[sel] - begin[text]).tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names)
     return map_batches(suspects, one, PACKED)
 
 
@@ -290,38 +299,52 @@ def search_shard(texts: list[bytes], copies: np.ndarray, window: int) -> np.ndar
 
 
 def _searched(packed: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, first, mask) of the segments with repeated windows."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("mask", pa.int64())])
-
+    """(k1, k2, firsts, mask) of the segments with repeated windows."""
     def run(t: pa.Table) -> pa.Table:
         d = zstandard.ZstdDecompressor()
         texts = [s for z in t.column("z").to_pylist() for s in d.decompress(z).split(b"\n")]
         cols = {n: np.frombuffer(b"".join(t.column(n).to_pylist()), np.int64) for n in ("k1", "k2", "first", "copies")}
         mask = search_shard(texts, cols["copies"], window)
         hit = mask != 0
-        return pa.table([pa.array(cols[n][hit]) for n in ("k1", "k2", "first")] + [pa.array(mask[hit])], schema=schema)
-    return packed.where("shard >= 0").groupBy("shard").applyInArrow(run, "k1 long, k2 long, first long, mask long")
+        firsts = pa.ListArray.from_arrays(pa.array(np.arange(hit.sum() + 1), pa.int32()), pa.array(cols["first"][hit]))
+        return pa.table([pa.array(cols["k1"][hit]), pa.array(cols["k2"][hit]), firsts, pa.array(mask[hit])],
+                        names=["k1", "k2", "firsts", "mask"])
+    return packed.where("shard >= 0").select("shard", "k1", "k2", "first", "copies", "z").groupBy("shard") \
+        .applyInArrow(run, "k1 long, k2 long, firsts array<long>, mask long")
+
+
+def _hot_segments(packed: DataFrame) -> DataFrame:
+    """(k1, k2, firsts, mask) of the segments with hot anchors.  Equal segments are one
+    row with a weight before their windows are counted, and a segment that repeats as a
+    whole has all its windows repeated; only the windows of the others are looked up."""
+    hot = packed.where("shard = -1").select(F.col("hot_k1").alias("k1"), F.col("hot_k2").alias("k2"),
+                                            F.col("hot_firsts").alias("firsts"), "z",
+                                            (F.size("hot_firsts") * F.col("hot_copies")).alias("c"))
+    distinct = hot.groupBy("z").agg(F.sum("c").alias("c"))
 
-
-def _hot_windows(packed: DataFrame) -> DataFrame:
-    """(k1, k2, first, mask = 1) of the repeated windows with hot anchors."""
     def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cols = {f.name: b.column(i).to_pylist() for i, f in enumerate(b.schema)}
-        for i in range(b.num_rows):
-            digests = cols["z"][i]
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(np.frombuffer(cols[n][i], np.int64)) for n in ("k1", "k2", "first", "copies")],
-                 pa.array([digests[j:j + 32] for j in range(0, len(digests), 32)], pa.binary())],
-                ["k1", "k2", "first", "copies", "w"])
-    w = map_batches(packed.where("shard = -1"), one, "k1 long, k2 long, first long, copies long, w binary")
-    often = w.groupBy("w").agg(F.sum("copies").alias("c")).where("c > 1").select("w")
-    return w.join(often, "w").select("k1", "k2", "first", F.lit(1).cast("long").alias("mask"))
-
-
-def _covered(n: int, marks: list[tuple[int, int]], window: int) -> np.ndarray:
+        z, c = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+        n = [len(x) // 32 for x in z]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[j:j + 32] for x in z for j in range(0, len(x), 32)], pa.binary()), pa.array(np.repeat(c, n)),
+             pa.array([s for x, k in zip(z, n) for s in [hashlib.sha256(x).digest()] * k], pa.binary()),
+             pa.array([j for k in n for j in range(k)], pa.int32())], ["w", "c", "s", "i"])
+    windows = map_batches(distinct, one, "w binary, c long, s binary, i int")
+    often = windows.groupBy("w").agg(F.sum("c").alias("n")).where("n > 1").select("w")
+    partly = windows.where("c = 1").join(often, "w").groupBy("s").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("mask"))
+    size = (F.length("z") / 32).cast("int")
+    whole = distinct.where("c > 1").select(
+        F.unhex(F.sha2("z", 256)).alias("s"),
+        (F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1).alias("mask"))
+    return hot.withColumn("s", F.unhex(F.sha2("z", 256))).join(partly.unionByName(whole), "s") \
+        .select("k1", "k2", "firsts", "mask")
+
+
+def _covered(n: int, marks: list[dict], window: int) -> np.ndarray:
     """True for the words covered by marked windows."""
-    first = np.array([m[0] for m in marks], np.int64)
-    mask = np.array([m[1] for m in marks], np.int64)
+    first = np.array([f for m in marks for f in m["firsts"]], np.int64)
+    mask = np.repeat(np.array([m["mask"] for m in marks], np.int64), [len(m["firsts"]) for m in marks])
     change = np.zeros(n + 1, np.int64)
     for bit in range(int(mask.max()).bit_length()):
         s = first[(mask >> bit) & 1 == 1] + bit
@@ -334,11 +357,10 @@ def _kept(joined: DataFrame, window: int, kind: str, with_text: bool) -> DataFra
     def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
         removed, digest, kept_text = [], [], []
-        firsts, masks = b.column(3).to_pylist(), b.column(4).to_pylist()
-        for n, z, f, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), firsts, masks):
+        for n, z, marks in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
             text, gone = d.decompress(z), 0
-            if f:
-                out = _covered(n, list(zip(f, m)), window)
+            if marks:
+                out = _covered(n, marks, window)
                 gone = int(out.sum())
                 text = b" ".join([w for w, x in zip(text.split(), out.tolist()) if not x])
             removed.append(gone)
@@ -349,7 +371,7 @@ def _kept(joined: DataFrame, window: int, kind: str, with_text: bool) -> DataFra
         if with_text:
             cols.append(pa.array(kept_text, pa.string()))
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][:len(cols)])
-    return map_batches(joined.select("doc_id", "n_words", "z", "firsts", "masks"), one,
+    return map_batches(joined.select("doc_id", "n_words", "z", "marks"), one,
                        f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
@@ -366,6 +388,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(src, kind)
     distinct = keyed.groupBy("k1", "k2").agg(F.first("z").alias("z"), F.count("*").alias("copies"))
     packed = materialise(_cut(distinct.join(suspects, ["k1", "k2"]), shards, window, gram), "segments")
-    marks = _searched(packed, window).unionByName(_hot_windows(packed))
-    per_key = marks.groupBy("k1", "k2").agg(F.collect_list("first").alias("firsts"), F.collect_list("mask").alias("masks"))
+    marks = _searched(packed, window).unionByName(_hot_segments(packed))
+    per_key = marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("firsts", "mask")).alias("marks"))
     return _kept(keyed.join(per_key, ["k1", "k2"], "left"), window, kind, with_text)
