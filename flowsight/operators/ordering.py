@@ -1,46 +1,51 @@
 """Global ordering helpers that never pull a whole table into one task.
 
-`global_row_number` numbers rows by a numeric key across the whole table:
-quantile split points (a bounded list on the driver) cut the key range into
-buckets of about `rows_per_bucket` rows, rows are numbered inside their bucket
-(one shuffle by bucket), and each bucket gets the row count of all earlier
-buckets as offset (a table with one row per bucket, broadcast).
+Rows are range-partitioned by the sort keys themselves (any orderable type),
+sorted inside the partitions and checkpointed, so that a row's partition and place
+in it stay fixed; the partitions' row counts (one row per partition) give each its
+offset.  The number of partitions follows the row count.
 """
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: monotonically_increasing_id keeps the place inside a partition in these bits.
+_PLACE_BITS = 33
 
-def global_row_number(df: DataFrame, key: str, ascending: bool = True, out: str = "rn",
-                      tiebreak: str | None = None, rows_per_bucket: int = 2_000_000,
-                      max_buckets: int = 100_000) -> tuple[DataFrame, int]:
-    """Return (df with `out` = 1-based position in key order, total row count)."""
+
+def _columns(cols) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in cols]
+
+
+def placed(df: DataFrame, order: list, rows_per_bucket: int = 2_000_000) -> tuple[DataFrame, int]:
+    """(df in range partitions with `_pid` and the 0-based `_place` in it, row count)."""
     n = df.count()
-    k = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
-    sk = "_sortkey"
-    x = df.withColumn(sk, (F.col(key) if ascending else -F.col(key)).cast("double"))
-    if k > 1:
-        probs = [i / k for i in range(1, k)]
-        cuts = sorted(set(x.approxQuantile(sk, probs, 1.0 / (8 * k))))
-        splits = [-math.inf] + cuts + [math.inf]
-        x = Bucketizer(splits=splits, inputCol=sk, outputCol="_bkt").transform(x)
-        x = x.withColumn("_bkt", F.col("_bkt").cast("int"))
-    else:
-        x = x.withColumn("_bkt", F.lit(0))
-    sizes = x.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per bucket: a global window over it is tiny and bounded by k
-    offsets = sizes.select("_bkt", (F.sum("_cnt").over(Window.orderBy("_bkt")) - F.col("_cnt")).alias("_off"))
-    order = [F.col(sk)] + ([F.col(tiebreak).asc() if ascending else F.col(tiebreak).desc()] if tiebreak else [])
-    w = Window.partitionBy("_bkt").orderBy(*order)
-    x = (x.withColumn("_local", F.row_number().over(w))
-          .join(F.broadcast(offsets), "_bkt")
-          .withColumn(out, F.col("_off") + F.col("_local"))
-          .drop("_bkt", "_off", "_local", sk))
-    return x, n
+    k = max(1, -(-n // rows_per_bucket))
+    cols = _columns(order)
+    x = df.repartitionByRange(k, *cols).sortWithinPartitions(*cols)
+    mid = F.monotonically_increasing_id()
+    x = x.withColumn("_mid", mid).checkpoint()
+    return (x.withColumn("_pid", F.shiftright("_mid", _PLACE_BITS))
+             .withColumn("_place", F.col("_mid").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))).drop("_mid")), n
+
+
+def number_rows(df: DataFrame, order: list, out: str, rows_per_bucket: int = 2_000_000) -> tuple[DataFrame, int]:
+    """df with `out` = 0-based position in the order of all rows, and their number."""
+    x, n = placed(df, order, rows_per_bucket)
+    sizes = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    # a global window over one row per partition
+    offs = sizes.select("_pid", (F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt")).alias("_off"))
+    x = x.join(offs, "_pid").withColumn(out, F.col("_off") + F.col("_place"))
+    return x.drop("_pid", "_place", "_off"), n
+
+
+def global_row_number(df: DataFrame, key: str, ascending: bool = True, out: str = "rn",
+                      tiebreak: str | None = None, rows_per_bucket: int = 2_000_000) -> tuple[DataFrame, int]:
+    """(df with `out` = 1-based position in key order, total row count)."""
+    order = [F.col(c).asc() if ascending else F.col(c).desc() for c in (key, tiebreak) if c]
+    x, n = number_rows(df, order, out, rows_per_bucket)
+    return x.withColumn(out, F.col(out) + 1), n
 
 
 HASH_SPACE = 1 << 32
@@ -53,43 +58,29 @@ def hash32(*cols, seed: int = 42):
 
 
 def rank_within(df: DataFrame, part: list[str], h: str, tiebreak: str, out: str = "rank",
-                buckets: int = 64) -> DataFrame:
-    """0-based rank of each row inside `part` ordered by (h, tiebreak), where h
-    is a uniform hash in [0, 2^32).  Equal-width hash buckets split every group
-    (a hot class too) into `buckets` pieces; the row counts of earlier pieces
-    (a table of |groups| x buckets rows) give each piece its offset."""
-    width = HASH_SPACE // buckets
-    x = df.withColumn("_hb", (F.col(h) / F.lit(width)).cast("int"))
-    sizes = x.groupBy(*part, "_hb").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.select(*part, "_hb", (F.sum("_n").over(
-        Window.partitionBy(*part).orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-        .alias("_off"))
-    w = Window.partitionBy(*part, "_hb").orderBy(h, tiebreak)
-    return (x.withColumn("_lr", F.row_number().over(w)).join(offs, part + ["_hb"])
-             .withColumn(out, F.col("_off") + F.col("_lr") - 1).drop("_hb", "_lr", "_off"))
+                rows_per_bucket: int = 2_000_000) -> DataFrame:
+    """0-based rank of each row inside `part` ordered by (h, tiebreak): the position in
+    the order of (part, h, tiebreak) less the group's first one.  A hot group spreads
+    over as many range partitions as its rows need."""
+    x, _ = number_rows(df, [*part, h, tiebreak], "_pos", rows_per_bucket)
+    keys = [f"_g{i}" for i in range(len(part))]
+    first = x.groupBy(*[F.col(p).alias(k) for p, k in zip(part, keys)]).agg(F.min("_pos").alias("_first"))
+    same = [F.col(p).eqNullSafe(F.col(k)) for p, k in zip(part, keys)]
+    return x.join(first, same).withColumn(out, F.col("_pos") - F.col("_first")).drop("_pos", "_first", *keys)
 
 
 def global_cumsum(df: DataFrame, key: str, cols: list[str], rows_per_bucket: int = 2_000_000,
                   suffix: str = "_cum", part: list[str] = ()) -> DataFrame:
-    """Inclusive running sums of `cols` in ascending order of the numeric `key`
-    (unique inside each `part` group), over the whole table: quantile buckets of
-    the key, per-(part, bucket) totals turned into offsets (a table with one row
-    per part and bucket), and running sums inside each (part, bucket)."""
+    """Inclusive running sums of `cols` in ascending order of `key` (unique inside each
+    `part` group) over the whole table: per-(part, partition) totals become offsets
+    (a group meets few range partitions), running sums inside each."""
     part = list(part)
-    n = df.count()
-    k = max(1, math.ceil(n / rows_per_bucket))
-    x = df.withColumn("_sk", F.col(key).cast("double"))
-    if k > 1:
-        cuts = sorted(set(x.approxQuantile("_sk", [i / k for i in range(1, k)], 1.0 / (8 * k))))
-        x = Bucketizer(splits=[-math.inf] + cuts + [math.inf], inputCol="_sk", outputCol="_bkt").transform(x)
-        x = x.withColumn("_bkt", F.col("_bkt").cast("int"))
-    else:
-        x = x.withColumn("_bkt", F.lit(0))
-    tot = x.groupBy(*part, "_bkt").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
-    ow = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*part, "_bkt", *[F.coalesce(F.sum(f"_t{i}").over(ow), F.lit(0)).alias(f"_o{i}")
+    x, _ = placed(df, [*part, key], rows_per_bucket)
+    tot = x.groupBy(*part, "_pid").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
+    ow = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*part, "_pid", *[F.coalesce(F.sum(f"_t{i}").over(ow), F.lit(0)).alias(f"_o{i}")
                                        for i in range(len(cols))])
-    w = Window.partitionBy(*part, "_bkt").orderBy("_sk").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.join(F.broadcast(offs) if not part else offs, part + ["_bkt"])
+    w = Window.partitionBy(*part, "_pid").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(offs, part + ["_pid"])
     return x.select(*[F.col(c) for c in df.columns],
                     *[(F.col(f"_o{i}") + F.sum(c).over(w)).alias(c + suffix) for i, c in enumerate(cols)])
