@@ -1,16 +1,20 @@
 """Exact k-nearest neighbours (C10) and SMOTE oversampling.
 
-No cross join and no all-pairs within a group: points are assigned to the
-nearest of c pivots (cells); each point's k-th neighbour distance is first
-bounded inside its own cell chunk; the triangle inequality
-(|x - p_j| - radius_j <= bound) then selects every cell that can still hold a
-closer point; distances are computed with numpy inside groups of at most
-`chunk` members x `chunk` queries, and a per-point top-k merges the candidates.
-The result equals brute force (ties broken by neighbour id).
+No cross join and no all-pairs within a group: points are assigned to the nearest of
+about sqrt(n) pivots (cells, cut in pieces of at most `chunk` members); each point's
+k-th neighbour distance is first bounded inside its own piece; the triangle
+inequality (|x - p_j| - radius_j <= bound) then selects every cell that can still
+hold a closer point.  A piece's members are sent once; the queries that visit it
+stream past them in blocks of BLOCK rows, whose distances are one matrix product
+(|q|^2 + |x|^2 - 2 q.x), and the near ones are measured again exactly.  A task holds
+one piece and one block: chunk x BLOCK doubles.  The result equals brute force (ties
+broken by neighbour id).  Where the triangle inequality prunes little (many
+dimensions) every query visits most pieces: that is the cost of exactness.
 """
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,119 +25,144 @@ from pyspark.sql import types as T
 from flowsight.operators.ordering import HASH_SPACE, hash32
 
 PAIR_SCHEMA = "qid long, nid long, dist double"
-
-
-def _topk_group(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf["_role"] == 1]
-        m = pdf[pdf["_role"] == 0]
-        if q.empty or m.empty:
-            return pd.DataFrame({"qid": [], "nid": [], "dist": []})
-        Q = np.asarray(q["vec"].tolist(), dtype=float)
-        X = np.asarray(m["vec"].tolist(), dtype=float)
-        qid = q["id"].to_numpy()
-        nid = m["id"].to_numpy()
-        d = np.sqrt(np.maximum(((Q[:, None, :] - X[None, :, :]) ** 2).sum(axis=2), 0.0))
-        d[qid[:, None] == nid[None, :]] = np.inf          # no self edges
-        kk = min(k, X.shape[0])
-        # order by (distance, neighbour id)
-        order = np.lexsort((np.broadcast_to(nid, d.shape), d), axis=1)[:, :kk]
-        rows = np.repeat(np.arange(len(qid)), kk)
-        cols = order.reshape(-1)
-        dist = d[rows, cols]
-        keep = np.isfinite(dist)
-        return pd.DataFrame({"qid": qid[rows][keep], "nid": nid[cols][keep], "dist": dist[keep]})
+BLOCK = 1024
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.asarray(column.tolist(), dtype=float).reshape(len(column), -1)
+
+
+def _squares(q: np.ndarray, x: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    return np.maximum((q * q).sum(axis=1)[:, None] + x2[None, :] - 2.0 * (q @ x.T), 0.0)
+
+
+class Nearest:
+    """k nearest members of one piece."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        order = np.argsort(ids, kind="stable")   # candidates come out in id order
+        self.ids, self.x, self.k = ids[order], x[order], k
+        self.x2 = (self.x * self.x).sum(axis=1)
+
+    def pairs(self, qid: np.ndarray, q: np.ndarray, bound: np.ndarray) -> pd.DataFrame:
+        """Up to k nearest other members of each query within its bound."""
+        found = [pd.DataFrame({"qid": np.zeros(0, np.int64), "nid": np.zeros(0, np.int64), "dist": np.zeros(0)})]
+        for a in range(0, len(qid), BLOCK):
+            i, v, b = qid[a:a + BLOCK], q[a:a + BLOCK], bound[a:a + BLOCK]
+            d2 = _squares(v, self.x, self.x2)
+            d2[i[:, None] == self.ids[None, :]] = np.inf          # no self edges
+            # rounding of the product form: a margin of its size, exact distances after
+            margin = 1e-9 * ((v * v).sum(axis=1) + (self.x2.max() if len(self.x2) else 0.0)) + 1e-12
+            top = np.partition(d2, min(self.k, d2.shape[1]) - 1, axis=1)[:, min(self.k, d2.shape[1]) - 1]
+            near = d2 <= (np.minimum(top, b * b) + margin)[:, None]
+            r, c = np.nonzero(near & np.isfinite(d2))
+            dist = np.sqrt(((v[r] - self.x[c]) ** 2).sum(axis=1))
+            order = np.lexsort((self.ids[c], dist, r))
+            r, c, dist = r[order], c[order], dist[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            keep = place < self.k
+            found.append(pd.DataFrame({"qid": i[r[keep]], "nid": self.ids[c[keep]], "dist": dist[keep]}))
+        return pd.concat(found)
+
+
+def _visit(k: int):
+    """Rows sorted by (group, role): a group's members, then its queries."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, members, index = None, [], None
+        for pdf in batches:
+            runs = (pdf["_g"] != pdf["_g"].shift()) | (pdf["_role"] != pdf["_role"].shift())
+            for _, part in pdf.groupby(runs.cumsum(), sort=False):
+                g, role = part["_g"].iloc[0], part["_role"].iloc[0]
+                if g != group:
+                    group, members, index = g, [], None
+                if role == 0:
+                    members.append(part)
+                    continue
+                if not members:
+                    continue
+                if index is None:
+                    m = pd.concat(members)
+                    index = Nearest(m["id"].to_numpy(), _matrix(m["vec"]), k)
+                yield index.pairs(part["id"].to_numpy(), _matrix(part["vec"]), part["bound"].to_numpy(dtype=float))
     return run
 
 
 def knn_edges(df: DataFrame, vec: str = "vec", key: str = "id", k: int = 5, part: list[str] = (),
-              cell_rows: int = 1000, chunk: int = 2000, seed: int = 42) -> DataFrame:
+              cell_rows: int | None = None, chunk: int = 2000, seed: int = 42) -> DataFrame:
     """(src, dst, dist, rank) for the k nearest other rows of every row
-    (Euclidean), optionally only within groups `part` (e.g. a class)."""
+    (Euclidean), optionally only within groups `part` (e.g. a class).  `cell_rows` is
+    the mean size of a cell (by default the square root of the row count)."""
     part = list(part)
     spark = df.sparkSession
-    x = df.select(*part, F.col(key).cast("long").alias("id"),
-                  F.col(vec).cast("array<double>").alias("vec")).cache()
+    x = df.select(*part, F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
     n = x.count()
-    c = max(1, min(4096, math.ceil(n / cell_rows)))
+    c = max(1, math.ceil(n / (cell_rows or max(1, math.isqrt(n)))))
     piv = x.withColumn("_h", hash32("id", seed=seed)).orderBy("_h", "id").limit(c).select("vec").collect()
-    P = np.asarray([r["vec"] for r in piv], dtype=float)       # bounded: c x d
-    bp = spark.sparkContext.broadcast(P)
+    bp = spark.sparkContext.broadcast(np.asarray([r["vec"] for r in piv], dtype=float))   # about sqrt(n) x d
 
     def assign(batches):
-        P = bp.value
+        pivots = bp.value
+        p2 = (pivots * pivots).sum(axis=1)
         for pdf in batches:
-            X = np.asarray(pdf["vec"].tolist(), dtype=float)
-            D = np.sqrt(((X[:, None, :] - P[None, :, :]) ** 2).sum(axis=2))
-            pdf["cell"] = D.argmin(axis=1).astype("int64")
-            pdf["pdist"] = D.min(axis=1)
+            v = _matrix(pdf["vec"])
+            cell = np.concatenate([_squares(v[a:a + BLOCK], pivots, p2).argmin(axis=1) for a in range(0, len(v), BLOCK)])
+            pdf["cell"] = cell.astype("int64")
+            pdf["pdist"] = np.sqrt(((v - pivots[cell]) ** 2).sum(axis=1))
             yield pdf
 
-    sch = T.StructType(list(x.schema.fields) + [T.StructField("cell", T.LongType()),
-                                                 T.StructField("pdist", T.DoubleType())])
-    cells = x.mapInPandas(assign, sch)
-    # chunking of large cells: members of a cell are split into ceil(size / chunk) pieces
-    sizes = cells.groupBy(*part, "cell").agg(F.count(F.lit(1)).alias("_n"),
-                                             F.max("pdist").alias("_r"))
-    sizes = sizes.withColumn("_pieces", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk))).cast("long"))
-    cells = cells.join(F.broadcast(sizes) if c <= 65536 else sizes, part + ["cell"]) \
-                 .withColumn("_piece", (hash32("id", seed=seed + 3) % F.col("_pieces")).cast("long")).cache()
-    topk = _topk_group(k)
-    grp = part + ["cell", "_piece", "_qchunk"]
-    members = cells.select(*part, "cell", "_piece", "id", "vec", F.lit(0).alias("_role"))
-
-    # phase A: bound each point's k-th distance inside its own cell piece
-    own = cells.select(*part, "cell", "_piece", "id", "vec", F.lit(1).alias("_role"))
-    a = (members.unionByName(own).withColumn("_qchunk", F.lit(0))
-         .groupBy(*grp).applyInPandas(lambda p: topk(p), PAIR_SCHEMA))
-    bound = a.groupBy("qid").agg(F.count(F.lit(1)).alias("_m"), F.max("dist").alias("_b"))
-    bound = bound.select(F.col("qid").alias("id"),
-                         F.when(F.col("_m") >= k, F.col("_b")).otherwise(F.lit(float("inf"))).alias("bound"))
+    sch = T.StructType(list(x.schema.fields) + [T.StructField("cell", T.LongType()), T.StructField("pdist", T.DoubleType())])
+    cells = x.mapInPandas(assign, sch).checkpoint()
+    # a cell's members are split into ceil(size / chunk) pieces by hash
+    sizes = cells.groupBy(*part, "cell").agg(F.count(F.lit(1)).alias("_n"), F.max("pdist").alias("_r")) \
+        .withColumn("_pieces", F.ceil(F.col("_n") / F.lit(chunk)).cast("long")).checkpoint()
+    cells = cells.join(sizes.select(*part, "cell", "_pieces"), part + ["cell"]) \
+        .withColumn("_piece", (hash32("id", seed=seed + 3) % F.col("_pieces")).cast("long")).drop("_pieces")
+    gkey = F.to_json(F.struct(*part, "cell", "_piece")).alias("_g")
+    members = cells.select(gkey, F.lit(0).alias("_role"), "id", "vec", F.lit(float("inf")).alias("bound"))
+
+    def nearest(queries: DataFrame) -> DataFrame:
+        return (members.unionByName(queries).repartition("_g").sortWithinPartitions("_g", "_role")
+                .mapInPandas(_visit(k), PAIR_SCHEMA))
+
+    # phase A: bound each point's k-th distance inside its own piece
+    own = nearest(members.withColumn("_role", F.lit(1)))
+    bound = own.groupBy("qid").agg(F.count(F.lit(1)).alias("_m"), F.max("dist").alias("_b")).select(
+        F.col("qid").alias("id"), F.when(F.col("_m") >= k, F.col("_b")).otherwise(F.lit(float("inf"))).alias("bound"))
 
     # phase B: every cell whose lower bound does not exceed the point's bound
-    radius = {tuple(r[p] for p in part) + (r["cell"],): r["_r"] for r in sizes.collect()}  # bounded: c rows
-    keys = sorted(radius)
-    R = np.asarray([radius[t] for t in keys], dtype=float)
-    kp = [t[:-1] for t in keys]
-    kc = np.asarray([t[-1] for t in keys], dtype=np.int64)
-    br = spark.sparkContext.broadcast((P, R, kp, kc))
+    rows = sizes.collect()                        # one row per (part, cell)
+    by_part: dict[tuple, list] = {}
+    for r in rows:
+        by_part.setdefault(tuple(r[p] for p in part), []).append((r["cell"], r["_r"], r["_pieces"]))
+    table = {g: tuple(np.asarray(v) for v in zip(*cs)) for g, cs in by_part.items()}
+    bt = spark.sparkContext.broadcast(table)
     q = cells.join(bound, "id", "left").select(
         *part, "id", "vec", F.coalesce(F.col("bound"), F.lit(float("inf"))).alias("bound"))
 
     def cand(batches):
-        P, R, kp, kc = br.value
-        by_part = {}
-        for j, g in enumerate(kp):
-            by_part.setdefault(g, []).append(j)
+        pivots, cells_of = bp.value, bt.value
         for pdf in batches:
-            groups = pdf.groupby(part, sort=False) if part else [((), pdf)]
-            for g, sub in groups:
-                g = g if isinstance(g, tuple) else (g,)
-                cols = np.asarray(by_part.get(tuple(g) if part else (), []), dtype=np.int64)
-                if cols.size == 0:
-                    continue
-                X = np.asarray(sub["vec"].tolist(), dtype=float)
-                D = np.sqrt(((X[:, None, :] - P[kc[cols]][None, :, :]) ** 2).sum(axis=2)) - R[cols][None, :]
-                ok = D <= sub["bound"].to_numpy()[:, None] + 1e-9
-                r, j = np.nonzero(ok)
-                out = sub.iloc[r][[*part, "id", "vec"]].copy()
-                out["cell"] = kc[cols][j]
-                yield out
-
-    csch = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields if f.name in part] +
-                     ["id long", "vec array<double>", "cell long"])
-    cq = q.mapInPandas(cand, csch)
-    # queries visit every piece of a candidate cell; split visiting queries into chunks too
-    cq = cq.join(F.broadcast(sizes.select(*part, "cell", "_pieces")) if c <= 65536 else sizes, part + ["cell"])
-    cq = cq.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)))
-    cq = cq.withColumn("_qchunk", (hash32("id", seed=seed + 11) % F.lit(max(1, math.ceil(n / chunk)))).cast("long"))
-    visits = cq.select(*part, "cell", "_piece", "_qchunk", "id", "vec", F.lit(1).alias("_role"))
-    qchunks = visits.select(*part, "cell", "_piece", "_qchunk").distinct()
-    mem = members.join(qchunks, part + ["cell", "_piece"])
-    b = (mem.unionByName(visits.select(*mem.columns))
-         .groupBy(*grp).applyInPandas(lambda p: topk(p), PAIR_SCHEMA))
+            for g, sub in (pdf.groupby(part, sort=False, dropna=False) if part else [((), pdf)]):
+                cell, radius, pieces = cells_of[g if isinstance(g, tuple) else (g,)]
+                p = pivots[cell]
+                p2 = (p * p).sum(axis=1)
+                for a in range(0, len(sub), BLOCK):
+                    s = sub.iloc[a:a + BLOCK]
+                    v = _matrix(s["vec"])
+                    low = np.sqrt(_squares(v, p, p2)) - radius[None, :]
+                    slack = 1e-6 * (1.0 + np.sqrt(p2.max()) + np.sqrt((v * v).sum(axis=1)))
+                    r, j = np.nonzero(low <= (s["bound"].to_numpy(dtype=float) + slack)[:, None])
+                    out = s.iloc[np.repeat(r, pieces[j])].copy()
+                    out["cell"] = np.repeat(cell[j], pieces[j])
+                    out["_piece"] = np.arange(len(out)) - np.repeat(np.cumsum(pieces[j]) - pieces[j], pieces[j])
+                    yield out
+
+    csch = T.StructType([f for f in x.schema.fields if f.name in part] + [
+        T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType())),
+        T.StructField("bound", T.DoubleType()), T.StructField("cell", T.LongType()), T.StructField("_piece", T.LongType())])
+    visits = q.mapInPandas(cand, csch).select(gkey, F.lit(1).alias("_role"), "id", "vec", "bound")
     w = Window.partitionBy("qid").orderBy("dist", "nid")
-    top = b.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = nearest(visits).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return top.select(F.col("qid").alias("src"), F.col("nid").alias("dst"), "dist", "rank")
 
 
@@ -149,7 +178,7 @@ def smote(df: DataFrame, label: str, vec: str = "vec", key: str = "id", k: int =
     from flowsight.operators.ordering import rank_within
     base = rank_within(df.select(label, F.col(key).alias("id"), F.col(vec).alias("vec"))
                        .withColumn("_h", hash32("id", seed=seed)), [label], "_h", "id", "_rk")
-    base = base.join(F.broadcast(sizes), label)
+    base = base.join(sizes, label)
     # synthetic j of a class uses base row (j mod n_c); rows with rank r own j = r, r + n_c, ...
     need = F.col("_mx") - F.col("_nc")
     base = base.withColumn("_mx", F.lit(st["mx"])).withColumn(

@@ -16,7 +16,7 @@ def _brute(pdf, k):
     return {ids[i]: list(ids[np.lexsort((ids, D[i]))[:k]]) for i in range(len(ids))}
 
 
-@pytest.mark.parametrize("cell_rows,chunk", [(1000, 2000), (40, 30), (7, 5)])
+@pytest.mark.parametrize("cell_rows,chunk", [(1000, 2000), (40, 30), (7, 5), (None, 2000)])
 def test_knn_exact(spark, cell_rows, chunk):
     e = spark.read.parquet(f"{SF01}/embeddings.parquet")
     want = _brute(e.toPandas(), 5)
@@ -36,3 +36,31 @@ def test_smote_points_between_parents(spark):
         a, b = vecs[r.base_id], vecs[r.nbr]
         assert np.allclose(np.asarray(r.vec), a + r.u * (b - a))
         assert 0.0 <= r.u < 1.0
+
+
+def test_piece_and_block_bound_the_memory():
+    """A piece of 2,000 x 64 against 100,000 queries stays within one block of squares."""
+    import tracemalloc
+
+    from flowsight.operators import knn
+    rng = np.random.default_rng(0)
+    x, q = rng.normal(size=(2000, 64)), rng.normal(size=(100_000, 64))
+    index = knn.Nearest(np.arange(2000), x, 5)
+    tracemalloc.start()
+    got = index.pairs(np.arange(10_000, 110_000), q, np.full(len(q), np.inf))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 500_000 and peak < 12 * knn.BLOCK * 2000 * 8
+    some = rng.integers(0, len(q), 50)
+    want = np.sort(np.sqrt(((q[some, None] - x[None]) ** 2).sum(2)), axis=1)[:, :5]
+    dist = got.dist.to_numpy().reshape(-1, 5)[some]
+    assert np.allclose(dist, want)
+
+
+def test_equal_points_and_ties_by_id(spark):
+    rows = [(i, [float(i // 4), 0.0]) for i in range(40)]
+    got = knn_edges(spark.createDataFrame(rows, "id long, vec array<double>"), k=3, cell_rows=6, chunk=3).collect()
+    for i, _ in rows:
+        mine = sorted((r["rank"], r.dst, r.dist) for r in got if r.src == i)
+        want = sorted((abs(j // 4 - i // 4), j) for j, _ in rows if j != i)[:3]
+        assert [(d, j) for _, j, d in mine] == want
