@@ -1,6 +1,6 @@
 """Streaming queries, run with trigger(availableNow) over flow files that Spark
-derives from the events table (one file per day), then read back as batch
-DataFrames so they can be checked like every other query."""
+derives from the events table and that arrive in time slices, then read back as
+batch DataFrames so they can be checked like every other query."""
 from __future__ import annotations
 
 import uuid
@@ -11,75 +11,94 @@ from flowsight.functions.columns import r6
 from flowsight.plans.behavior_q import _NONROUTE, _V, BRUTE, FLOOD, SCAN, SECS
 from flowsight.plans.registry import register
 from flowsight.plans.sqlparts import with_flows
-from flowsight.session import ensure_checkpoint_dir, fs_list, fs_move, join_path
+from flowsight.session import ensure_checkpoint_dir, join_path
 from flowsight.sources.tables import flows
 from flowsight.streaming import detector as D
 
 
-def _stage_flow_files(spark, sf):
-    """Write the flows of each day as its own file under the checkpoint
-    directory and give the files increasing modification times in day order, so
-    the file source replays the days in time order."""
+#: Time slices in which the flows arrive.
+SLICES = 4
+
+
+def _replay(spark, sf, run, end_after: str | None = None):
+    """Let the flows arrive in time slices: each slice is written to the source folder and
+    `run(base, src)` runs a stream over what is new, continuing from its checkpoint.
+    `end_after` adds a last flow that much later (see `detector.end_marker`)."""
     base = join_path(ensure_checkpoint_dir(spark), "stream-" + uuid.uuid4().hex)
+    src = join_path(base, "src")
     f = flows(spark, sf).select("id", F.col("ts").cast("timestamp").alias("ts"), "src_ip", "src_port", "dst_ip",
                                 "dst_port", "protocol", "predicted_attack", "confidence", "risk_score",
                                 "risk_label", "value")
-    staged = join_path(base, "staged")
-    f.withColumn("day", F.date_format("ts", "yyyyMMdd")).repartition("day").write.partitionBy("day").parquet(staged)
-    src = join_path(base, "src")
-    days = [d for d in fs_list(spark, staged) if d.rstrip("/").rsplit("/", 1)[-1].startswith("day=")]
-    for i, d in enumerate(days):
-        for fpath in fs_list(spark, d):
-            name = fpath.rsplit("/", 1)[-1]
-            if name.endswith(".parquet"):
-                fs_move(spark, fpath, join_path(src, f"{i:05d}-{name}"), mtime_ms=1_600_000_000_000 + i * 1000)
-    return base, src
+    us = F.unix_micros("ts")
+    lo, hi = f.agg(F.min(us), F.max(us)).first()
+    cuts = [lo + (hi - lo) * i // SLICES for i in range(SLICES)] + [hi + 1] if lo is not None else []
+    for a, b in zip(cuts, cuts[1:]):
+        f.where((us >= a) & (us < b)).write.mode("append").parquet(src)
+        run(base, src)
+    if end_after:
+        D.end_marker(f, end_after).write.mode("append").parquet(src)
+        run(base, src)
+    return base
 
 
 @register("stream_verdict", with_flows(_V) + f"""SELECT id, src_ip, dst_ip, dst_port,
   src_rate, src_fanout, auth_count, behavioral_attack,
-  round(behavioral_confidence, 6) AS behavioral_confidence, behavioral_reason FROM verdict WHERE NOT ({_NONROUTE})""")
+  round(behavioral_confidence, 6) AS behavioral_confidence, behavioral_reason, false AS late FROM verdict WHERE NOT ({_NONROUTE})""")
 def q_stream_verdict(spark, sf):
-    """Streaming detector (file stream, one day per micro-batch) = batch E11."""
-    base, src = _stage_flow_files(spark, sf)
-    s = D.flow_stream(spark, src, max_files=1)
-    q = D.detect_stream(s, join_path(base, "out"), secs=SECS, flood=FLOOD, scan=SCAN, brute=BRUTE)
-    q.awaitTermination()
+    """Streaming detector (one slice a micro-batch, restarted in between) = batch E11."""
+    def run(base, src):
+        D.detect_stream(D.flow_stream(spark, src), join_path(base, "out"), join_path(base, "state"),
+                        join_path(base, "ck"), secs=SECS, flood=FLOOD, scan=SCAN, brute=BRUTE).awaitTermination()
+    base = _replay(spark, sf, run)
     out = spark.read.parquet(join_path(base, "out", "flows"))
     return out.select("id", "src_ip", "dst_ip", "dst_port", "src_rate", "src_fanout", "auth_count",
                       "behavioral_attack", r6(F.col("behavioral_confidence")).alias("behavioral_confidence"),
-                      "behavioral_reason")
+                      "behavioral_reason", "late")
+
+
+def _append(df, path, ck):
+    (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", ck)
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+
 
+_H6 = 6 * 3600 * 1_000_000
 
-@register("stream_alert_windows")
+
+@register("stream_alert_windows", with_flows() + f"""SELECT us // {_H6} * {_H6} - k * {_H6} AS window_start_us, src_ip,
+  count(*) AS flows, count(DISTINCT dst_ip) AS distinct_dsts
+  FROM flows, range(4) r(k) WHERE NOT ({_NONROUTE}) GROUP BY ALL""")
 def q_stream_alert_windows(spark, sf):
-    """1-day windows sliding by 6 hours, watermark 1 day, append mode."""
-    base, src = _stage_flow_files(spark, sf)
-    s = D.alert_windows(D.flow_stream(spark, src, max_files=1), "1 day", "6 hours", "1 day")
-    out = join_path(base, "alerts")
-    q = (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ck")
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out).select(F.col("window.start").alias("window_start"), "src_ip", "flows",
-                                          "distinct_dsts")
+    """1-day windows sliding by 6 hours, append mode, every window closed."""
+    def run(base, src):
+        s = D.alert_windows(D.flow_stream(spark, src), "1 day", "6 hours", "1 day")
+        _append(s, join_path(base, "alerts"), join_path(base, "ck"))
+    base = _replay(spark, sf, run, end_after="10 DAYS")
+    x = spark.read.parquet(join_path(base, "alerts")).where(F.col("src_ip") != D.END_SOURCE)
+    return x.select(F.unix_micros("window.start").alias("window_start_us"), "src_ip", "flows", "distinct_dsts")
+
+
+@register("stream_block_list", with_flows() + f"""SELECT src_ip, count(*) > 0 AS blocked FROM flows
+  WHERE predicted_attack <> 'Normal' AND risk_label = 'Critical' AND NOT ({_NONROUTE}) GROUP BY src_ip""")
+def q_stream_block_list(spark, sf):
+    """I7 on a stream: every critical attacking source, once (horizon beyond the data)."""
+    def run(base, src):
+        s = D.block_list_stream(D.flow_stream(spark, src), "10000 days")
+        _append(s, join_path(base, "blocked"), join_path(base, "ck"))
+    base = _replay(spark, sf, run)
+    return spark.read.parquet(join_path(base, "blocked")).select("src_ip", F.lit(True).alias("blocked"))
 
 
 @register("stream_live_totals", with_flows() + f"""SELECT count(*) AS total,
   count(*) FILTER (WHERE predicted_attack <> 'Normal') AS threats,
   count(*) FILTER (WHERE risk_label = 'Critical') AS critical FROM flows WHERE NOT ({_NONROUTE})""")
 def q_stream_totals(spark, sf):
-    """I8: running totals in complete mode, read from the memory-free parquet
-    sink of the last micro-batch via foreachBatch."""
-    base, src = _stage_flow_files(spark, sf)
-    out = join_path(base, "totals")
-
-    def sink(df, batch_id):
-        df.write.mode("overwrite").parquet(out)
-
-    q = (D.live_totals(D.flow_stream(spark, src, max_files=5)).writeStream.outputMode("complete")
-         .foreachBatch(sink).option("checkpointLocation", out + "-ck").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    """I8: running totals in complete mode; the last micro-batch's table is the result."""
+    def run(base, src):
+        def sink(df, batch_id):
+            df.write.mode("overwrite").parquet(join_path(base, "totals"))
+        (D.live_totals(D.flow_stream(spark, src)).writeStream.outputMode("complete").foreachBatch(sink)
+         .option("checkpointLocation", join_path(base, "ck")).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(join_path(_replay(spark, sf, run), "totals"))
 
 
 _RF = f"rf AS (SELECT * FROM flows WHERE NOT ({_NONROUTE}))"
@@ -89,15 +108,11 @@ _P20 = "OVER (PARTITION BY src_ip ORDER BY us, id ROWS BETWEEN 19 PRECEDING AND
 @register("stream_sequence", with_flows(_RF) + f"""SELECT id, 20 AS padded_len,
   CAST(20 - count(*) {_P20} AS INTEGER) AS n_pad, round(sum(value) {_P20}, 6) AS padded_sum FROM rf""")
 def q_stream_sequence(spark, sf):
-    """Per-source buffer of the last 20 vectors kept in streaming state
-    (applyInPandasWithState), one day per micro-batch = batch E7 on the same rows."""
-    base, src = _stage_flow_files(spark, sf)
-    seq = D.sequence_stream(D.flow_stream(spark, src, max_files=1), ["value"], 20, "src_ip")
-    out = join_path(base, "seq")
-    q = (seq.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ck")
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    x = spark.read.parquet(out)
+    """The last 20 vectors of each source, carried over micro-batches = batch E7."""
+    def run(base, src):
+        D.sequence_stream(D.flow_stream(spark, src), ["value"], join_path(base, "seq"), join_path(base, "state"),
+                          join_path(base, "ck"), 20).awaitTermination()
+    x = spark.read.parquet(join_path(_replay(spark, sf, run), "seq"))
     flat = F.flatten("padded")
     return x.select("id", F.size("padded").alias("padded_len"),
                     F.size(F.filter("padded", lambda v: v[0] == 0.0)).alias("n_pad"),

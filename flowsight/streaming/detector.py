@@ -3,8 +3,8 @@
 * `flow_stream` (I1/A15): file-source stream with an explicit schema, intake
   defaults and the non-routable filter.
 * `detect_stream` (I2/I5/I6): per micro-batch, the new flows plus the retained
-  tail (flows of the last `secs` seconds, stored as a table under the reliable
-  checkpoint directory) go through the batch `behavioral_verdict`; verdicts of
+  tail (flows of the last `secs` seconds, stored as a table in the detector's state
+  folder) go through the batch `behavioral_verdict`; verdicts of
   the new rows are merged (H20) and appended, alerts and the block list are
   routed.  Output and tail paths are keyed by batch id, so a re-run batch after
   an executor or driver loss rewrites the same files (idempotent).  For flows
@@ -14,13 +14,14 @@
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsight import dims
 from flowsight.operators import behavior as B
 from flowsight.operators import reports as R
-from flowsight.session import ensure_checkpoint_dir, fs_exists, join_path
+from flowsight.operators import windows as W
+from flowsight.session import fs_delete, fs_exists, fs_list, join_path
 
 FLOW_SCHEMA = ("id long, ts timestamp, src_ip string, src_port int, dst_ip string, dst_port int, "
                "protocol string, predicted_attack string, confidence double, risk_score double, "
@@ -45,41 +46,58 @@ def _us(df: DataFrame) -> DataFrame:
     return df.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-def detect_stream(stream: DataFrame, out_dir: str, state_dir: str | None = None, checkpoint: str | None = None,
+def _tails(spark: SparkSession, state_dir: str) -> dict[int, str]:
+    """Finished tails by batch id (at most three are kept)."""
+    found = {}
+    for p in fs_list(spark, state_dir):
+        name = p.rstrip("/").rsplit("/", 1)[-1]
+        if name.startswith("tail_") and fs_exists(spark, join_path(p, "_SUCCESS")):
+            found[int(name[len("tail_"):])] = p
+    return found
+
+
+def _previous(spark: SparkSession, state_dir: str, batch_id: int) -> DataFrame | None:
+    """The newest tail of an earlier batch (batches can be empty)."""
+    before = {b: p for b, p in _tails(spark, state_dir).items() if b < batch_id}
+    return spark.read.parquet(before[max(before)]) if before else None
+
+
+def _keep(tail: DataFrame, state_dir: str, batch_id: int) -> None:
+    """Write a batch's tail; tails that no re-run can need any more go."""
+    spark = tail.sparkSession
+    tail.write.mode("overwrite").parquet(join_path(state_dir, f"tail_{batch_id:012d}"))
+    for b, p in _tails(spark, state_dir).items():
+        if b < batch_id - 1 and b != max(x for x in _tails(spark, state_dir) if x < batch_id):
+            fs_delete(spark, p)
+
+
+def detect_stream(stream: DataFrame, out_dir: str, state_dir: str, checkpoint: str,
                   secs: float = dims.WINDOW_SECONDS, flood: int = dims.FLOOD_THRESHOLD,
                   scan: int = dims.SCAN_THRESHOLD, brute: int = dims.BRUTE_THRESHOLD,
                   lateness_secs: float = 0.0, trigger: dict | None = None):
-    """Start the detector; returns the StreamingQuery."""
+    """Start the detector; returns the StreamingQuery.  `out_dir`, `state_dir`
+    and `checkpoint` belong to this detector alone.  Flows that come more than
+    `lateness_secs` after a newer one are marked `late`: their window may miss flows that
+    have left the tail, and verdicts already written stay as they are."""
     spark = stream.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    state_dir = state_dir or join_path(base, "detector-state")
-    checkpoint = checkpoint or join_path(base, "detector-checkpoint")
-    keep_us = int((secs + lateness_secs) * 1_000_000)
-
-    def tail_path(batch_id: int) -> str:
-        return join_path(state_dir, f"tail_{batch_id:012d}")
+    keep_us, late_us = int((secs + lateness_secs) * 1_000_000), int(lateness_secs * 1_000_000)
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        prev = _previous(spark, state_dir, batch_id)
         new = _us(batch).withColumn("_new", F.lit(True))
-        prev = None
-        if batch_id > 0:
-            # the newest tail written by an earlier batch (batches can be empty)
-            for b in range(batch_id - 1, -1, -1):
-                p = tail_path(b)
-                if fs_exists(spark, join_path(p, "_SUCCESS")):
-                    prev = spark.read.parquet(p)
-                    break
+        newest = None if prev is None else prev.agg(F.max("us")).first()[0]
         both = new if prev is None else new.unionByName(prev.withColumn("_new", F.lit(False)))
         v = B.behavioral_verdict(both, secs, flood, scan, brute)
-        scored = B.behavioral_override(v.filter(F.col("_new"))).drop("_new", "us")
-        scored = scored.withColumn("batch_id", F.lit(batch_id))
-        scored.write.mode("overwrite").parquet(join_path(out_dir, "flows", f"batch_id={batch_id}"))
-        R.route_alerts(scored).write.mode("overwrite").parquet(
+        late = F.col("us") < F.lit(newest - late_us) if newest is not None else F.lit(False)
+        scored = B.behavioral_override(v.filter(F.col("_new")).withColumn("late", late)).drop("_new", "us")
+        flows = join_path(out_dir, "flows", f"batch_id={batch_id}")
+        scored.write.mode("overwrite").parquet(flows)
+        # the alerts read what was written: the verdict is computed once
+        R.route_alerts(spark.read.schema(scored.schema).parquet(flows)).write.mode("overwrite").parquet(
             join_path(out_dir, "alerts", f"batch_id={batch_id}"))
         hi = both.agg(F.max("us")).first()[0]
         if hi is not None:
-            both.filter(F.col("us") > F.lit(hi - keep_us)).drop("_new").write.mode("overwrite").parquet(
-                tail_path(batch_id))
+            _keep(both.filter(F.col("us") > F.lit(hi - keep_us)).drop("_new"), state_dir, batch_id)
 
     w = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -88,11 +106,25 @@ def detect_stream(stream: DataFrame, out_dir: str, state_dir: str | None = None,
 
 def alert_windows(stream: DataFrame, window: str = "30 seconds", slide: str = "10 seconds",
                   watermark: str = "30 seconds", src: str = "src_ip", dst: str = "dst_ip") -> DataFrame:
-    """Per source and sliding window, flow count and approximate distinct
-    destinations (bounded state per key and window)."""
+    """Per source and sliding window, flow count and distinct destinations (exact:
+    the state of a window is its set of destinations).  A window is emitted once the
+    watermark passes its end."""
     return (stream.withWatermark("ts", watermark)
             .groupBy(F.window("ts", window, slide).alias("window"), F.col(src))
-            .agg(F.count(F.lit(1)).alias("flows"), F.approx_count_distinct(dst).alias("distinct_dsts")))
+            .agg(F.count(F.lit(1)).alias("flows"), F.size(F.collect_set(dst)).cast("long").alias("distinct_dsts")))
+
+
+#: Source of the flow that ends a finite stream.
+END_SOURCE = "end-of-stream"
+
+
+def end_marker(flows: DataFrame, after: str) -> DataFrame:
+    """One flow with the flows' columns, later than all of them by `after`: it moves the
+    watermark past every open window, so that a finite stream emits them all."""
+    last = flows.agg(F.max("ts").alias("ts"))
+    cols = [(F.col("ts") + F.expr(f"INTERVAL {after}")).alias("ts") if f.name == "ts" else
+            F.lit(END_SOURCE if f.name == "src_ip" else None).cast(f.dataType).alias(f.name) for f in flows.schema.fields]
+    return last.where("ts is not null").select(*cols)
 
 
 def block_list_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -135,30 +167,26 @@ def score_stream(stream: DataFrame, model, feature_cols: list[str], scaler: dict
     return categorize(low_risk_override(p))
 
 
-SEQ_STATE = "vectors array<array<double>>"
-
-
-def sequence_stream(stream: DataFrame, cols: list[str], n: int = 20, key: str = "src_ip",
-                    order: tuple = ("ts", "id")) -> DataFrame:
-    """Per-source buffer of the last n feature vectors (the reference keeps
-    one global buffer); each flow gets its left-zero-padded window of n vectors,
-    equal to the batch E7 `padded_sequence` for in-order input."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    out_schema = "id long, src string, padded array<array<double>>"
-
-    def step(k, pdfs, state):
-        buf = list(state.get[0]) if state.exists else []
-        rows = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(list(order))
-            for rid, vec in zip(pdf["id"], pdf[cols].to_numpy(dtype=float).tolist()):
-                buf = (buf + [vec])[-n:]
-                pad = [[0.0] * len(cols)] * (n - len(buf))
-                rows.append((int(rid), str(k[0]), pad + buf))
-        state.update(([list(v) for v in buf[-(n - 1):]] if n > 1 else [],))
-        yield pd.DataFrame(rows, columns=["id", "src", "padded"])
+def sequence_stream(stream: DataFrame, cols: list[str], out_dir: str, state_dir: str, checkpoint: str, n: int = 20,
+                    key: str = "src_ip", trigger: dict | None = None):
+    """Each flow with the last n feature vectors of its source (the reference keeps
+    one global buffer), left-padded with zero vectors.  Per micro-batch the new flows and
+    every source's last n - 1 earlier ones go through the batch operator
+    `padded_sequence`, so flows inside a batch may come in any order and a hot source is
+    spread over row blocks; returns the StreamingQuery."""
+    spark = stream.sparkSession
+    row = ["id", key, "us", *cols]
 
-    return (stream.groupBy(key)
-            .applyInPandasWithState(step, out_schema, SEQ_STATE, "append", GroupStateTimeout.NoTimeout))
+    def process(batch: DataFrame, batch_id: int) -> None:
+        prev = _previous(spark, state_dir, batch_id)
+        new = _us(batch).select(*row).withColumn("_new", F.lit(True))
+        both = new if prev is None else new.unionByName(prev.withColumn("_new", F.lit(False)))
+        x = W.padded_sequence(both, cols, n, by=(key,))
+        x.filter("_new").select("id", F.col(key).alias("src"), "padded").write.mode("overwrite").parquet(
+            join_path(out_dir, f"batch_id={batch_id}"))
+        newest = Window.partitionBy(key).orderBy(F.desc("us"), F.desc("id"))
+        tail = both.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= n - 1)
+        _keep(tail.select(*row), state_dir, batch_id)
+
+    return (stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
