@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.functions.columns import col, finite
-from flowsight.operators.ordering import global_row_number
+from flowsight.operators.ordering import global_row_number, hash32
 
 
 def endpoints(df: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -61,9 +61,8 @@ def edge_features(df: DataFrame, src: str, dst: str, cols: list[str]) -> DataFra
 
 
 def static_node_features(df: DataFrame, cols: list[str], src: str = "src", dst: str = "dst") -> DataFrame:
-    """Out-flows, in-flows, total, and src/dst means of up to 5 columns;
-    outgoing and incoming statistics combined by a full outer join."""
-    cols = cols[:5]
+    """Out-flows, in-flows, total, and src/dst means of the columns; outgoing
+    and incoming statistics combined by a full outer join."""
     out = df.groupBy(F.col(src).alias("node")).agg(
         F.count(F.lit(1)).alias("out_flows"), *[F.avg(col(c)).alias(f"src_{c}_mean") for c in cols])
     inc = df.groupBy(F.col(dst).alias("node")).agg(
@@ -75,18 +74,17 @@ def static_node_features(df: DataFrame, cols: list[str], src: str = "src", dst:
 
 
 def flow_edges(df: DataFrame, cols: list[str], src: str = "src", dst: str = "dst") -> DataFrame:
-    """One edge per flow with up to 6 attributes (missing -> 0)."""
+    """One edge per flow with the columns as attributes (missing -> 0)."""
     return df.select(F.col(src).alias("src"), F.col(dst).alias("dst"),
                      *[F.coalesce(F.nanvl(col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
-                       for c in cols[:6]])
+                       for c in cols])
 
 
 def node_matrix(df: DataFrame, cols: list[str], src: str = "src", dst: str = "dst",
                 by: list[str] = ()) -> DataFrame:
-    """Per node, the sum of up to 15 columns over outgoing flows divided by
+    """Per node, the sum of the columns over outgoing flows divided by
     (out + in degree), plus out and in degree; non-finite -> 0 / +-1e6.
     `by` adds grouping columns (e.g. a snapshot window id)."""
-    cols = cols[:15]
     by = list(by)
     out = df.groupBy(*by, F.col(src).alias("node")).agg(
         *[F.sum(F.coalesce(F.nanvl(col(c).cast("double"), F.lit(0.0)), F.lit(0.0))).alias(f"_s{i}")
@@ -134,25 +132,23 @@ def graph_stats(flows: DataFrame, src: str = "src", dst: str = "dst", risk: str
                   F.avg("degree").alias("avg_degree"), F.count_if(F.col("risk") > high).alias("high_risk_nodes"))
 
 
-def top_addresses(df: DataFrame, n: int = 5000, src: str = "src", dst: str = "dst") -> DataFrame:
+def top_addresses(df: DataFrame, n: int, src: str = "src", dst: str = "dst") -> DataFrame:
     """the n addresses with most appearances (ties: smallest address)."""
     ends = df.select(F.col(src).alias("node")).union(df.select(F.col(dst).alias("node")))
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("appearances")) \
                .orderBy(F.desc("appearances"), F.asc("node")).limit(n)
 
 
-def trim_to_top_nodes(df: DataFrame, n: int = 5000, src: str = "src", dst: str = "dst") -> DataFrame:
-    """When there are more than n addresses keep only flows whose two ends
-    are both among the top n (the kept set has at most n rows: broadcast)."""
-    if endpoints(df, src, dst).count() <= n:
-        return df
-    top = F.broadcast(top_addresses(df, n, src, dst).select(F.col("node").alias("_t")))
+def trim_to_top_nodes(df: DataFrame, n: int, src: str = "src", dst: str = "dst") -> DataFrame:
+    """The flows whose two ends are both among the n addresses with most
+    appearances (with n addresses or fewer: all flows)."""
+    top = top_addresses(df, n, src, dst).select(F.col("node").alias("_t"))
     return df.join(top, F.col(src) == F.col("_t"), "left_semi").join(top, F.col(dst) == F.col("_t"), "left_semi")
 
 
 def index_nodes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """C11: dense 0-based node index by sorted (numeric) address, and the edge
-    index (src_idx, dst_idx)."""
+    """C11: dense 0-based node index by sorted address (any orderable type), and the
+    edge index (src_idx, dst_idx)."""
     nodes = endpoints(edges)
     idx, _ = global_row_number(nodes, "node", ascending=True, out="idx")
     idx = idx.withColumn("idx", F.col("idx") - 1)
@@ -204,43 +200,39 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6,
-             checkpoint_every: int = 2, fixed_iter: int | None = None) -> DataFrame:
-    """K3: PageRank on distinct directed edges with uniform teleport and dangling
-    mass spread uniformly.  Stops when the L1 change is below n x tol (or after
-    exactly `fixed_iter` iterations).  Ranks are checkpointed to the session's
-    reliable checkpoint directory every `checkpoint_every` iterations; each
-    iteration reads the previous ranks twice (dangling mass and contributions),
-    so the interval also bounds the plan's growth (2^interval)."""
+             checkpoint_every: int = 2) -> DataFrame:
+    """K3: PageRank on distinct directed edges with uniform teleport and dangling mass
+    spread uniformly, until the L1 change of `checkpoint_every` iterations is below
+    n x tol.  Ranks go to the session's checkpoint directory at that interval, which
+    also bounds the plan's growth; a hub's contributions are summed before they move
+    (partial aggregation), the frames that held earlier ranks are released."""
     e = edges.select("src", "dst").distinct()
-    nodes = endpoints(e).cache()
-    n = nodes.count()
     outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("od"))
-    links = e.join(outdeg, "src").select("src", "dst", (1.0 / F.col("od")).alias("w")).cache()
-    dangling = nodes.join(outdeg.withColumnRenamed("src", "node"), "node", "left_anti").cache()
-    rank = nodes.select("node", F.lit(1.0 / n).alias("pr"))
-    iters = fixed_iter or max_iter
-    for i in range(iters):
+    links = e.join(outdeg, "src").select("src", "dst", (1.0 / F.col("od")).alias("w")).persist()
+    nodes = endpoints(e).join(outdeg.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left") \
+        .select("node", F.coalesce("dangling", F.lit(True)).alias("dangling")).persist()
+    n = nodes.count()
+    rank = nodes.select("node", "dangling", F.lit(1.0 / max(n, 1)).alias("pr"))
+    last = rank
+    for i in range(max_iter if n else 0):
         # dangling mass as a scalar subquery: the iteration stays one lazy plan
-        dm = rank.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("pr"), F.lit(0.0))).scalar()
-        contrib = links.join(rank.withColumnRenamed("node", "src"), "src") \
+        dm = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pr"))), F.lit(0.0))).scalar()
+        contrib = links.join(rank.select(F.col("node").alias("src"), "pr"), "src") \
                        .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pr") * F.col("w")).alias("c"))
-        new = nodes.join(contrib, "node", "left").select(
-            "node", (F.lit(alpha) * (F.coalesce(F.col("c"), F.lit(0.0)) + dm / F.lit(float(n))) +
-                     F.lit((1 - alpha) / n)).alias("pr"))
-        check = fixed_iter is None or (i + 1) % checkpoint_every == 0
-        if check:
-            # cut the lineage in the reliable checkpoint directory (persisted first,
-            # so the eager checkpoint computes the ranks once)
-            new = new.persist().checkpoint()
-        done = False
-        if fixed_iter is None:
-            err = new.alias("a").join(rank.alias("b"), "node").agg(
-                F.sum(F.abs(F.col("a.pr") - F.col("b.pr")))).first()[0]
-            done = err < n * tol
-        rank = new
-        if done:
+        rank = nodes.join(contrib, "node", "left").select(
+            "node", "dangling", (F.lit(alpha) * (F.coalesce(F.col("c"), F.lit(0.0)) + dm / F.lit(float(n)))
+                                 + F.lit((1 - alpha) / n)).alias("pr"))
+        if (i + 1) % checkpoint_every and i + 1 < max_iter:
+            continue
+        rank = rank.checkpoint()
+        err = rank.alias("a").join(last.alias("b"), "node").agg(
+            F.sum(F.abs(F.col("a.pr") - F.col("b.pr")))).first()[0]
+        last = rank
+        if err < n * tol:
             break
-    return rank
+    links.unpersist()
+    nodes.unpersist()
+    return rank.select("node", "pr")
 
 
 def attach_centrality(flows: DataFrame, cent: DataFrame, src: str = "src") -> DataFrame:
@@ -250,18 +242,22 @@ def attach_centrality(flows: DataFrame, cent: DataFrame, src: str = "src") -> Da
     return x.fillna(0, [x for x in cent.columns if x != "node"])
 
 
-def betweenness(edges: DataFrame, k: int | None = 100, normalized: bool = True,
-                checkpoint_every: int = 4) -> DataFrame:
-    """K4: directed betweenness from min(k, n) pivots (the smallest node ids;
-    exact when k >= n), Brandes' accumulation run for all pivots at once:
-    a level-synchronous BFS as joins of the frontier with the edges (path counts
-    summed per (pivot, node)), then dependencies pushed back level by level.
-    State is one row per (pivot, reachable node); lineage is checkpointed."""
+def betweenness(edges: DataFrame, k: int | None = None, normalized: bool = True,
+                checkpoint_every: int = 4, seed: int = 42) -> DataFrame:
+    """K4: directed betweenness, exact over all nodes by default; with `k` an estimate
+    from k pivots chosen by a seeded hash of the node, scaled by n / k.  Brandes'
+    accumulation runs for all pivots at once: a level-synchronous BFS as joins of the
+    frontier with the edges (path counts summed per (pivot, node)), then dependencies
+    pushed back level by level.  State is one row per (pivot, reachable node); lineage is
+    checkpointed, and frames are released as their last reader ends."""
     e = edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct().cache()
     nodes = endpoints(edges).cache()
     n = nodes.count()
     kk = n if k is None else min(k, n)
-    piv = nodes.orderBy("node").limit(kk).select(F.col("node").alias("pivot"))
+    piv = nodes.select(F.col("node").alias("pivot"))
+    if kk < n:
+        piv = piv.orderBy(hash32("pivot", seed=seed), "pivot").limit(kk)
+    held = [e, nodes]
     level = piv.select("pivot", F.col("pivot").alias("node"), F.lit(1.0).alias("sigma"))
     levels = [level.checkpoint()]
     seen = levels[0].select("pivot", "node")
@@ -270,6 +266,7 @@ def betweenness(edges: DataFrame, k: int | None = 100, normalized: bool = True,
                .groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
                .join(seen, ["pivot", "node"], "left_anti"))
         nxt = nxt.checkpoint() if len(levels) % checkpoint_every == 0 else nxt.cache()
+        held.append(nxt)
         if not nxt.take(1):
             break
         levels.append(nxt)
@@ -289,6 +286,7 @@ def betweenness(edges: DataFrame, k: int | None = 100, normalized: bool = True,
         part = lvl.filter(F.col("node") != F.col("pivot")).select("node", "delta")
         total = part if total is None else total.unionByName(part)
         delta = lvl.checkpoint() if d % checkpoint_every == 0 else lvl.cache()
+        held.append(delta)
     scale = 1.0
     if normalized:
         scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
@@ -296,8 +294,34 @@ def betweenness(edges: DataFrame, k: int | None = 100, normalized: bool = True,
         scale *= n / kk
     agg = (total.groupBy("node").agg(F.sum("delta").alias("b")) if total is not None
            else nodes.select("node", F.lit(0.0).alias("b")))
-    return nodes.join(agg, "node", "left").select(
-        "node", (F.coalesce(F.col("b"), F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+    out = nodes.join(agg, "node", "left").select(
+        "node", (F.coalesce(F.col("b"), F.lit(0.0)) * F.lit(scale)).alias("betweenness")).checkpoint()
+    for x in held:
+        x.unpersist()
+    return out
+
+
+def centralities(edges: DataFrame, betweenness_pivots: int | None = None) -> DataFrame:
+    """K5: degree, PageRank, betweenness and clustering of every node, one row each."""
+    x = degree_centrality(edges)
+    for more in (pagerank(edges).withColumnRenamed("pr", "pagerank"), betweenness(edges, betweenness_pivots),
+                 clustering(edges)):
+        x = x.join(more, "node", "full")
+    return x.fillna(0.0, [c for c in x.columns if c != "node"])
+
+
+def build_graph(flows: DataFrame, cols: list[str], src: str = "src", dst: str = "dst", top: int | None = None,
+                window_secs: int | None = None, us: str = "us") -> tuple[DataFrame, DataFrame]:
+    """K6: (nodes, edges) of the communication graph: node matrix and one edge per flow
+    with the columns as attributes, both per snapshot where `window_secs` is given;
+    `top` keeps the flows among the addresses with most appearances."""
+    x = flows if top is None else trim_to_top_nodes(flows, top, src, dst)
+    if window_secs is None:
+        return node_matrix(x, cols, src, dst), flow_edges(x, cols, src, dst)
+    x = snapshot_ids(x, us, window_secs)
+    return (node_matrix(x, cols, src, dst, by=["window_id"]),
+            x.select("window_id", F.col(src).alias("src"), F.col(dst).alias("dst"),
+                     *[F.coalesce(F.nanvl(col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in cols]))
 
 
 def propagate(x: DataFrame, edges: DataFrame, cols: list[str], hops: int = 2, norm: str = "mean") -> DataFrame:

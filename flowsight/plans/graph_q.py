@@ -188,44 +188,101 @@ def q_clustering(spark, sf):
     return c.select("node", r6(F.col("clustering")).alias("clustering"))
 
 
-def _pr_sql(iters: int = 10, alpha: float = 0.85) -> str:
+#: Steps by which the ranks have settled far below the rounding.
+_PR_STEPS = 40
+
+
+def _pr_ctes(alpha: float = 0.85) -> list[str]:
     parts = [_E, "prn AS (SELECT src AS node FROM e UNION SELECT dst FROM e)",
              "cnt AS (SELECT count(*) AS n FROM prn)",
              "od AS (SELECT src, count(*) AS od FROM e GROUP BY src)",
              "lk AS (SELECT e.src, e.dst, 1.0 / od AS w FROM e JOIN od USING (src))",
              "dang AS (SELECT node FROM prn WHERE node NOT IN (SELECT src FROM od))",
-             "pr0 AS (SELECT node, 1.0 / (SELECT n FROM cnt) AS pr FROM prn)"]
-    for i in range(1, iters + 1):
+             "pr0 AS MATERIALIZED (SELECT node, 1.0 / (SELECT n FROM cnt) AS pr FROM prn)"]
+    for i in range(1, _PR_STEPS + 1):
         p = f"pr{i - 1}"
-        parts.append(f"""pr{i} AS (SELECT prn.node, {alpha} * (coalesce(c.c, 0.0) + (SELECT coalesce(sum(pr), 0.0) FROM {p}
-  WHERE node IN (SELECT node FROM dang)) / (SELECT n FROM cnt)) + {1 - alpha} / (SELECT n FROM cnt) AS pr
+        parts.append(f"""pr{i} AS MATERIALIZED (SELECT prn.node, {alpha} * (coalesce(c.c, 0.0) + (SELECT coalesce(sum(pr), 0.0)
+  FROM {p} WHERE node IN (SELECT node FROM dang)) / (SELECT n FROM cnt)) + {1 - alpha} / (SELECT n FROM cnt) AS pr
   FROM prn LEFT JOIN (SELECT lk.dst AS node, sum(q.pr * lk.w) AS c FROM lk JOIN {p} q ON q.node = lk.src
   GROUP BY lk.dst) c ON prn.node = c.node)""")
-    return with_flows(*parts) + f"SELECT node, round(pr, 6) AS pagerank FROM pr{iters}"
+    return parts
 
 
-@register("pagerank", _pr_sql(10))
+@register("pagerank", with_flows(*_pr_ctes()) + f"SELECT node, round(pr, 6) AS pagerank FROM pr{_PR_STEPS}")
 def q_pagerank(spark, sf):
-    r = G.pagerank(G.distinct_edges(_f(spark, sf)), fixed_iter=10)
+    """K3 run to a change below the rounding of the comparison (tol 1e-10 a node)."""
+    r = G.pagerank(G.distinct_edges(_f(spark, sf)), tol=1e-10)
     return r.select("node", r6(F.col("pr")).alias("pagerank"))
 
 
-@register("centrality_features", with_flows(_E, _DEG, _NODES, _CL) + """SELECT f.id, f.src,
+# breadth-first levels from every node, path counts, then dependencies by pairs: the
+# share of shortest s-t paths through v is sigma(s,v) sigma(v,t) / sigma(s,t)
+_BW = """be AS (SELECT src, dst FROM e WHERE src <> dst),
+bn AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+lv AS (SELECT s, v, min(d) AS d FROM (SELECT * FROM walk) GROUP BY s, v),
+sg AS (SELECT w.s, w.v, w.d, w.sigma FROM walk w JOIN lv ON w.s = lv.s AND w.v = lv.v AND w.d = lv.d),
+bw AS (SELECT a.v AS node, sum(a.sigma * b.sigma / st.sigma) AS b FROM sg a
+  JOIN sg b ON a.v = b.s JOIN sg st ON st.s = a.s AND st.v = b.v AND st.d = a.d + b.d
+  WHERE a.s <> a.v AND b.v <> a.v AND a.s <> b.v GROUP BY a.v)"""
+
+
+def _bw_sql() -> str:
+    """Level by level; a node counts at its first level only.  Twelve levels reach every
+    node of these graphs (a further one adds no row)."""
+    levels = ["w0 AS MATERIALIZED (SELECT node AS s, node AS v, 0 AS d, 1.0::DOUBLE AS sigma FROM bn)"]
+    for i in range(1, 13):
+        seen = " UNION ALL ".join(f"SELECT s, v FROM w{j}" for j in range(i))
+        levels.append(f"""w{i} AS MATERIALIZED (SELECT w.s, be.dst AS v, {i} AS d, sum(w.sigma) AS sigma FROM w{i - 1} w
+  JOIN be ON be.src = w.v WHERE (w.s, be.dst) NOT IN ({seen}) GROUP BY w.s, be.dst)""")
+    walk = "walk AS (" + " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(13)) + ")"
+    be, bn, rest = _BW.split(",\n", 2)
+    return ",\n".join([be, bn, *levels, walk, rest])
+
+
+_BW_OUT = """bo AS (SELECT bn.node, coalesce(b, 0.0) / (((SELECT count(*) FROM bn) - 1) * ((SELECT count(*) FROM bn) - 2.0))
+  AS betweenness FROM bn LEFT JOIN bw ON bn.node = bw.node)"""
+
+
+@register("betweenness", with_flows(_E, _bw_sql(), _BW_OUT) + "SELECT node, round(betweenness, 6) AS betweenness FROM bo")
+def q_betweenness(spark, sf):
+    """K4, exact over all nodes, normalised."""
+    b = G.betweenness(G.distinct_edges(_f(spark, sf)))
+    return b.select("node", r6(F.col("betweenness")).alias("betweenness"))
+
+
+@register("centrality_features", with_flows(_E, _DEG, _NODES, _CL, *_pr_ctes()[1:], _bw_sql(), _BW_OUT) + f"""SELECT f.id, f.src,
   round(coalesce(deg.degree / ((SELECT count(*) FROM deg) - 1), 0), 6) AS degree_centrality,
+  round(coalesce(p.pr, 0), 6) AS pagerank, round(coalesce(bo.betweenness, 0), 6) AS betweenness,
   round(coalesce(cl.clustering, 0), 6) AS clustering
-  FROM flows f LEFT JOIN deg ON f.src = deg.node LEFT JOIN cl ON f.src = cl.node""")
+  FROM flows f LEFT JOIN deg ON f.src = deg.node LEFT JOIN cl ON f.src = cl.node
+  LEFT JOIN pr{_PR_STEPS} p ON f.src = p.node LEFT JOIN bo ON f.src = bo.node""")
 def q_centrality(spark, sf):
+    """All four centralities of the source on every flow."""
     f = _f(spark, sf)
     e = G.distinct_edges(f)
-    cent = G.degree_centrality(e).join(G.clustering(e), "node", "full")
+    cent = G.degree_centrality(e)
+    for more in (G.pagerank(e, tol=1e-10).withColumnRenamed("pr", "pagerank"), G.betweenness(e), G.clustering(e)):
+        cent = cent.join(more, "node", "full")
     x = G.attach_centrality(f.select("id", "src"), cent)
-    return x.select("id", "src", r6(F.col("degree_centrality")).alias("degree_centrality"),
-                    r6(F.col("clustering")).alias("clustering"))
+    return x.select("id", "src", *[r6(F.col(c)).alias(c) for c in
+                                   ("degree_centrality", "pagerank", "betweenness", "clustering")])
 
 
-@register("betweenness")
-def q_betweenness(spark, sf):
-    """K4: 100 pivots (smallest ids), normalised; rows-only here, exactness is
-    tested against brute-force Brandes in tests/test_graph_algos.py."""
-    b = G.betweenness(G.distinct_edges(_f(spark, sf)), k=100)
-    return b.select("node", r6(F.col("betweenness")).alias("betweenness"))
+@register("index_address_nodes", with_flows("ae AS (SELECT DISTINCT src_ip AS src, dst_ip AS dst FROM flows)") + """SELECT node,
+  row_number() OVER (ORDER BY encode(node)) - 1 AS idx FROM (SELECT src AS node FROM ae UNION SELECT dst FROM ae)""")
+def q_index_addresses(spark, sf):
+    """C11 on address strings."""
+    idx, _ = G.index_nodes(G.distinct_edges(_f(spark, sf), "src_ip", "dst_ip"))
+    return idx.select("node", "idx")
+
+
+@register("build_graph", with_flows(_NM.format(by="", t="flows", on="")) + """SELECT 'node' AS part, node AS a, NULL AS b,
+  round(sv / CASE WHEN out_degree + in_degree = 0 THEN 1 ELSE out_degree + in_degree END, 6) AS value FROM nm
+  UNION ALL SELECT 'edge', src, dst, round(value, 6) FROM flows""")
+def q_build_graph(spark, sf):
+    """K6: node matrix and flow edges of the whole graph."""
+    nodes, edges = G.build_graph(_f(spark, sf), ["value", "confidence"])
+    return nodes.select(F.lit("node").alias("part"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"),
+                        r6(F.col("value")).alias("value")).unionByName(
+        edges.select(F.lit("edge").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"),
+                     r6(F.col("value")).alias("value")))
