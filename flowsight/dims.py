@@ -155,9 +155,18 @@ ATTACK_SCHEMA = T.StructType([
 ])
 
 
+#: Labels of the behavioural rules that stand for a mapped label.
+ATTACK_ALIASES = {"HTTP_Flood": "HTTP_DDoS"}
+
+
+def attack_rows() -> list[tuple]:
+    """Mapping rows, then the aliases' (the last field tells them apart)."""
+    return ([(k, *v, False) for k, v in ATTACK_MAPPING.items()]
+            + [(a, *ATTACK_MAPPING[k], True) for a, k in ATTACK_ALIASES.items()])
+
+
 def attack_dim(spark: SparkSession) -> DataFrame:
-    rows = [(k, *v) for k, v in ATTACK_MAPPING.items()]
-    return spark.createDataFrame(rows, ATTACK_SCHEMA)
+    return spark.createDataFrame(attack_rows(), T.StructType([*ATTACK_SCHEMA.fields, T.StructField("is_alias", T.BooleanType())]))
 
 
 def label_map_dim(spark: SparkSession, mapping: dict | None = None) -> DataFrame:

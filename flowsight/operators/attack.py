@@ -1,8 +1,8 @@
 """Attack-technique mapping and knowledge-base operators (C3, C4, H13, H16-H18,
 H23, H24, A13, A14, B17, B18, D25, G4).
 
-The attack dimension has one row per known label (fixed, six rows) and is
-always broadcast; knowledge-base tables are ordinary DataFrames and are joined
+The attack dimension has one row per known label or alias (fixed, seven rows) and
+is always broadcast; knowledge-base tables are ordinary DataFrames and are joined
 by key with Spark choosing the strategy.
 """
 from __future__ import annotations
@@ -17,24 +17,18 @@ _INFO = ["technique_id", "technique_name", "tactic", "description", "next_techni
 
 
 def map_attacks(df: DataFrame, dim: DataFrame, label: str = "predicted_attack",
-                default_label: str = "Normal", aliases: dict | None = None) -> DataFrame:
+                default_label: str = "Normal") -> DataFrame:
     """Attach technique, tactic, description, next techniques and mitigations;
-    labels without a mapping get the `default_label` row (reference behaviour).
-    `aliases` optionally maps extra labels onto known rows (flagged is_alias)."""
-    d = dim.select(F.col("label").alias("_lab"), *_INFO)
-    if aliases:
-        extra = dim.join(F.broadcast(dim.sparkSession.createDataFrame(list(aliases.items()), "alias string, label string")),
-                         "label").select(F.col("alias").alias("_lab"), *_INFO)
-        d = d.withColumn("is_alias", F.lit(False)).unionByName(extra.withColumn("is_alias", F.lit(True)))
+    labels without a mapping get the `default_label` row (reference behaviour), aliases
+    of a mapped label that label's row (is_alias)."""
+    d = dim.select(F.col("label").alias("_lab"), *_INFO, "is_alias")
     # the default row is a fixed value of the dimension: literals, no join
     dv = dict(zip(_INFO, dims.ATTACK_MAPPING[default_label]))
     lit = {c: (F.array(*[F.lit(v) for v in dv[c]]).cast("array<string>") if isinstance(dv[c], list)
                else F.lit(dv[c])) for c in _INFO}
-    x = df.join(F.broadcast(d), F.col(label) == F.col("_lab"), "left")
-    out = [F.coalesce(F.col(c), lit[c]).alias(c) for c in _INFO]
-    keep = [F.col(c) for c in df.columns] + ([F.coalesce(F.col("is_alias"), F.lit(False)).alias("is_alias")]
-                                            if aliases else [])
-    return x.select(*keep, *out)
+    x = df.join(F.broadcast(d), F.col(label) == F.col("_lab"), "left")  # a fixed table of seven rows
+    return x.select(*[F.col(c) for c in df.columns], F.coalesce(F.col("is_alias"), F.lit(False)).alias("is_alias"),
+                    *[F.coalesce(F.col(c), lit[c]).alias(c) for c in _INFO])
 
 
 def parse_next_technique(s) -> tuple:
@@ -114,7 +108,8 @@ def techniques_from(df: DataFrame, id_col: str, name_col: str, desc_col: str, mi
 
 def load_actor_table(spark: SparkSession, path: str) -> DataFrame:
     """A14."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return raw.toDF(*[c.strip() for c in raw.columns])
 
 

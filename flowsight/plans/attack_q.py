@@ -18,23 +18,23 @@ def _lst(v):
 
 
 _DIM_ROWS = ", ".join(
-    f"('{k}', '{v[0]}', '{v[1]}', '{v[2]}', '{v[3].replace(chr(39), chr(39) * 2)}', {_lst(v[4])}, {_lst(v[5])})"
-    for k, v in dims.ATTACK_MAPPING.items())
+    f"('{k}', '{v[0]}', '{v[1]}', '{v[2]}', '{v[3].replace(chr(39), chr(39) * 2)}', {_lst(v[4])}, {_lst(v[5])}, {v[6]})"
+    for k, *v in dims.attack_rows())
 DIM = (f"dim AS (SELECT * FROM (VALUES {_DIM_ROWS}) t(label, technique_id, technique_name, tactic, "
-       "description, next_techniques, mitigations))")
+       "description, next_techniques, mitigations, is_alias))")
 _N = dims.ATTACK_MAPPING["Normal"]
 _MAPPED = f"""mapped AS (SELECT f.id, f.predicted_attack,
   coalesce(d.technique_id, '{_N[0]}') AS technique_id, coalesce(d.technique_name, '{_N[1]}') AS technique_name,
   coalesce(d.tactic, '{_N[2]}') AS tactic, coalesce(d.mitigations, {_lst(_N[5])}) AS mitigations,
-  coalesce(d.next_techniques, {_lst(_N[4])}) AS next_techniques, f.risk_score
+  coalesce(d.next_techniques, {_lst(_N[4])}) AS next_techniques, coalesce(d.is_alias, false) AS is_alias, f.risk_score
   FROM final f LEFT JOIN dim d ON f.predicted_attack = d.label)"""
 
 
 @register("map_attacks", with_flows(_V, _MERGED, DIM, _MAPPED) + """SELECT id, predicted_attack, technique_id,
-  technique_name, tactic, CAST(len(mitigations) AS INTEGER) AS n_mitigations FROM mapped""")
+  technique_name, tactic, is_alias, CAST(len(mitigations) AS INTEGER) AS n_mitigations FROM mapped""")
 def q_map_attacks(spark, sf):
     m = A.map_attacks(merged(spark, sf).select("id", "predicted_attack"), dims.attack_dim(spark))
-    return m.select("id", "predicted_attack", "technique_id", "technique_name", "tactic",
+    return m.select("id", "predicted_attack", "technique_id", "technique_name", "tactic", "is_alias",
                     F.size("mitigations").alias("n_mitigations"))
 
 
@@ -138,3 +138,36 @@ def q_actor_groups(spark, sf):
           "FROM act, unnest(string_split(t, ';')) u(x) WHERE starts_with(trim(x), 'T')")
 def q_group_techniques(spark, sf):
     return A.group_techniques(actors_from_documents(table(spark, sf, "documents")))
+
+
+def _scratch_csv(spark, df, tag):
+    import uuid
+
+    from flowsight.session import ensure_checkpoint_dir, join_path
+    path = join_path(ensure_checkpoint_dir(spark), f"{tag}-{uuid.uuid4().hex}")
+    df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+@register("load_techniques", f"""WITH {_KB}, k2 AS (SELECT id, arg_max(name, description) AS name, max(description) AS description
+  FROM kb GROUP BY id) SELECT id, name, length(description) AS description_len,
+  length(substr(description, 1, 500)) AS short_len FROM k2""")
+def q_load_techniques(spark, sf):
+    """Technique CSV (untidy headers, quoted line breaks) written and loaded."""
+    kb = kb_from_documents(table(spark, sf, "documents"))
+    path = _scratch_csv(spark, kb.select(
+        F.col("id").alias(" Tactic ID "), F.col("name").alias("Tactic Name"), F.col("description").alias("Description "),
+        F.col("mitigation").alias("Mitigation Steps")), "techniques")
+    x = A.load_techniques(spark, path)
+    return x.select("id", "name", F.length("description").cast("long").alias("description_len"),
+                    F.length("description_short").cast("long").alias("short_len"))
+
+
+@register("load_actor_table", f"""WITH {_ACT} SELECT g AS group_name, t AS techniques FROM act""")
+def q_load_actor_table(spark, sf):
+    """Actor CSV written and loaded; headers trimmed."""
+    act = actors_from_documents(table(spark, sf, "documents"))
+    path = _scratch_csv(spark, act.select(*[F.col(f"`{c}`").alias(f" {c} ") for c in act.columns]), "actors")
+    x = A.load_actor_table(spark, path)
+    return x.select(F.col("`APT Group Name`").alias("group_name"), F.col("`Group Techniques`").alias("techniques"))

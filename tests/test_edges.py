@@ -116,9 +116,10 @@ def test_gates(spark):
 
 def test_unknown_label_mapping(spark):
     from flowsight.operators.attack import map_attacks
-    df = spark.createDataFrame([("HTTP_Flood",), ("Port_Scan",)], "predicted_attack string")
-    got = {r["predicted_attack"]: r["technique_id"] for r in map_attacks(df, dims.attack_dim(spark)).collect()}
-    assert got == {"HTTP_Flood": "N/A", "Port_Scan": "T1046"}
+    df = spark.createDataFrame([("HTTP_Flood",), ("Port_Scan",), ("Novel",)], "predicted_attack string")
+    got = {r["predicted_attack"]: (r["technique_id"], r["is_alias"]) for r in map_attacks(df, dims.attack_dim(spark)).collect()}
+    flood = dims.ATTACK_MAPPING["HTTP_DDoS"][0]
+    assert got == {"HTTP_Flood": (flood, True), "Port_Scan": ("T1046", False), "Novel": ("N/A", False)}
 
 
 def test_small_classes_split(spark):
