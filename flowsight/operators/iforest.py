@@ -1,7 +1,7 @@
 """Isolation forest (J9; Liu, Ting & Zhou 2008) as Spark jobs.
 
-Fit: a seeded hash picks about 2 x psi candidate rows per tree, a row number
-per tree keeps exactly psi of them, and `groupBy(tree).applyInPandas` grows one
+Fit: a seeded hash picks about 2 x psi candidate rows per tree (psi is at most half
+the rows), a row number per tree keeps psi of them, and `groupBy(tree).applyInPandas` grows one
 tree per group (a group never holds more than the candidates of one tree).
 Score: the node table (trees x at most 2 psi - 1 rows, a proven bound) is
 shipped to every task and `mapInPandas` walks all trees for a batch of rows at
@@ -68,22 +68,17 @@ def fit_iforest(df: DataFrame, cols: list[str], trees: int = 200, psi: int = 256
                 key: str = "id") -> tuple[DataFrame, int]:
     """Returns (node table, psi actually used)."""
     n = df.count()
-    psi = min(psi, n)
+    psi = max(1, min(psi, n // 2))
     x = df.select(key, F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("x"))
-    want = 2 * psi * trees                       # candidates in total, about 2 psi per tree
-    if want <= n:                                # large data: one tree per sampled row
-        h = hash32(key, seed=seed)
-        x = x.withColumn("_h", h).filter(F.col("_h") < F.lit(int(want / n * HASH_SPACE)))
-        x = x.withColumn("tree", (F.col("_h") % trees).cast("int")).drop("_h")
-    else:
-        m = math.ceil(want / n)
-        if n <= 2 * psi or m >= trees:           # tiny data: every row serves every tree
-            x = x.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        else:                                    # m hashed trees per row
-            x = x.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-            x = x.withColumn("tree", (F.conv(F.substring(F.md5(F.concat_ws(
-                "|", F.lit(str(seed)), F.col("_j").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10)
-                .cast("long") % trees).cast("int")).drop("_j").dropDuplicates(["tree", key])
+    # every row draws `draws` trees by hash and keeps each draw with one probability, so
+    # that a tree has about 2 psi candidates; the same rule at every size
+    want = 2 * psi * trees
+    draws = max(1, math.ceil(want / max(n, 1)))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_j").cast("string"), F.col(key).cast("string")))
+    number = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    x = (x.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+         .where(number(9) < F.lit(int(want / max(n * draws, 1) * HASH_SPACE)))
+         .withColumn("tree", (number(1) % trees).cast("int")).drop("_j").dropDuplicates(["tree", key]))
     w = Window.partitionBy("tree").orderBy(hash32("tree", key, seed=seed + 1), key)
     sample = x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).select("tree", "x")
     nodes = sample.groupBy("tree").applyInPandas(lambda p: _grow(p, len(cols), seed), NODE_SCHEMA)

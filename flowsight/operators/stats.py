@@ -4,8 +4,8 @@
 Infinite values are counted up front (ranks that fall on them are answered
 directly), so every band below is a strict open interval of finite values:
 
-1. one approximate-quantile job per column proposes cut points inside the band
-   (bounded sketches);
+1. one approximate-quantile job for all columns proposes cut points inside their
+   bands (bounded sketches);
 2. one pass assigns every band value to a piece - below the first cut, equal to
    a cut, or between two cuts - with a JVM-side binary search (Bucketizer) and a
    small grouped count gives the piece sizes;
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.functions.columns import col as qcol
+from flowsight.operators.ordering import global_cumsum
 
 _FINITE = lambda v: v.isNotNull() & ~F.isnan(v) & (v != float("inf")) & (v != float("-inf"))
 
@@ -34,12 +35,11 @@ def _in(v, lo, hi):
 def _pieces(df: DataFrame, cols: list[str], bounds: dict, splits: int) -> dict:
     """Per column: [(kind, a, b, count)] covering the open band (lo, hi) in order."""
     probs = [i / splits for i in range(1, splits)]
-    cuts = {}
-    for c in cols:
-        lo, hi = bounds[c]
-        band = df.filter(_in(qcol(c), lo, hi)).select(qcol(c).alias("_v"))
-        cuts[c] = sorted(set(x for x in band.approxQuantile("_v", probs, 1.0 / (4 * splits)) if lo < x < hi))
     names = [f"_b{i}" for i in range(len(cols))]
+    # one job for all columns; values outside a column's band are NULL there
+    banded = df.select(*[F.when(_in(qcol(c), *bounds[c]), qcol(c)).alias(n) for c, n in zip(cols, names)])
+    found = banded.approxQuantile(names, probs, 1.0 / (4 * splits))
+    cuts = {c: sorted(set(x for x in f if bounds[c][0] < x < bounds[c][1])) for c, f in zip(cols, found)}
     x = df.select(*[F.when(_in(qcol(c), *bounds[c]), qcol(c)).otherwise(F.lit(float("nan"))).alias(n)
                     for c, n in zip(cols, names)])
     sp = [[-math.inf] + cuts[c] + [math.inf] for c in cols]
@@ -93,9 +93,12 @@ def order_statistics(df: DataFrame, want: dict[str, list[int]], max_collect: int
             else:
                 todo[(c, k)] = (-math.inf, math.inf, m)   # open band of finite values, m values below
     sizes = {}
-    for _ in range(40):
-        if not todo:
-            return result
+    rounds = 0
+    while todo:
+        rounds += 1
+        if rounds > 12:   # cut points no longer shrink the bands: count distinct values
+            _by_value_counts(df, todo, result)
+            break
         # one band per column per round (ranks usually share it)
         bands = {}
         for (c, k), band in todo.items():
@@ -154,7 +157,17 @@ def order_statistics(df: DataFrame, want: dict[str, list[int]], max_collect: int
                     vals = sorted(r[c] for r in rows if r[c] is not None and lo < r[c] < hi)
                     for k in ks:
                         result[c][k] = float(vals[k - below])
-    raise RuntimeError("order_statistics did not converge")  # pragma: no cover
+    return result
+
+
+def _by_value_counts(df: DataFrame, todo: dict, result: dict) -> None:
+    """Answer the ranks left by counting values: a grouped count per distinct value of
+    the band, running counts in value order over range partitions."""
+    for (c, k), (lo, hi, below) in todo.items():
+        counts = df.where(_in(qcol(c), lo, hi)).groupBy(qcol(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        run = global_cumsum(counts, "v", ["n"])
+        result[c][k] = float(run.where(F.col("n_cum") > k - below).agg(F.min("v")).first()[0])
+    todo.clear()
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], p: float = 0.5, max_collect: int = 100_000,
