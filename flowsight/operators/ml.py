@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsight.operators import metrics as M
 from flowsight.operators.stats import exact_quantile
@@ -34,16 +36,20 @@ def class_weight_column(df: DataFrame, label: str, out: str = "weight") -> DataF
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     st = counts.agg(F.sum("_nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
     w = counts.select(label, (F.lit(float(st["n"])) / (F.lit(st["k"]) * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label)  # one row per class
+    return df.join(w, label)  # one row per class
 
 
-def estimator(kind: str, weight: str | None, seed: int = 42, rounds: int = 300):
+#: Labelled rows a tree of the random forest is grown from (a bootstrap sample of that
+#: expected size); the training cost of the forest stops growing with the data there.
+ROWS_PER_TREE = 65_536
+
+
+def estimator(kind: str, weight: str | None, seed: int = 42, rounds: int = 300, sample_rate: float = 1.0):
     w = {"weightCol": weight} if weight else {}
     if kind == "random_forest":       # J7: 200 trees, depth 15, min leaf 2
-        # bounded per-pass node statistics (more passes, less executor memory)
         return RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=200, maxDepth=15,
-                                      minInstancesPerNode=2, seed=seed, maxMemoryInMB=64, cacheNodeIds=True,
-                                      checkpointInterval=10, **w)
+                                      minInstancesPerNode=2, seed=seed, maxMemoryInMB=256, cacheNodeIds=True,
+                                      checkpointInterval=10, subsamplingRate=sample_rate, **w)
     if kind == "gbt_ovr":              # J6: boosted trees, one binary model per class
         gbt = GBTClassifier(maxDepth=8, maxIter=rounds, stepSize=0.1, subsamplingRate=0.8, seed=seed)
         return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label_idx", **w)
@@ -53,7 +59,11 @@ def estimator(kind: str, weight: str | None, seed: int = 42, rounds: int = 300):
 
 
 def train(df: DataFrame, features: list[str], label: str = "Label", kind: str = "random_forest",
-          weight: str | None = None, **kw):
+          weight: str | None = None, rows_per_tree: int | None = ROWS_PER_TREE, **kw):
+    """Fit indexer, assembler and classifier.  `rows_per_tree` bounds what each tree of a
+    random forest is grown from (None: as many as there are rows)."""
+    if kind == "random_forest" and rows_per_tree:
+        kw["sample_rate"] = min(1.0, rows_per_tree / max(1, df.count()))
     idx, vec = _prep(label, features, weight)
     return Pipeline(stages=[idx, vec, estimator(kind, weight, **kw)]).fit(df)
 
@@ -67,26 +77,47 @@ def evaluate(model, df: DataFrame, label: str = "Label") -> DataFrame:
 
 
 def train_and_select(splits: DataFrame, features: list[str], label: str = "Label",
-                     kinds=("random_forest", "logistic", "gbt_ovr"), weight: str | None = "weight") -> DataFrame:
+                     kinds=("random_forest", "logistic", "gbt_ovr"), weight: str | None = "weight",
+                     rounds: int = 300) -> DataFrame:
     """Train each model on the train split, evaluate on test, return the long
     metrics table (model, metric, value); pick with `metrics.best_model`."""
     data = class_weight_column(splits, label) if weight else splits
     tr = data.filter(F.col("split") == "train").cache()
     te = data.filter(F.col("split") == "test").cache()
-    rows = None
-    for kind in kinds:
-        t0 = time.perf_counter()
-        model = train(tr, features, label, kind, weight)
-        secs = time.perf_counter() - t0
-        pred = evaluate(model, te, label)
-        cm = M.confusion_matrix(pred, label, "predicted")
-        m = M.classification_metrics(cm)
-        long = m.select(F.lit(kind).alias("model"), F.inline(F.array(*[
-            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in m.columns])))
-        long = long.unionByName(pred.sparkSession.createDataFrame([(kind, "training_time_s", secs)],
-                                                                  "model string, metric string, value double"))
-        rows = long if rows is None else rows.unionByName(long)
-    return rows
+    rows = []
+    try:
+        for kind in kinds:
+            t0 = time.perf_counter()
+            model = train(tr, features, label, kind, weight, **({"rounds": rounds} if kind == "gbt_ovr" else {}))
+            secs = time.perf_counter() - t0
+            m = M.classification_metrics(M.confusion_matrix(evaluate(model, te, label), label, "predicted")).first()
+            rows += [(kind, c, float(v)) for c, v in m.asDict().items()] + [(kind, "training_time_s", secs)]
+    finally:
+        tr.unpersist()
+        te.unpersist()
+    return splits.sparkSession.createDataFrame(rows, "model string, metric string, value double")
+
+
+def balance(train_split: DataFrame, method: str, label: str = "Label", key: str = "id", vec: str = "vec",
+            seed: int = 42) -> DataFrame:
+    """J5: 'none'; 'weight' adds a balanced weight column; 'oversample' replicates every
+    class to the majority's size (copy_no); 'smote' adds synthetic rows of the vector
+    column for the missing ones (copy_no is their number, key the base row's)."""
+    from flowsight.operators.knn import smote
+    from flowsight.operators.risk import oversample
+    if method == "none":
+        return train_split
+    if method == "weight":
+        return class_weight_column(train_split, label)
+    if method == "oversample":
+        return oversample(train_split, label, key, seed)
+    if method == "smote":
+        real = train_split.select(label, F.col(key), F.col(vec).cast("array<double>").alias(vec),
+                                  F.lit(None).cast("long").alias("copy_no"))
+        new = smote(train_split, label, vec, key, seed=seed).select(
+            label, F.col("base_id").alias(key), F.col("vec").alias(vec), F.col("synthetic_idx").alias("copy_no"))
+        return real.unionByName(new)
+    raise ValueError(method)
 
 
 # --- anomaly detection (J10, J11) ------------------------------------------
@@ -108,6 +139,14 @@ def reconstruction_error(model, df: DataFrame, features: list[str], out: str = "
     return p.withColumn(out, err).drop("features", "proj")
 
 
+def projection_error(df: DataFrame, features: list[str], components: list, out: str = "recon_error") -> DataFrame:
+    """Mean squared reconstruction error for given orthonormal components, each a column
+    expression of the row's projection: (|x|^2 - sum y^2) / d."""
+    square = [F.col(f"`{c}`") * F.col(f"`{c}`") for c in features]
+    rest = sum(square[1:], square[0]) - sum((y * y for y in components[1:]), components[0] * components[0])
+    return df.withColumn(out, F.greatest(rest, F.lit(0.0)) / F.lit(float(len(features))))
+
+
 def detect_anomalies(scored: DataFrame, benign, err: str = "recon_error", pct: float = 0.95):
     """threshold = pct-quantile of benign errors; flag = error > threshold."""
     thr = exact_quantile(scored.filter(benign), err, pct)
@@ -161,6 +200,62 @@ def global_importance(df: DataFrame) -> DataFrame:
     return x.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance")).orderBy(F.desc("importance"))
 
 
+def forest_nodes(model, path: str) -> DataFrame:
+    """Node table of a fitted forest or tree ensemble, written to `path` and read back:
+    tree, node, left, right (-1 at leaves), feature, threshold (left: value <= threshold)
+    and probs, the class shares of the node's training rows."""
+    spark = SparkSession.getActiveSession()
+    model.write().overwrite().save(path)
+    n = spark.read.parquet(path + "/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    total = F.aggregate("impurityStats", F.lit(0.0), lambda a, b: a + b)
+    return n.select("tree", F.col("id").alias("node"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
+                    F.col("split.featureIndex").alias("feature"),
+                    F.when(F.col("leftChild") >= 0, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
+                    F.transform("impurityStats", lambda v: v / total).alias("probs"))
+
+
+def tree_contributions(df: DataFrame, nodes: DataFrame, features: list[str], cls: int) -> DataFrame:
+    """J16 for a random forest of continuous features: per row `base` and the array
+    `contributions` (feature, value), whose sum is the forest's probability of class
+    number `cls`: along a row's path every split adds the change of the class share to its
+    feature, averaged over the trees.  The node table (trees x nodes, bounded by the
+    forest's parameters) goes to every task; a batch of rows walks one tree at a time."""
+    t = nodes.withColumn("p", F.get("probs", F.lit(cls))).select(
+        "tree", "node", "left", "right", "feature", "threshold", "p").toPandas().fillna({"threshold": 0.0})
+    trees, width = int(t["tree"].max()) + 1, int(t["node"].max()) + 1
+    table = {c: np.full((trees, width), -1 if c in ("left", "right", "feature") else 0.0,
+                        dtype=np.int64 if c in ("left", "right", "feature") else float)
+             for c in ("left", "right", "feature", "threshold", "p")}
+    for c, a in table.items():
+        a[t["tree"], t["node"]] = t[c]
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    item = T.StructType([T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("base", T.DoubleType()),
+                           T.StructField("contributions", T.ArrayType(item))])
+
+    def run(batches):
+        a = shared.value
+        base = float(a["p"][:, 0].mean())
+        for pdf in batches:
+            x = pdf[features].to_numpy(dtype=float)
+            out, rows = np.zeros(x.shape), np.arange(len(x))
+            for tr in range(trees):
+                node = np.zeros(len(x), np.int64)
+                live = rows[a["left"][tr, node] >= 0]
+                while len(live):
+                    at = node[live]
+                    f = a["feature"][tr, at]
+                    nxt = np.where(x[live, f] <= a["threshold"][tr, at], a["left"][tr, at], a["right"][tr, at])
+                    np.add.at(out, (live, f), a["p"][tr, nxt] - a["p"][tr, at])
+                    node[live] = nxt
+                    live = live[a["left"][tr, nxt] >= 0]
+            pdf["base"] = base
+            pdf["contributions"] = [[{"feature": n, "value": v} for n, v in zip(features, row)]
+                                    for row in (out / trees).tolist()]
+            yield pdf
+    return df.mapInPandas(run, schema)
+
+
 # --- node classification (J13) and next-event sequence model (J14) ----------
 
 def train_node_classifier(feats: DataFrame, labels: DataFrame, feature_cols: list[str], seed: int = 42):
@@ -196,3 +291,17 @@ def sequence_features(seqs: DataFrame, n_feats: int, n: int = 20) -> tuple[DataF
         exprs.append(F.array_max(vals).alias(f"max_{j}"))
         cols += [f"mean_{j}", f"max_{j}"]
     return seqs.select("*", *exprs), cols
+
+
+def compare_families(candidates: dict[str, tuple[DataFrame, list[str]]], labels: DataFrame, label: str = "label",
+                     key: str = "node", by: str = "f1_macro") -> DataFrame:
+    """One logistic model per feature family (name -> (features, columns)) on the same
+    hashed node split; long metrics table of the test split with is_best per metric."""
+    rows = []
+    for name, (feats, cols) in candidates.items():
+        scored, _ = train_node_classifier(feats.withColumnRenamed(key, "node"), labels, cols)
+        test = scored.filter(F.col("split") == "test")
+        m = M.classification_metrics(M.confusion_matrix(test, "label", "predicted")).first().asDict()
+        rows += [(name, c, float(v) if v is not None else None) for c, v in m.items()]
+    table = labels.sparkSession.createDataFrame(rows, "model string, metric string, value double")
+    return M.compare_models(table, by)

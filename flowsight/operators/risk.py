@@ -72,6 +72,26 @@ def categorize(df: DataFrame, risk: str = "risk_score", out: str = "risk_label")
     return df.withColumn(out, risk_category(F.col(risk)))
 
 
+def batch_risk(flows: DataFrame, parts: dict[str, tuple[DataFrame, str]], weights: dict | None = None) -> DataFrame:
+    """Risk of every flow from fitted components.  `parts` maps a component
+    (classifier, graph, sequence, anomaly) to (DataFrame, key): one value per key, in a
+    column of the component's name, joined onto the flows by that key; a flow without a
+    value keeps the other components (H11), then H12."""
+    x = flows
+    for name, (df, key) in parts.items():
+        x = x.join(df.select(F.col(key).alias(f"_{name}_key"), F.col(name)),
+                   F.col(key) == F.col(f"_{name}_key"), "left").drop(f"_{name}_key")
+    named = {n: (n if n in parts else None) for n in ("classifier", "graph", "sequence", "anomaly")}
+    return categorize(risk_score(x, weights=weights, **named))
+
+
+def risk_distribution(scored: DataFrame) -> DataFrame:
+    """Flows and share per risk category."""
+    c = scored.groupBy("risk_label").agg(F.count(F.lit(1)).alias("n"))
+    total = c.agg(F.sum("n")).first()[0] or 1
+    return c.withColumn("share", F.col("n") / F.lit(total))
+
+
 # --- sampling and splitting -------------------------------------------------
 
 def sample_rows(df: DataFrame, frac: float, key: str = "id", seed: int = 42) -> DataFrame:
@@ -95,7 +115,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "id", seed:
     ntr = F.when(n >= 3, F.least(F.greatest(ntr, F.lit(1)), n - 2)).otherwise(ntr)
     nva = F.when(n >= 3, F.least(F.greatest(nva, F.lit(1)), n - ntr - 1)).otherwise(nva)
     sizes = sizes.select(label, ntr.alias("_ntr"), nva.alias("_nva"))
-    x = x.join(F.broadcast(sizes), label)  # one row per class
+    x = x.join(sizes, label)  # one row per class
     split = F.when(F.col("_rk") < F.col("_ntr"), "train") \
              .when(F.col("_rk") < F.col("_ntr") + F.col("_nva"), "val").otherwise("test")
     return x.withColumn("split", split).drop("_h", "_rk", "_ntr", "_nva")
@@ -107,7 +127,7 @@ def oversample(df: DataFrame, label: str = "label", key: str = "id", seed: int =
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     n_max = sizes.agg(F.max("_nc")).first()[0]
     x = df.withColumn("_h", hash32(key, seed=seed))
-    x = rank_within(x, [label], "_h", key, "_rk").join(F.broadcast(sizes), label)
+    x = rank_within(x, [label], "_h", key, "_rk").join(sizes, label)
     reps = F.expr(f"CAST(({n_max} + _nc - 1) div _nc AS INT)")
     x = x.withColumn("copy_no", F.explode(F.sequence(F.lit(0), reps - 1)))
     x = x.filter(F.col("copy_no") * F.col("_nc") + F.col("_rk") < F.lit(n_max))
