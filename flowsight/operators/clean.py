@@ -139,11 +139,13 @@ def missing_report(df: DataFrame) -> DataFrame:
     return agg.select(F.inline(F.array(*rows)))
 
 
-def clean(df: DataFrame, drop_cols=dims.IDENTITY_COLUMNS, max_missing: float = 0.5) -> DataFrame:
-    """B1 -> B2 -> B3/B4/B5 -> B6 -> B7.  The deduplicated table is written
-    once to the reliable checkpoint directory, so the statistics jobs that
-    follow read it instead of repeating the dedup shuffle."""
-    x = drop_duplicate_rows(df).checkpoint()
+def clean(df: DataFrame, drop_cols=dims.IDENTITY_COLUMNS, max_missing: float = 0.5, stage=None) -> DataFrame:
+    """B1 -> B2 -> B3/B4/B5 -> B6 -> B7.  `stage` (a function from DataFrame to
+    DataFrame: persist, checkpoint, write and read back) is applied once to the
+    deduplicated table, which the statistics jobs that follow read; without it they
+    repeat the dedup shuffle."""
+    x = drop_duplicate_rows(df)
+    x = stage(x) if stage else x
     x = replace_infinities(x)
     x = drop_sparse_columns(x, max_missing)
     x = impute_median(x)
@@ -172,10 +174,10 @@ def align_features(df: DataFrame, cols: list[str], keep=()) -> DataFrame:
 
 def canonicalize_labels(df: DataFrame, dim: DataFrame, raw: str = "Label",
                         default: str = "Normal") -> DataFrame:
-    """Label map as a broadcast left join; unmatched -> default.
-    `dim` is a fixed mapping table (raw, label) of bounded size."""
+    """Label map as a left join; unmatched -> default.
+    `dim` is a mapping table (raw, label); Spark broadcasts it by its size."""
     d = dim.select(F.col("raw").alias("_raw"), F.col("label").alias("_canon"))
-    x = df.join(F.broadcast(d), F.col(q(raw)) == F.col("_raw"), "left")
+    x = df.join(d, F.col(q(raw)) == F.col("_raw"), "left")
     out = [c for c in df.columns if c != "label"]
     return x.select(*[col(c) for c in out], F.coalesce(F.col("_canon"), F.lit(default)).alias("label"))
 
@@ -183,7 +185,7 @@ def canonicalize_labels(df: DataFrame, dim: DataFrame, raw: str = "Label",
 def unmapped_labels(df: DataFrame, dim: DataFrame, raw: str = "Label") -> DataFrame:
     """Raw labels absent from the map, with counts (left anti join)."""
     d = dim.select(F.col("raw").alias(raw))
-    return (df.select(raw).join(F.broadcast(d), raw, "left_anti")
+    return (df.select(raw).join(d, raw, "left_anti")
               .groupBy(raw).agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -9,29 +9,29 @@ from pyspark.sql import functions as F
 
 from flowsight.operators.ordering import global_cumsum
 
-MAX_CLASSES = 10_000
 
-
-def class_list(df: DataFrame, label: str, pred: str) -> list[str]:
-    """Sorted union of true and predicted classes (bounded by the class count)."""
+def class_pairs(df: DataFrame, label: str, pred: str) -> DataFrame:
+    """(actual, predicted) for every pair of classes seen as label or prediction;
+    NULL is a class of its own."""
     v = df.select(F.col(label).alias("c")).union(df.select(F.col(pred).alias("c"))).distinct()
-    out = sorted(r["c"] for r in v.limit(MAX_CLASSES + 1).collect() if r["c"] is not None)
-    if len(out) > MAX_CLASSES:
-        raise ValueError("too many classes for a confusion matrix")
-    return out
+    every = v.agg(F.collect_set(F.struct("c")).alias("cs"))  # a struct: collect_set skips bare nulls
+    return every.select(F.explode("cs").alias("a"), "cs").select(F.col("a.c").alias("actual"), F.explode("cs").alias("p")) \
+        .select("actual", F.col("p.c").alias("predicted"))
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "prediction",
                      labels: list[str] | None = None, normalize: bool = False) -> DataFrame:
-    """(actual, predicted, n) for every class pair, zeros included;
-    `normalize` divides by the actual-class total (empty rows -> 0)."""
-    labels = labels or class_list(df, label, pred)
-    counts = df.groupBy(F.col(label).alias("actual"), F.col(pred).alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n"))
-    grid = df.sparkSession.createDataFrame([(a, p) for a in labels for p in labels],
-                                           "actual string, predicted string")
-    cm = grid.join(F.broadcast(counts) if len(labels) ** 2 <= 1_000_000 else counts,
-                   ["actual", "predicted"], "left").fillna(0, ["n"])
+    """(actual, predicted, n) for every class pair, zeros included, rows with
+    a NULL label or prediction under the class NULL; `normalize` divides by the
+    actual-class total (empty rows -> 0).  `labels` fixes the classes."""
+    counts = df.groupBy(F.col(label).alias("_a"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    if labels is None:
+        grid = class_pairs(df, label, pred)
+    else:
+        cs = F.array(*[F.lit(x) for x in labels])
+        grid = df.sparkSession.range(1).select(F.explode(cs).alias("actual")).withColumn("predicted", F.explode(cs))
+    same = F.col("actual").eqNullSafe(F.col("_a")) & F.col("predicted").eqNullSafe(F.col("_p"))
+    cm = grid.join(counts, same, "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
     if normalize:
         tot = F.sum("n").over(Window.partitionBy("actual"))
         cm = cm.withColumn("rate", F.coalesce(F.try_divide(F.col("n").cast("double"), tot), F.lit(0.0)))
@@ -40,10 +40,12 @@ def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "predictio
 
 def per_class(cm: DataFrame) -> DataFrame:
     """Per-class tp, predicted total, actual total from a confusion table."""
-    tp = cm.filter(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("cls"), F.col("n").alias("tp"))
-    pred = cm.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("n_pred"))
-    act = cm.groupBy(F.col("actual").alias("cls")).agg(F.sum("n").alias("support"))
-    return tp.join(pred, "cls").join(act, "cls")
+    hit = F.when(F.col("actual").eqNullSafe(F.col("predicted")), F.col("n")).otherwise(0)
+    ends = F.array(F.struct(F.col("actual").alias("cls"), hit.alias("tp"), F.lit(0).cast("long").alias("p"), F.col("n").alias("a")),
+                   F.struct(F.col("predicted").alias("cls"), F.lit(0).cast("long").alias("tp"), F.col("n").alias("p"),
+                            F.lit(0).cast("long").alias("a")))
+    return cm.select(F.inline(ends)).groupBy("cls").agg(F.sum("tp").alias("tp"), F.sum("p").alias("n_pred"),
+                                                        F.sum("a").alias("support"))
 
 
 def classification_report(cm: DataFrame) -> DataFrame:

@@ -103,13 +103,21 @@ def row_windows(df: DataFrame, k: int = 20) -> tuple[DataFrame, int]:
 
 
 def attack_density(df: DataFrame, k: int = 20, attacks=None) -> DataFrame:
-    """(window x attack) counts, zero-filled over the fixed attack list."""
-    attacks = attacks or dims.ATTACK_LABELS
+    """(window x attack) counts, zero-filled over the fixed attack list and every
+    attack in the data."""
     x, _ = row_windows(df.select("id", "predicted_attack"), k)
-    agg = x.groupBy("window_no", "window").agg(
-        *[F.count_if(F.col("predicted_attack") == a).alias(f"_a{i}") for i, a in enumerate(attacks)])
-    rows = [F.struct(F.lit(a).alias("attack"), F.col(f"_a{i}").alias("n")) for i, a in enumerate(attacks)]
-    return agg.select("window_no", "window", F.inline(F.array(*rows)))
+    counts = x.groupBy("window_no", "window", F.col("predicted_attack").alias("attack")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.persist()
+    try:
+        seen = counts.agg(F.collect_set("attack").alias("s"), F.collect_set(F.struct("window_no", "window")).alias("w"))
+        fixed = F.array(*[F.lit(a) for a in (attacks or dims.ATTACK_LABELS)])
+        grid = seen.select(F.explode(F.array_union(fixed, F.col("s"))).alias("attack"), "w") \
+            .select("attack", F.inline("w"))
+        out = grid.join(counts, ["window_no", "window", "attack"], "left").select(
+            "window_no", "window", "attack", F.coalesce("n", F.lit(0)).alias("n"))
+        return out.checkpoint()
+    finally:
+        counts.unpersist()
 
 
 def recent_flows(df: DataFrame, n: int = 50) -> DataFrame:
@@ -144,11 +152,10 @@ def update_latest(df: DataFrame, updates: DataFrame, set_cols: list[str], keys=F
     with several updates for a key the newest one wins.  Returns the whole table."""
     target = df.groupBy(*keys).agg(F.max(order).alias("_target"))
     upd = updates.groupBy(*keys).agg(F.max_by(F.struct(*set_cols), F.col(order)).alias("_u"))
-    patch = target.join(upd, keys).select(F.col("_target").alias(order),
+    patch = target.join(upd, keys).select(F.col("_target").alias(order), F.lit(True).alias("_hit"),
                                           *[F.col(f"_u.{c}").alias(f"_new_{c}") for c in set_cols])
     x = df.join(patch, order, "left")
-    x = x.withColumn("_hit", F.col(f"_new_{set_cols[0]}").isNotNull())
-    has = F.col("_hit")
+    has = F.coalesce(F.col("_hit"), F.lit(False))  # an update may set NULLs
     out = [F.when(has, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in set_cols else F.col(c)
            for c in df.columns]
     return x.select(*out, has.alias("updated"))

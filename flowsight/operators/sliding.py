@@ -27,6 +27,11 @@ from pyspark.sql import functions as F
 _REAL, _BACK, _FWD = 0, 1, 2
 
 
+def time_bucket(us_col: str, size: int):
+    """Bucket number of a time in microseconds, rounding down before 1970 too."""
+    return F.expr(f"(`{us_col}` - pmod(`{us_col}`, {size})) div {size}")
+
+
 def choose_bucket_secs(df: DataFrame, keys: list[str], us_col: str, secs: float,
                        target_rows: int = 2_000_000, start_secs: float = 3600.0) -> float:
     """Time-bucket length for (key, bucket) partitions: `start_secs` unless some
@@ -35,7 +40,7 @@ def choose_bucket_secs(df: DataFrame, keys: list[str], us_col: str, secs: float,
     partially aggregated count job; the result only changes partitioning."""
     start = max(start_secs, secs)
     b = int(start * 1_000_000)
-    mx = (df.groupBy(*[F.col(k) for k in keys], F.expr(f"`{us_col}` div {b}").alias("_b"))
+    mx = (df.groupBy(*[F.col(k) for k in keys], time_bucket(us_col, b).alias("_b"))
             .agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]) or 0
     if mx <= target_rows:
         return start
@@ -60,7 +65,7 @@ def sliding_counts(df: DataFrame, keys: list[str], us_col: str, secs: float,
     w = int(round(secs * 1_000_000))
     bsize = int(max(bucket_secs, secs) * 1_000_000)
     us = F.col(us_col)
-    b = F.expr(f"`{us_col}` div {bsize}")
+    b = time_bucket(us_col, bsize)
     in_cols = df.columns
     x = df.withColumn("_in", F.coalesce(where, F.lit(False)) if where is not None else F.lit(True))
     inside = F.col("_in")
@@ -127,7 +132,7 @@ def row_blocks(df: DataFrame, keys: list[str], us_col: str, order_cols: list[str
     if bucket_secs is None:
         bucket_secs = choose_bucket_secs(df, keys, us_col, 1.0)
     bsize = int(bucket_secs * 1_000_000)
-    x = df.withColumn("_tb", F.expr(f"`{us_col}` div {bsize}"))
+    x = df.withColumn("_tb", time_bucket(us_col, bsize))
     kcols = [F.col(k) for k in keys]
     counts = x.groupBy(*kcols, F.col("_tb")).agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select(*keys, "_tb", (F.sum("_n").over(

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from flowsight.functions.columns import r6
 from flowsight.operators import clean as C
 from flowsight.plans.registry import register
-from flowsight.plans.sqlparts import with_dirty
-from flowsight.sources.tables import dirty
+from flowsight.plans.sqlparts import with_dirty, with_feats
+from flowsight.sources.tables import dirty, flow_features
 
 _FLOATS = ["qty", "price", "discount", "rate", "all_nan", "sparse_a", "sparse_b", "const"]
 _ALL = ["id", *_FLOATS, "flag", "status"]
@@ -104,5 +104,26 @@ md AS (SELECT flag AS m FROM d2 WHERE flag IS NOT NULL GROUP BY flag ORDER BY co
   round(CASE WHEN sparse_a IS NULL OR isnan(sparse_a) THEN m_sa ELSE sparse_a END, 6) AS sparse_a,
   coalesce(flag, (SELECT m FROM md), 'unknown') AS flag, status FROM d2, med""")
 def q_clean_chain(spark, sf):
-    x = C.clean(dirty(spark, sf))
+    x = C.clean(dirty(spark, sf), stage=lambda d: d.checkpoint())
     return x.select(*[r6(F.col(c)).alias(c) if c in _FLOATS else F.col(c) for c in x.columns])
+
+
+@register("standardize_label", with_feats() + "SELECT id, Label FROM feats")
+def q_standardize_label(spark, sf):
+    """A5: an untidy label column (case, blanks) renamed and trimmed."""
+    f = flow_features(spark, sf).select("id", F.concat(F.lit("  "), F.col("Label"), F.lit(" ")).alias(" lABEL "))
+    return C.standardize_label(f).select("id", "Label")
+
+
+_FILLED = ["qty", "rate", "sparse_a"]
+
+
+@register("fill_features", with_dirty() + "SELECT id, " + ", ".join(
+    f"round(CASE WHEN {c} IS NULL OR isnan({c}) THEN 0.0 ELSE {c} END, 6) AS {c}" for c in _FILLED)
+    + " FROM dirty WHERE isfinite(coalesce(CASE WHEN isnan(rate) THEN 0.0 ELSE rate END, 0.0))")
+def q_fill_features(spark, sf):
+    """Numeric feature columns in table order, NULL and NaN as 0."""
+    d = dirty(spark, sf).where(~F.col("rate").isin(float("inf"), float("-inf")) | F.col("rate").isNull())
+    cols = C.feature_columns(d, "flag", meta=("id",))
+    x = C.fill_features(d, cols)
+    return x.select("id", *[r6(F.col(c)).alias(c) for c in cols if c in _FILLED])

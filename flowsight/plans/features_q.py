@@ -175,3 +175,53 @@ def q_padded(spark, sf):
                     (F.lit(20) - F.size(F.filter("padded", lambda v: v[0] != 0.0)) -
                      F.lit(0)).alias("n_pad"),
                     r6(F.aggregate(flat, F.lit(0.0), lambda a, b: a + b)).alias("padded_sum"))
+
+
+_G = "OVER (ORDER BY us, id"
+
+
+@register("time_delta_global", with_flows() + f"""SELECT id, round(least(greatest(coalesce(
+  (us - lag(us) {_G})) / 1e6, 0.0), 0.0), 3600.0), 6) AS time_delta FROM flows""")
+def q_time_delta_global(spark, sf):
+    """E1 over one global sequence."""
+    x = W.time_delta(flows(spark, sf).select("id", "ts", "us"), by=(), block_rows=1_000)
+    return x.select("id", r6(F.col("time_delta")).alias("time_delta"))
+
+
+_G10 = f"{_G} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+
+
+@register("rolling_stats_global", with_flows() + f"""SELECT id, round(avg(value) {_G10}, 6) AS value_rolling_mean_10,
+  round(coalesce(stddev_samp(value) {_G10}, 0.0), 6) AS value_rolling_std_10,
+  round(max(value) {_G10}, 6) AS value_rolling_max_10,
+  round(coalesce(value - lag(value) {_G}), 0.0), 6) AS value_diff FROM flows""")
+def q_rolling_global(spark, sf):
+    """E2-E4 over one global sequence."""
+    x = W.rolling_stats(flows(spark, sf).select("id", "us", "value"), "value", by=(), block_rows=1_000)
+    return _r(x, ["id"], ["value_rolling_mean_10", "value_rolling_std_10", "value_rolling_max_10", "value_diff"])
+
+
+_G20 = f"{_G} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+
+
+@register("make_sequences_global", with_flows() + f"""SELECT id, round(seq_sum, 6) AS seq_sum, target FROM (
+  SELECT id, label AS target, count(*) {_G20} AS n, sum(value) {_G20} AS seq_sum FROM flows) WHERE n = 20""")
+def q_sequences_global(spark, sf):
+    """E5 over one global sequence."""
+    x = W.make_sequences(flows(spark, sf).select("id", "us", "value", "label"), ["value"], by=(), block_rows=1_000)
+    total = F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, b: a + b)
+    return x.select("id", r6(total).alias("seq_sum"), "target")
+
+
+@register("statistical_features", with_feats(f"""hz AS (SELECT avg("Flow_Byts/s") AS mb, stddev_samp("Flow_Byts/s") AS sb,
+  avg("Flow_Pkts/s") AS mp, stddev_samp("Flow_Pkts/s") AS sp FROM feats)""") + "SELECT id, round(-(" +
+          " + ".join(f"{p} * log2({p})" for p in _P.values()) + f"""), 6) AS Pkt_Entropy,
+  round((Tot_Fwd_Pkts + Tot_Bwd_Pkts) / {_DUR} * 1e6, 6) AS Connection_Rate,
+  round(("Flow_Byts/s" - mb) / sb, 6) AS byte_z, round(("Flow_Pkts/s" - mp) / sp, 6) AS packet_z,
+  SYN_Flag_Cnt + ACK_Flag_Cnt + PSH_Flag_Cnt + RST_Flag_Cnt AS Total_Flags FROM feats, hz""")
+def q_statistical(spark, sf):
+    """H7: all per-flow features in one pass of four steps."""
+    x = X.statistical_features(flow_features(spark, sf))
+    return x.select("id", r6(F.col("Pkt_Entropy")).alias("Pkt_Entropy"), r6(F.col("Connection_Rate")).alias("Connection_Rate"),
+                    r6(F.col("`Flow_Byts/s_ZScore`")).alias("byte_z"), r6(F.col("`Flow_Pkts/s_ZScore`")).alias("packet_z"),
+                    "Total_Flags")

@@ -125,3 +125,36 @@ def q_benign(spark, sf):
     """Benign rows (all rows when there are none)."""
     from flowsight.operators.clean import benign_rows
     return benign_rows(flows(spark, sf).select("id", "label"), "label")
+
+
+_PREP = ["Flow_Duration", "Tot_Fwd_Pkts", "Pkt_Size_Avg"]
+_PC = ["value", "risk_score", "dst"]
+
+
+@register("prepare_pipeline", with_flows(_RANK, """sp AS (SELECT f.*, CASE WHEN r < ntr THEN 'train'
+  WHEN r < ntr + nva THEN 'val' ELSE 'test' END AS split FROM rk JOIN sz2 USING (label) JOIN flows f ON f.id = rk.id),
+st AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _PC) + " FROM sp WHERE split = 'train')")
+          + "SELECT id, split, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx, "
+          + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in _PC) + " FROM sp, st")
+def q_prepare(spark, sf):
+    """Clean, encode, split, scale, save and load."""
+    from flowsight.operators import prepare as P
+    path = _scratch(spark, "prep")
+    f = flows(spark, sf).select("id", "value", "risk_score", F.col("dst").cast("double").alias("dst"), F.col("label").alias("Label"))
+    P.save(P.prepare(f, stage=lambda d: d.checkpoint()), path)
+    p = P.load(spark, path)
+    return p.splits.select("id", "split", "label_idx", *[r6(F.col(c)).alias(c) for c in _PC])
+
+
+@register("reload_artifacts", ORACLE["standard_scale"])
+def q_reload(spark, sf):
+    """A fitted scaler written, loaded and applied."""
+    from flowsight.operators import features as X
+    from flowsight.operators import prepare as P
+    path = _scratch(spark, "artifacts")
+    f = flow_features(spark, sf).select("id", *_PREP)
+    labels = X.fit_labels(flow_features(spark, sf), "Label")
+    P.save(P.Prepared(f.withColumn("split", F.lit("train")), _PREP, labels, X.fit_standard(f, _PREP)), path)
+    p = P.load(spark, path)
+    x = X.apply_standard(p.splits.select("id", *p.features), p.scaler)
+    return x.select("id", *[r6(F.col(c)).alias(c) for c in p.features])

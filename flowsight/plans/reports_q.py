@@ -213,3 +213,22 @@ _TRAINED = ["Normal", "Brute_Force", "Port_Scan", "HTTP_DDoS"]
 def q_recode(spark, sf):
     from flowsight.operators.clean import recode_unknown
     return recode_unknown(flows(spark, sf), _TRAINED, "label").select("id", "label")
+
+
+@register("traffic_view", _F + """SELECT src_ip, src_port, dst_ip, dst_port, protocol, predicted_attack, risk_label,
+  round(risk_score, 6) AS risk_score, round(confidence, 6) AS confidence FROM flows""")
+def q_traffic_view(spark, sf):
+    """The live stream's projection."""
+    v = R.traffic_view(flows(spark, sf)).drop("ts")
+    return v.withColumns({c: r6(F.col(c)) for c in ("risk_score", "confidence")})
+
+
+@register("join_verdicts", with_flows(_V, _MERGED) + """SELECT id, predicted_attack, round(risk_score, 6) AS risk_score,
+  risk_label, behavior_override FROM final""")
+def q_join_verdicts(spark, sf):
+    """Verdicts computed apart joined onto the flows by id, then merged."""
+    from flowsight.operators.behavior import merge_verdicts
+    from flowsight.plans.behavior_q import verdicts
+    v = verdicts(spark, sf).select("id", "behavioral_attack", "behavioral_confidence", "behavioral_reason")
+    x = merge_verdicts(flows(spark, sf), v)
+    return x.select("id", "predicted_attack", r6(F.col("risk_score")).alias("risk_score"), "risk_label", "behavior_override")
