@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowsight import dims
 from flowsight.functions.columns import is_nonroutable, is_safe_ip
-from flowsight.operators.sliding import choose_bucket_secs, sliding_counts
+from flowsight.operators.sliding import BURST_ROWS, burst_keys, sliding_counts
 
 
 def safe_flow(src_ip: str = "src_ip", dst_ip: str = "dst_ip", local_ips=()) -> F.Column:
@@ -49,32 +49,31 @@ def src_fanout(df: DataFrame, secs: float = dims.WINDOW_SECONDS, src="src_ip", d
 
 
 def auth_rate(df: DataFrame, secs: float = dims.WINDOW_SECONDS, dst="dst_ip", port="dst_port",
-              us="us", order_col="id", bucket_secs: float | None = None, where=None) -> DataFrame:
+              us="us", order_col="id", bucket_secs: float | None = None, where=None, bursts=True) -> DataFrame:
     """Attempts per (destination, auth port) in (t - secs, t]; NULL for other ports."""
     is_auth = F.col(port).isin(*dims.AUTH_PORTS)
     cond = is_auth if where is None else (is_auth & where)
     return sliding_counts(df, [dst, port], us, secs, count_col="auth_count", order_col=order_col,
-                          bucket_secs=bucket_secs, where=cond)
+                          bucket_secs=bucket_secs, where=cond, bursts=bursts)
 
 
 def behavioral_verdict(df: DataFrame, secs: float = dims.WINDOW_SECONDS,
                        flood: int = dims.FLOOD_THRESHOLD, scan: int = dims.SCAN_THRESHOLD,
                        brute: int = dims.BRUTE_THRESHOLD, src_ip="src_ip", dst_ip="dst_ip",
                        port="dst_port", us="us", order_col="id", local_ips=(),
-                       bucket_secs: float | None = None) -> DataFrame:
+                       bucket_secs: float | None = None, burst_rows: int = BURST_ROWS) -> DataFrame:
     """Adds src_rate, src_fanout, auth_count, behavioral_attack,
     behavioral_confidence, behavioral_reason.  Input rows are kept whole;
-    safe flows get NULL counts and no verdict.  Two hash exchanges in total:
-    (source, bucket) and (destination, port, bucket)."""
+    safe flows get NULL counts and no verdict.  Without bursts two hash exchanges in
+    total: (source, bucket) and (destination, port, bucket)."""
     live = ~safe_flow(src_ip, dst_ip, local_ips)
-    # bucket lengths are chosen on the input rows (never on an intermediate
-    # result, which would be computed twice)
-    b_src = bucket_secs or choose_bucket_secs(df, [src_ip], us, secs)
-    b_dst = bucket_secs or choose_bucket_secs(df, [dst_ip, port], us, secs)
+    # bursts are looked for in the input rows, both key sets in one job
+    found = {"src": None, "dst": None} if bucket_secs else burst_keys(
+        df, {"src": [src_ip], "dst": [dst_ip, port]}, us, secs, burst_rows)
     x = sliding_counts(df, [src_ip], us, secs, count_col="src_rate",
                        distinct={"src_fanout": dst_ip}, order_col=order_col,
-                       bucket_secs=b_src, where=live)
-    x = auth_rate(x, secs, dst_ip, port, us, order_col, b_dst, where=live)
+                       bucket_secs=bucket_secs, where=live, bursts=found["src"], burst_rows=burst_rows)
+    x = auth_rate(x, secs, dst_ip, port, us, order_col, bucket_secs, where=live, bursts=found["dst"])
 
     rate, fan, auth = F.col("src_rate"), F.col("src_fanout"), F.col("auth_count")
     secs_txt = str(int(secs)) if float(secs).is_integer() else str(secs)

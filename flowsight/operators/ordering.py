@@ -69,18 +69,39 @@ def rank_within(df: DataFrame, part: list[str], h: str, tiebreak: str, out: str
     return x.join(first, same).withColumn(out, F.col("_pos") - F.col("_first")).drop("_pos", "_first", *keys)
 
 
-def global_cumsum(df: DataFrame, key: str, cols: list[str], rows_per_bucket: int = 2_000_000,
+def _join_same(x: DataFrame, y: DataFrame, keys: list[str], exact: list[str] = ()) -> DataFrame:
+    """x joined to y on `keys` (NULL equals NULL) and `exact`, y's keys dropped."""
+    names = {k: f"_y_{k}" for k in [*keys, *exact]}
+    y = y.withColumnsRenamed(names)
+    cond = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys] + [F.col(k) == F.col(names[k]) for k in exact]
+    return x.join(y, cond).drop(*names.values())
+
+
+def global_cumsum(df: DataFrame, key: str | list[str], cols: list[str], rows_per_bucket: int = 2_000_000,
                   suffix: str = "_cum", part: list[str] = ()) -> DataFrame:
-    """Inclusive running sums of `cols` in ascending order of `key` (unique inside each
-    `part` group) over the whole table: per-(part, partition) totals become offsets
-    (a group meets few range partitions), running sums inside each."""
+    """Inclusive running sums of `cols` in ascending order of `key` (rows that share it in
+    a `part` group come in any order) over the whole table: per-(part, partition) totals
+    become offsets (a group meets few range partitions), running sums inside each."""
     part = list(part)
-    x, _ = placed(df, [*part, key], rows_per_bucket)
+    x, _ = placed(df, [*part, *([key] if isinstance(key, str) else key)], rows_per_bucket)
     tot = x.groupBy(*part, "_pid").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
     ow = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*part, "_pid", *[F.coalesce(F.sum(f"_t{i}").over(ow), F.lit(0)).alias(f"_o{i}")
                                        for i in range(len(cols))])
     w = Window.partitionBy(*part, "_pid").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.join(offs, part + ["_pid"])
+    x = _join_same(x, offs, part, ["_pid"])
     return x.select(*[F.col(c) for c in df.columns],
                     *[(F.col(f"_o{i}") + F.sum(c).over(w)).alias(c + suffix) for i, c in enumerate(cols)])
+
+
+def next_value(df: DataFrame, part: list[str], value: str, order: list[str], out: str,
+               rows_per_bucket: int = 2_000_000) -> DataFrame:
+    """`out` = the value of the next row of the same `part` group in (value, order), NULL
+    for its last row: a lead inside each range partition; a partition's last row takes the
+    first value of the group's next partition."""
+    x, _ = placed(df, [*part, value, *order], rows_per_bucket)
+    firsts = x.groupBy(*part, "_pid").agg(F.min(value).alias("_first"))
+    after = firsts.select(*part, "_pid", F.lead("_first").over(Window.partitionBy(*part).orderBy("_pid")).alias("_after"))
+    lead = F.lead(value).over(Window.partitionBy(*part, "_pid").orderBy("_place"))
+    return _join_same(x, after, part, ["_pid"]).withColumn(out, F.coalesce(lead, F.col("_after"))) \
+        .select(*df.columns, out)

@@ -17,13 +17,17 @@ task.  Here a count over the half-open frame (t - w, t] is a running sum of
 
 One hash shuffle on (key, bucket) serves both windows, a hot key is spread over
 its time buckets, and results equal RANGE-frame semantics exactly (peers at the
-same timestamp are included).
+same timestamp are included).  Keys with a burst - too many rows in one bucket,
+however short - are counted over range partitions of (key, time) instead
+(`_range_counts`), which split inside a window.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowsight.operators.ordering import global_cumsum, next_value
+
 _REAL, _BACK, _FWD = 0, 1, 2
 
 
@@ -47,9 +51,29 @@ def choose_bucket_secs(df: DataFrame, keys: list[str], us_col: str, secs: float,
     return max(float(secs), start * target_rows / mx)
 
 
-def sliding_counts(df: DataFrame, keys: list[str], us_col: str, secs: float,
-                   count_col: str | None = None, distinct: dict[str, str] | None = None,
-                   order_col: str = "id", bucket_secs: float | None = None, where=None) -> DataFrame:
+#: Time covered by a (key, bucket) partition, and the rows from which a key goes over to
+#: range partitions.
+BUCKET_SECS = 3600.0
+BURST_ROWS = 2_000_000
+
+
+def burst_keys(df: DataFrame, key_sets: dict[str, list[str]], us_col: str, secs: float,
+               burst_rows: int = BURST_ROWS) -> dict[str, DataFrame | None]:
+    """Per named key set the keys with more than `burst_rows` rows in some time bucket
+    (None without any).  One counting job for all sets."""
+    size = int(max(BUCKET_SECS, secs) * 1_000_000)
+    bucket = time_bucket(us_col, size)
+    items = F.array(*[F.struct(F.lit(n).alias("_set"), F.to_json(F.struct(*[F.col(k).alias(k) for k in keys])).alias("_key"))
+                      for n, keys in key_sets.items()])
+    many = df.select(F.explode(items).alias("_i"), bucket.alias("_b")).groupBy("_i._set", "_i._key", "_b") \
+        .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > burst_rows).select("_set", "_key").distinct().checkpoint()
+    found = {r["_set"] for r in many.select("_set").distinct().collect()}
+    return {n: many.where(F.col("_set") == n).select("_key") if n in found else None for n in key_sets}
+
+
+def sliding_counts(df: DataFrame, keys: list[str], us_col: str, secs: float, count_col: str | None = None,
+                   distinct: dict[str, str] | None = None, order_col: str = "id", bucket_secs: float | None = None,
+                   where=None, bursts: DataFrame | None | bool = True, burst_rows: int = BURST_ROWS) -> DataFrame:
     """Add per-row counts over the frame (us - w, us] within `keys`.
 
     count_col: output name for the row count (None to skip).
@@ -57,11 +81,57 @@ def sliding_counts(df: DataFrame, keys: list[str], us_col: str, secs: float,
     where:     optional predicate; rows failing it are neither counted nor
                answered (their outputs are NULL) but stay in the result, so
                callers never branch and re-join the plan.
+    bursts:    keys (`burst_keys`) whose rows are counted over range partitions instead of
+               (key, time bucket) ones, so that a burst inside one window spreads over
+               tasks; True finds them, None says that there are none.
     All input columns are carried through; project before calling.
     """
     distinct = distinct or {}
-    if bucket_secs is None:
-        bucket_secs = choose_bucket_secs(df, keys, us_col, secs)
+    if bursts is True:
+        bursts = None if bucket_secs else burst_keys(df, {"k": keys}, us_col, secs, burst_rows)["k"]
+    args = (keys, us_col, secs, count_col, distinct, order_col)
+    if bursts is None:
+        return _bucket_counts(df, *args, bucket_secs or BUCKET_SECS, where)
+    own = F.to_json(F.struct(*[F.col(k).alias(k) for k in keys]))
+    tagged = df.withColumn("_key", own)
+    calm = tagged.join(bursts, "_key", "left_anti").drop("_key")
+    burst = tagged.join(bursts, "_key", "left_semi").drop("_key")
+    return _bucket_counts(calm, *args, bucket_secs or BUCKET_SECS, where).unionByName(
+        _range_counts(burst, *args, where, burst_rows))
+
+
+def _range_counts(df: DataFrame, keys: list[str], us_col: str, secs: float, count_col: str | None,
+                  distinct: dict[str, str], order_col: str, where, rows_per_bucket: int) -> DataFrame:
+    """The same counts as running sums of +1/-1 events in (key, time) order over range
+    partitions; a question at time t comes after all events at t."""
+    w = int(round(secs * 1_000_000))
+    us = F.col(us_col)
+    cols = df.columns
+    inside = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+    x = df.withColumn("_in", inside)
+    for n, v in distinct.items():
+        x = next_value(x, [*keys, "_in", v], us_col, [order_col], f"_nxt_{n}", rows_per_bucket)
+
+    def ev(t, dc, dd, ask=False):
+        return F.struct(t.alias("_t"), F.lit(int(ask)).alias("_s"), F.lit(dc).cast("long").alias("_dc"),
+                        *[F.lit(dd.get(n, 0)).cast("long").alias(f"_dd_{n}") for n in distinct],
+                        (F.struct(*cols, "_in") if ask else F.lit(None).cast(row_type)).alias("_row"))
+    row_type = x.select(F.struct(*cols, "_in").alias("r")).schema["r"].dataType
+    events = [ev(us, 0, {}, ask=True)]
+    counted = [ev(us, 1, {n: 1 for n in distinct}), ev(us + w, -1, {})]
+    counted += [ev(F.least(us + w, F.coalesce(F.col(f"_nxt_{n}"), us + w)), 0, {n: -1}) for n in distinct]
+    events = F.array(*events, *[F.when(F.col("_in"), e) for e in counted])
+    x = x.select(*keys, F.inline(F.filter(events, lambda e: e.isNotNull())))
+    names = ["_dc", *[f"_dd_{n}" for n in distinct]]
+    x = global_cumsum(x, ["_t", "_s"], names, rows_per_bucket, part=keys).where("_s = 1")
+    outs = [F.when(F.col("_row._in"), F.col("_dc_cum")).alias(count_col)] if count_col else []
+    outs += [F.when(F.col("_row._in"), F.col(f"_dd_{n}_cum")).alias(n) for n in distinct]
+    return x.select(*[F.col(f"_row.{c}").alias(c) for c in cols], *outs)
+
+
+def _bucket_counts(df: DataFrame, keys: list[str], us_col: str, secs: float, count_col: str | None,
+                   distinct: dict[str, str], order_col: str, bucket_secs: float, where) -> DataFrame:
+    """Counts over (key, time bucket) partitions with context copies."""
     w = int(round(secs * 1_000_000))
     bsize = int(max(bucket_secs, secs) * 1_000_000)
     us = F.col(us_col)
