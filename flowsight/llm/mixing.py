@@ -119,7 +119,7 @@ def schedule(targets: DataFrame, block_tokens: int, min_blocks: int) -> tuple[Da
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        block_tokens: int = 4096, min_blocks: int = 2048, bucket_rows: int = 50_000) -> DataFrame:
+        block_tokens: int = 4096, min_blocks: int = 2048, bucket_rows: int = 10_000) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (its source's) and
     taken, the words the mix takes of it, repeats counted."""
     prepare(docs.sparkSession)

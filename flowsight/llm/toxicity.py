@@ -119,41 +119,69 @@ def forward_backward(u: np.ndarray, start: np.ndarray, steps: list[tuple[int, np
     return p, (w / w.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
-def token_labels(docs: list[list[str]], toxic: np.ndarray, least: int = 8, odds: float = 2.0) -> list[np.ndarray]:
+@dataclass
+class Corpus:
+    """Tokenised training texts as numbers: one array of word numbers a text, the words
+    in their order, and for every text where a sentence ends."""
+    texts: list[np.ndarray]
+    words: list[str]
+    ends: list[np.ndarray]
+
+    def chains(self) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([len(t) for t in self.texts], np.int64)
+        begin = (np.cumsum(n) - n)[n > 0]
+        after = np.flatnonzero(np.concatenate([np.zeros(0, bool), *self.ends])) + 1
+        starts = np.unique(np.concatenate([begin, after[after < n.sum()]]))
+        return starts, np.diff(np.append(starts, n.sum()))
+
+
+def corpus_of(texts: list[str]) -> Corpus:
+    """Word numbers instead of strings: a token costs four bytes."""
+    tokens: dict[str, int] = {}
+    arrays = [np.array([tokens.setdefault(t, len(tokens)) for t in tokenise(x)], np.int32) for x in texts]
+    words: dict[str, int] = {}
+    word_of = np.array([words.setdefault(bare(t), len(words)) for t in tokens], np.int32)
+    end_of = np.array([t.endswith(ENDS) for t in tokens], bool)
+    empty = np.zeros(0, np.int32)
+    return Corpus([word_of[a] if len(a) else empty for a in arrays], list(words),
+                  [end_of[a] if len(a) else np.zeros(0, bool) for a in arrays])
+
+
+def token_labels(corpus: Corpus, toxic: np.ndarray, least: int = 8, odds: float = 2.0) -> list[np.ndarray]:
     """1 for the tokens of toxic documents with a word or prefix feature whose share
     of toxic documents exceeds e**odds times its share of clean ones."""
-    seen = (Counter(), Counter())
-    for words, y in zip(docs, toxic):
-        seen[int(y)].update({x for w in set(words) for x in features(w) if x[0] in "=^"})
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     least = max(least, n1 // 40)
-    marked = {x for x, c in seen[1].items() if c >= least
-              and np.log((c + .5) / (n1 + 1)) - np.log((seen[0][x] + .5) / (n0 + 1)) >= odds}
-    memo: dict[str, bool] = {}
-
-    def hit(w: str) -> bool:
-        if w not in memo:
-            memo[w] = any(x in marked for x in features(w))
-        return memo[w]
-    return [np.array([y and hit(w) for w in words], bool) for words, y in zip(docs, toxic)]
-
-
-def train_field(tokens: list[list[str]], toxic: np.ndarray, rounds: int = 60, rate: float = 0.3,
+    seen = (Counter(), Counter())
+    for words, y in zip(corpus.texts, toxic):
+        if y:
+            seen[1].update({x for w in np.unique(words).tolist() for x in features(corpus.words[w]) if x[0] in "=^"})
+    often = {x for x, c in seen[1].items() if c >= least}
+    for words, y in zip(corpus.texts, toxic):
+        if not y:
+            seen[0].update({x for w in np.unique(words).tolist() for x in features(corpus.words[w]) if x in often})
+    marked = {x for x in often
+              if np.log((seen[1][x] + .5) / (n1 + 1)) - np.log((seen[0][x] + .5) / (n0 + 1)) >= odds}
+    hit = np.array([any(x in marked for x in features(w)) for w in corpus.words], bool)
+    return [hit[words] if y else np.zeros(len(words), bool) for words, y in zip(corpus.texts, toxic)]
+
+
+def train_field(corpus: Corpus, toxic: np.ndarray, rounds: int = 60, rate: float = 0.3,
                 l2: float = 1.0, least: int = 5) -> Field:
     """Conditional maximum likelihood with weak token labels."""
-    docs = [[bare(t) for t in d] for d in tokens]
-    y = np.concatenate([np.zeros(0, bool), *token_labels(docs, toxic)]).astype(float)
-    start, length = chains(tokens)
+    y = np.concatenate([np.zeros(0, bool), *token_labels(corpus, toxic)]).astype(float)
+    start, length = corpus.chains()
     steps = lockstep(start, length)
-    vocab: dict[str, int] = {}
-    ids = np.array([vocab.setdefault(w, len(vocab)) for d in docs for w in d], np.int64)
+    ids = np.concatenate([np.zeros(0, np.int32), *corpus.texts])
+    n_words = len(corpus.words)
     count: Counter = Counter()  # documents that have the feature
-    for d in docs:
-        count.update({x for w in set(d) for x in features(w)})
-    per_word = [features(w) for w in vocab]
+    for d in corpus.texts:
+        count.update({x for w in np.unique(d).tolist() for x in features(corpus.words[w])})
     names = {x: i for i, x in enumerate(x for x, c in count.items() if c >= least)}
-    rows = [(i, names[x]) for i, fs in enumerate(per_word) for x in fs if x in names]
+    del count
+    rows = [(i, names[x]) for i, w in enumerate(corpus.words) for x in features(w) if x in names]
     word_of, feat = (np.array(c, np.int64) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 2
+    del rows
     n_f = len(names)
     theta = np.zeros(n_f + 6)  # features, bias, start, 2 x 2 transitions
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -165,11 +193,11 @@ def train_field(tokens: list[list[str]], toxic: np.ndarray, rounds: int = 60, ra
     f = Field()
     for k in range(1, rounds + 1):
         w, bias = theta[:n_f], theta[n_f]
-        u = (np.bincount(word_of, w[feat], minlength=len(vocab)) + bias)[ids]
+        u = (np.bincount(word_of, w[feat], minlength=n_words) + bias)[ids]
         f.start, f.trans = theta[n_f + 1], theta[n_f + 2:].reshape(2, 2)
         p, pairs = forward_backward(u, start, steps, f, pairs=True)
         rest = p - y
-        per = np.bincount(ids, rest, minlength=len(vocab))
+        per = np.bincount(ids, rest, minlength=n_words)
         grad = np.concatenate([np.bincount(feat, per[word_of], minlength=n_f), [rest.sum(), rest[first].sum()],
                                (pairs - seen_pairs).ravel()])
         grad = grad + l2 * theta * (np.arange(len(theta)) != n_f)
@@ -265,16 +293,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     y = np.array([t for _, t in rows], float)
     if not len(y) or y.min() == y.max():
         return Field(prior=prior)
-    tokens = [tokenise(t) for t, _ in rows]
     part = np.arange(len(y)) % 3 == 2  # the score is fitted on every third row
     for cls in (0, 1):  # each part needs both classes
         if not (part & (y == cls)).any() or not (~part & (y == cls)).any():
             part = None
             break
     fit, cal = (np.ones(len(y), bool),) * 2 if part is None else (~part, part)
-    f = train_field([t for t, x in zip(tokens, fit) if x], y[fit] > 0)
+    f = train_field(corpus_of([t for (t, _), x in zip(rows, fit) if x]), y[fit] > 0)
     tagger = Tagger(f)
-    x = np.array([tagger.figures(p) for p in tagger.marginals([t for t, c in zip(tokens, cal) if c])])
+    x = np.array([tagger.figures(tagger.marginals([tokenise(t)])[0]) for (t, _), c in zip(rows, cal) if c])
     yc = y[cal]
     share = yc.mean()
     f.doc = fit_score(x, yc, np.where(yc > 0, prior / share, (1 - prior) / (1 - share)))
