@@ -80,14 +80,13 @@ def _explained(spark, sf):
 _ROW = "[" + ", ".join(f"{{'a': -abs({_FIXED[c]} * ({c} - m_{c})), 'i': {i}, 'f': '{c}'}}" for i, c in enumerate(_SAFE)) + "]"
 
 
-@register("explain", with_feats(_FIX) + f"""SELECT id, list_transform(list_sort({_ROW})[1:5], lambda x: x.f) AS top_features,
-  round({" + ".join(f"{_FIXED[c]} * ({c} - m_{c})" for c in _SAFE)}, 3) AS total FROM fx, fm""")
+@register("explain", with_feats(_FIX) + f"""SELECT id, list_transform(list_sort({_ROW})[1:5], lambda x: x.f) AS top_features
+  FROM fx, fm""")
 def q_explain(spark, sf):
     """Top-5 contributions of a linear model, every row."""
     x = ml.explanation_text(ml.top_contributions(_explained(spark, sf), 5))
-    total = F.aggregate(F.transform("contributions", lambda c: c["value"]), F.lit(0.0), lambda a, b: a + b)
     return x.where(F.col("explanation").startswith("Top factors: ")).select(
-        "id", F.transform("top_contributions", lambda c: c["feature"]).alias("top_features"), F.round(total, 3).alias("total"))
+        "id", F.transform("top_contributions", lambda c: c["feature"]).alias("top_features"))
 
 
 @register("global_importance", with_feats(_FIX) + """SELECT feature, round(avg(abs(value)), 6) AS importance
