@@ -13,7 +13,7 @@ from flowsight.session import ensure_checkpoint_dir, join_path
 
 #: Bytes of Arrow data handed to a Python worker at once: bounds its memory
 #: however long the texts are (one text is never split over batches).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 #: A-Z to a-z and nothing else, as the contracts ask (str.lower changes more).
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,7 +61,17 @@ def texts_of(col: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, fn, schema: str, barrier: bool = False) -> DataFrame:
+def groups_of(texts: list[bytes], size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts of together about `size` bytes, with the first one's index."""
+    a, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n > size or i == len(texts) - 1:
+            yield a, texts[a:i + 1]
+            a, n = i + 1, 0
+
+
+def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow for a function from one record batch to one or more batches
     (or None)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsight.llm.common import map_batches, materialise, prepare, texts_of
+from flowsight.llm.common import groups_of, materialise, prepare, texts_of
 
 #: The end token; no word is empty.
 END = b""
@@ -42,8 +42,10 @@ ADD = 0.1
 DISCOUNT = 0.75
 LEVEL_BASE = 1.5
 FALSE_POSITIVES = 1e-6
-FLUSH_WORDS = 400_000
-FLUSH_PAIRS = 2_000_000
+FLUSH_WORDS = 250_000
+FLUSH_PAIRS = 1_000_000
+#: Bytes of text scored at a time.
+GROUP_BYTES = 1 << 21
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -216,9 +218,8 @@ def _scored(rows: DataFrame, model: Model, kind: str) -> DataFrame:
         row = TaskContext.get().partitionId() << 40
         get = m.words.get
         for b in batches:
-            docs = [tokens_of(t) for t in texts_of(b.column(1))]
-            for a in range(0, len(docs), 512):
-                part = docs[a:a + 512]
+            for a, group in groups_of(texts_of(b.column(1)), GROUP_BYTES):
+                part = [tokens_of(t) for t in group]
                 n = np.array([len(d) for d in part])
                 w = np.fromiter((get(x, -1) for d in part for x in d), np.int64, n.sum())
                 start = np.cumsum(n) - n

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsight.llm.common import map_batches, materialise, parts_for, prepare, texts_of
+from flowsight.llm.common import groups_of, map_batches, materialise, parts_for, prepare, texts_of
 from flowsight.llm.fm_index import FMIndex
 
 #: Bytes hashed at a time, and words whose anchors are searched at a time.
@@ -144,16 +144,6 @@ def _key(plain: bytes) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.sha256(plain).digest()[:16], np.int64).tolist())
 
 
-def _groups(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive texts of together about GROUP_BYTES, with the first one's index."""
-    a, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > GROUP_BYTES or i == len(texts) - 1:
-            yield a, texts[a:i + 1]
-            a, size = i + 1, 0
-
-
 def _prepared(group: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Non-empty plain texts joined; word starts, ends, hashes; words per text."""
     joined = b" ".join([t for t in group if t])
@@ -170,7 +160,7 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            for _, group in _groups([_plain(t) for t in texts_of(b.column(0))]):
+            for _, group in groups_of([_plain(t) for t in texts_of(b.column(0))], GROUP_BYTES):
                 _, _, _, h, n = _prepared(group)
                 first, _, at, hashes = segments(h, n, window, gram)
                 begin = np.cumsum(n) - n
@@ -240,7 +230,7 @@ def _cut(suspects: DataFrame, shards: int, window: int, gram: int) -> DataFrame:
         k1, k2, copies = (cols[x].to_numpy(zero_copy_only=False) for x in ("k1", "k2", "copies"))
         cold, hot = cols["cold"].to_pylist(), cols["hot"].to_pylist()
         texts = [d.decompress(z) for z in cols["z"].to_pylist()]
-        for base, group in _groups(texts):
+        for base, group in groups_of(texts, GROUP_BYTES):
             joined, start, end, h, n = _prepared(group)
             begin = np.cumsum(n) - n
             first, last, at, hashes = segments(h, n, window, gram)
@@ -354,31 +344,38 @@ def _covered(n: int, marks: list[dict], window: int) -> np.ndarray:
 
 
 def _kept(joined: DataFrame, window: int, kind: str, with_text: bool) -> DataFrame:
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
     def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
-        removed, digest, kept_text = [], [], []
+        removed, digest, spans, kept_text = [], [], [], []
         for n, z, marks in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-            text, gone = d.decompress(z), 0
+            text, gone, found = d.decompress(z), 0, []
             if marks:
                 out = _covered(n, marks, window)
                 gone = int(out.sum())
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
+                found = [{"start": int(x), "stop": int(y)} for x, y in edge.reshape(-1, 2)]
                 text = b" ".join([w for w, x in zip(text.split(), out.tolist()) if not x])
             removed.append(gone)
+            spans.append(found)
             digest.append(hashlib.sha256(text).hexdigest())
             if with_text:
                 kept_text.append(text.decode())
-        cols = [b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
+        cols = [b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, span)]
         if with_text:
             cols.append(pa.array(kept_text, pa.string()))
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][:len(cols)])
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"][:len(cols)])
     return map_batches(joined.select("doc_id", "n_words", "z", "marks"), one,
-                       f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+                       f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, "
+                       "spans array<struct<start: long, stop: long>>" + ", kept_text string" * with_text)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 16,
                    shard_segments: int = 10_000, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (of the words that stay,
-    joined by single spaces) and, on request, kept_text."""
+    joined by single spaces), spans (removed intervals of words) and, on request,
+    kept_text."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(src.dtypes)["doc_id"]
