@@ -39,17 +39,26 @@ def class_weight_column(df: DataFrame, label: str, out: str = "weight") -> DataF
     return df.join(w, label)  # one row per class
 
 
-#: Labelled rows a tree of the random forest is grown from (a bootstrap sample of that
-#: expected size); the training cost of the forest stops growing with the data there.
-ROWS_PER_TREE = 65_536
+#: Labelled rows a random forest is trained on (a seeded sample, every class with at least
+#: CLASS_ROWS of its rows): its training cost stops growing with the data there.
+FOREST_ROWS, CLASS_ROWS = 65_536, 1_000
 
 
-def estimator(kind: str, weight: str | None, seed: int = 42, rounds: int = 300, sample_rate: float = 1.0):
+def training_sample(df: DataFrame, label: str, rows: int, seed: int = 42) -> DataFrame:
+    """About `rows` rows, every class in its share but with CLASS_ROWS at least (or all)."""
+    n = {r["_l"]: r["n"] for r in df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(n.values())
+    if total <= rows:
+        return df
+    return df.sampleBy(label, {c: min(1.0, max(rows / total, CLASS_ROWS / k)) for c, k in n.items() if c is not None}, seed)
+
+
+def estimator(kind: str, weight: str | None, seed: int = 42, rounds: int = 300):
     w = {"weightCol": weight} if weight else {}
     if kind == "random_forest":       # J7: 200 trees, depth 15, min leaf 2
         return RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=200, maxDepth=15,
                                       minInstancesPerNode=2, seed=seed, maxMemoryInMB=256, cacheNodeIds=True,
-                                      checkpointInterval=10, subsamplingRate=sample_rate, **w)
+                                      checkpointInterval=10, **w)
     if kind == "gbt_ovr":              # J6: boosted trees, one binary model per class
         gbt = GBTClassifier(maxDepth=8, maxIter=rounds, stepSize=0.1, subsamplingRate=0.8, seed=seed)
         return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label_idx", **w)
@@ -59,12 +68,17 @@ def estimator(kind: str, weight: str | None, seed: int = 42, rounds: int = 300,
 
 
 def train(df: DataFrame, features: list[str], label: str = "Label", kind: str = "random_forest",
-          weight: str | None = None, rows_per_tree: int | None = ROWS_PER_TREE, **kw):
-    """Fit indexer, assembler and classifier.  `rows_per_tree` bounds what each tree of a
-    random forest is grown from (None: as many as there are rows)."""
-    if kind == "random_forest" and rows_per_tree:
-        kw["sample_rate"] = min(1.0, rows_per_tree / max(1, df.count()))
+          weight: str | None = None, forest_rows: int | None = FOREST_ROWS, **kw):
+    """Fit indexer, assembler and classifier.  `forest_rows` bounds the rows that a random
+    forest is trained on (None: all); the indexer sees every row's label."""
     idx, vec = _prep(label, features, weight)
+    if kind == "random_forest" and forest_rows:
+        index = idx.fit(df)
+        part = training_sample(df, label, forest_rows).persist()
+        try:
+            return Pipeline(stages=[index, vec, estimator(kind, weight, **kw)]).fit(part)
+        finally:
+            part.unpersist()
     return Pipeline(stages=[idx, vec, estimator(kind, weight, **kw)]).fit(df)
 
 

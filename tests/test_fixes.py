@@ -198,3 +198,10 @@ def test_pagerank_stops_at_its_tolerance(spark):
     a = {r.node: r.pr for r in G.pagerank(e, tol=1e-6).collect()}
     b = {r.node: r.pr for r in G.pagerank(e, tol=1e-12).collect()}
     assert abs(sum(a.values()) - 1) < 1e-9 and all(abs(a[k] - b[k]) < 1e-5 for k in b)
+
+
+def test_forest_sample_keeps_rare_classes(spark):
+    df = spark.range(200_000).select("id", F.when(F.col("id") % 20_000 == 0, "rare").otherwise("common").alias("Label"))
+    n = {r.Label: r["count"] for r in ml.training_sample(df, "Label", 10_000).groupBy("Label").count().collect()}
+    assert n["rare"] == 10 and abs(n["common"] - 10_000) < 600
+    assert ml.training_sample(df, "Label", 300_000) is df
