@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01, documents
+from llm_cases import SF01, documents
 from flowsight.llm import decontaminate as dc
 
 

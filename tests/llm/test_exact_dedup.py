@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AWKWARD
+from llm_cases import AWKWARD
 from flowsight.llm import exact_dedup as ed
 from flowsight.llm.queries import held_out
 

@@ -1,7 +1,7 @@
 """Licence scans against a brute-force lookup."""
 import re
 
-from conftest import SF01, documents
+from llm_cases import SF01, documents
 from flowsight.llm import licenses as lc
 
 MIT = """MIT License

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AWKWARD, SF01, documents
+from llm_cases import AWKWARD, SF01, documents
 from flowsight.llm import lm_score as lm
 from flowsight.llm.queries import held_out
 

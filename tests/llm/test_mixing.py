@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AWKWARD, SF01, documents
+from llm_cases import AWKWARD, SF01, documents
 from flowsight.llm import mixing as mx
 
 

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01, documents
+from llm_cases import SF001, SF01, documents
 from oracle_check import compare, duck
 from flowsight.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
 from flowsight.llm.queries import ORACLE, QUERIES, held_out

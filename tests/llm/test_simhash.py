@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from conftest import AWKWARD, SF01, documents
+from llm_cases import AWKWARD, SF01, documents
 from flowsight.llm import simhash as sh
 
 

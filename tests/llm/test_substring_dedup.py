@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from conftest import AWKWARD, SF01, documents
+from llm_cases import AWKWARD, SF01, documents
 from flowsight.llm import substring_dedup as sd
 
 
@@ -25,6 +25,8 @@ def brute(rows, window=35):
 
 
 def got(df):
+    for r in df.collect():
+        assert r.n_removed == sum(x.stop - x.start for x in r.spans) and all(x.stop - x.start >= 35 for x in r.spans)
     return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()), key=str)
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
-from conftest import AWKWARD, SF01, documents
+from llm_cases import AWKWARD, SF01, documents
 from flowsight.llm import token_counts as tc
 
 

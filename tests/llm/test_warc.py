@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from llm_cases import SF01
 from flowsight.llm import warc
 from flowsight.llm.common import work_path
 
