@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from flowsight.llm.common import map_batches, materialise, prepare
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 600_000
 #: Stretches longer than this are encoded but not remembered.
 MEMO_CHARS = 64
 #: Encodings held at once.
