@@ -2,6 +2,7 @@
 counts derived from the data, Arrow batch access and distributed components."""
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -42,6 +43,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more: Spark
+    deletes them when the driver's JVM collects the plans, which it may not do by
+    itself before the disks fill up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_for(rows: int, per_part: int) -> int:
     """Partition or bucket count from a measured row count."""
     return max(1, -(-int(rows) // per_part))

@@ -1,10 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts every word exactly (a table in the shared folder).  Bigrams whose
-relative frequency is at least ``1 / bigram_rate`` go into a log-frequency Bloom
-filter: a count of c is the level 1 + floor(log_b(c / least)), and the pairs
+Training counts every word exactly (a table in the shared folder), and every bigram
+seen at least twice, whatever its words: the kept bigrams grow with the corpus.  Those
+whose relative frequency is at least ``1 / bigram_rate`` go into a log-frequency Bloom
+filter: a count of c is the level 1 + floor(log_b(c / 2)), and the pairs
 (bigram, 1) .. (bigram, level) are members.  The filter is broadcast; a count is
-read by probing levels until one is missing.  The read count is the lower end of
+read by probing levels until one is missing.  All others stay in a table of levels
+that is split by key hash into bounded shards; a text's other bigrams are dealt to
+the same shards and meet them there.  The read count is the lower end of
 its level, so that with the absolute discount the mass of a history's bigrams stays
 below one and the rest of it is spread by the smoothed unigram:
 
@@ -13,10 +16,10 @@ below one and the rest of it is spread by the smoothed unigram:
 
 Broadcast sizes are bounded by the rates, whatever the corpus: at most
 ``word_rate`` words have a relative frequency of 1 / word_rate or more, and at most
-``bigram_rate`` bigrams one of 1 / bigram_rate; a frequent bigram consists of
-frequent words, so counting pairs of those finds them all.  Rare words of a text
+``bigram_rate`` bigrams one of 1 / bigram_rate.  Rare words of a text
 meet the exact counts in a join; words are first counted per text, and frequent
-ones never reach that join, so no word is a hot key in it.
+ones never reach that join, so no word is a hot key in it.  Rare words are 62-bit
+digests in the bigrams; texts meet their sums by a 64-bit digest, copies once a shard.
 
 Cases: null and empty texts are one end token; with no training text every
 probability is 1 (0.1 / 0.1); rows count as training if ``held_out`` is false or
@@ -25,6 +28,7 @@ rows; extra columns are ignored.
 """
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsight.llm.common import groups_of, materialise, prepare, texts_of
+from flowsight.llm.common import groups_of, materialise, parts_for, prepare, release, texts_of
 
 #: The end token; no word is empty.
 END = b""
@@ -43,7 +47,11 @@ DISCOUNT = 0.75
 LEVEL_BASE = 1.5
 FALSE_POSITIVES = 1e-6
 FLUSH_WORDS = 250_000
-FLUSH_PAIRS = 1_000_000
+FLUSH_PAIRS = 3_000_000
+#: Bigrams seen less often are not kept; the first level of the read counts.
+LEAST = 2.0
+#: Tokens whose bigrams make a shard.
+SHARD_TOKENS = 3_000_000
 #: Bytes of text scored at a time.
 GROUP_BYTES = 1 << 21
 
@@ -125,30 +133,95 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _pair_counts(rows: DataFrame, ids: dict[bytes, int], least: float) -> DataFrame:
-    """(pair, c) of the bigrams of frequent words seen at least ``least`` times; the
-    history of a text's first token is number len(ids)."""
-    size, start = len(ids) + 1, len(ids)
+def _number(word: bytes) -> int:
+    """A rare word's (negative) number in the bigrams."""
+    return -1 - (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 2)
+
+
+def _text_digest(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def _bigrams(part: list[list[bytes]], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of histories and words, and where texts start; a text's first history
+    is number len(words)."""
+    flat = [x for d in part for x in d]
+    w = np.fromiter((words.get(x, -1) for x in flat), np.int64, len(flat))
+    rare = np.flatnonzero(w < 0)
+    w[rare] = [_number(flat[i]) for i in rare.tolist()]
+    n = np.array([len(d) for d in part])
+    start = np.cumsum(n) - n
+    h = np.roll(w, 1)
+    h[start] = len(words)
+    return h, w, start
+
+
+def _pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mix(w.astype(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of int64 numbers, the lowest ones first: small numbers compress."""
+    return np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    blocks = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").ravel() for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.int64), *blocks])
+
+
+def _dealt(shards: int, keys: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row a shard: the numbers of its keys, packed."""
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    used, at = np.unique(shard[order], return_index=True)
+    cut = [*at.tolist(), len(order)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(used), *[pa.array([_planes(x[order[a:b]]) for a, b in zip(cut, cut[1:])], pa.binary()) for x in columns.values()]],
+        ["shard", *columns])
+
+
+def _pair_counts(rows: DataFrame, words: dict[bytes, int], n: int) -> DataFrame:
+    """(h, w, c) of all bigrams seen at least LEAST times, by word numbers."""
+    shards = parts_for(n, SHARD_TOKENS)
+    shared = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
 
         def out() -> pa.RecordBatch:
-            pair, c = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(c.astype(np.int64))], ["pair", "c"])
+            h, w = (np.concatenate(x) for x in zip(*held))
+            keys, at, c = np.unique(_pair_keys(h, w), return_index=True, return_counts=True)
+            return _dealt(shards, keys, h=h[at], w=w[at], c=c)
         for b in batches:
-            for t in texts_of(b.column(0)):
-                w = np.array([start, *[ids.get(x, -1) for x in tokens_of(t)]], np.int64)
-                both = (w[:-1] >= 0) & (w[1:] >= 0)
-                held.append(w[:-1][both] * size + w[1:][both])
-                n += len(held[-1])
+            for _, group in groups_of(texts_of(b.column(0)), GROUP_BYTES):
+                held.append(_bigrams([tokens_of(t) for t in group], shared.value)[:2])
+                n += len(held[-1][0])
                 if n > FLUSH_PAIRS:
                     yield out()
                     held, n = [], 0
-        yield out()
-    return rows.select("text").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")) \
-        .where(F.col("c") >= least)
+        if held:
+            yield out()
+
+    def count(t: pa.Table) -> pa.Table:
+        h, w, c = (_numbers(t.column(x)) for x in "hwc")
+        keys = _pair_keys(h, w)
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+        total = np.add.reduceat(c[order], first)
+        keep = total >= LEAST
+        at = order[first[keep]]
+        return pa.table({"h": h[at], "w": w[at], "c": total[keep]})
+    return rows.select("text").mapInArrow(run, "shard long, h binary, w binary, c binary") \
+        .groupBy("shard").applyInArrow(count, "h long, w long, c long")
+
+
+def read_count(c: Column) -> Column:
+    """The lower end of the level of an exact count, as the filter reads it."""
+    level = F.floor(F.log(c / LEAST) / float(np.log(LEVEL_BASE)) + 1e-9)
+    return LEAST * F.pow(F.lit(LEVEL_BASE), level.cast("double"))
 
 
 class Model:
@@ -165,11 +238,15 @@ class Model:
         self.history = np.append(c[:pair_words], n_texts)
         order = np.argsort(pairs, kind="stable")
         keys = pairs[order].astype(np.uint64)
-        self.filter = LogFrequencyFilter(keys, pair_counts[order].astype(float), least)
+        self.filter = LogFrequencyFilter(keys, pair_counts[order].astype(float), LEAST)
+        self.least = least
         read = self.filter.counts(keys)
         h = (pairs[order] // (pair_words + 1)).astype(np.int64)
         used = np.bincount(h, np.maximum(read - DISCOUNT, 0), minlength=pair_words + 1)
         self.left = np.clip(1 - used / np.maximum(self.history, 1), 1e-9, 1.0)
+        #: As history and left, for all frequent words and the start, over all kept bigrams.
+        self.all_history = np.append(c, n_texts)
+        self.all_left = np.ones(len(c) + 1)
 
     def p1(self, c):
         return (c + ADD) / (self.n + ADD * (self.v + 1))
@@ -192,18 +269,94 @@ class Model:
         return out
 
 
+    def tokens(self, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As gains over all kept bigrams, without what rare histories leave and
+        without the bigrams outside the filter; and which tokens were in it."""
+        k, start = self.pair_words, len(self.log_p1)
+        h = np.where(first, start, np.roll(w, 1))
+        out = np.where(h >= 0, np.log10(self.all_left[h]), 0.0)
+        h1 = np.where(h == start, k, np.where((h >= 0) & (h < k), h, -1))
+        both = np.flatnonzero((h1 >= 0) & (w >= 0) & (w < k))
+        pair, back = np.unique(h1[both] * (k + 1) + w[both], return_inverse=True)
+        c = self.filter.counts(pair.astype(np.uint64))[back]
+        at = both[c > 0]
+        out[at] += np.log10(1 + (c[c > 0] - DISCOUNT) / self.all_history[h[at]] / self.all_left[h[at]] / 10.0 ** self.log_p1[w[at]])
+        hit = np.zeros(len(w), bool)
+        hit[at] = True
+        return out, hit
+
+
 def train(rows: DataFrame, word_rate: int, bigram_rate: int) -> tuple[Model, DataFrame]:
-    """rows(text) -> model and the exact counts (word, c)."""
+    """rows(text) -> model of the frequent bigrams and the exact counts (word, c)."""
+    return _learn(rows, word_rate, bigram_rate)[:2]
+
+
+def _learn(rows: DataFrame, word_rate: int, bigram_rate: int) -> tuple[Model, DataFrame, DataFrame]:
+    """As train, and the kept bigrams (h, w, c)."""
     counts = materialise(_word_counts(rows), "lm-counts")
     r = counts.agg(F.sum("c"), F.count("*"), F.max(F.when(F.length("word") == 0, F.col("c")))).first()
     n, v, n_texts = int(r[0] or 0), int(r[1]), int(r[2] or 0)
     frequent = counts.where(F.col("c") >= max(1, n / word_rate)).orderBy(F.desc("c"), "word").collect()
     words = {bytes(x.word): x.c for x in frequent}  # at most word_rate of them
-    least = max(2.0, n / bigram_rate)
-    ids = {w: i for i, (w, c) in enumerate(words.items()) if c >= least}
-    pairs = _pair_counts(rows, ids, least).collect()  # at most bigram_rate of them
-    return Model(words, n, v, n_texts, len(ids), np.array([p.pair for p in pairs], np.int64),
-                 np.array([p.c for p in pairs], np.int64), least), counts
+    least = max(LEAST, n / bigram_rate)
+    pair_words = sum(c >= least for c in words.values())
+    kept = materialise(_pair_counts(rows, {w: i for i, w in enumerate(words)}, n), "lm-pairs")
+    release(rows.sparkSession)
+    start = len(words)
+    top = kept.where((F.col("c") >= least) & _in_filter(start, pair_words)).collect()  # at most bigram_rate of them
+    pairs = np.array([(pair_words if p.h == start else p.h) * (pair_words + 1) + p.w for p in top], np.int64)
+    return Model(words, n, v, n_texts, pair_words, pairs, np.array([p.c for p in top], np.int64), least), counts, kept
+
+
+def _in_filter(start: int, pair_words: int) -> Column:
+    """Bigrams of the filter's words; with rates that leave frequent bigrams to rarer
+    words, these stay in the table."""
+    return ((F.col("h") == start) | F.col("h").between(0, pair_words - 1)) & F.col("w").between(0, pair_words - 1)
+
+
+def _rare_words(model: Model, counts: DataFrame, kept: DataFrame, word_rate: int) -> DataFrame:
+    """(word, number, c, left) of the words that are not broadcast."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([_number(x) for x in b.column(0).to_pylist()], pa.int64()), b.column(1)],
+                ["word", "number", "c"])
+    words = counts.where(F.col("c") < max(1, model.n / word_rate)).mapInArrow(run, "word binary, number long, c long")
+    used = kept.where("h < 0").groupBy(F.col("h").alias("number")).agg(F.sum(read_count(F.col("c")) - DISCOUNT).alias("used"))
+    left = F.greatest(1 - F.coalesce("used", F.lit(0.0)) / F.col("c"), F.lit(1e-9))
+    return materialise(words.join(used, "number", "left").select("word", "number", "c", left.alias("left")), "lm-rare-words")
+
+
+def _bonuses(model: Model, kept: DataFrame, rare: DataFrame, shards: int) -> DataFrame:
+    """(shard, key, bonus) of the kept bigrams outside the filter: what they add to a
+    token's log10 of its history's left mass times P1."""
+    start = len(model.log_p1)
+    rest = kept.where(~((F.col("c") >= model.least) & _in_filter(start, model.pair_words)))
+    shared = rest.sparkSession.sparkContext.broadcast((model.all_history, model.all_left, np.append(10.0 ** model.log_p1, 1.0), model.p1(0.0),
+                                                       ADD, model.n + ADD * (model.v + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        history, left, p1, p0, add, total = shared.value
+        for b in batches:
+            h, w, read, hc, hl, wc = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            hc, hl = np.where(h >= 0, history[np.maximum(h, 0)], hc), np.where(h >= 0, left[np.maximum(h, 0)], hl)
+            pw = np.where(w >= 0, p1[np.maximum(w, 0)], (wc + add) / total)
+            keys = _pair_keys(h, w)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((keys % np.uint64(shards)).astype(np.int64)), pa.array(keys.view(np.int64)),
+                 pa.array(np.log10(1 + (read - DISCOUNT) / hc / hl / pw))], ["shard", "key", "bonus"])
+    # frequent words are broadcast and take no part in the joins
+    read = read_count(F.col("c")).alias("read")
+    one = F.lit(1.0)
+    plain = rest.where("h >= 0 and w >= 0").select("h", "w", read, one.alias("hc"), one.alias("hl"), one.alias("wc"))
+    hist = rare.select(F.col("number").alias("h"), F.col("c").cast("double").alias("hc"), F.col("left").alias("hl"))
+    word = rare.select(F.col("number").alias("w"), F.col("c").cast("double").alias("wc"))
+    after = rest.where("h < 0").select("h", "w", read).join(hist, "h")
+    after_known = after.where("w >= 0").select("h", "w", "read", "hc", "hl", one.alias("wc"))
+    before = rest.where("h >= 0 and w < 0").select("h", "w", read, one.alias("hc"), one.alias("hl"))
+    both = after.where("w < 0").select("h", "w", "read", "hc", "hl").unionByName(before).join(word, "w") \
+        .select("h", "w", "read", "hc", "hl", "wc")
+    return plain.unionByName(after_known).unionByName(both).mapInArrow(run, "shard long, key long, bonus double")
 
 
 # -------------------------------------------------------------------- scoring
@@ -227,7 +380,7 @@ def _scored(rows: DataFrame, model: Model, kind: str) -> DataFrame:
                 first[start] = True
                 known = w >= 0
                 base = np.add.reduceat(np.where(known, m.log_p1[w] if len(m.log_p1) else 0.0, 0.0), start)
-                gain = np.add.reduceat(m.gains(w, first), start)
+                gain = np.add.reduceat(m.tokens(w, first)[0], start)
                 rare, times, sizes = [], [], []
                 at = np.flatnonzero(~known)
                 cut = np.searchsorted(at, start)
@@ -242,12 +395,57 @@ def _scored(rows: DataFrame, model: Model, kind: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + len(part))), b.column(0).slice(a, len(part)),
                      b.column(2).slice(a, len(part)), pa.array(n.astype(np.int64)),
-                     pa.array(np.add.reduceat(known, start, dtype=np.int64)), pa.array(base), pa.array(gain), words],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "gain", "rare"])
+                     pa.array(np.add.reduceat(known, start, dtype=np.int64)), pa.array(base), pa.array(gain), words,
+                     pa.array([_text_digest(t) for t in group], pa.int64())],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "gain", "rare", "digest"])
                 row += len(part)
     return rows.select("doc_id", "text", "held_out").mapInArrow(
         run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_frequent long, base double, gain double, "
-             "rare array<struct<word: binary, times: long>>")
+             "rare array<struct<word: binary, times: long>>, digest long")
+
+
+def _shard_gains(rows: DataFrame, model: Model, bonuses: DataFrame, shards: int) -> DataFrame:
+    """(digest, shard_gain): per text digest and shard the bonuses of its bigrams
+    outside the filter, of one copy of the text."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            for _, group in groups_of(texts_of(b.column(0)), 4 * GROUP_BYTES):
+                h, w, start = _bigrams([tokens_of(t) for t in group], m.words)
+                first = np.zeros(len(w), bool)
+                first[start] = True
+                rest = np.flatnonzero(~m.tokens(np.maximum(w, -1), first)[1])
+                text = np.searchsorted(start, rest, "right") - 1
+                keys = _pair_keys(h[rest], w[rest])
+                shard = (keys % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                used, at = np.unique(shard[order], return_index=True)
+                out: list[list[bytes]] = [[], [], []]
+                digests = np.array([_text_digest(t) for t in group], np.int64)
+                for a, z in zip(at.tolist(), [*at.tolist()[1:], len(order)]):
+                    here, times = np.unique(text[order[a:z]], return_counts=True)
+                    for o, x in zip(out, (keys[order[a:z]].view(np.int64), digests[here], times)):
+                        o.append(_planes(x))
+                if len(used):
+                    yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(o, pa.binary()) for o in out]],
+                                                     ["shard", "keys", "digests", "times"])
+
+    def meet(probes: pa.Table, table: pa.Table) -> pa.Table:
+        keys, digests, times = (_numbers(probes.column(x)) for x in ("keys", "digests", "times"))
+        known, bonus = table.column("key").to_numpy(), table.column("bonus").to_numpy()
+        order = np.argsort(known)
+        known, bonus = np.append(known[order], 0), np.append(bonus[order], 0.0)
+        at = np.searchsorted(known[:-1], keys)
+        gain = np.where((known[at] == keys) & (at < len(known) - 1), bonus[at], 0.0)
+        sums = np.add.reduceat(gain, np.cumsum(times) - times) if len(times) else np.zeros(0)
+        # equal texts have equal bigrams: the first one stands for all
+        digest, at = np.unique(digests, return_index=True)
+        hit = sums[at] != 0
+        return pa.table({"digest": digest[hit], "shard_gain": sums[at][hit]})
+    probes = rows.select("text").mapInArrow(run, "shard long, keys binary, digests binary, times binary")
+    return probes.groupBy("shard").cogroup(bonuses.groupBy("shard")).applyInArrow(meet, "digest long, shard_gain double")
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -259,16 +457,25 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
         .withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     kind = dict(rows.dtypes)["doc_id"]
-    model, counts = train(rows.where(~F.col("held_out")), word_rate, bigram_rate)
+    model, counts, kept = _learn(rows.where(~F.col("held_out")), word_rate, bigram_rate)
+    used = kept.where("h >= 0").groupBy("h").agg(F.sum(read_count(F.col("c")) - DISCOUNT).alias("used")).collect()
+    for u in used:  # at most word_rate and the start
+        model.all_left[u.h] = min(max(1 - u.used / model.all_history[u.h], 1e-9), 1.0)
+    rare_words = _rare_words(model, counts, kept, word_rate)
     scored = materialise(_scored(rows, model, kind), "lm-scored")
     p0 = float(np.log10(model.p1(0.0)))
     log_p = F.log10((F.col("c") + ADD) / F.lit(float(model.n + ADD * (model.v + 1))))
-    rare_counts = counts.where(F.col("c") < max(1, model.n / word_rate))
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times") \
-        .join(rare_counts, "word", "left") \
+        .join(rare_words.select("word", "c", "left"), "word", "left") \
         .groupBy("row").agg(F.sum(F.col("times") * F.coalesce(log_p, F.lit(p0))).alias("rare_base"),
+                            F.sum(F.col("times") * F.coalesce(F.log10("left"), F.lit(0.0))).alias("rare_gain"),
                             F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
+    shards = parts_for(model.n, SHARD_TOKENS)
+    more = materialise(_shard_gains(rows, model, _bonuses(model, kept, rare_words, shards), shards)
+                       .groupBy("digest").agg(F.sum("shard_gain").alias("more")), "lm-more")
+    release(rows.sparkSession)
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    gain = F.col("gain") + F.coalesce("rare_gain", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))
+    return scored.drop("rare").join(rare, "row", "left").join(more, "digest", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+        F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + gain).alias("score"))

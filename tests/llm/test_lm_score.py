@@ -83,3 +83,26 @@ def test_score_beats_the_base_where_bigrams_repeat(spark):
     rep = spark.createDataFrame([(i, "alpha beta gamma delta " * 5) for i in range(60)], "doc_id long, text string")
     out = lm.score(rep, held_out(10, 0)).collect()
     assert all(x.score > 0.5 * x.base_score for x in out)
+
+
+@pytest.mark.parametrize("rates", [(500_000, 100_000), (2_000, 500)])
+def test_every_repeated_bigram_counts(spark, rates):
+    """Scores by brute force over all bigrams seen twice, whatever the rates."""
+    docs = documents(spark, SF01).limit(600).unionByName(documents(spark, SF01).limit(3)).localCheckpoint()
+    got = lm.score(docs, held_out(10, 0), word_rate=rates[0], bigram_rate=rates[1]).collect()
+    rows = [(d.doc_id, [None, *tokens(d.text)]) for d in docs.collect()]
+    train = [w for i, w in rows if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(x for w in train for x in w)
+    pairs = Counter(p for w in train for p in zip(w, w[1:]))
+    n = sum(c.values()) - c[None]
+    read = {p: 2 * 1.5 ** math.floor(math.log(k / 2) / math.log(1.5) + 1e-9) for p, k in pairs.items() if k >= 2}
+    used = Counter()
+    for (h, _), r in read.items():
+        used[h] += r - 0.75
+
+    def log_p(h, w):
+        left = max(1 - used[h] / c[h], 1e-9) if c[h] else 1.0
+        p1 = (c[w] + 0.1) / (n + 0.1 * len(c))  # None stands for the unknown word
+        return math.log10((max(read[h, w] - 0.75, 0) / c[h] if (h, w) in read else 0) + left * p1)
+    want = sorted((i, round(sum(map(log_p, w, w[1:])), 4)) for i, w in rows)
+    assert sorted((r.doc_id, round(r.score, 4)) for r in got) == want
