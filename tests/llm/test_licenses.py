@@ -69,3 +69,23 @@ def test_own_table_awkward_and_empty(spark, awkward, empty):
     assert got == sorted(((d.doc_id, *brute(d.text, named)) for d in docs.collect()), key=str)
     assert lc.scan(empty, table).count() == 0
     assert lc.scan(awkward, table.limit(0)).where("licences is not null or size(line_licences) > 0").count() == 0
+
+
+def test_full_texts_and_notices_of_several_lines(spark):
+    """Full licence texts are known, and found inside other text however wrapped."""
+    full = dict(reversed(lc.full_texts()))
+    apache = dict(lc.HEADERS)["Apache-2.0"]
+    wrapped = "\n".join("# " + " ".join(apache.split()[i:i + 5]) for i in range(0, len(apache.split()), 5))
+    rows = [(i, "Copyright (c) 2021 Me\n\n" + t) for i, t in enumerate(full.values())]
+    rows += [(100, "Some code\n" + full["MIT"] + "\nmore"), (101, "#!/bin/sh\n" + wrapped + "\n\nx=1\n"),
+             (102, "MIT License\n\n(c) 2020 A\n\n" + full["MIT"]), (103, "intro\n" + full["MIT"].strip() + " not\nmore"),
+             (104, "a\n" + full["BSD-3-Clause"].replace("\n", "\n// ") + "\nb\n" + full["GPL-3.0"] + "\nc")]
+    got = {r.doc_id: (r.licences, r.line_licences) for r in lc.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in range(len(full))] == [[k] for k in full]
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0"} <= set(full)
+    assert got[100] == (None, ["MIT"]) and got[102][0] == ["MIT"] and got[103] == (None, [])
+    assert got[101] == (None, ["Apache-2.0"])
+    assert {"BSD-3-Clause", "GPL-3.0"} <= set(got[104][1])
+    short = spark.createDataFrame([("n", "one two"), ("p", "sublicense of it")], "licence string, text string")
+    docs = spark.createDataFrame([(1, "x\none\n\ntwo\nthree"), (2, "x\nsub\nlicence of\nit\ny"), (3, "one\ntwos\n")], "doc_id int, text string")
+    assert sorted((r.doc_id, r.line_licences) for r in lc.scan(docs, short).collect()) == [(1, ["n"]), (2, ["p"]), (3, [])]
