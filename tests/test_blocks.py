@@ -2,7 +2,7 @@
 buckets so carried rows and context copies are exercised, compare to DuckDB."""
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from cases import SF01
 from flowsight.functions.columns import r6
 from flowsight.operators import behavior as B
 from flowsight.operators import windows as W

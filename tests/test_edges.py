@@ -144,7 +144,7 @@ def test_graph_edge_nodes(spark):
 @pytest.mark.parametrize("secs", [30, 86400])
 def test_sliding_counts_bucket_invariance(spark, secs):
     from flowsight.sources.tables import flows
-    from conftest import SF001
+    from cases import SF001
     f = flows(spark, SF001).select("id", "us", "src_ip", "dst_ip", "dst_port")
     a = {r["id"]: (r["src_rate"], r["src_fanout"], r["auth_count"])
          for r in B.behavioral_verdict(f, secs, 6, 5, 3, bucket_secs=secs).collect()}

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from cases import SF001
 from flowsight.operators import graph as G
 from flowsight.operators import metrics as M
 from flowsight.operators import ml

@@ -2,7 +2,7 @@
 import hashlib
 from collections import deque
 
-from conftest import SF001
+from cases import SF001
 from flowsight.operators import graph as G
 from flowsight.sources.tables import flows
 

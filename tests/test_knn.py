@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from cases import SF01
 from flowsight.operators.knn import knn_edges, smote
 
 

@@ -1,7 +1,7 @@
 """Model tests: planted outliers, separable data, determinism."""
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from cases import SF001
 from flowsight.operators import iforest as I
 from flowsight.operators import ml
 from flowsight.operators.stats import exact_quantile

@@ -1,7 +1,7 @@
 """Every registered query with oracle SQL must equal DuckDB on sf0.01."""
 import pytest
 
-from conftest import SF01
+from cases import SF01
 from flowsight.plans.all import ORACLE, QUERIES
 from oracle_check import compare, duck
 

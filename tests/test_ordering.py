@@ -2,7 +2,7 @@
 must equal a single sorted pass."""
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from cases import SF01
 from flowsight.operators.ordering import global_cumsum, global_row_number, rank_within, hash32
 
 

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from cases import SF01
 from flowsight.operators import behavior as B
 from flowsight.sources.tables import flows
 

@@ -3,7 +3,7 @@ narrowing takes several rounds and values repeat heavily."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from cases import SF01
 from flowsight.operators.stats import exact_quantiles
 
 
