@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import (decontaminate, exact_dedup, licenses, lm_score, mixing, simhash, substring_dedup, token_counts,
-                           toxicity, warc)
+from flowsight.llm import (decontaminate, exact_dedup, licenses, lm_score, merkle, mixing, simhash, substring_dedup,
+                           token_counts, toxicity, warc)
 from flowsight.llm.common import table
 
 QUERIES: dict = {}
@@ -148,3 +148,52 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     LEFT JOIN g ON g.doc_id = o.doc_id AND g.source IS NOT DISTINCT FROM o.source AND g.off = o.off AND o.size > 0""")
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op13_merkle", r"""
+    WITH RECURSIVE bits(x, k, c) AS (
+      SELECT v, 0, v FROM (SELECT unnest(range(256)) AS v)
+      UNION ALL SELECT x, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY x) AS t FROM bits WHERE k = 8),
+    d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                 coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                   lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 3 = 0, false) AS hit
+          FROM documents, crc),
+    f AS (SELECT doc_id, lang, hit, concat(
+            coalesce(concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'),
+            coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars), '-')) AS head,
+            coalesce(concat(strlen(text), ':', text), '-') AS body, coalesce(concat(strlen(low), ':', low), '-') AS lowered FROM d),
+    g AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256(head || body) AS leaf,
+                 CASE WHEN hit THEN sha256(head || lowered) ELSE sha256(head || body) END AS changed FROM f),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS pos,
+                      count(*) OVER (PARTITION BY tree) AS n FROM g),
+    lv(lvl, tree, pos, h, n) AS (
+      SELECT 0, tree, pos, leaf, n FROM leaves
+      UNION ALL SELECT lvl + 1, tree, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8
+      FROM lv WHERE n > 1 GROUP BY lvl, tree, pos // 8, n),
+    sub AS (SELECT tree AS grp, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS gpos,
+                   count(*) OVER () AS gn FROM lv WHERE n = 1),
+    up(lvl, tree, pos, h, n) AS (
+      SELECT 0, 'all', gpos, subroot, gn FROM sub
+      UNION ALL SELECT lvl + 1, tree, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8
+      FROM up WHERE n > 1 GROUP BY lvl, tree, pos // 8, n),
+    nodes AS (SELECT * FROM lv UNION ALL SELECT * FROM up),
+    sib AS (SELECT lvl, tree, pos, coalesce(string_agg(h, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+                   coalesce(string_agg(h, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+            FROM nodes WHERE n > 1 WINDOW r AS (PARTITION BY lvl, tree, pos // 8 ORDER BY pos)),
+    fold(lvl, tree, pos, grp, gp, h, proof) AS (
+      SELECT 0, tree, pos, tree, pos, changed, '' FROM leaves
+      UNION ALL SELECT s.lvl + 1, s.tree, s.pos // 8, grp, gp, sha256(s.lft || f.h || s.rgt), proof || s.lft || s.rgt
+      FROM fold f JOIN sib s ON s.lvl = f.lvl AND s.tree = f.tree AND s.pos = f.pos),
+    half AS (SELECT grp, gp, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM fold GROUP BY grp, gp),
+    fold2(lvl, tree, pos, grp, gp, h, proof) AS (
+      SELECT 0, 'all', gpos, grp, gp, h, proof FROM half JOIN sub USING (grp)
+      UNION ALL SELECT s.lvl + 1, s.tree, s.pos // 8, grp, gp, sha256(s.lft || f.h || s.rgt), proof || s.lft || s.rgt
+      FROM fold2 f JOIN sib s ON s.lvl = f.lvl AND s.tree = f.tree AND s.pos = f.pos),
+    done AS (SELECT grp, gp, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM fold2 GROUP BY grp, gp)
+    SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, done.h AS folded_root, done.h = r.h AS verified
+    FROM leaves JOIN done ON done.grp = leaves.tree AND done.gp = leaves.pos JOIN sub ON sub.grp = leaves.tree,
+         (SELECT h FROM up WHERE n = 1) AS r""")
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree a language; tampering lower-cases the text where crc32 of the id divides by 3."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
