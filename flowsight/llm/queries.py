@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import (decontaminate, exact_dedup, licenses, lm_score, merkle, mixing, simhash, substring_dedup,
-                           token_counts, toxicity, warc)
+from flowsight.llm import (decontaminate, exact_dedup, lexical_search, licenses, lm_score, merkle, mixing, simhash,
+                           substring_dedup, token_counts, toxicity, warc)
 from flowsight.llm.common import table
 
 QUERIES: dict = {}
@@ -150,6 +150,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+_TERM_SQL = r"""list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"""
+
+
+@register("op11_search", rf"""
+    WITH x AS (SELECT row_number() OVER () AS r, doc_id, unnest({_TERM_SQL.replace('list_distinct', '')}) AS term FROM documents),
+    l AS (SELECT r, count(*) AS n FROM x GROUP BY r),
+    z AS (SELECT count(*) AS nd, CAST(sum(n) AS HUGEINT) AS nt FROM l),
+    p AS (SELECT r, doc_id, term, count(*) AS tf FROM x GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+          FROM p, z GROUP BY term, nd),
+    q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERM_SQL}) AS term FROM benchmark)),
+    s AS (SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) //
+                 (1000 * tf + 8 * (10 + CAST((CAST(90 AS HUGEINT) * n * nd) // nt AS BIGINT))))) AS BIGINT) AS score
+          FROM q JOIN w USING (term) JOIN p USING (term) JOIN l USING (r), z GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 10""")
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item against all documents, ten best each."""
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 @register("op13_merkle", r"""
     WITH RECURSIVE bits(x, k, c) AS (
       SELECT v, 0, v FROM (SELECT unnest(range(256)) AS v)
