@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import (decontaminate, exact_dedup, lexical_search, licenses, lm_score, merkle, mixing, simhash,
-                           substring_dedup, token_counts, toxicity, warc)
+from flowsight.llm import (decontaminate, exact_dedup, lexical_search, licenses, lm_score, merkle, mixing, packing,
+                           simhash, substring_dedup, token_counts, toxicity, warc)
 from flowsight.llm.common import table
 
 QUERIES: dict = {}
@@ -172,6 +172,12 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+@register("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 2,048 ids; no SQL: the tokenizer is a library."""
+    return packing.pack(table(spark, sf_dir, "documents")).pieces.drop("pid", "row")
+
+
 @register("op13_merkle", r"""
     WITH RECURSIVE bits(x, k, c) AS (
       SELECT v, 0, v FROM (SELECT unnest(range(256)) AS v)

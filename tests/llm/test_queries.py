@@ -15,14 +15,14 @@ def test_query_matches_sql(spark, name):
     assert compare(QUERIES[name](spark, SF01), duck(SF01), ORACLE[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"op8_decontaminate"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"op8_decontaminate", "op12_packing"}))
 def test_query_without_sql_has_a_row_per_document(spark, name):
     out = QUERIES[name](spark, SF001)
     assert out.count() == documents(spark, SF001).count() and out.select("doc_id").distinct().count() == out.count()
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 12), 13]
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages_take_effect(spark):
