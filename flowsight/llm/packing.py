@@ -30,6 +30,8 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,14 @@ WINDOW = 2048
 #: Width of a length class in tokens, and pieces in a combination at most.
 CLASS, DEPTH = 16, 4
 #: Tokens of the line that one task cuts.
-STRETCH = 1 << 18
-MEMO_WORDS = 800_000
+STRETCH = 1 << 15
+#: Words in the young half of the memo; the old half is what was young before.
+MEMO_WORDS = 700_000
 #: Longer words are encoded but not remembered.
 MEMO_BYTES = 64
-WORDS_AT_ONCE = 512
+WORDS_AT_ONCE = 8192
+#: Between a letter and these a word ends whatever stands around them.
+PUNCTUATION = b".,;:!?"
 
 # ------------------------------------------------------------------ token ids
 
@@ -66,6 +71,7 @@ class Encoder:
         mark = self.ids("\0")
         self.mark = mark[0] if len(mark) == 1 else None
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -79,23 +85,47 @@ class Encoder:
         ends = np.flatnonzero(got == self.mark).tolist() + [len(got)]
         return [raw[(a + 1) * size:b * size] for a, b in zip([-1, *ends], ends)]
 
+    def _learn(self, words: set[bytes]) -> list[bytes]:
+        """Put words into the memo; returns what was put in.  A word that ends in a letter
+        and punctuation is made of the two, so that only its letters are encoded."""
+        memo, old = self.memo, self.old
+        made, new = {}, set()
+        for w in words:
+            if w in old:
+                memo[w] = old[w]
+                continue
+            stem = w.rstrip(PUNCTUATION)
+            if len(stem) < len(w) and stem[-1:].islower():  # of bytes: a to z
+                made[w] = stem, w[len(stem):]
+                new.update(p for p in made[w] if p not in memo)
+            else:
+                new.add(w)
+        todo = list(new)
+        for i in range(0, len(todo), WORDS_AT_ONCE):
+            some = todo[i:i + WORDS_AT_ONCE]
+            memo.update(zip(some, self._words(some)))
+        memo.update({w: memo[a] + memo[b] for w, (a, b) in made.items()})
+        return [*todo, *made]
+
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         last = np.array([end], self.kind)
         if not self.words_apart:
             return [np.concatenate([self.ids(t.decode()), last]) for t in texts]
         if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        memo = self.memo
-        cut = [t.split() for t in texts]
-        new = [w for w in set().union(*cut) if w not in memo]
-        for i in range(0, len(new), WORDS_AT_ONCE):
-            some = new[i:i + WORDS_AT_ONCE]
-            memo.update(zip(some, self._words(some)))
-        out = [np.frombuffer(b"".join([memo[w] for w in ws]) + last.tobytes(), self.kind) for ws in cut]
+            self.memo, self.old = {}, self.memo
+        memo, end_bytes = self.memo, last.tobytes()
+        # the tokenizer lowers letters itself, but not in its special strings
+        cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        got = [list(map(memo.get, ws)) for ws in cut]
+        unknown = [list(compress(range(len(ws)), map(not_, ids))) for ws, ids in zip(cut, got)]
+        new = self._learn({ws[i] for ws, at in zip(cut, unknown) for i in at})
+        for ws, ids, at in zip(cut, got, unknown):
+            for i in at:
+                ids[i] = memo[ws[i]]
         for w in new:
             if len(w) > MEMO_BYTES:
                 del memo[w]
-        return out
+        return [np.frombuffer(b"".join(ids) + end_bytes, self.kind) for ids in got]
 
 
 @functools.lru_cache(maxsize=2)
@@ -272,9 +302,9 @@ def _running(df: DataFrame, group: str, order: str, value: str, out: str) -> tup
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1,
          window: int = WINDOW, width: int = CLASS, depth: int = DEPTH, words_apart: bool = True) -> Packing:
-    """Pack all documents.  words_apart: the tokenizer drops white space and never looks
-    across it, so that words can be encoded one by one (true of the default's rules);
-    otherwise whole texts are encoded."""
+    """Pack all documents.  words_apart: the tokenizer lowers letters, drops white space and
+    never looks across it or from a letter to a punctuation mark, so that words can be
+    encoded one by one (true of the default's rules); otherwise whole texts are encoded."""
     spark = docs.sparkSession
     prepare(spark)
     path = tokenizer or default_tokenizer()

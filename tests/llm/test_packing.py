@@ -68,7 +68,7 @@ def test_awkward_rows_and_small_windows(spark, awkward, empty, library, monkeypa
 def test_words_apart_equal_whole_texts(library):
     rng = random.Random(5)
     alphabet = ["a", "B", "é", "é", "́", " ", "  ", "\t", "\x0b", "\x0c", "\r\n", "\x85", "\xa0", " ", "\x1c", "\x00",
-                "'s", "'", "<|endoftext|>", "<|startoftext|>", "9", "12", "!", "日本", "İ", "Σ", "ß", "</w>", "​", "🏳️‍🌈"]
+                "'s", "'S", "'", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", ".", "..", ",", "?", "K", "É", "E", "9", "12", "!", "日本", "İ", "Σ", "ß", "</w>", "​", "🏳️‍🌈"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)]
     enc = packing.Encoder(packing.default_tokenizer(), True)
     for t, got, want in zip(texts, enc.encode([t.encode() for t in texts], 1), library.encode_batch(texts, add_special_tokens=False)):
