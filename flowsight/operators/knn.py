@@ -170,15 +170,16 @@ def smote(df: DataFrame, label: str, vec: str = "vec", key: str = "id", k: int =
     """Synthesise points for every class up to the majority size:
     x + u (neighbour - x) with a neighbour among the k = min(5, n_min - 1)
     nearest same-class rows; base row, neighbour and u come from seeded hashes
-    of the synthetic index (reproducible, independent of partitioning)."""
+    of the synthetic index (reproducible, independent of partitioning).  A class of one row
+    has no neighbour and repeats its row; NULL is a class of its own."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     st = sizes.agg(F.max("_nc").alias("mx"), F.min("_nc").alias("mn")).first()
     kk = max(1, min(k, st["mn"] - 1))
     nn = knn_edges(df.select(label, key, vec), vec, key, kk, part=[label])
-    from flowsight.operators.ordering import rank_within
+    from flowsight.operators.ordering import join_same, rank_within
     base = rank_within(df.select(label, F.col(key).alias("id"), F.col(vec).alias("vec"))
                        .withColumn("_h", hash32("id", seed=seed)), [label], "_h", "id", "_rk")
-    base = base.join(sizes, label)
+    base = join_same(base, sizes, [label])
     # synthetic j of a class uses base row (j mod n_c); rows with rank r own j = r, r + n_c, ...
     need = F.col("_mx") - F.col("_nc")
     base = base.withColumn("_mx", F.lit(st["mx"])).withColumn(
@@ -190,7 +191,8 @@ def smote(df: DataFrame, label: str, vec: str = "vec", key: str = "id", k: int =
     syn = syn.withColumn("rank", (hj % kk + 1).cast("int")).withColumn("u", (hj.cast("double") / HASH_SPACE))
     nbr = nn.select(F.col("src").alias("id"), "rank", F.col("dst").alias("nbr"))
     vecs = df.select(F.col(key).alias("nbr"), F.col(vec).alias("nvec"))
-    syn = syn.join(nbr, ["id", "rank"]).join(vecs, "nbr")
+    # a lone row is its own neighbour
+    syn = syn.join(nbr, ["id", "rank"], "left").withColumn("nbr", F.coalesce("nbr", "id")).join(vecs, "nbr")
     out = syn.select(F.col(label), F.col("j").alias("synthetic_idx"), F.col("id").alias("base_id"), "nbr", "u",
                      F.zip_with("vec", "nvec", lambda a, b: a + F.col("u") * (b - a)).alias("vec"))
     return out

@@ -1,9 +1,9 @@
 """Spark ML jobs (J5-J8, J10-J12, J16, J17; D27, F3-F5, H21).
 
 Training and scoring are Spark ML estimators on assembled vectors; evaluation
-reuses the count-based metrics of `metrics`.  Re-aimed items: the boosted-tree
-libraries become one-vs-rest GBTs, the deep autoencoder becomes its linear form
-(PCA reconstruction error), and SHAP explanations of the linear model are exact
+reuses the count-based metrics of `metrics`.  Forests, boosted trees and their Shapley
+values are in `trees`.  Re-aimed items: the deep autoencoder becomes its linear form
+(PCA reconstruction error), and explanations of the linear model are exact
 coefficient x (value - mean) contributions.
 """
 from __future__ import annotations
@@ -12,8 +12,7 @@ import time
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsight.operators import metrics as M
+from flowsight.operators import trees
+from flowsight.operators.ordering import join_same
 from flowsight.operators.stats import exact_quantile
 
 
@@ -32,34 +33,16 @@ def _prep(label: str, features: list[str], weight: str | None):
 
 
 def class_weight_column(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Balanced weights n / (k n_c) as a column (J5 'weight' method)."""
+    """Balanced weights n / (k n_c) as a column (J5 'weight' method); NULL is a class of its own."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     st = counts.agg(F.sum("_nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
     w = counts.select(label, (F.lit(float(st["n"])) / (F.lit(st["k"]) * F.col("_nc"))).alias(out))
-    return df.join(w, label)  # one row per class
-
-
-#: Labelled rows a random forest is trained on (a seeded sample, every class with at least
-#: CLASS_ROWS of its rows): its training cost stops growing with the data there.
-FOREST_ROWS, CLASS_ROWS = 65_536, 1_000
-
-
-def training_sample(df: DataFrame, label: str, rows: int, seed: int = 42) -> DataFrame:
-    """About `rows` rows, every class in its share but with CLASS_ROWS at least (or all)."""
-    n = {r["_l"]: r["n"] for r in df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(n.values())
-    if total <= rows:
-        return df
-    return df.sampleBy(label, {c: min(1.0, max(rows / total, CLASS_ROWS / k)) for c, k in n.items() if c is not None}, seed)
+    return join_same(df, w, [label])  # one row per class
 
 
 def estimator(kind: str, weight: str | None, seed: int = 42, rounds: int = 300):
     w = {"weightCol": weight} if weight else {}
-    if kind == "random_forest":       # J7: 200 trees, depth 15, min leaf 2
-        return RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=200, maxDepth=15,
-                                      minInstancesPerNode=2, seed=seed, maxMemoryInMB=256, cacheNodeIds=True,
-                                      checkpointInterval=10, **w)
-    if kind == "gbt_ovr":              # J6: boosted trees, one binary model per class
+    if kind == "gbt_ovr":              # boosted trees of Spark ML, one binary model per class
         gbt = GBTClassifier(maxDepth=8, maxIter=rounds, stepSize=0.1, subsamplingRate=0.8, seed=seed)
         return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label_idx", **w)
     if kind == "logistic":
@@ -68,30 +51,33 @@ def estimator(kind: str, weight: str | None, seed: int = 42, rounds: int = 300):
 
 
 def train(df: DataFrame, features: list[str], label: str = "Label", kind: str = "random_forest",
-          weight: str | None = None, forest_rows: int | None = FOREST_ROWS, **kw):
-    """Fit indexer, assembler and classifier.  `forest_rows` bounds the rows that a random
-    forest is trained on (None: all); the indexer sees every row's label."""
+          weight: str | None = None, key: str | None = None, **kw):
+    """Fit a classifier: 'random_forest' (J7) and 'boosted' (J6) are histogram trees, the
+    others Spark ML pipelines of indexer, assembler and classifier.  `key` identifies a row
+    in the trees' samples (its features where it is None and there is no `id`)."""
+    if kind in ("random_forest", "boosted"):
+        fit = trees.fit_forest if kind == "random_forest" else trees.fit_boosted
+        if key is None and "id" not in df.columns:
+            df, key = df.withColumn("_key", F.xxhash64(*[F.col(f"`{f}`") for f in features])), "_key"
+        return fit(df, features, label, key or "id", weight, **kw)
     idx, vec = _prep(label, features, weight)
-    if kind == "random_forest" and forest_rows:
-        index = idx.fit(df)
-        part = training_sample(df, label, forest_rows).persist()
-        try:
-            return Pipeline(stages=[index, vec, estimator(kind, weight, **kw)]).fit(part)
-        finally:
-            part.unpersist()
     return Pipeline(stages=[idx, vec, estimator(kind, weight, **kw)]).fit(df)
 
 
+def labels_of(model) -> list:
+    """Class names in the order of a model's class numbers."""
+    return model.labels if isinstance(model, trees.TreeModel) else model.stages[0].labels
+
+
 def evaluate(model, df: DataFrame, label: str = "Label") -> DataFrame:
     """Predictions decoded back to label names, then D17-D19."""
     p = model.transform(df)
-    labels = model.stages[0].labels
-    names = F.element_at(F.array(*[F.lit(x) for x in labels]), (F.col("prediction") + 1).cast("int"))
+    names = F.element_at(F.array(*[F.lit(x) for x in labels_of(model)]), (F.col("prediction") + 1).cast("int"))
     return p.withColumn("predicted", names)
 
 
 def train_and_select(splits: DataFrame, features: list[str], label: str = "Label",
-                     kinds=("random_forest", "logistic", "gbt_ovr"), weight: str | None = "weight",
+                     kinds=("random_forest", "logistic", "boosted"), weight: str | None = "weight",
                      rounds: int = 300) -> DataFrame:
     """Train each model on the train split, evaluate on test, return the long
     metrics table (model, metric, value); pick with `metrics.best_model`."""
@@ -102,7 +88,7 @@ def train_and_select(splits: DataFrame, features: list[str], label: str = "Label
     try:
         for kind in kinds:
             t0 = time.perf_counter()
-            model = train(tr, features, label, kind, weight, **({"rounds": rounds} if kind == "gbt_ovr" else {}))
+            model = train(tr, features, label, kind, weight, **({"rounds": rounds} if kind in ("boosted", "gbt_ovr") else {}))
             secs = time.perf_counter() - t0
             m = M.classification_metrics(M.confusion_matrix(evaluate(model, te, label), label, "predicted")).first()
             rows += [(kind, c, float(v)) for c, v in m.asDict().items()] + [(kind, "training_time_s", secs)]
@@ -112,11 +98,16 @@ def train_and_select(splits: DataFrame, features: list[str], label: str = "Label
     return splits.sparkSession.createDataFrame(rows, "model string, metric string, value double")
 
 
+#: Below this many rows in a class neighbours mean little: copies instead of SMOTE.
+SMOTE_ROWS = 6
+
+
 def balance(train_split: DataFrame, method: str, label: str = "Label", key: str = "id", vec: str = "vec",
             seed: int = 42) -> DataFrame:
     """J5: 'none'; 'weight' adds a balanced weight column; 'oversample' replicates every
     class to the majority's size (copy_no); 'smote' adds synthetic rows of the vector
-    column for the missing ones (copy_no is their number, key the base row's)."""
+    column for the missing ones (copy_no is their number, key the base row's), or, where a
+    class has fewer than SMOTE_ROWS rows, copies of its rows as 'oversample' does."""
     from flowsight.operators.knn import smote
     from flowsight.operators.risk import oversample
     if method == "none":
@@ -128,6 +119,10 @@ def balance(train_split: DataFrame, method: str, label: str = "Label", key: str
     if method == "smote":
         real = train_split.select(label, F.col(key), F.col(vec).cast("array<double>").alias(vec),
                                   F.lit(None).cast("long").alias("copy_no"))
+        least = train_split.groupBy(label).count().agg(F.min("count")).first()[0] or 0
+        if least < SMOTE_ROWS:
+            copies = oversample(train_split, label, key, seed).withColumn("copy_no", F.expr("nullif(copy_no, 0)").cast("long"))
+            return copies.select(*real.columns[:2], F.col(vec).cast("array<double>").alias(vec), "copy_no")
         new = smote(train_split, label, vec, key, seed=seed).select(
             label, F.col("base_id").alias(key), F.col("vec").alias(vec), F.col("synthetic_idx").alias("copy_no"))
         return real.unionByName(new)
@@ -214,64 +209,6 @@ def global_importance(df: DataFrame) -> DataFrame:
     return x.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance")).orderBy(F.desc("importance"))
 
 
-def forest_nodes(model, path: str) -> DataFrame:
-    """Node table of a fitted forest or tree ensemble, written to `path` and read back:
-    tree, node, left, right (-1 at leaves), feature, threshold (left: value <= threshold)
-    and probs, the class shares of the node's training rows."""
-    spark = SparkSession.getActiveSession()
-    model.write().overwrite().save(path)
-    n = spark.read.parquet(path + "/data").select(F.col("treeID").alias("tree"), "nodeData.*")
-    total = F.aggregate("impurityStats", F.lit(0.0), lambda a, b: a + b)
-    return n.select("tree", F.col("id").alias("node"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
-                    F.col("split.featureIndex").alias("feature"),
-                    F.when(F.col("leftChild") >= 0, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
-                    F.transform("impurityStats", lambda v: v / total).alias("probs"))
-
-
-def tree_contributions(df: DataFrame, nodes: DataFrame, features: list[str], cls: int) -> DataFrame:
-    """J16 for a random forest of continuous features: per row `base` and the array
-    `contributions` (feature, value), whose sum is the forest's probability of class
-    number `cls`: along a row's path every split adds the change of the class share to its
-    feature, averaged over the trees.  The node table (trees x nodes, bounded by the
-    forest's parameters) goes to every task; a batch of rows walks one tree at a time."""
-    t = nodes.withColumn("p", F.get("probs", F.lit(cls))).select(
-        "tree", "node", "left", "right", "feature", "threshold", "p").toPandas().fillna({"threshold": 0.0})
-    trees, width = int(t["tree"].max()) + 1, int(t["node"].max()) + 1
-    table = {c: np.full((trees, width), -1 if c in ("left", "right", "feature") else 0.0,
-                        dtype=np.int64 if c in ("left", "right", "feature") else float)
-             for c in ("left", "right", "feature", "threshold", "p")}
-    for c, a in table.items():
-        a[t["tree"], t["node"]] = t[c]
-    shared = df.sparkSession.sparkContext.broadcast(table)
-    item = T.StructType([T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())])
-    schema = T.StructType([*df.schema.fields, T.StructField("base", T.DoubleType()),
-                           T.StructField("contributions", T.ArrayType(item))])
-
-    def run(batches):
-        a = shared.value
-        base = float(a["p"][:, 0].mean())
-        for pdf in batches:
-            x = pdf[features].to_numpy(dtype=float)
-            out, rows = np.zeros(x.shape), np.arange(len(x))
-            for tr in range(trees):
-                node = np.zeros(len(x), np.int64)
-                live = rows[a["left"][tr, node] >= 0]
-                while len(live):
-                    at = node[live]
-                    f = a["feature"][tr, at]
-                    nxt = np.where(x[live, f] <= a["threshold"][tr, at], a["left"][tr, at], a["right"][tr, at])
-                    np.add.at(out, (live, f), a["p"][tr, nxt] - a["p"][tr, at])
-                    node[live] = nxt
-                    live = live[a["left"][tr, nxt] >= 0]
-            pdf["base"] = base
-            pdf["contributions"] = [[{"feature": n, "value": v} for n, v in zip(features, row)]
-                                    for row in (out / trees).tolist()]
-            yield pdf
-    return df.mapInPandas(run, schema)
-
-
-# --- node classification (J13) and next-event sequence model (J14) ----------
-
 def train_node_classifier(feats: DataFrame, labels: DataFrame, feature_cols: list[str], seed: int = 42):
     """Logistic regression on propagated node features; nodes split 60/20/20 by
     a seeded hash; risk = 100 x (1 - P(Normal)).  Returns (scored nodes, model)."""

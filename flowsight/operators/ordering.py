@@ -69,7 +69,7 @@ def rank_within(df: DataFrame, part: list[str], h: str, tiebreak: str, out: str
     return x.join(first, same).withColumn(out, F.col("_pos") - F.col("_first")).drop("_pos", "_first", *keys)
 
 
-def _join_same(x: DataFrame, y: DataFrame, keys: list[str], exact: list[str] = ()) -> DataFrame:
+def join_same(x: DataFrame, y: DataFrame, keys: list[str], exact: list[str] = ()) -> DataFrame:
     """x joined to y on `keys` (NULL equals NULL) and `exact`, y's keys dropped."""
     names = {k: f"_y_{k}" for k in [*keys, *exact]}
     y = y.withColumnsRenamed(names)
@@ -89,7 +89,7 @@ def global_cumsum(df: DataFrame, key: str | list[str], cols: list[str], rows_per
     offs = tot.select(*part, "_pid", *[F.coalesce(F.sum(f"_t{i}").over(ow), F.lit(0)).alias(f"_o{i}")
                                        for i in range(len(cols))])
     w = Window.partitionBy(*part, "_pid").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    x = _join_same(x, offs, part, ["_pid"])
+    x = join_same(x, offs, part, ["_pid"])
     return x.select(*[F.col(c) for c in df.columns],
                     *[(F.col(f"_o{i}") + F.sum(c).over(w)).alias(c + suffix) for i, c in enumerate(cols)])
 
@@ -103,5 +103,5 @@ def next_value(df: DataFrame, part: list[str], value: str, order: list[str], out
     firsts = x.groupBy(*part, "_pid").agg(F.min(value).alias("_first"))
     after = firsts.select(*part, "_pid", F.lead("_first").over(Window.partitionBy(*part).orderBy("_pid")).alias("_after"))
     lead = F.lead(value).over(Window.partitionBy(*part, "_pid").orderBy("_place"))
-    return _join_same(x, after, part, ["_pid"]).withColumn(out, F.coalesce(lead, F.col("_after"))) \
+    return join_same(x, after, part, ["_pid"]).withColumn(out, F.coalesce(lead, F.col("_after"))) \
         .select(*df.columns, out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsight import dims
 from flowsight.functions.columns import risk_category
-from flowsight.operators.ordering import HASH_SPACE, hash32, rank_within
+from flowsight.operators.ordering import hash32, HASH_SPACE, join_same, rank_within
 from flowsight.operators.stats import exact_quantile
 
 
@@ -105,7 +105,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "id", seed:
     """Exact per-class split sizes train = round(n x 70%), val =
     round(n x 15%), test = rest, with at least one row in each split when a class
     has 3 or more rows.  Rows are ranked by a seeded hash inside their class
-    (hash-bucketed, so a majority class is spread over many tasks)."""
+    (hash-bucketed, so a majority class is spread over many tasks).  NULL is a class of its own."""
     x = df.withColumn("_h", hash32(key, seed=seed))
     x = rank_within(x, [label], "_h", key, "_rk")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
@@ -115,7 +115,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "id", seed:
     ntr = F.when(n >= 3, F.least(F.greatest(ntr, F.lit(1)), n - 2)).otherwise(ntr)
     nva = F.when(n >= 3, F.least(F.greatest(nva, F.lit(1)), n - ntr - 1)).otherwise(nva)
     sizes = sizes.select(label, ntr.alias("_ntr"), nva.alias("_nva"))
-    x = x.join(sizes, label)  # one row per class
+    x = join_same(x, sizes, [label])  # one row per class
     split = F.when(F.col("_rk") < F.col("_ntr"), "train") \
              .when(F.col("_rk") < F.col("_ntr") + F.col("_nva"), "val").otherwise("test")
     return x.withColumn("split", split).drop("_h", "_rk", "_ntr", "_nva")
@@ -123,11 +123,11 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "id", seed:
 
 def oversample(df: DataFrame, label: str = "label", key: str = "id", seed: int = 42) -> DataFrame:
     """Replicate every class to the majority class size; copy k of row r is
-    kept while k x n_c + rank(r) < n_max (exact sizes, reproducible)."""
+    kept while k x n_c + rank(r) < n_max (exact sizes, reproducible).  NULL is a class of its own."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     n_max = sizes.agg(F.max("_nc")).first()[0]
     x = df.withColumn("_h", hash32(key, seed=seed))
-    x = rank_within(x, [label], "_h", key, "_rk").join(sizes, label)
+    x = join_same(rank_within(x, [label], "_h", key, "_rk"), sizes, [label])
     reps = F.expr(f"CAST(({n_max} + _nc - 1) div _nc AS INT)")
     x = x.withColumn("copy_no", F.explode(F.sequence(F.lit(0), reps - 1)))
     x = x.filter(F.col("copy_no") * F.col("_nc") + F.col("_rk") < F.lit(n_max))

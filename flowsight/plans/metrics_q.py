@@ -209,3 +209,28 @@ def q_split(spark, sf):
   WHERE k * n + r < nmax""")
 def q_oversample(spark, sf):
     return K.oversample(flows(spark, sf).select("id", "label")).select("id", "label", "copy_no")
+
+
+#: Labels missing on every tenth flow: NULL is a class of its own.
+_NULLS = "nf AS (SELECT id, CASE WHEN id % 10 <> 0 THEN label END AS label FROM flows)"
+_NULL_RANK = _RANK.replace("FROM flows)", "FROM nf)")
+
+
+def _some_labels(spark, sf):
+    return flows(spark, sf).select("id", F.when(F.col("id") % 10 != 0, F.col("label")).alias("label"))
+
+
+@register("split_null_labels", with_flows(_NULLS, _NULL_RANK) + """SELECT id, rk.label,
+  CASE WHEN r < ntr THEN 'train' WHEN r < ntr + nva THEN 'val' ELSE 'test' END AS split
+  FROM rk JOIN sz2 ON rk.label IS NOT DISTINCT FROM sz2.label""")
+def q_split_nulls(spark, sf):
+    """J1 with missing labels."""
+    return K.stratified_split(_some_labels(spark, sf)).select("id", "label", "split")
+
+
+@register("oversample_null_labels", with_flows(_NULLS, _NULL_RANK) + """SELECT id, label, CAST(k AS INTEGER) AS copy_no
+  FROM rk, (SELECT max(n) AS nmax FROM rk) m, range(0, (nmax + n - 1) // n) t(k)
+  WHERE k * n + r < nmax""")
+def q_oversample_nulls(spark, sf):
+    """J4 with missing labels."""
+    return K.oversample(_some_labels(spark, sf)).select("id", "label", "copy_no")

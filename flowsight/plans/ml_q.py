@@ -1,6 +1,8 @@
 """Spark ML queries (rows-only checks; quality bounds are in tests/test_ml.py)."""
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from flowsight.operators import features as X
 from flowsight.operators import metrics as M
 from flowsight.operators import ml
 from flowsight.operators import risk as K
+from flowsight.operators import trees
 from flowsight.plans.metrics_q import _PRED, components
 from flowsight.plans.registry import register
 from flowsight.plans.sqlparts import with_feats, with_flows
@@ -31,9 +34,9 @@ def prepared(spark, sf):
 
 @register("train_select")
 def q_train_select(spark, sf):
-    """Random forest, logistic regression and boosted trees (10 rounds here;
-    the operator's default is 300), metrics on test."""
-    m = ml.train_and_select(prepared(spark, sf), _SAFE, "Label", rounds=10)
+    """Random forest (200 trees), logistic regression and boosted trees (60
+    rounds here; the operator's default is 300), metrics on test."""
+    m = ml.train_and_select(prepared(spark, sf), _SAFE, "Label", rounds=60)
     return M.compare_models(m).select("model", "metric", r6(F.col("value")).alias("value"), "is_best")
 
 
@@ -57,10 +60,11 @@ def q_weights(spark, sf):
     return spark.createDataFrame([(k, float(v)) for k, v in w.items()], "component string, weight double")
 
 
-#: Coefficients given to both sides of the explanation checks.
-_FIXED = {c: (-1) ** i * (i + 1) / 8.0 for i, c in enumerate(_SAFE)}
+#: Coefficients given to both sides of the explanation checks; roots, so that no product
+#: lies halfway between two of the sentence's decimals.
+_FIXED = {c: (-1) ** i * math.sqrt(i + 2) for i, c in enumerate(_SAFE)}
 _FIX = ("fx AS (SELECT id, " + ", ".join(f'"{a}" AS {b}' for a, b in zip(FEATURES, _SAFE)) + " FROM feats),\n"
-        "fm AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in _SAFE) + " FROM fx),\n"
+        "fm AS (SELECT " + ", ".join(f"round(avg({c}), 4) AS m_{c}" for c in _SAFE) + " FROM fx),\n"
         "ct AS (SELECT id, unnest([" + ", ".join(
             f"{{'i': {i}, 'feature': '{c}', 'value': {_FIXED[c]} * ({c} - m_{c})}}" for i, c in enumerate(_SAFE))
         + "]) AS c FROM fx, fm),\ncs AS (SELECT id, c.i AS i, c.feature AS feature, c.value AS value FROM ct)")
@@ -73,20 +77,23 @@ def _features(spark, sf):
 def _explained(spark, sf):
     """Contributions of the fixed linear model over all rows."""
     f = _features(spark, sf)
-    means = f.agg(*[F.avg(c).alias(c) for c in _SAFE]).first().asDict()
+    means = f.agg(*[F.round(F.avg(c), 4).alias(c) for c in _SAFE]).first().asDict()  # the same on both sides
     return ml.linear_contributions(f, _SAFE, _FIXED, means)
 
 
-_ROW = "[" + ", ".join(f"{{'a': -abs({_FIXED[c]} * ({c} - m_{c})), 'i': {i}, 'f': '{c}'}}" for i, c in enumerate(_SAFE)) + "]"
+_ROW = "[" + ", ".join(f"{{'a': -abs({_FIXED[c]} * ({c} - m_{c})), 'i': {i}, 'f': '{c}', 'v': {_FIXED[c]} * ({c} - m_{c})}}"
+                       for i, c in enumerate(_SAFE)) + "]"
 
 
-@register("explain", with_feats(_FIX) + f"""SELECT id, list_transform(list_sort({_ROW})[1:5], lambda x: x.f) AS top_features
-  FROM fx, fm""")
+@register("explain", with_feats(_FIX, f"tp AS (SELECT id, list_sort({_ROW})[1:5] AS t FROM fx, fm)") + """SELECT id,
+  list_transform(t, lambda x: x.f) AS top_features, list_transform(t, lambda x: round(x.v, 6)) AS top_values,
+  'Top factors: ' || array_to_string(list_transform(t, lambda x: x.f || CASE WHEN x.v > 0 THEN ' (increases' ELSE ' (decreases' END
+    || format(' risk by {:+.4f})', x.v)), '; ') AS explanation FROM tp""")
 def q_explain(spark, sf):
-    """Top-5 contributions of a linear model, every row."""
+    """Top-5 contributions of a linear model and the sentence, every row."""
     x = ml.explanation_text(ml.top_contributions(_explained(spark, sf), 5))
-    return x.where(F.col("explanation").startswith("Top factors: ")).select(
-        "id", F.transform("top_contributions", lambda c: c["feature"]).alias("top_features"))
+    return x.select("id", F.transform("top_contributions", lambda c: c["feature"]).alias("top_features"),
+                    F.transform("top_contributions", lambda c: r6(c["value"])).alias("top_values"), "explanation")
 
 
 @register("global_importance", with_feats(_FIX) + """SELECT feature, round(avg(abs(value)), 6) AS importance
@@ -106,25 +113,20 @@ def q_top_importance(spark, sf):
 
 @register("explain_trained")
 def q_explain_trained(spark, sf):
-    """J16 with trained models: contributions of a logistic model and of a random forest
-    (20 trees, depth 6) to P(attack), over all rows; base + sum is the forest's P."""
-    import uuid
-
-    from pyspark.ml.classification import RandomForestClassifier
-
-    from flowsight.session import ensure_checkpoint_dir, join_path
+    """J16 with trained models: contributions of a logistic model and Shapley values of a
+    random forest (20 trees, depth 6) for P(attack), over all rows; base + sum is the
+    forest's P, compared here with its prediction."""
     p = prepared(spark, sf).withColumn("y", (F.col("Label") != "Normal").cast("double"))
-    vec = VectorAssembler(inputCols=_SAFE, outputCol="features")
-    tr = vec.transform(p.filter(F.col("split") == "train"))
-    lr = LogisticRegression(featuresCol="features", labelCol="y", maxIter=100).fit(tr)
-    rf = RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=20, maxDepth=6, seed=42).fit(tr)
+    train = p.filter(F.col("split") == "train")
+    lr = LogisticRegression(featuresCol="features", labelCol="y", maxIter=100).fit(
+        VectorAssembler(inputCols=_SAFE, outputCol="features").transform(train))
+    rf = trees.fit_forest(train, _SAFE, "y", trees=20, depth=6)
     x = ml.linear_contributions(p, _SAFE, dict(zip(_SAFE, lr.coefficients.toArray().tolist())), {c: 0.0 for c in _SAFE})
     x = ml.top_contributions(x, 5).select("id", *_SAFE, F.transform("top_contributions", lambda c: c["feature"]).alias("top_linear"))
-    nodes = ml.forest_nodes(rf, join_path(ensure_checkpoint_dir(spark), "forest-" + uuid.uuid4().hex))
-    t = ml.top_contributions(ml.tree_contributions(x, nodes, _SAFE, 1), 5)
-    prob = F.col("base") + F.aggregate(F.transform("contributions", lambda c: c["value"]), F.lit(0.0), lambda a, b: a + b)
+    t = ml.top_contributions(rf.explain(rf.transform(x), 1), 5)
+    total = F.col("base") + F.aggregate(F.transform("contributions", lambda c: c["value"]), F.lit(0.0), lambda a, b: a + b)
     return t.select("id", "top_linear", F.transform("top_contributions", lambda c: c["feature"]).alias("top_forest"),
-                    r6(prob).alias("p_attack"))
+                    r6(F.element_at("probability", 2)).alias("p_attack"), (F.abs(total - F.element_at("probability", 2)) < 1e-6).alias("adds_up"))
 
 
 @register("iforest")
@@ -224,6 +226,47 @@ def q_balance(spark, sf):
     return ml.balance(e, "smote", "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SMALL = """e AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS r, CASE WHEN label > 2 THEN NULL ELSE label END AS label
+  FROM embeddings), s AS (SELECT id, CASE WHEN r <= {n} THEN -1 ELSE label END AS label FROM e)"""
+
+
+def _small_class(spark, sf, n: int):
+    """Embeddings whose n first ids are class -1 and whose labels above 2 are missing."""
+    from flowsight.sources.tables import table
+    e = table(spark, sf, "embeddings")
+    first = e.orderBy("vec_id").limit(n).agg(F.max("vec_id")).first()[0]
+    label = F.when(F.col("vec_id") <= F.lit(first), -1).when(F.col("label") <= 2, F.col("label"))
+    return e.select(label.cast("int").alias("label"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def _balanced(spark, sf, n: int):
+    b = ml.balance(_small_class(spark, sf, n), "smote", "label")
+    return b.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("copy_no").alias("added"), F.countDistinct("id").alias("ids"))
+
+
+def _balanced_sql(n: int) -> str:
+    return f"""WITH {_SMALL.format(n=n)}, c AS (SELECT label, count(*) AS k FROM s GROUP BY label), m AS (SELECT max(k) AS mx FROM c)
+  SELECT CAST(label AS INTEGER) AS label, mx AS n, mx - k AS added, k AS ids FROM c, m"""
+
+
+@register("balance_one_row", _balanced_sql(1))
+def q_balance_one(spark, sf):
+    """J5: 'smote' with a class of one row and missing labels: copies."""
+    return _balanced(spark, sf, 1)
+
+
+@register("balance_five_rows", _balanced_sql(5))
+def q_balance_five(spark, sf):
+    """J5: 'smote' with a class of five rows: still copies."""
+    return _balanced(spark, sf, 5)
+
+
+@register("balance_six_rows", _balanced_sql(6))
+def q_balance_six(spark, sf):
+    """J5: 'smote' with a class of six rows: synthetic rows."""
+    return _balanced(spark, sf, 6)
+
+
 @register("balance_weight", with_feats("n AS (SELECT count(*) AS n, count(DISTINCT Label) AS k FROM feats)") + """SELECT id,
   round(n / (k * count(*) OVER (PARTITION BY Label)), 6) AS weight FROM feats, n""")
 def q_class_weights(spark, sf):

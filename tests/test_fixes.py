@@ -126,25 +126,6 @@ def test_detector_marks_late_flows(spark):
     assert len([p for p in fs_list(spark, base + "/state") if "tail_" in p]) <= 3
 
 
-def test_forest_contributions_add_up(spark):
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    rng = random.Random(5)
-    rows = [(i, *(x := [rng.random() for _ in range(3)]), float(x[0] + 0.3 * x[1] > 0.7)) for i in range(800)]
-    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double")
-    cols = ["a", "b", "c"]
-    vec = VectorAssembler(inputCols=cols, outputCol="features")
-    rf = RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=7, maxDepth=4, seed=1).fit(vec.transform(df))
-    want = {r.id: r.p for r in rf.transform(vec.transform(df)).select("id", vector_to_array("probability")[1].alias("p")).collect()}
-    out = ml.tree_contributions(df, ml.forest_nodes(rf, scratch(spark, "rf")), cols, 1).collect()
-    assert len(out) == 800
-    for r in out:
-        assert abs(r.base + sum(c.value for c in r.contributions) - want[r.id]) < 1e-9
-    weight = {c: sum(abs(v.value) for r in out for v in r.contributions if v.feature == c) for c in cols}
-    assert weight["a"] > weight["b"] > weight["c"]
-
-
 def test_batch_risk_uses_what_each_flow_has(spark):
     flows = spark.createDataFrame([(1, "s"), (2, "s"), (3, "t")], "id long, src string")
     part = lambda name, rows, key: spark.createDataFrame(rows, f"{key} {'long' if key == 'id' else 'string'}, {name} double")
@@ -200,8 +181,15 @@ def test_pagerank_stops_at_its_tolerance(spark):
     assert abs(sum(a.values()) - 1) < 1e-9 and all(abs(a[k] - b[k]) < 1e-5 for k in b)
 
 
-def test_forest_sample_keeps_rare_classes(spark):
-    df = spark.range(200_000).select("id", F.when(F.col("id") % 20_000 == 0, "rare").otherwise("common").alias("Label"))
-    n = {r.Label: r["count"] for r in ml.training_sample(df, "Label", 10_000).groupBy("Label").count().collect()}
-    assert n["rare"] == 10 and abs(n["common"] - 10_000) < 600
-    assert ml.training_sample(df, "Label", 300_000) is df
+def test_weights_of_missing_labels(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(20)], "id long, Label string")
+    got = {(r.id, r.weight) for r in ml.class_weight_column(df, "Label").collect()}
+    assert got == {(i, 1.0) for i in range(20)}
+
+
+def test_smote_of_a_lone_row_repeats_it(spark):
+    from flowsight.operators.knn import smote
+    rows = [(i, "a", [float(i), 1.0]) for i in range(8)] + [(100, None, [5.0, 6.0])]
+    df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    new = smote(df, "label").collect()
+    assert len(new) == 7 and all(r.label is None and r.base_id == 100 and r.vec == [5.0, 6.0] for r in new)
