@@ -74,7 +74,13 @@ def behavioral_verdict(df: DataFrame, secs: float = dims.WINDOW_SECONDS,
                        distinct={"src_fanout": dst_ip}, order_col=order_col,
                        bucket_secs=bucket_secs, where=live, bursts=found["src"], burst_rows=burst_rows)
     x = auth_rate(x, secs, dst_ip, port, us, order_col, bucket_secs, where=live, bursts=found["dst"])
+    return rules(x, secs, flood, scan, brute, src_ip, dst_ip, port)
 
+
+def rules(x: DataFrame, secs: float = dims.WINDOW_SECONDS, flood: int = dims.FLOOD_THRESHOLD,
+          scan: int = dims.SCAN_THRESHOLD, brute: int = dims.BRUTE_THRESHOLD, src_ip="src_ip", dst_ip="dst_ip",
+          port="dst_port") -> DataFrame:
+    """The ordered rules of E11 over src_rate, src_fanout and auth_count."""
     rate, fan, auth = F.col("src_rate"), F.col("src_fanout"), F.col("auth_count")
     secs_txt = str(int(secs)) if float(secs).is_integer() else str(secs)
     r1 = F.coalesce(rate >= flood, F.lit(False))

@@ -8,34 +8,40 @@ import uuid
 from pyspark.sql import functions as F
 
 from flowsight.functions.columns import r6
-from flowsight.plans.behavior_q import _NONROUTE, _V, BRUTE, FLOOD, SCAN, SECS
+from flowsight.plans.behavior_q import _MERGED, _NONROUTE, _V, BRUTE, FLOOD, SCAN, SECS
 from flowsight.plans.registry import register
 from flowsight.plans.sqlparts import with_flows
 from flowsight.session import ensure_checkpoint_dir, join_path
 from flowsight.sources.tables import flows
 from flowsight.streaming import detector as D
+from flowsight.streaming import stateful as S
 
 
 #: Time slices in which the flows arrive.
 SLICES = 4
 
 
-def _replay(spark, sf, run, end_after: str | None = None):
+def _replay(spark, sf, run, end_after: str | None = None, before=None, slices: int = SLICES):
     """Let the flows arrive in time slices: each slice is written to the source folder and
     `run(base, src)` runs a stream over what is new, continuing from its checkpoint.
-    `end_after` adds a last flow that much later (see `detector.end_marker`)."""
+    `end_after` adds a last flow that much later (see `detector.end_marker`).
+    `before(base, a, b)` is called before the slice of times [a, b) runs, and with None before
+    the last flow does."""
     base = join_path(ensure_checkpoint_dir(spark), "stream-" + uuid.uuid4().hex)
+    before = before or (lambda base, a, b: None)
     src = join_path(base, "src")
     f = flows(spark, sf).select("id", F.col("ts").cast("timestamp").alias("ts"), "src_ip", "src_port", "dst_ip",
                                 "dst_port", "protocol", "predicted_attack", "confidence", "risk_score",
                                 "risk_label", "value")
     us = F.unix_micros("ts")
     lo, hi = f.agg(F.min(us), F.max(us)).first()
-    cuts = [lo + (hi - lo) * i // SLICES for i in range(SLICES)] + [hi + 1] if lo is not None else []
+    cuts = [lo + (hi - lo) * i // slices for i in range(slices)] + [hi + 1] if lo is not None else []
     for a, b in zip(cuts, cuts[1:]):
         f.where((us >= a) & (us < b)).write.mode("append").parquet(src)
+        before(base, a, b)
         run(base, src)
     if end_after:
+        before(base, None, None)
         D.end_marker(f, end_after).write.mode("append").parquet(src)
         run(base, src)
     return base
@@ -70,13 +76,71 @@ _H6 = 6 * 3600 * 1_000_000
 def q_stream_alert_windows(spark, sf):
     """1-day windows sliding by 6 hours, append mode, every window closed."""
     def run(base, src):
-        s = D.alert_windows(D.flow_stream(spark, src), "1 day", "6 hours", "1 day")
+        s = D.alert_windows(D.flow_stream(spark, src), "1 day", "6 hours", "1 day", sketch_bits=None)
         _append(s, join_path(base, "alerts"), join_path(base, "ck"))
     base = _replay(spark, sf, run, end_after="10 DAYS")
     x = spark.read.parquet(join_path(base, "alerts")).where(F.col("src_ip") != D.END_SOURCE)
     return x.select(F.unix_micros("window.start").alias("window_start_us"), "src_ip", "flows", "distinct_dsts")
 
 
+@register("stream_alert_windows_sketch", with_flows(f"""ex AS (SELECT us // {_H6} * {_H6} - k * {_H6} AS window_start_us, src_ip,
+  count(*) AS flows FROM flows, range(4) r(k) WHERE NOT ({_NONROUTE}) GROUP BY ALL)""") + """SELECT window_start_us, src_ip,
+  flows, true AS within_3_percent FROM ex""")
+def q_stream_alert_sketch(spark, sf):
+    """I3 with sketches: every window, its distinct destinations within 3 % of the exact
+    number that a batch job counts."""
+    def run(base, src):
+        s = D.alert_windows(D.flow_stream(spark, src), "1 day", "6 hours", "1 day")
+        _append(s, join_path(base, "alerts"), join_path(base, "ck"))
+    base = _replay(spark, sf, run, end_after="10 DAYS")
+    x = spark.read.parquet(join_path(base, "alerts")).where(F.col("src_ip") != D.END_SOURCE)
+    exact = D.alert_windows(D.flow_batch(spark, join_path(base, "src")), "1 day", "6 hours", "1 day", sketch_bits=None)
+    both = x.join(exact.select("window", "src_ip", F.col("distinct_dsts").alias("exact")), ["window", "src_ip"])
+    near = F.abs(F.col("distinct_dsts") - F.col("exact")) <= 0.03 * F.col("exact")
+    return both.select(F.unix_micros("window.start").alias("window_start_us"), "src_ip", "flows", near.alias("within_3_percent"))
+
+
+@register("stream_verdict_state", with_flows(_V) + f"""SELECT id, src_ip, dst_ip, dst_port,
+  src_rate, src_fanout, auth_count, behavioral_attack,
+  round(behavioral_confidence, 6) AS behavioral_confidence, behavioral_reason FROM verdict WHERE NOT ({_NONROUTE})""")
+def q_stream_verdict_state(spark, sf):
+    """I2 with keyed event-time state: two chained stages, restarted between the slices."""
+    def run(base, src):
+        s = S.verdict_stream(D.flow_stream(spark, src), "1 hour", SECS, FLOOD, SCAN, BRUTE)
+        _append(s, join_path(base, "out"), join_path(base, "ck"))
+    out = spark.read.parquet(join_path(_replay(spark, sf, run, end_after="2 DAYS", slices=2), "out")).where(F.col("src_ip") != D.END_SOURCE)
+    return out.select("id", "src_ip", "dst_ip", "dst_port", "src_rate", "src_fanout", "auth_count", "behavioral_attack",
+                      r6(F.col("behavioral_confidence")).alias("behavioral_confidence"), "behavioral_reason")
+
+
+@register("stream_merge", with_flows(_V, _MERGED) + f"""SELECT id, predicted_attack, round(confidence, 6) AS confidence,
+  round(risk_score, 6) AS risk_score, risk_label, behavior_override FROM final
+  WHERE NOT ({_NONROUTE.replace("src_ip", "final.src_ip").replace("dst_ip", "final.dst_ip")})""")
+def q_stream_merge(spark, sf):
+    """Flows and the behavioural verdicts that fired as two streams, joined by id
+    and time; flows without a verdict come out unmatched, once."""
+    from flowsight.operators import behavior as B
+    def run(base, src):
+        f = D.flow_stream(spark, src)
+        kinds = "id long, ts timestamp, behavioral_attack string, behavioral_confidence double, behavioral_reason string"
+        v = spark.readStream.schema(kinds).parquet(join_path(base, "verdicts"))
+        _append(S.merge_streams(f, v, "1 hour"), join_path(base, "out"), join_path(base, "ck"))
+
+    f = flows(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    fired = B.behavioral_verdict(f, SECS, FLOOD, SCAN, BRUTE).where("behavioral_attack is not null").select(
+        "id", "ts", "behavioral_attack", "behavioral_confidence", "behavioral_reason").checkpoint()
+
+    def verdicts(base, a, b):
+        """The slice's verdicts; at the end one that moves their watermark too."""
+        x = fired.where((F.unix_micros("ts") >= a) & (F.unix_micros("ts") < b)) if a is not None else \
+            fired.orderBy(F.desc("ts")).limit(1).withColumns({"id": F.lit(-1).cast("long"), "ts": F.col("ts") + F.expr("INTERVAL 3 DAYS")})
+        x.write.mode("append").parquet(join_path(base, "verdicts"))
+    base = _replay(spark, sf, run, end_after="2 DAYS", before=verdicts, slices=2)
+    out = spark.read.parquet(join_path(base, "out")).where(F.col("src_ip") != D.END_SOURCE)
+    return out.select("id", "predicted_attack", r6(F.col("confidence")).alias("confidence"),
+                      r6(F.col("risk_score")).alias("risk_score"), "risk_label", "behavior_override")
+
+
 @register("stream_block_list", with_flows() + f"""SELECT src_ip, count(*) > 0 AS blocked FROM flows
   WHERE predicted_attack <> 'Normal' AND risk_label = 'Critical' AND NOT ({_NONROUTE}) GROUP BY src_ip""")
 def q_stream_block_list(spark, sf):
@@ -119,6 +183,16 @@ def q_stream_sequence(spark, sf):
                     r6(F.aggregate(flat, F.lit(0.0), lambda a, b: a + b)).alias("padded_sum"))
 
 
+@register("stream_sequence_state", with_flows(_RF) + f"""SELECT id, list_concat(list_transform(range(20 - len(v)), lambda i: 0.0), v) AS vectors
+  FROM (SELECT id, list(round(value, 6)) {_P20} AS v FROM rf)""")
+def q_stream_sequence_state(spark, sf):
+    """I9 with keyed event-time state; the vectors themselves."""
+    def run(base, src):
+        _append(S.sequence_stream(D.flow_stream(spark, src), ["value"], 20, "1 hour"), join_path(base, "out"), join_path(base, "ck"))
+    out = spark.read.parquet(join_path(_replay(spark, sf, run, end_after="2 DAYS", slices=2), "out")).where(F.col("src") != D.END_SOURCE)
+    return out.select("id", F.transform(F.flatten("padded"), r6).alias("vectors"))
+
+
 @register("stream_score")
 def q_stream_score(spark, sf):
     """I4: a logistic model and scaler fitted on the train split score the test
