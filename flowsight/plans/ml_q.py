@@ -192,6 +192,16 @@ def q_knn(spark, sf):
     return e.select("src", "dst", r6(F.col("dist")).alias("dist"), "rank")
 
 
+@register("knn_descent")
+def q_knn_descent(spark, sf):
+    """C10 beyond the limit: neighbour descent over every embedding; no SQL: approximate,
+    recall is tested against the exact search."""
+    from flowsight.operators.knn_descent import knn_descent
+    from flowsight.sources.tables import table
+    return knn_descent(table(spark, sf, "embeddings"), "embedding", "vec_id", 5).select(
+        "src", "dst", r6(F.col("dist")).alias("dist"), "rank")
+
+
 _HEX = "('0x' || substr(md5({s}), 1, 8))::BIGINT"
 _SMOTE = f"""WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 sz AS (SELECT label, count(*) AS nc FROM e GROUP BY label),
