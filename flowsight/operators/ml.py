@@ -9,8 +9,8 @@ coefficient x (value - mean) contributions.
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
@@ -64,9 +64,36 @@ def train(df: DataFrame, features: list[str], label: str = "Label", kind: str =
     return Pipeline(stages=[idx, vec, estimator(kind, weight, **kw)]).fit(df)
 
 
+@dataclass(frozen=True)
+class LinearModel:
+    """A softmax model with given coefficients (one list a class) and intercepts, such as
+    one exported by another program; scoring is plain column arithmetic."""
+    labels: list[str]
+    features: list[str]
+    coefficients: list[list[float]]
+    intercepts: list[float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with probability (array, in the order of labels) and prediction (its first
+        maximum's number)."""
+        margins = []
+        for coefs, b in zip(self.coefficients, self.intercepts):
+            m = F.lit(float(b))
+            for c, f in zip(coefs, self.features):
+                m = m + F.lit(float(c)) * F.col(f"`{f}`")
+            margins.append(m)
+        top = F.array_max("_m")
+        shares = F.transform("_m", lambda x: F.exp(x - top))
+        total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
+        out = df.withColumn("_m", F.array(*margins)).withColumn("_e", shares) \
+            .withColumn("probability", F.transform("_e", lambda x: x / total))
+        first = F.array_position("probability", F.array_max("probability")) - 1
+        return out.withColumn("prediction", first.cast("double")).drop("_m", "_e")
+
+
 def labels_of(model) -> list:
     """Class names in the order of a model's class numbers."""
-    return model.labels if isinstance(model, trees.TreeModel) else model.stages[0].labels
+    return model.labels if isinstance(model, (trees.TreeModel, LinearModel)) else model.stages[0].labels
 
 
 def evaluate(model, df: DataFrame, label: str = "Label") -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsight import dims
 from flowsight.operators import behavior as B
@@ -155,20 +156,24 @@ def live_totals(stream: DataFrame) -> DataFrame:
 def score_stream(stream: DataFrame, model, feature_cols: list[str], scaler: dict,
                  anomaly: str | None = None, normal_label: str = "Normal") -> DataFrame:
     """I4: stateless scoring of a flow stream: align (B10) -> scale (H8) ->
-    fitted pipeline (string indexer + assembler + classifier) -> confidence gate
+    fitted model (a pipeline of indexer, assembler and classifier, histogram trees or
+    `ml.LinearModel`) -> confidence gate
     (H14) -> risk (H11, classifier and optional anomaly component, clipped) ->
     low-risk override (H19) -> category (H12)."""
     from pyspark.ml.functions import vector_to_array
 
     from flowsight.operators.clean import align_features
     from flowsight.operators.features import apply_standard
+    from flowsight.operators.ml import labels_of
     from flowsight.operators.risk import categorize, confidence_gate, low_risk_override, risk_score
 
     keep = [c for c in stream.columns if c not in feature_cols]
     x = apply_standard(align_features(stream, feature_cols, keep=keep), scaler)
-    labels = model.stages[0].labels
+    labels = labels_of(model)
     p = model.transform(x)
-    probs = vector_to_array("probability")
+    probs = F.col("probability")
+    if not isinstance(p.schema["probability"].dataType, T.ArrayType):
+        probs = vector_to_array("probability")
     names = F.array(*[F.lit(v) for v in labels])
     i_norm = labels.index(normal_label) if normal_label in labels else None
     p_normal = probs[i_norm] if i_norm is not None else F.lit(0.0)
