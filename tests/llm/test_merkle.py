@@ -6,7 +6,6 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from llm_cases import AWKWARD
 from flowsight.llm import merkle
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
