@@ -24,6 +24,11 @@ BASE_CONF = {
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app: str = "flowsight", extra: dict | None = None) -> SparkSession:
+    # Python workers find this package wherever the program was started
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *paths])
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
