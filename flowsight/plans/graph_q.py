@@ -250,6 +250,21 @@ def q_betweenness(spark, sf):
     return b.select("node", r6(F.col("betweenness")).alias("betweenness"))
 
 
+_EPSILON = 0.04
+
+
+@register("betweenness_sampled", with_flows(_E) + """SELECT node, TRUE AS within_error, TRUE AS error_kept FROM (
+  SELECT src AS node FROM e UNION SELECT dst FROM e)""")
+def q_betweenness_sampled(spark, sf):
+    """K4 from sampled pairs: each node's value against the exact one (``betweenness``, which
+    is compared with SQL) and the error asked for."""
+    from flowsight.operators.sampled_paths import betweenness_sampled
+    e = G.distinct_edges(_f(spark, sf)).checkpoint()
+    x = betweenness_sampled(e, _EPSILON).join(G.betweenness(e).withColumnRenamed("betweenness", "exact"), "node", "full")
+    return x.select("node", F.coalesce(F.abs(F.col("betweenness") - F.col("exact")) <= F.col("error"), F.lit(False)).alias("within_error"),
+                    F.coalesce(F.col("error") <= _EPSILON, F.lit(False)).alias("error_kept"))
+
+
 @register("centrality_features", with_flows(_E, _DEG, _NODES, _CL, *_pr_ctes()[1:], _bw_sql(), _BW_OUT) + f"""SELECT f.id, f.src,
   round(coalesce(deg.degree / ((SELECT count(*) FROM deg) - 1), 0), 6) AS degree_centrality,
   round(coalesce(p.pr, 0), 6) AS pagerank, round(coalesce(bo.betweenness, 0), 6) AS betweenness,
