@@ -88,6 +88,7 @@ def q_mitigation_priority(spark, sf):
 _KB = """kb AS (SELECT 'T' || CAST(1000 + doc_id AS VARCHAR) AS id, concat_ws(' ', source, lang) AS name,
   trim(text) AS description, 'Review source ' || source AS mitigation FROM documents)"""
 _Q = "ering"
+_QS = (_Q, "qu", "Z", "Spark ", "no such words")
 
 
 @register("search_techniques", f"WITH {_KB} SELECT id, name FROM kb WHERE contains(lower(name), '{_Q}') "
@@ -97,6 +98,20 @@ def q_search(spark, sf):
     return A.search_techniques(kb, _Q, 10).select("id", "name")
 
 
+@register("search_index", f"""WITH {_KB}, q AS (SELECT * FROM (VALUES {", ".join(f"('{x}')" for x in _QS)}) t(query))
+  SELECT query, id FROM q JOIN kb ON contains(lower(name), lower(query)) OR contains(lower(description), lower(query))""")
+def q_search_index(spark, sf):
+    """B17 through trigram postings: every row for several searches, short ones too."""
+    import uuid
+
+    from flowsight.operators import trigrams
+    from flowsight.session import ensure_checkpoint_dir, join_path
+    path = join_path(ensure_checkpoint_dir(spark), "trigrams-" + uuid.uuid4().hex)
+    trigrams.build_index(kb_from_documents(table(spark, sf, "documents")), path)
+    qs = spark.createDataFrame([(x, x) for x in _QS], "key string, query string")
+    return trigrams.search_many(qs, path).withColumnRenamed("key", "query")
+
+
 _IDS = [v[0] for v in dims.ATTACK_MAPPING.values()]
 
 

@@ -234,3 +234,35 @@ def q_split_nulls(spark, sf):
 def q_oversample_nulls(spark, sf):
     """J4 with missing labels."""
     return K.oversample(_some_labels(spark, sf)).select("id", "label", "copy_no")
+
+
+_RANGES = (("all", None, None), ("days", 0.2, 0.7), ("tail", 0.9, None))
+_SK_P = (0.05, 0.5, 0.95)
+
+
+@register("sketch_quantiles", with_flows() + """SELECT part, col, CAST(p AS DOUBLE) AS p, CAST(count(*) FILTER (WHERE v IS NOT NULL) AS BIGINT) AS n,
+  TRUE AS within FROM (SELECT CAST(ts AS DATE) AS d, unnest([{'col': 'value', 'v': value}, {'col': 'confidence', 'v': confidence}], recursive := true)
+    FROM flows), (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS z FROM flows),
+  (VALUES ('all', 0.0, 1.0), ('days', 0.2, 0.7), ('tail', 0.9, 1.0)) r(part, lo, hi), (VALUES (0.05), (0.5), (0.95)) q(p)
+  WHERE d BETWEEN a + CAST(floor(lo * (z - a)) AS INTEGER) AND a + CAST(floor(hi * (z - a)) AS INTEGER) GROUP BY ALL""")
+def q_sketch_quantiles(spark, sf):
+    """B4/D24 from daily KLL sketches merged over ranges of days: exact counts, and whether
+    the rank of each answer among all values is within 0.5 %."""
+    import datetime
+
+    from flowsight.operators import sketches as S
+    f = flows(spark, sf).select("ts", "value", "confidence")
+    kept = S.daily_sketches(f, ["value", "confidence"]).checkpoint()
+    a, z = kept.agg(F.min("day"), F.max("day")).first()
+    out = None
+    for part, lo, hi in _RANGES:
+        at = lambda x: None if x is None or a is None else a + datetime.timedelta(days=int(x * (z - a).days))
+        got = S.merged_quantiles(kept, list(_SK_P), at(lo), at(hi)).withColumn("part", F.lit(part))
+        day = F.to_date("ts")
+        x = f.where((day >= F.lit(at(lo) or a)) & (day <= F.lit(at(hi) or z)))
+        vals = x.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in ("value", "confidence")])).alias("s")).select("s.*")
+        rank = vals.join(F.broadcast(got), "column").groupBy("part", "column", "p", "n").agg(  # six rows
+            F.avg((F.col("v") < F.col("value")).cast("double")).alias("lo"), F.avg((F.col("v") <= F.col("value")).cast("double")).alias("hi"))
+        out = rank if out is None else out.unionByName(rank)
+    return out.select("part", F.col("column").alias("col"), "p", "n",
+                      ((F.col("lo") - F.col("p") <= 0.005) & (F.col("p") - F.col("hi") <= 0.005)).alias("within"))
