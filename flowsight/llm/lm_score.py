@@ -1,25 +1,27 @@
-"""Language-model scores from a log-frequency Bloom filter.
+"""Language-model scores from log-frequency Bloom filters.
 
 Training counts every word exactly (a table in the shared folder), and every bigram
-seen at least twice, whatever its words: the kept bigrams grow with the corpus.  Those
-whose relative frequency is at least ``1 / bigram_rate`` go into a log-frequency Bloom
-filter: a count of c is the level 1 + floor(log_b(c / 2)), and the pairs
-(bigram, 1) .. (bigram, level) are members.  The filter is broadcast; a count is
-read by probing levels until one is missing.  All others stay in a table of levels
-that is split by key hash into bounded shards; a text's other bigrams are dealt to
-the same shards and meet them there.  The read count is the lower end of
-its level, so that with the absolute discount the mass of a history's bigrams stays
-below one and the rest of it is spread by the smoothed unigram:
+seen at least twice, whatever its words: the kept bigrams grow with the corpus.  All
+their counts are read from log-frequency Bloom filters: a count of c is the level
+1 + floor(log_b(c / 2)), and the pairs (bigram, 1) .. (bigram, level) are members; a
+count is read by probing levels until one is missing.  Bigrams whose relative
+frequency is at least ``1 / bigram_rate`` are in one filter that is broadcast.  The
+others are dealt by key hash to filters of bounded size, one a shard; texts are
+taken in chunks, a chunk's distinct other bigrams go to the shards' filters in packed
+blocks, and the levels read there come back to the chunk, where the sums are made.
+The read count is the lower end of its level, so that with the absolute discount the
+mass of a history's bigrams stays below one and the rest of it is spread by the
+smoothed unigram:
 
     P(w | h) = max(count(h, w) - d, 0) / c(h) + left(h) * P1(w)
     P1(w)    = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
 Broadcast sizes are bounded by the rates, whatever the corpus: at most
 ``word_rate`` words have a relative frequency of 1 / word_rate or more, and at most
-``bigram_rate`` bigrams one of 1 / bigram_rate.  Rare words of a text
-meet the exact counts in a join; words are first counted per text, and frequent
-ones never reach that join, so no word is a hot key in it.  Rare words are 62-bit
-digests in the bigrams; texts meet their sums by a 64-bit digest, copies once a shard.
+``bigram_rate`` bigrams one of 1 / bigram_rate.  A chunk's distinct rare words are
+dealt to shards of the exact counts and met there as words; in the bigrams they are
+62-bit digests.  A bigram or word reaches its shard once a chunk, however often the
+chunk has it, so no key is hot.
 
 Cases: null and empty texts are one end token; with no training text every
 probability is 1 (0.1 / 0.1); rows count as training if ``held_out`` is false or
@@ -47,13 +49,13 @@ DISCOUNT = 0.75
 LEVEL_BASE = 1.5
 FALSE_POSITIVES = 1e-6
 FLUSH_WORDS = 250_000
-FLUSH_PAIRS = 3_000_000
 #: Bigrams seen less often are not kept; the first level of the read counts.
-LEAST = 2.0
-#: Tokens whose bigrams make a shard.
-SHARD_TOKENS = 3_000_000
-#: Bytes of text scored at a time.
-GROUP_BYTES = 1 << 21
+LEAST = 2
+#: Tokens whose bigrams make a shard, and distinct words of a shard of their counts.
+SHARD_TOKENS = 8_000_000
+SHARD_WORDS = 1_000_000
+#: Bytes of text in a chunk.
+CHUNK_BYTES = 8 << 20
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -77,10 +79,20 @@ class LogFrequencyFilter:
         self.top = int(level.max()) if len(level) else 0
         self.hashes = max(1, round(-np.log2(error)))
         self.bits = 64 * max(1, -(-int(level.sum() * self.hashes / np.log(2)) // 64))
-        self.words = np.zeros(self.bits // 64, np.uint64)
+        flags = np.zeros(self.bits, bool)
         for k in range(1, self.top + 1):
-            for at in self._places(keys[level >= k], k):
-                np.bitwise_or.at(self.words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+            a, b = self._starts(keys[level >= k], k)
+            for i in range(self.hashes):
+                flags[self._place(a, b, i)] = True
+        self.cells = np.packbits(flags, bitorder="little")
+
+    @classmethod
+    def stored(cls, cells: bytes, bits: int, top: int, least: float, base: float = LEVEL_BASE,
+               error: float = FALSE_POSITIVES) -> LogFrequencyFilter:
+        """A filter from its cells."""
+        f = cls(np.zeros(0, np.uint64), np.zeros(0), least, base, error)
+        f.cells, f.bits, f.top = np.frombuffer(cells, np.uint8), bits, top
+        return f
 
     def level(self, counts: np.ndarray) -> np.ndarray:
         return 1 + np.floor(np.log(counts / self.least) / np.log(self.base) + 1e-9).astype(np.int64)
@@ -89,28 +101,113 @@ class LogFrequencyFilter:
         """The least count of a level; 0 for level 0."""
         return np.where(level > 0, self.least * self.base ** (level - 1.0), 0.0)
 
-    def _places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
+    @staticmethod
+    def _starts(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             a = _mix(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
-            b = _mix(a ^ np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-            for i in range(self.hashes):
-                yield ((a + np.uint64(i) * b) % np.uint64(self.bits)).astype(np.int64)
+            return a, _mix(a ^ np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts: level 1, 2, .. are probed until one is missing."""
-        level = np.zeros(len(keys), np.int64)
+    def _place(self, a: np.ndarray, b: np.ndarray, i: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((a + np.uint64(i) * b) % np.uint64(self.bits)).astype(np.int64)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Level 1, 2, .. are probed until one is missing; a key leaves a level at its
+        first missing bit."""
+        level = np.zeros(len(keys), np.uint8)
         live = np.arange(len(keys))
         for k in range(1, self.top + 1):
-            hit = np.ones(len(live), bool)
-            for at in self._places(keys[live], k):
-                hit &= (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-                if not hit.any():
-                    break
-            live = live[hit]
+            a, b = self._starts(keys[live], k)
+            for i in range(self.hashes):
+                at = self._place(a, b, i)
+                hit = (self.cells[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                if not hit.all():
+                    live, a, b = live[hit], a[hit], b[hit]
             if not len(live):
                 break
             level[live] = k
-        return self.value(level)
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts."""
+        return self.value(self.levels(keys))
+
+
+# --------------------------------------------------------------------- chunks
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of int64 numbers, the lowest ones first: small numbers compress."""
+    return np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(block: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _chunks(rows: DataFrame, words: dict[bytes, int], kind: str) -> DataFrame:
+    """Texts in chunks of about CHUNK_BYTES: ids, marks, sizes (tokens) and the tokens'
+    numbers.  Number len(words) is the start of a text; the chunk's rare words
+    follow it, in the order of ``rare``.  Must be written before use."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, after = shared.value.get, len(shared.value) + 1
+        chunk = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for a, group in groups_of(texts_of(b.column(1)), CHUNK_BYTES):
+                flat: list[bytes] = []
+                sizes = []
+                for t in group:
+                    d = tokens_of(t)
+                    flat += d
+                    sizes.append(len(d))
+                w = np.fromiter(map(get, flat, [-1] * len(flat)), np.int64, len(flat))
+                at = np.flatnonzero(w < 0)
+                rare: dict[bytes, int] = {}
+                w[at] = [rare.setdefault(flat[i], after + len(rare)) for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk]), *[pa.array([b.column(i).slice(a, len(group)).to_pylist()], pa.list_(b.schema.field(i).type))
+                                          for i in (0, 2)],
+                     pa.array([_planes(np.array(sizes))], pa.binary()), pa.array([_planes(w)], pa.binary()),
+                     pa.array([list(rare)], pa.list_(pa.binary()))],
+                    ["chunk", "ids", "held", "sizes", "numbers", "rare"])
+                chunk += 1
+    return rows.select("doc_id", "text", "held_out").mapInArrow(
+        run, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, numbers binary, rare array<binary>")
+
+
+def _pairs(sizes: np.ndarray, w: np.ndarray, start: int) -> np.ndarray:
+    """Bigrams of a chunk, history << 32 | word."""
+    h = np.roll(w, 1)
+    h[np.cumsum(sizes) - sizes] = start
+    return h << 32 | w
+
+
+def _global(pairs: np.ndarray, rare: list[bytes], start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Histories and words by numbers that hold for all chunks."""
+    number = np.concatenate([np.arange(start + 1), np.array([_number(x) for x in rare], np.int64)])
+    return number[pairs >> 32], number[pairs & 0xFFFFFFFF]
+
+
+def _deal(shards: int, h: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Shard and indices of its bigrams, those of frequent words first."""
+    shard = (_pair_keys(h, w) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort(((h < 0) | (w < 0), shard))
+    used, at = np.unique(shard[order], return_index=True)
+    for s, a, z in zip(used.tolist(), at.tolist(), [*at.tolist()[1:], len(order)]):
+        yield s, order[a:z]
+
+
+def _pack(h: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Dealt bigrams: the ascending ones of frequent words as differences, the rest
+    as they are."""
+    n = int(((h >= 0) & (w >= 0)).sum())
+    return _planes(np.diff(h[:n] << 32 | w[:n], prepend=0)), _planes(h[n:]), _planes(w[n:])
+
+
+def _unpack(known: bytes, h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    p = np.cumsum(_numbers(known))
+    return np.concatenate([p >> 32, _numbers(h)]), np.concatenate([p & 0xFFFFFFFF, _numbers(w)])
 
 
 # ------------------------------------------------------------------- training
@@ -138,314 +235,207 @@ def _number(word: bytes) -> int:
     return -1 - (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 2)
 
 
-def _text_digest(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-
-
-def _bigrams(part: list[list[bytes]], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of histories and words, and where texts start; a text's first history
-    is number len(words)."""
-    flat = [x for d in part for x in d]
-    w = np.fromiter((words.get(x, -1) for x in flat), np.int64, len(flat))
-    rare = np.flatnonzero(w < 0)
-    w[rare] = [_number(flat[i]) for i in rare.tolist()]
-    n = np.array([len(d) for d in part])
-    start = np.cumsum(n) - n
-    h = np.roll(w, 1)
-    h[start] = len(words)
-    return h, w, start
-
-
 def _pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return _mix(h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mix(w.astype(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)))
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of int64 numbers, the lowest ones first: small numbers compress."""
-    return np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _numbers(column: pa.ChunkedArray) -> np.ndarray:
-    blocks = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").ravel() for x in column.to_pylist()]
-    return np.concatenate([np.zeros(0, np.int64), *blocks])
+def _read(counts: np.ndarray) -> np.ndarray:
+    """What the filters read for exact counts of at least LEAST."""
+    return LEAST * LEVEL_BASE ** np.floor(np.log(counts / LEAST) / np.log(LEVEL_BASE) + 1e-9)
 
 
-def _dealt(shards: int, keys: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    """One row a shard: the numbers of its keys, packed."""
-    shard = (keys % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    used, at = np.unique(shard[order], return_index=True)
-    cut = [*at.tolist(), len(order)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(used), *[pa.array([_planes(x[order[a:b]]) for a, b in zip(cut, cut[1:])], pa.binary()) for x in columns.values()]],
-        ["shard", *columns])
-
-
-def _pair_counts(rows: DataFrame, words: dict[bytes, int], n: int) -> DataFrame:
-    """(h, w, c) of all bigrams seen at least LEAST times, by word numbers."""
-    shards = parts_for(n, SHARD_TOKENS)
-    shared = rows.sparkSession.sparkContext.broadcast(words)
-
+def _kept(chunks: DataFrame, start: int, pair_words: int, least: float, shards: int) -> DataFrame:
+    """The bigrams seen at least LEAST times, per shard: per history the discounted
+    mass of its bigrams (h, used); the frequent ones (h, w, c); the filter of the
+    others (shard, cells, bits, top)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
-
-        def out() -> pa.RecordBatch:
-            h, w = (np.concatenate(x) for x in zip(*held))
-            keys, at, c = np.unique(_pair_keys(h, w), return_index=True, return_counts=True)
-            return _dealt(shards, keys, h=h[at], w=w[at], c=c)
         for b in batches:
-            for _, group in groups_of(texts_of(b.column(0)), GROUP_BYTES):
-                held.append(_bigrams([tokens_of(t) for t in group], shared.value)[:2])
-                n += len(held[-1][0])
-                if n > FLUSH_PAIRS:
-                    yield out()
-                    held, n = [], 0
-        if held:
-            yield out()
+            for held, sizes, w, rare in zip(*(b.column(i).to_pylist() for i in range(4))):
+                sizes = _numbers(sizes)
+                learnt = np.repeat(~np.array(held, bool), sizes)
+                p, c = np.unique(_pairs(sizes, _numbers(w), start)[learnt], return_counts=True)
+                h, w = _global(p, rare, start)
+                out = [(s, *_pack(h[at], w[at]), _planes(c[at])) for s, at in _deal(shards, h, w)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["shard", "known", "h", "w", "c"])
 
     def count(t: pa.Table) -> pa.Table:
-        h, w, c = (_numbers(t.column(x)) for x in "hwc")
+        blocks = [_unpack(*x) for x in zip(*(t.column(x).to_pylist() for x in ("known", "h", "w")))]
+        h, w = (np.concatenate(x) for x in zip(*blocks))
+        c = np.concatenate([_numbers(x) for x in t.column("c").to_pylist()])
         keys = _pair_keys(h, w)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-        total = np.add.reduceat(c[order], first)
-        keep = total >= LEAST
-        at = order[first[keep]]
-        return pa.table({"h": h[at], "w": w[at], "c": total[keep]})
-    return rows.select("text").mapInArrow(run, "shard long, h binary, w binary, c binary") \
-        .groupBy("shard").applyInArrow(count, "h long, w long, c long")
-
-
-def read_count(c: Column) -> Column:
-    """The lower end of the level of an exact count, as the filter reads it."""
-    level = F.floor(F.log(c / LEAST) / float(np.log(LEVEL_BASE)) + 1e-9)
-    return LEAST * F.pow(F.lit(LEVEL_BASE), level.cast("double"))
+        c = np.add.reduceat(c[order], first)
+        at, c = order[first[c >= LEAST]], c[c >= LEAST]
+        h, w = h[at], w[at]
+        top = (c >= least) & _in_filter(h, w, start, pair_words)
+        f = LogFrequencyFilter(keys[at[~top]], c[~top].astype(float), LEAST)
+        hist, back = np.unique(h, return_inverse=True)
+        used = np.bincount(back, _read(c) - DISCOUNT, minlength=len(hist))
+        none = [pa.nulls(len(hist), pa.int64())] * 2
+        mass = pa.table([pa.array(hist), *none, pa.array(used)], ["h", "w", "c", "used"])
+        often = pa.table({"h": h[top], "w": w[top], "c": c[top].astype(np.int64)})
+        cells = pa.table({"shard": t.column("shard").slice(0, 1), "cells": pa.array([f.cells.tobytes()], pa.binary()),
+                          "bits": [f.bits], "top": [f.top]})
+        return pa.concat_tables([mass, often, cells], promote_options="default") \
+            .select(["h", "w", "c", "used", "shard", "cells", "bits", "top"])
+    return chunks.select("held", "sizes", "numbers", "rare") \
+        .mapInArrow(run, "shard long, known binary, h binary, w binary, c binary").groupBy("shard") \
+        .applyInArrow(count, "h long, w long, c long, used double, shard long, cells binary, bits long, top long")
+
+
+def _in_filter(h: np.ndarray, w: np.ndarray, start: int, pair_words: int) -> np.ndarray:
+    """Bigrams of the broadcast filter's words; with rates that leave frequent bigrams
+    to rarer words, these stay in the shards."""
+    return ((h == start) | ((h >= 0) & (h < pair_words))) & (w >= 0) & (w < pair_words)
 
 
 class Model:
-    """What is broadcast: frequent words with their counts, the filter and, per
-    history with bigrams in it, the mass left for the unigram."""
+    """What is broadcast: frequent words with their counts, the mass that each leaves
+    as a history for the unigram (the start of a text last), and the filter of the
+    frequent bigrams."""
 
-    def __init__(self, counts: dict[bytes, int], n: int, v: int, n_texts: int, pair_words: int,
-                 pairs: np.ndarray, pair_counts: np.ndarray, least: float):
-        # the first pair_words of the (descending) counts are those of the pairs
+    def __init__(self, counts: dict[bytes, int], n: int, v: int, n_texts: int, pair_words: int):
+        # the first pair_words of the (descending) counts are those of the filter
         self.words = {w: i for i, w in enumerate(counts)}
         self.n, self.v, self.pair_words = n, v, pair_words
-        c = np.array(list(counts.values()), float)
-        self.log_p1 = np.log10(self.p1(c))
-        self.history = np.append(c[:pair_words], n_texts)
-        order = np.argsort(pairs, kind="stable")
-        keys = pairs[order].astype(np.uint64)
-        self.filter = LogFrequencyFilter(keys, pair_counts[order].astype(float), LEAST)
-        self.least = least
-        read = self.filter.counts(keys)
-        h = (pairs[order] // (pair_words + 1)).astype(np.int64)
-        used = np.bincount(h, np.maximum(read - DISCOUNT, 0), minlength=pair_words + 1)
-        self.left = np.clip(1 - used / np.maximum(self.history, 1), 1e-9, 1.0)
-        #: As history and left, for all frequent words and the start, over all kept bigrams.
-        self.all_history = np.append(c, n_texts)
-        self.all_left = np.ones(len(c) + 1)
+        self.count = np.append(np.array(list(counts.values()), float), n_texts)
+        self.left = np.ones(len(self.count))
+        self.start = len(counts)
+        self.filter = LogFrequencyFilter(np.zeros(0, np.uint64), np.zeros(0), LEAST)
 
     def p1(self, c):
         return (c + ADD) / (self.n + ADD * (self.v + 1))
 
-    def gains(self, w: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 P(w | h) - log10 P1(w) of every token; w: word numbers (-1: rare),
-        first: true for the first token of a text."""
-        k = self.pair_words
-        seen = np.where((w >= 0) & (w < k), w, -1)
-        h = np.where(first, k, np.roll(seen, 1))
-        left = np.where(h >= 0, self.left[h], 1.0)
-        out = np.log10(left)
-        both = np.flatnonzero((h >= 0) & (seen >= 0))
-        pair, back = np.unique(h[both] * (k + 1) + seen[both], return_inverse=True)
-        c = self.filter.counts(pair.astype(np.uint64))[back]
-        hit = c > 0
-        at = both[hit]
-        big = np.maximum(c[hit] - DISCOUNT, 0) / self.history[h[at]]
-        out[at] = np.log10(left[at] + big / 10.0 ** self.log_p1[w[at]])
+    def levels(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Levels of bigrams in the broadcast filter."""
+        out = np.zeros(len(h), np.uint8)
+        at = np.flatnonzero(_in_filter(h, w, self.start, self.pair_words))
+        out[at] = self.filter.levels(_pair_keys(h[at], w[at]))
         return out
 
+    def log_p(self, count: np.ndarray, left: np.ndarray, h: np.ndarray, w: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """log10 P(w | h) - log10 P1(w) by counts and left masses of all numbers."""
+        seen = np.maximum(self.filter.value(level) - DISCOUNT, 0.0)
+        return np.log10(left[h] + seen / np.maximum(count[h], 1.0) / self.p1(count[w]))
 
-    def tokens(self, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As gains over all kept bigrams, without what rare histories leave and
-        without the bigrams outside the filter; and which tokens were in it."""
-        k, start = self.pair_words, len(self.log_p1)
-        h = np.where(first, start, np.roll(w, 1))
-        out = np.where(h >= 0, np.log10(self.all_left[h]), 0.0)
-        h1 = np.where(h == start, k, np.where((h >= 0) & (h < k), h, -1))
-        both = np.flatnonzero((h1 >= 0) & (w >= 0) & (w < k))
-        pair, back = np.unique(h1[both] * (k + 1) + w[both], return_inverse=True)
-        c = self.filter.counts(pair.astype(np.uint64))[back]
-        at = both[c > 0]
-        out[at] += np.log10(1 + (c[c > 0] - DISCOUNT) / self.all_history[h[at]] / self.all_left[h[at]] / 10.0 ** self.log_p1[w[at]])
-        hit = np.zeros(len(w), bool)
-        hit[at] = True
-        return out, hit
 
+def _left(used, count):
+    return np.clip(1 - used / np.maximum(count, 1), 1e-9, 1.0)
 
-def train(rows: DataFrame, word_rate: int, bigram_rate: int) -> tuple[Model, DataFrame]:
-    """rows(text) -> model of the frequent bigrams and the exact counts (word, c)."""
-    return _learn(rows, word_rate, bigram_rate)[:2]
 
-
-def _learn(rows: DataFrame, word_rate: int, bigram_rate: int) -> tuple[Model, DataFrame, DataFrame]:
-    """As train, and the kept bigrams (h, w, c)."""
-    counts = materialise(_word_counts(rows), "lm-counts")
-    r = counts.agg(F.sum("c"), F.count("*"), F.max(F.when(F.length("word") == 0, F.col("c")))).first()
-    n, v, n_texts = int(r[0] or 0), int(r[1]), int(r[2] or 0)
-    frequent = counts.where(F.col("c") >= max(1, n / word_rate)).orderBy(F.desc("c"), "word").collect()
-    words = {bytes(x.word): x.c for x in frequent}  # at most word_rate of them
-    least = max(LEAST, n / bigram_rate)
-    pair_words = sum(c >= least for c in words.values())
-    kept = materialise(_pair_counts(rows, {w: i for i, w in enumerate(words)}, n), "lm-pairs")
-    release(rows.sparkSession)
-    start = len(words)
-    top = kept.where((F.col("c") >= least) & _in_filter(start, pair_words)).collect()  # at most bigram_rate of them
-    pairs = np.array([(pair_words if p.h == start else p.h) * (pair_words + 1) + p.w for p in top], np.int64)
-    return Model(words, n, v, n_texts, pair_words, pairs, np.array([p.c for p in top], np.int64), least), counts, kept
-
-
-def _in_filter(start: int, pair_words: int) -> Column:
-    """Bigrams of the filter's words; with rates that leave frequent bigrams to rarer
-    words, these stay in the table."""
-    return ((F.col("h") == start) | F.col("h").between(0, pair_words - 1)) & F.col("w").between(0, pair_words - 1)
-
-
-def _rare_words(model: Model, counts: DataFrame, kept: DataFrame, word_rate: int) -> DataFrame:
-    """(word, number, c, left) of the words that are not broadcast."""
+def _rare_words(counts: DataFrame, kept: DataFrame, least: float, shards: int) -> DataFrame:
+    """(word_shard, word, c, left) of the words that are not broadcast."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([_number(x) for x in b.column(0).to_pylist()], pa.int64()), b.column(1)],
-                ["word", "number", "c"])
-    words = counts.where(F.col("c") < max(1, model.n / word_rate)).mapInArrow(run, "word binary, number long, c long")
-    used = kept.where("h < 0").groupBy(F.col("h").alias("number")).agg(F.sum(read_count(F.col("c")) - DISCOUNT).alias("used"))
+            number = np.array([_number(x) for x in b.column(0).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(number % shards), b.column(0), pa.array(number), b.column(1)],
+                                             ["word_shard", "word", "number", "c"])
+    words = counts.where(F.col("c") < least).mapInArrow(run, "word_shard long, word binary, number long, c long")
+    used = kept.where("h < 0 and used is not null").groupBy(F.col("h").alias("number")).agg(F.sum("used").alias("used"))
     left = F.greatest(1 - F.coalesce("used", F.lit(0.0)) / F.col("c"), F.lit(1e-9))
-    return materialise(words.join(used, "number", "left").select("word", "number", "c", left.alias("left")), "lm-rare-words")
-
-
-def _bonuses(model: Model, kept: DataFrame, rare: DataFrame, shards: int) -> DataFrame:
-    """(shard, key, bonus) of the kept bigrams outside the filter: what they add to a
-    token's log10 of its history's left mass times P1."""
-    start = len(model.log_p1)
-    rest = kept.where(~((F.col("c") >= model.least) & _in_filter(start, model.pair_words)))
-    shared = rest.sparkSession.sparkContext.broadcast((model.all_history, model.all_left, np.append(10.0 ** model.log_p1, 1.0), model.p1(0.0),
-                                                       ADD, model.n + ADD * (model.v + 1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        history, left, p1, p0, add, total = shared.value
-        for b in batches:
-            h, w, read, hc, hl, wc = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            hc, hl = np.where(h >= 0, history[np.maximum(h, 0)], hc), np.where(h >= 0, left[np.maximum(h, 0)], hl)
-            pw = np.where(w >= 0, p1[np.maximum(w, 0)], (wc + add) / total)
-            keys = _pair_keys(h, w)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((keys % np.uint64(shards)).astype(np.int64)), pa.array(keys.view(np.int64)),
-                 pa.array(np.log10(1 + (read - DISCOUNT) / hc / hl / pw))], ["shard", "key", "bonus"])
-    # frequent words are broadcast and take no part in the joins
-    read = read_count(F.col("c")).alias("read")
-    one = F.lit(1.0)
-    plain = rest.where("h >= 0 and w >= 0").select("h", "w", read, one.alias("hc"), one.alias("hl"), one.alias("wc"))
-    hist = rare.select(F.col("number").alias("h"), F.col("c").cast("double").alias("hc"), F.col("left").alias("hl"))
-    word = rare.select(F.col("number").alias("w"), F.col("c").cast("double").alias("wc"))
-    after = rest.where("h < 0").select("h", "w", read).join(hist, "h")
-    after_known = after.where("w >= 0").select("h", "w", "read", "hc", "hl", one.alias("wc"))
-    before = rest.where("h >= 0 and w < 0").select("h", "w", read, one.alias("hc"), one.alias("hl"))
-    both = after.where("w < 0").select("h", "w", "read", "hc", "hl").unionByName(before).join(word, "w") \
-        .select("h", "w", "read", "hc", "hl", "wc")
-    return plain.unionByName(after_known).unionByName(both).mapInArrow(run, "shard long, key long, bonus double")
+    return words.join(used, "number", "left").select("word_shard", "word", "c", left.alias("left"))
 
 
 # -------------------------------------------------------------------- scoring
 
-def _scored(rows: DataFrame, model: Model, kind: str) -> DataFrame:
-    """Per row the sums over its frequent tokens, and its rare words with their
-    numbers.  ``row`` numbers the rows; the result must be written before use."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
+def _word_answers(chunks: DataFrame, rare_words: DataFrame, shards: int) -> DataFrame:
+    """Per chunk and shard of words: which of the chunk's rare words are known (at),
+    their counts and left masses."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        row = TaskContext.get().partitionId() << 40
-        get = m.words.get
         for b in batches:
-            for a, group in groups_of(texts_of(b.column(1)), GROUP_BYTES):
-                part = [tokens_of(t) for t in group]
-                n = np.array([len(d) for d in part])
-                w = np.fromiter((get(x, -1) for d in part for x in d), np.int64, n.sum())
-                start = np.cumsum(n) - n
-                first = np.zeros(len(w), bool)
-                first[start] = True
-                known = w >= 0
-                base = np.add.reduceat(np.where(known, m.log_p1[w] if len(m.log_p1) else 0.0, 0.0), start)
-                gain = np.add.reduceat(m.tokens(w, first)[0], start)
-                rare, times, sizes = [], [], []
-                at = np.flatnonzero(~known)
-                cut = np.searchsorted(at, start)
-                for d, s, i, j in zip(part, start, cut, [*cut[1:], len(at)]):
-                    c = Counter([d[x] for x in (at[i:j] - s).tolist()])
-                    rare += c.keys()
-                    times += c.values()
-                    sizes.append(len(c))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                words = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(
-                    [pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(part))), b.column(0).slice(a, len(part)),
-                     b.column(2).slice(a, len(part)), pa.array(n.astype(np.int64)),
-                     pa.array(np.add.reduceat(known, start, dtype=np.int64)), pa.array(base), pa.array(gain), words,
-                     pa.array([_text_digest(t) for t in group], pa.int64())],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "gain", "rare", "digest"])
-                row += len(part)
-    return rows.select("doc_id", "text", "held_out").mapInArrow(
-        run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_frequent long, base double, gain double, "
-             "rare array<struct<word: binary, times: long>>, digest long")
-
-
-def _shard_gains(rows: DataFrame, model: Model, bonuses: DataFrame, shards: int) -> DataFrame:
-    """(digest, shard_gain): per text digest and shard the bonuses of its bigrams
-    outside the filter, of one copy of the text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+            for chunk, rare in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                shard = np.array([_number(x) % shards for x in rare], np.int64)
+                order = np.argsort(shard, kind="stable")
+                used, first = np.unique(shard[order], return_index=True)
+                out = [(s, chunk, b"\n".join([rare[i] for i in order[a:z].tolist()]), _planes(np.diff(order[a:z], prepend=0)))
+                       for s, a, z in zip(used.tolist(), first.tolist(), [*first.tolist()[1:], len(order)])]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["word_shard", "chunk", "words", "at"])
+
+    def meet(asked: pa.Table, table: pa.Table) -> pa.Table:
+        word = {x: i for i, x in enumerate(table.column("word").to_pylist())}
+        c, left = (np.append(table.column(x).to_numpy(), 0) for x in ("c", "left"))
+        out = []
+        for chunk, words, at in zip(*(asked.column(x).to_pylist() for x in ("chunk", "words", "at"))):
+            i = np.array([word.get(x, -1) for x in words.split(b"\n")], np.int64)
+            at = np.cumsum(_numbers(at))[i >= 0]
+            i = i[i >= 0]
+            out.append((chunk, _planes(np.diff(at, prepend=0)), _planes(c[i]), left[i].astype("<f8").tobytes()))
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["chunk", "at", "c", "left"]) if out else \
+            pa.table([pa.array([], k) for k in kinds], ["chunk", "at", "c", "left"])
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    asked = chunks.select("chunk", "rare").mapInArrow(run, "word_shard long, chunk long, words binary, at binary")
+    return asked.groupBy("word_shard").cogroup(rare_words.groupBy("word_shard")) \
+        .applyInArrow(meet, "chunk long, at binary, c binary, left binary")
+
+
+def _level_answers(chunks: DataFrame, kept: DataFrame, model: Model, shards: int) -> DataFrame:
+    """Per chunk and shard the levels that the shard's filter reads for the chunk's
+    distinct bigrams outside the broadcast one, in the order they were dealt."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            for _, group in groups_of(texts_of(b.column(0)), 4 * GROUP_BYTES):
-                h, w, start = _bigrams([tokens_of(t) for t in group], m.words)
-                first = np.zeros(len(w), bool)
-                first[start] = True
-                rest = np.flatnonzero(~m.tokens(np.maximum(w, -1), first)[1])
-                text = np.searchsorted(start, rest, "right") - 1
-                keys = _pair_keys(h[rest], w[rest])
-                shard = (keys % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                used, at = np.unique(shard[order], return_index=True)
-                out: list[list[bytes]] = [[], [], []]
-                digests = np.array([_text_digest(t) for t in group], np.int64)
-                for a, z in zip(at.tolist(), [*at.tolist()[1:], len(order)]):
-                    here, times = np.unique(text[order[a:z]], return_counts=True)
-                    for o, x in zip(out, (keys[order[a:z]].view(np.int64), digests[here], times)):
-                        o.append(_planes(x))
-                if len(used):
-                    yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(o, pa.binary()) for o in out]],
-                                                     ["shard", "keys", "digests", "times"])
-
-    def meet(probes: pa.Table, table: pa.Table) -> pa.Table:
-        keys, digests, times = (_numbers(probes.column(x)) for x in ("keys", "digests", "times"))
-        known, bonus = table.column("key").to_numpy(), table.column("bonus").to_numpy()
-        order = np.argsort(known)
-        known, bonus = np.append(known[order], 0), np.append(bonus[order], 0.0)
-        at = np.searchsorted(known[:-1], keys)
-        gain = np.where((known[at] == keys) & (at < len(known) - 1), bonus[at], 0.0)
-        sums = np.add.reduceat(gain, np.cumsum(times) - times) if len(times) else np.zeros(0)
-        # equal texts have equal bigrams: the first one stands for all
-        digest, at = np.unique(digests, return_index=True)
-        hit = sums[at] != 0
-        return pa.table({"digest": digest[hit], "shard_gain": sums[at][hit]})
-    probes = rows.select("text").mapInArrow(run, "shard long, keys binary, digests binary, times binary")
-    return probes.groupBy("shard").cogroup(bonuses.groupBy("shard")).applyInArrow(meet, "digest long, shard_gain double")
+            for chunk, sizes, w, rare in zip(*(b.column(i).to_pylist() for i in range(4))):
+                h, w = _global(np.unique(_pairs(_numbers(sizes), _numbers(w), m.start)), rare, m.start)
+                rest = np.flatnonzero(m.levels(h, w) == 0)
+                h, w = h[rest], w[rest]
+                out = [(s, chunk, *_pack(h[at], w[at])) for s, at in _deal(shards, h, w)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["shard", "chunk", "known", "h", "w"])
+
+    def meet(asked: pa.Table, cells: pa.Table) -> pa.Table:
+        f = LogFrequencyFilter.stored(*(cells.column(x)[0].as_py() for x in ("cells", "bits", "top")), LEAST) if len(cells) else None
+        out = []
+        for known, h, w in zip(*(asked.column(x).to_pylist() for x in ("known", "h", "w"))):
+            keys = _pair_keys(*_unpack(known, h, w))
+            out.append((f.levels(keys) if f else np.zeros(len(keys), np.uint8)).tobytes())
+        return pa.table([asked.column("chunk"), asked.column("shard"), pa.array(out, pa.binary())], ["chunk", "shard", "levels"])
+    asked = chunks.select("chunk", "sizes", "numbers", "rare") \
+        .mapInArrow(run, "shard long, chunk long, known binary, h binary, w binary")
+    filters = kept.where("cells is not null").select("shard", "cells", "bits", "top")
+    return asked.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(meet, "chunk long, shard long, levels binary")
+
+
+def _sums(chunks: DataFrame, answers: DataFrame, model: Model, shards: int, kind: str) -> DataFrame:
+    """Per text its sums, made in its chunk."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        m, t = shared.value, chunk.to_pylist()[0]
+        sizes, rare = _numbers(t["sizes"]), t["rare"]
+        count = np.concatenate([m.count, np.zeros(len(rare))])
+        left = np.concatenate([m.left, np.ones(len(rare))])
+        levels = {}
+        for a in answers.to_pylist():
+            if a["levels"] is not None:
+                levels[a["shard"]] = np.frombuffer(a["levels"], np.uint8)
+                continue
+            at = m.start + 1 + np.cumsum(_numbers(a["at"]))
+            count[at], left[at] = _numbers(a["c"]), np.frombuffer(a["left"], "<f8")
+        w = _numbers(t["numbers"])
+        pairs, back = np.unique(_pairs(sizes, w, m.start), return_inverse=True)
+        h, v = _global(pairs, rare, m.start)
+        level = m.levels(h, v)
+        rest = np.flatnonzero(level == 0)
+        for s, at in _deal(shards, h[rest], v[rest]):
+            level[rest[at]] = levels[s]
+        gain = m.log_p(count, left, pairs >> 32, pairs & 0xFFFFFFFF, level)[back]
+        first = np.cumsum(sizes) - sizes
+        base = np.add.reduceat(np.log10(m.p1(count))[w], first)
+        return pa.table([chunk.column("ids").combine_chunks().flatten(), chunk.column("held").combine_chunks().flatten(), pa.array(sizes),
+                         pa.array(np.add.reduceat(known_words(count)[w], first)), pa.array(np.full(len(sizes), m.n)),
+                         pa.array(base), pa.array(base + np.add.reduceat(gain, first))],
+                        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    def known_words(count: np.ndarray) -> np.ndarray:
+        return (count > 0).astype(np.int64)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -457,25 +447,24 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
         .withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     kind = dict(rows.dtypes)["doc_id"]
-    model, counts, kept = _learn(rows.where(~F.col("held_out")), word_rate, bigram_rate)
-    used = kept.where("h >= 0").groupBy("h").agg(F.sum(read_count(F.col("c")) - DISCOUNT).alias("used")).collect()
-    for u in used:  # at most word_rate and the start
-        model.all_left[u.h] = min(max(1 - u.used / model.all_history[u.h], 1e-9), 1.0)
-    rare_words = _rare_words(model, counts, kept, word_rate)
-    scored = materialise(_scored(rows, model, kind), "lm-scored")
-    p0 = float(np.log10(model.p1(0.0)))
-    log_p = F.log10((F.col("c") + ADD) / F.lit(float(model.n + ADD * (model.v + 1))))
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times") \
-        .join(rare_words.select("word", "c", "left"), "word", "left") \
-        .groupBy("row").agg(F.sum(F.col("times") * F.coalesce(log_p, F.lit(p0))).alias("rare_base"),
-                            F.sum(F.col("times") * F.coalesce(F.log10("left"), F.lit(0.0))).alias("rare_gain"),
-                            F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
-    shards = parts_for(model.n, SHARD_TOKENS)
-    more = materialise(_shard_gains(rows, model, _bonuses(model, kept, rare_words, shards), shards)
-                       .groupBy("digest").agg(F.sum("shard_gain").alias("more")), "lm-more")
+    counts = materialise(_word_counts(rows.where(~F.col("held_out"))), "lm-counts")
+    r = counts.agg(F.sum("c"), F.count("*"), F.max(F.when(F.length("word") == 0, F.col("c")))).first()
+    n, v, n_texts = int(r[0] or 0), int(r[1]), int(r[2] or 0)
+    often = max(1, n / word_rate)
+    frequent = counts.where(F.col("c") >= often).orderBy(F.desc("c"), "word").collect()  # at most word_rate words
+    words = {bytes(x.word): x.c for x in frequent}
+    least = max(LEAST, n / bigram_rate)
+    model = Model(words, n, v, n_texts, sum(c >= least for c in words.values()))
+    chunks = materialise(_chunks(rows, model.words, kind), "lm-chunks")
+    shards, word_shards = parts_for(n, SHARD_TOKENS), parts_for(v, SHARD_WORDS)
+    kept = materialise(_kept(chunks, model.start, model.pair_words, least, shards), "lm-pairs")
     release(rows.sparkSession)
-    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    gain = F.col("gain") + F.coalesce("rare_gain", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))
-    return scored.drop("rare").join(rare, "row", "left").join(more, "digest", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + gain).alias("score"))
+    top = kept.where("c is not null").select("h", "w", "c").collect()  # at most bigram_rate bigrams
+    h, w, c = (np.array([x[i] for x in top], np.int64) for i in range(3))
+    model.filter = LogFrequencyFilter(_pair_keys(h, w), c.astype(float), LEAST)
+    used = kept.where("h >= 0 and used is not null").groupBy("h").agg(F.sum("used").alias("used")).collect()
+    for u in used:  # at most word_rate words and the start
+        model.left[u.h] = _left(u.used, model.count[u.h])
+    known = _word_answers(chunks, _rare_words(counts, kept, often, word_shards), word_shards)
+    read = _level_answers(chunks, kept, model, shards)
+    return _sums(chunks, read.unionByName(known, allowMissingColumns=True), model, shards, kind)

@@ -56,26 +56,6 @@ def test_filter_reads_the_lower_end_of_each_level():
     assert not lm.LogFrequencyFilter(keys[:0], counts[:0], 2).counts(other[:3]).any()
 
 
-def test_probabilities_of_a_history_sum_to_one(spark):
-    """Over the known words and the unknown one, for every history."""
-    docs = documents(spark, SF01).limit(200)
-    rows = docs.select("text")
-    model, counts = lm.train(rows, 100_000, 20_000)
-    c = {bytes(r.word): r.c for r in counts.collect()}
-    words = [*c, None]
-    p1 = np.array([model.p1(c.get(w, 0)) for w in words])
-    assert abs(p1.sum() - 1) < 1e-9
-    ids = np.array([model.words.get(w, -1) for w in words])
-    for h in [*range(0, model.pair_words + 1, max(1, model.pair_words // 40))]:
-        # tokens (h, w) as two-token texts; the start symbol has no token before it
-        if h == model.pair_words:
-            gain = model.gains(ids, np.ones(len(ids), bool))
-        else:
-            w = np.ravel(np.column_stack([np.full(len(ids), h), ids]))
-            gain = model.gains(w, np.arange(len(w)) % 2 == 0)[1::2]
-        assert abs((p1 * 10 ** gain).sum() - 1) < 1e-3
-
-
 def test_score_beats_the_base_where_bigrams_repeat(spark):
     docs = documents(spark, SF01)
     r = lm.score(docs, held_out(10, 0)).groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
@@ -85,12 +65,9 @@ def test_score_beats_the_base_where_bigrams_repeat(spark):
     assert all(x.score > 0.5 * x.base_score for x in out)
 
 
-@pytest.mark.parametrize("rates", [(500_000, 100_000), (2_000, 500)])
-def test_every_repeated_bigram_counts(spark, rates):
-    """Scores by brute force over all bigrams seen twice, whatever the rates."""
-    docs = documents(spark, SF01).limit(600).unionByName(documents(spark, SF01).limit(3)).localCheckpoint()
-    got = lm.score(docs, held_out(10, 0), word_rate=rates[0], bigram_rate=rates[1]).collect()
-    rows = [(d.doc_id, [None, *tokens(d.text)]) for d in docs.collect()]
+def brute_model(rows):
+    """(vocabulary, histories, log10 P(w | h)) of all bigrams seen twice; rows of (id,
+    [None, *tokens]), None stands for the start and the unknown word."""
     train = [w for i, w in rows if zlib.crc32(str(i).encode()) % 10]
     c = Counter(x for w in train for x in w)
     pairs = Counter(p for w in train for p in zip(w, w[1:]))
@@ -102,7 +79,33 @@ def test_every_repeated_bigram_counts(spark, rates):
 
     def log_p(h, w):
         left = max(1 - used[h] / c[h], 1e-9) if c[h] else 1.0
-        p1 = (c[w] + 0.1) / (n + 0.1 * len(c))  # None stands for the unknown word
+        p1 = ((c[w] if w is not None else 0) + 0.1) / (n + 0.1 * len(c))
         return math.log10((max(read[h, w] - 0.75, 0) / c[h] if (h, w) in read else 0) + left * p1)
+    return c, used, log_p
+
+
+@pytest.mark.parametrize("rates", [(500_000, 100_000), (2_000, 500)])
+@pytest.mark.parametrize("sizes", [(8_000_000, 1_000_000, 8 << 20), (20_000, 700, 50_000)])
+def test_every_repeated_bigram_counts(spark, monkeypatch, rates, sizes):
+    """Scores by brute force over all bigrams seen twice, whatever the rates and
+    however many shards and chunks; what is compared sums to one for every history."""
+    for name, x in zip(("SHARD_TOKENS", "SHARD_WORDS", "CHUNK_BYTES"), sizes):
+        monkeypatch.setattr(lm, name, x)
+    some = [(d.doc_id, d.text) for d in documents(spark, SF01).limit(600).collect()]
+    some += some[:3]
+    rows = [(i, [None, *tokens(t)]) for i, t in some]
+    fixed = spark.createDataFrame(some, "doc_id long, text string")
+    got = lm.score(fixed, held_out(10, 0), word_rate=rates[0], bigram_rate=rates[1]).collect()
+    c, used, log_p = brute_model(rows)
     want = sorted((i, round(sum(map(log_p, w, w[1:])), 4)) for i, w in rows)
     assert sorted((r.doc_id, round(r.score, 4)) for r in got) == want
+    for h in [None, *sorted(used.keys() - {None})[:: max(1, len(used) // 20)]]:
+        assert abs(sum(10 ** log_p(h, w) for w in [None, *(c.keys() - {None})]) - 1) < 1e-6
+
+
+def test_a_stored_filter_reads_the_same():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 62, 3000)).astype(np.uint64)
+    f = lm.LogFrequencyFilter(keys, rng.integers(2, 900, len(keys)).astype(float), 2)
+    again = lm.LogFrequencyFilter.stored(f.cells.tobytes(), f.bits, f.top, 2)
+    assert (again.levels(keys) == f.levels(keys)).all() and f.levels(keys).min() == 1
