@@ -47,15 +47,17 @@ END = b""
 ADD = 0.1
 DISCOUNT = 0.75
 LEVEL_BASE = 1.5
-FALSE_POSITIVES = 1e-6
+FALSE_POSITIVES = 1e-9
 FLUSH_WORDS = 250_000
 #: Bigrams seen less often are not kept; the first level of the read counts.
 LEAST = 2
 #: Tokens whose bigrams make a shard, and distinct words of a shard of their counts.
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 4_000_000
 SHARD_WORDS = 1_000_000
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
+#: Keys probed at a time: their places stay in the processor's cache.
+PROBED = 1 << 15
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -82,8 +84,9 @@ class LogFrequencyFilter:
         flags = np.zeros(self.bits, bool)
         for k in range(1, self.top + 1):
             a, b = self._starts(keys[level >= k], k)
-            for i in range(self.hashes):
-                flags[self._place(a, b, i)] = True
+            for _ in range(self.hashes):
+                flags[self._place(a)] = True
+                a = self._next(a, b)
         self.cells = np.packbits(flags, bitorder="little")
 
     @classmethod
@@ -104,28 +107,38 @@ class LogFrequencyFilter:
     @staticmethod
     def _starts(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
-            a = _mix(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
-            return a, _mix(a ^ np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+            x = _mix(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+        return x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
-    def _place(self, a: np.ndarray, b: np.ndarray, i: int) -> np.ndarray:
+    def _place(self, a: np.ndarray) -> np.ndarray:
+        """The place of a key's state among fewer than 2^32 bits."""
+        return (a.astype(np.uint64) * np.uint64(self.bits) >> np.uint64(32)).view(np.int64)
+
+    @staticmethod
+    def _next(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A congruential step: no b makes a key's places fall together, as a plain
+        sum of steps would in small filters."""
         with np.errstate(over="ignore"):
-            return ((a + np.uint64(i) * b) % np.uint64(self.bits)).astype(np.int64)
+            return a * np.uint32(0x9E3779B1) + b
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level 1, 2, .. are probed until one is missing; a key leaves a level at its
         first missing bit."""
         level = np.zeros(len(keys), np.uint8)
-        live = np.arange(len(keys))
-        for k in range(1, self.top + 1):
-            a, b = self._starts(keys[live], k)
-            for i in range(self.hashes):
-                at = self._place(a, b, i)
-                hit = (self.cells[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                if not hit.all():
-                    live, a, b = live[hit], a[hit], b[hit]
-            if not len(live):
-                break
-            level[live] = k
+        for first in range(0, len(keys), PROBED):
+            part = keys[first:first + PROBED]
+            live = np.arange(len(part))
+            for k in range(1, self.top + 1):
+                a, b = self._starts(part[live], k)
+                for _ in range(self.hashes):
+                    at = self._place(a)
+                    hit = (self.cells[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                    if not hit.all():
+                        live, a, b = live[hit], a[hit], b[hit]
+                    a = self._next(a, b)
+                if not len(live):
+                    break
+                level[first + live] = k
         return level
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
@@ -135,23 +148,45 @@ class LogFrequencyFilter:
 
 # --------------------------------------------------------------------- chunks
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of int64 numbers, the lowest ones first: small numbers compress."""
-    return np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """The bytes of whole numbers, the lowest ones first: small numbers compress."""
+    return np.ascontiguousarray(x, f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _numbers(block: bytes, width: int = 8) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(width, -1).T).view(f"<i{width}").ravel().astype(np.int64, copy=False)
 
 
-def _numbers(block: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+class _Numbers(dict):
+    """Numbers of the frequent words; a chunk's other words get the next ones."""
+
+    def __init__(self, words: dict[bytes, int]):
+        super().__init__(words)
+        self.after = len(words) + 1
+        self.rare: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = self.after + len(self.rare)
+        self.rare.append(word)
+        return n
+
+    def taken(self) -> list[bytes]:
+        """The rare words so far; they are forgotten."""
+        rare, self.rare = self.rare, []
+        for x in rare:
+            del self[x]
+        return rare
 
 
 def _chunks(rows: DataFrame, words: dict[bytes, int], kind: str) -> DataFrame:
     """Texts in chunks of about CHUNK_BYTES: ids, marks, sizes (tokens) and the tokens'
     numbers.  Number len(words) is the start of a text; the chunk's rare words
-    follow it, in the order of ``rare``.  Must be written before use."""
+    follow it, in the order of ``rare`` and of their digests.  Must be written before use."""
     shared = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, after = shared.value.get, len(shared.value) + 1
+        numbers = _Numbers(shared.value)
+        get = numbers.__getitem__
         chunk = TaskContext.get().partitionId() << 40
         for b in batches:
             for a, group in groups_of(texts_of(b.column(1)), CHUNK_BYTES):
@@ -161,19 +196,18 @@ def _chunks(rows: DataFrame, words: dict[bytes, int], kind: str) -> DataFrame:
                     d = tokens_of(t)
                     flat += d
                     sizes.append(len(d))
-                w = np.fromiter(map(get, flat, [-1] * len(flat)), np.int64, len(flat))
-                at = np.flatnonzero(w < 0)
-                rare: dict[bytes, int] = {}
-                w[at] = [rare.setdefault(flat[i], after + len(rare)) for i in at.tolist()]
+                w = np.fromiter(map(get, flat), np.int64, len(flat))
+                rare = numbers.taken()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk]), *[pa.array([b.column(i).slice(a, len(group)).to_pylist()], pa.list_(b.schema.field(i).type))
                                           for i in (0, 2)],
-                     pa.array([_planes(np.array(sizes))], pa.binary()), pa.array([_planes(w)], pa.binary()),
-                     pa.array([list(rare)], pa.list_(pa.binary()))],
-                    ["chunk", "ids", "held", "sizes", "numbers", "rare"])
+                     pa.array([_planes(np.array(sizes))], pa.binary()), pa.array([_planes(w, 4)], pa.binary()),
+                     pa.array([rare], pa.list_(pa.binary())),
+                     pa.array([_planes(np.array([_number(x) for x in rare], np.int64))], pa.binary())],
+                    ["chunk", "ids", "held", "sizes", "numbers", "rare", "digests"])
                 chunk += 1
     return rows.select("doc_id", "text", "held_out").mapInArrow(
-        run, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, numbers binary, rare array<binary>")
+        run, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, numbers binary, rare array<binary>, digests binary")
 
 
 def _pairs(sizes: np.ndarray, w: np.ndarray, start: int) -> np.ndarray:
@@ -183,9 +217,9 @@ def _pairs(sizes: np.ndarray, w: np.ndarray, start: int) -> np.ndarray:
     return h << 32 | w
 
 
-def _global(pairs: np.ndarray, rare: list[bytes], start: int) -> tuple[np.ndarray, np.ndarray]:
+def _global(pairs: np.ndarray, digests: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
     """Histories and words by numbers that hold for all chunks."""
-    number = np.concatenate([np.arange(start + 1), np.array([_number(x) for x in rare], np.int64)])
+    number = np.concatenate([np.arange(start + 1), _numbers(digests)])
     return number[pairs >> 32], number[pairs & 0xFFFFFFFF]
 
 
@@ -251,11 +285,11 @@ def _kept(chunks: DataFrame, start: int, pair_words: int, least: float, shards:
     others (shard, cells, bits, top)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for held, sizes, w, rare in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for held, sizes, w, digests in zip(*(b.column(i).to_pylist() for i in range(4))):
                 sizes = _numbers(sizes)
                 learnt = np.repeat(~np.array(held, bool), sizes)
-                p, c = np.unique(_pairs(sizes, _numbers(w), start)[learnt], return_counts=True)
-                h, w = _global(p, rare, start)
+                p, c = np.unique(_pairs(sizes, _numbers(w, 4), start)[learnt], return_counts=True)
+                h, w = _global(p, digests, start)
                 out = [(s, *_pack(h[at], w[at]), _planes(c[at])) for s, at in _deal(shards, h, w)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["shard", "known", "h", "w", "c"])
@@ -281,7 +315,7 @@ def _kept(chunks: DataFrame, start: int, pair_words: int, least: float, shards:
                           "bits": [f.bits], "top": [f.top]})
         return pa.concat_tables([mass, often, cells], promote_options="default") \
             .select(["h", "w", "c", "used", "shard", "cells", "bits", "top"])
-    return chunks.select("held", "sizes", "numbers", "rare") \
+    return chunks.select("held", "sizes", "numbers", "digests") \
         .mapInArrow(run, "shard long, known binary, h binary, w binary, c binary").groupBy("shard") \
         .applyInArrow(count, "h long, w long, c long, used double, shard long, cells binary, bits long, top long")
 
@@ -346,8 +380,8 @@ def _word_answers(chunks: DataFrame, rare_words: DataFrame, shards: int) -> Data
     their counts and left masses."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, rare in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                shard = np.array([_number(x) % shards for x in rare], np.int64)
+            for chunk, rare, digests in zip(*(b.column(i).to_pylist() for i in range(3))):
+                shard = _numbers(digests) % shards
                 order = np.argsort(shard, kind="stable")
                 used, first = np.unique(shard[order], return_index=True)
                 out = [(s, chunk, b"\n".join([rare[i] for i in order[a:z].tolist()]), _planes(np.diff(order[a:z], prepend=0)))
@@ -367,7 +401,7 @@ def _word_answers(chunks: DataFrame, rare_words: DataFrame, shards: int) -> Data
         return pa.table([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["chunk", "at", "c", "left"]) if out else \
             pa.table([pa.array([], k) for k in kinds], ["chunk", "at", "c", "left"])
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    asked = chunks.select("chunk", "rare").mapInArrow(run, "word_shard long, chunk long, words binary, at binary")
+    asked = chunks.select("chunk", "rare", "digests").mapInArrow(run, "word_shard long, chunk long, words binary, at binary")
     return asked.groupBy("word_shard").cogroup(rare_words.groupBy("word_shard")) \
         .applyInArrow(meet, "chunk long, at binary, c binary, left binary")
 
@@ -380,8 +414,8 @@ def _level_answers(chunks: DataFrame, kept: DataFrame, model: Model, shards: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            for chunk, sizes, w, rare in zip(*(b.column(i).to_pylist() for i in range(4))):
-                h, w = _global(np.unique(_pairs(_numbers(sizes), _numbers(w), m.start)), rare, m.start)
+            for chunk, sizes, w, digests in zip(*(b.column(i).to_pylist() for i in range(4))):
+                h, w = _global(np.unique(_pairs(_numbers(sizes), _numbers(w, 4), m.start)), digests, m.start)
                 rest = np.flatnonzero(m.levels(h, w) == 0)
                 h, w = h[rest], w[rest]
                 out = [(s, chunk, *_pack(h[at], w[at])) for s, at in _deal(shards, h, w)]
@@ -395,7 +429,7 @@ def _level_answers(chunks: DataFrame, kept: DataFrame, model: Model, shards: int
             keys = _pair_keys(*_unpack(known, h, w))
             out.append((f.levels(keys) if f else np.zeros(len(keys), np.uint8)).tobytes())
         return pa.table([asked.column("chunk"), asked.column("shard"), pa.array(out, pa.binary())], ["chunk", "shard", "levels"])
-    asked = chunks.select("chunk", "sizes", "numbers", "rare") \
+    asked = chunks.select("chunk", "sizes", "numbers", "digests") \
         .mapInArrow(run, "shard long, chunk long, known binary, h binary, w binary")
     filters = kept.where("cells is not null").select("shard", "cells", "bits", "top")
     return asked.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(meet, "chunk long, shard long, levels binary")
@@ -406,10 +440,11 @@ def _sums(chunks: DataFrame, answers: DataFrame, model: Model, shards: int, kind
     shared = chunks.sparkSession.sparkContext.broadcast(model)
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        m, t = shared.value, chunk.to_pylist()[0]
-        sizes, rare = _numbers(t["sizes"]), t["rare"]
-        count = np.concatenate([m.count, np.zeros(len(rare))])
-        left = np.concatenate([m.left, np.ones(len(rare))])
+        m = shared.value
+        sizes, w, digests = (chunk.column(x)[0].as_py() for x in ("sizes", "numbers", "digests"))
+        sizes, w, rare = _numbers(sizes), _numbers(w, 4), len(digests) // 8
+        count = np.concatenate([m.count, np.zeros(rare)])
+        left = np.concatenate([m.left, np.ones(rare)])
         levels = {}
         for a in answers.to_pylist():
             if a["levels"] is not None:
@@ -417,9 +452,8 @@ def _sums(chunks: DataFrame, answers: DataFrame, model: Model, shards: int, kind
                 continue
             at = m.start + 1 + np.cumsum(_numbers(a["at"]))
             count[at], left[at] = _numbers(a["c"]), np.frombuffer(a["left"], "<f8")
-        w = _numbers(t["numbers"])
         pairs, back = np.unique(_pairs(sizes, w, m.start), return_inverse=True)
-        h, v = _global(pairs, rare, m.start)
+        h, v = _global(pairs, digests, m.start)
         level = m.levels(h, v)
         rest = np.flatnonzero(level == 0)
         for s, at in _deal(shards, h[rest], v[rest]):
@@ -434,7 +468,7 @@ def _sums(chunks: DataFrame, answers: DataFrame, model: Model, shards: int, kind
 
     def known_words(count: np.ndarray) -> np.ndarray:
         return (count > 0).astype(np.int64)
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    return chunks.drop("rare").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

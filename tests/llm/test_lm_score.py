@@ -85,7 +85,7 @@ def brute_model(rows):
 
 
 @pytest.mark.parametrize("rates", [(500_000, 100_000), (2_000, 500)])
-@pytest.mark.parametrize("sizes", [(8_000_000, 1_000_000, 8 << 20), (20_000, 700, 50_000)])
+@pytest.mark.parametrize("sizes", [(4_000_000, 1_000_000, 3 << 20), (20_000, 700, 50_000)])
 def test_every_repeated_bigram_counts(spark, monkeypatch, rates, sizes):
     """Scores by brute force over all bigrams seen twice, whatever the rates and
     however many shards and chunks; what is compared sums to one for every history."""
