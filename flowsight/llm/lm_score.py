@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,13 +149,22 @@ class LogFrequencyFilter:
 
 # --------------------------------------------------------------------- chunks
 
+def _packed(x: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x)
+
+
+def _unpacked(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
 def _planes(x: np.ndarray, width: int = 8) -> bytes:
-    """The bytes of whole numbers, the lowest ones first: small numbers compress."""
-    return np.ascontiguousarray(x, f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    """The bytes of whole numbers, the lowest ones first, compressed."""
+    return _packed(np.ascontiguousarray(x, f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def _numbers(block: bytes, width: int = 8) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(width, -1).T).view(f"<i{width}").ravel().astype(np.int64, copy=False)
+    x = np.frombuffer(_unpacked(block), np.uint8).reshape(width, -1).T
+    return np.ascontiguousarray(x).view(f"<i{width}").ravel().astype(np.int64, copy=False)
 
 
 class _Numbers(dict):
@@ -202,12 +212,12 @@ def _chunks(rows: DataFrame, words: dict[bytes, int], kind: str) -> DataFrame:
                     [pa.array([chunk]), *[pa.array([b.column(i).slice(a, len(group)).to_pylist()], pa.list_(b.schema.field(i).type))
                                           for i in (0, 2)],
                      pa.array([_planes(np.array(sizes))], pa.binary()), pa.array([_planes(w, 4)], pa.binary()),
-                     pa.array([rare], pa.list_(pa.binary())),
+                     pa.array([_packed(b"\n".join(rare))], pa.binary()),
                      pa.array([_planes(np.array([_number(x) for x in rare], np.int64))], pa.binary())],
                     ["chunk", "ids", "held", "sizes", "numbers", "rare", "digests"])
                 chunk += 1
     return rows.select("doc_id", "text", "held_out").mapInArrow(
-        run, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, numbers binary, rare array<binary>, digests binary")
+        run, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, numbers binary, rare binary, digests binary")
 
 
 def _pairs(sizes: np.ndarray, w: np.ndarray, start: int) -> np.ndarray:
@@ -381,10 +391,10 @@ def _word_answers(chunks: DataFrame, rare_words: DataFrame, shards: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, rare, digests in zip(*(b.column(i).to_pylist() for i in range(3))):
-                shard = _numbers(digests) % shards
+                shard, rare = _numbers(digests) % shards, _unpacked(rare).split(b"\n")
                 order = np.argsort(shard, kind="stable")
                 used, first = np.unique(shard[order], return_index=True)
-                out = [(s, chunk, b"\n".join([rare[i] for i in order[a:z].tolist()]), _planes(np.diff(order[a:z], prepend=0)))
+                out = [(s, chunk, _packed(b"\n".join([rare[i] for i in order[a:z].tolist()])), _planes(np.diff(order[a:z], prepend=0)))
                        for s, a, z in zip(used.tolist(), first.tolist(), [*first.tolist()[1:], len(order)])]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["word_shard", "chunk", "words", "at"])
@@ -394,10 +404,10 @@ def _word_answers(chunks: DataFrame, rare_words: DataFrame, shards: int) -> Data
         c, left = (np.append(table.column(x).to_numpy(), 0) for x in ("c", "left"))
         out = []
         for chunk, words, at in zip(*(asked.column(x).to_pylist() for x in ("chunk", "words", "at"))):
-            i = np.array([word.get(x, -1) for x in words.split(b"\n")], np.int64)
+            i = np.array([word.get(x, -1) for x in _unpacked(words).split(b"\n")], np.int64)
             at = np.cumsum(_numbers(at))[i >= 0]
             i = i[i >= 0]
-            out.append((chunk, _planes(np.diff(at, prepend=0)), _planes(c[i]), left[i].astype("<f8").tobytes()))
+            out.append((chunk, _planes(np.diff(at, prepend=0)), _planes(c[i]), _packed(left[i].astype("<f8").tobytes())))
         return pa.table([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["chunk", "at", "c", "left"]) if out else \
             pa.table([pa.array([], k) for k in kinds], ["chunk", "at", "c", "left"])
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -427,7 +437,7 @@ def _level_answers(chunks: DataFrame, kept: DataFrame, model: Model, shards: int
         out = []
         for known, h, w in zip(*(asked.column(x).to_pylist() for x in ("known", "h", "w"))):
             keys = _pair_keys(*_unpack(known, h, w))
-            out.append((f.levels(keys) if f else np.zeros(len(keys), np.uint8)).tobytes())
+            out.append(_packed((f.levels(keys) if f else np.zeros(len(keys), np.uint8)).tobytes()))
         return pa.table([asked.column("chunk"), asked.column("shard"), pa.array(out, pa.binary())], ["chunk", "shard", "levels"])
     asked = chunks.select("chunk", "sizes", "numbers", "digests") \
         .mapInArrow(run, "shard long, chunk long, known binary, h binary, w binary")
@@ -442,16 +452,16 @@ def _sums(chunks: DataFrame, answers: DataFrame, model: Model, shards: int, kind
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         m = shared.value
         sizes, w, digests = (chunk.column(x)[0].as_py() for x in ("sizes", "numbers", "digests"))
-        sizes, w, rare = _numbers(sizes), _numbers(w, 4), len(digests) // 8
+        sizes, w, rare = _numbers(sizes), _numbers(w, 4), len(_numbers(digests))
         count = np.concatenate([m.count, np.zeros(rare)])
         left = np.concatenate([m.left, np.ones(rare)])
         levels = {}
         for a in answers.to_pylist():
             if a["levels"] is not None:
-                levels[a["shard"]] = np.frombuffer(a["levels"], np.uint8)
+                levels[a["shard"]] = np.frombuffer(_unpacked(a["levels"]), np.uint8)
                 continue
             at = m.start + 1 + np.cumsum(_numbers(a["at"]))
-            count[at], left[at] = _numbers(a["c"]), np.frombuffer(a["left"], "<f8")
+            count[at], left[at] = _numbers(a["c"]), np.frombuffer(_unpacked(a["left"]), "<f8")
         pairs, back = np.unique(_pairs(sizes, w, m.start), return_inverse=True)
         h, v = _global(pairs, digests, m.start)
         level = m.levels(h, v)
@@ -499,6 +509,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     used = kept.where("h >= 0 and used is not null").groupBy("h").agg(F.sum("used").alias("used")).collect()
     for u in used:  # at most word_rate words and the start
         model.left[u.h] = _left(u.used, model.count[u.h])
-    known = _word_answers(chunks, _rare_words(counts, kept, often, word_shards), word_shards)
-    read = _level_answers(chunks, kept, model, shards)
+    known = materialise(_word_answers(chunks, _rare_words(counts, kept, often, word_shards), word_shards), "lm-words")
+    release(rows.sparkSession)
+    read = materialise(_level_answers(chunks, kept, model, shards), "lm-levels")
+    release(rows.sparkSession)
     return _sums(chunks, read.unionByName(known, allowMissingColumns=True), model, shards, kind)
