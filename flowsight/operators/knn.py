@@ -26,6 +26,8 @@ from flowsight.operators.ordering import HASH_SPACE, hash32
 
 PAIR_SCHEMA = "qid long, nid long, dist double"
 BLOCK = 1024
+#: Doubles of the vectors that a task sends to cells at a time.
+VISIT_DOUBLES = 1 << 19
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -152,10 +154,14 @@ def knn_edges(df: DataFrame, vec: str = "vec", key: str = "id", k: int = 5, part
                     low = np.sqrt(_squares(v, p, p2)) - radius[None, :]
                     slack = 1e-6 * (1.0 + np.sqrt(p2.max()) + np.sqrt((v * v).sum(axis=1)))
                     r, j = np.nonzero(low <= (s["bound"].to_numpy(dtype=float) + slack)[:, None])
-                    out = s.iloc[np.repeat(r, pieces[j])].copy()
-                    out["cell"] = np.repeat(cell[j], pieces[j])
-                    out["_piece"] = np.arange(len(out)) - np.repeat(np.cumsum(pieces[j]) - pieces[j], pieces[j])
-                    yield out
+                    row, of = np.repeat(r, pieces[j]), np.repeat(cell[j], pieces[j])
+                    piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces[j]) - pieces[j], pieces[j])
+                    # a block's visits to all cells together would grow with the table
+                    step = max(1, VISIT_DOUBLES // max(1, v.shape[1]))
+                    for o in range(0, len(row), step):
+                        out = s.iloc[row[o:o + step]].copy()
+                        out["cell"], out["_piece"] = of[o:o + step], piece[o:o + step]
+                        yield out
 
     csch = T.StructType([f for f in x.schema.fields if f.name in part] + [
         T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType())),
