@@ -85,40 +85,48 @@ def fit_iforest(df: DataFrame, cols: list[str], trees: int = 200, psi: int = 256
     return nodes, psi
 
 
+def _complete(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, threshold, path length) of trees as complete binary trees, children of i
+    at 2 i + 1 and 2 i + 2; below a leaf every way has the leaf's path length."""
+    n_trees, width = int(t["tree"].max()) + 1, 2 ** (int(t["depth"].max()) + 1) - 1
+    feat = np.zeros((n_trees, width), dtype=np.int64)
+    thr, adj = np.zeros((n_trees, width)), np.zeros((n_trees, width))
+    for tree, rows in t.groupby("tree"):
+        own = {r.node: r for r in rows.itertuples(index=False)}
+        stack = [(0, 0)]
+        while stack:
+            node, at = stack.pop()
+            r = own[node]
+            if r.feature >= 0:
+                feat[tree, at], thr[tree, at] = r.feature, r.threshold
+                stack += [(r.left, 2 * at + 1), (r.right, 2 * at + 2)]
+                continue
+            a = b = at
+            while a < width:
+                adj[tree, a:b + 1] = r.depth + c_factor(r.size)
+                a, b = 2 * a + 1, 2 * b + 2
+    return feat, thr, adj
+
+
 def score_iforest(df: DataFrame, cols: list[str], nodes: DataFrame, psi: int, out: str = "iforest_score") -> DataFrame:
     """score_samples (higher = more normal) for every row."""
     t = nodes.toPandas().sort_values(["tree", "node"])   # bounded: trees x (2 psi - 1)
-    n_trees = int(t["tree"].max()) + 1
-    width = int(t["node"].max()) + 1
-    feat = np.full((n_trees, width), -1, dtype=np.int64)
-    thr = np.zeros((n_trees, width))
-    left = np.full((n_trees, width), -1, dtype=np.int64)
-    right = np.full((n_trees, width), -1, dtype=np.int64)
-    adj = np.zeros((n_trees, width))
-    ti, ni = t["tree"].to_numpy(), t["node"].to_numpy()
-    feat[ti, ni], thr[ti, ni] = t["feature"], t["threshold"]
-    left[ti, ni], right[ti, ni] = t["left"], t["right"]
-    adj[ti, ni] = t["depth"].to_numpy() + np.array([c_factor(s) for s in t["size"]])
-    cpsi = c_factor(psi)
-    bc = df.sparkSession.sparkContext.broadcast((feat, thr, left, right, adj, cpsi))
+    feat, thr, adj = _complete(t)
+    cpsi, depth = c_factor(psi), int(t["depth"].max())
+    bc = df.sparkSession.sparkContext.broadcast((feat, thr, adj, cpsi))
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
 
     def run(batches):
-        feat, thr, left, right, adj, cpsi = bc.value
+        feat, thr, adj, cpsi = bc.value
         for pdf in batches:
-            X = pdf[cols].to_numpy(dtype=float)
+            X = np.ascontiguousarray(pdf[cols].to_numpy(dtype=float)).ravel()
             total = np.zeros(len(pdf))
-            rows = np.arange(len(pdf))
-            for tr in range(feat.shape[0]):
+            first = np.arange(len(pdf)) * len(cols)
+            for f, t, a in zip(feat, thr, adj):
                 node = np.zeros(len(pdf), dtype=np.int64)
-                while True:
-                    f = feat[tr, node]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    go_left = X[rows, np.where(inner, f, 0)] < thr[tr, node]
-                    node = np.where(inner, np.where(go_left, left[tr, node], right[tr, node]), node)
-                total += adj[tr, node]
+                for _ in range(depth):
+                    node = 2 * node + 2 - (X[first + f[node]] < t[node])
+                total += a[node]
             pdf[out] = -np.power(2.0, -(total / feat.shape[0]) / cpsi)
             yield pdf
 
