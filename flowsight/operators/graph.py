@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.functions.columns import col, finite
-from flowsight.operators.ordering import global_row_number, hash32
+from flowsight.operators.ordering import TASK_ROWS, global_row_number, hash32, spread
 
 
 def endpoints(df: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -22,8 +22,10 @@ def endpoints(df: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
 
 
 def distinct_edges(df: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """G3."""
-    return df.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    """G3.  Pairs meet before they are compared: most differ, and a task that compared its
+    share of the input first would hold nearly all of it."""
+    pairs = df.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    return spread(pairs, pairs.count(), "src", "dst").distinct()
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:
@@ -242,6 +244,29 @@ def attach_centrality(flows: DataFrame, cent: DataFrame, src: str = "src") -> Da
     return x.fillna(0, [x for x in cent.columns if x != "node"])
 
 
+#: Edges that a step of all searches sends to every task, at most, and rows of a step that a
+#: task adds up, about.
+SENT_EDGES, STEP_ROWS = 500_000, 500_000
+
+
+def _next_level(level: DataFrame, e: DataFrame) -> DataFrame:
+    """(pivot, node, sigma) one edge beyond `level`, path counts added up where all rows of
+    a pivot, or of a pivot and node, meet: added up before that, by the nodes they come
+    from, a task would hold nearly all pairs."""
+    load = level.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
+    near = e.join(load, F.col("src") == F.col("node"))
+    sent, rows = near.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    rows = rows or 0
+    if sent <= SENT_EDGES:  # few rows become many here: not for the adaptive plan to join
+        x = level.repartition(max(1, -(-rows // STEP_ROWS)), "pivot").join(F.broadcast(near.select("src", "dst")), F.col("node") == F.col("src"))
+    else:
+        x = level.join(e, F.col("node") == F.col("src"))
+    x = x.select("pivot", F.col("dst").alias("node"), "sigma")
+    if sent > SENT_EDGES:
+        x = spread(x, rows * TASK_ROWS // STEP_ROWS, "pivot", "node")
+    return x.groupBy("pivot", "node").agg(F.sum("sigma").alias("sigma"))
+
+
 def betweenness(edges: DataFrame, k: int | None = None, normalized: bool = True,
                 checkpoint_every: int = 4, seed: int = 42) -> DataFrame:
     """K4: directed betweenness, exact over all nodes by default; with `k` an estimate
@@ -262,9 +287,7 @@ def betweenness(edges: DataFrame, k: int | None = None, normalized: bool = True,
     levels = [level.checkpoint()]
     seen = levels[0].select("pivot", "node")
     while True:
-        nxt = (levels[-1].join(e, F.col("node") == F.col("src"))
-               .groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
-               .join(seen, ["pivot", "node"], "left_anti"))
+        nxt = _next_level(levels[-1], e).join(seen, ["pivot", "node"], "left_anti")
         nxt = nxt.checkpoint() if len(levels) % checkpoint_every == 0 else nxt.cache()
         held.append(nxt)
         if not nxt.take(1):
