@@ -30,3 +30,108 @@ def test_keyed_state_in_a_session_made_elsewhere(spark):
         spark.conf.set(conf, before)
     got = {r.id: r.padded for r in spark.read.parquet(base + "/out").where(F.col("src") == "10.0.0.1").collect()}
     assert got == {1: [[0.0], [0.0], [2.0]], 2: [[0.0], [2.0], [2.0]]}
+
+
+def test_descent_measures_pairs_where_they_meet(spark, monkeypatch):
+    """A row that many name is met in pieces; what is offered equals brute force over neighbours' neighbours."""
+    from flowsight.operators import knn_descent as N
+    monkeypatch.setattr(N, "HUB", 4)
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(20, 5))
+    points = spark.createDataFrame([(i, v[i].tolist()) for i in range(20)], "id long, vec array<double>")
+    edges = [(i, j, float(np.linalg.norm(v[i] - v[j])), 5.0 if i % 2 else float("inf")) for i in range(20) for j in (0, (i * 7 + 3) % 20) if i != j]
+    got = N._offered(spark.createDataFrame(edges, "src long, dst long, dist double, worst double"), points).collect()
+    out = {}
+    for s, d, _, _ in edges:
+        out.setdefault(s, set()).add(d)
+    worst = {e[0]: e[3] for e in edges}
+    want = {(s, f) for s in out for m in out[s] for f in out.get(m, ()) if f != s and np.linalg.norm(v[s] - v[f]) <= worst[s]}
+    assert {(r.src, r.dst) for r in got} == want
+    assert all(abs(r.dist - np.linalg.norm(v[r.src] - v[r.dst])) < 1e-12 for r in got)
+
+
+def test_visits_leave_in_slices(spark, monkeypatch):
+    """The neighbour search sends no more than VISIT_DOUBLES of vectors at a time."""
+    from flowsight.operators import knn
+    assert knn.VISIT_DOUBLES <= 1 << 20
+    monkeypatch.setattr(knn, "VISIT_DOUBLES", 6)
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(40)]
+    got = {(r.src, r.rank): round(r.dist, 9) for r in knn.knn_edges(spark.createDataFrame(rows, "id long, vec array<double>"), k=3).collect()}
+    for i, x in rows:
+        d = sorted(float(np.hypot(x[0] - y[0], x[1] - y[1])) for j, y in rows if j != i)[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == [round(z, 9) for z in d]
+
+
+def test_range_partitions_follow_bytes(spark, monkeypatch):
+    """Rows of wide texts are not numbered in one task because they are few."""
+    from flowsight.operators import ordering as O
+    monkeypatch.setattr(O, "BUCKET_BYTES", 10_000)
+    x = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.array(F.struct(F.lit("y").alias("a"))).alias("s"))
+    got, n = O.placed(x, ["id"])
+    assert n == 100 and got.select("_pid").distinct().count() >= 5
+    numbered, _ = O.number_rows(x, ["id"], "no")
+    assert numbered.where("id <> no").count() == 0
+
+
+def test_paths_of_complete_trees(spark):
+    """Isolation scores walk complete trees: the same path lengths as the trees themselves."""
+    from flowsight.operators import iforest as I
+    rng = np.random.default_rng(2)
+    rows = [(i, *map(float, rng.normal(size=3))) for i in range(300)] + [(300, float("nan"), 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    nodes, psi = I.fit_iforest(df.where("id < 300"), ["a", "b", "c"], 5, 64)
+    t = {(r.tree, r.node): r for r in nodes.collect()}
+    feat, _, adj = I._complete(nodes.toPandas())
+    assert feat.shape == adj.shape and feat.shape[1] == 2 ** (max(r.depth for r in t.values()) + 1) - 1
+    got = {r.id: r.iforest_score for r in I.score_iforest(df, ["a", "b", "c"], nodes, psi).collect()}
+    for i, *x in rows:
+        total = 0.0
+        for tree in range(5):
+            r = t[tree, 0]
+            while r.feature >= 0:
+                r = t[tree, r.left if x[r.feature] < r.threshold else r.right]
+            total += r.depth + I.c_factor(r.size)
+        assert abs(got[i] + 2.0 ** (-(total / 5) / I.c_factor(psi))) < 1e-12
+
+
+@pytest.mark.parametrize("most", [0, 8])
+def test_shapley_values_by_kept_tables(monkeypatch, most):
+    from flowsight.operators import trees as H
+    monkeypatch.setattr(H, "TABLE_FEATURES", most)
+    tree = H.Tree(np.array([0, 1, -1, -1, -1]), np.array([3, 5, 0, 0, 0], np.uint8), np.array([1, 3, 0, 0, 0]),
+                  np.array([[0.0], [0.0], [4.0], [1.0], [2.0]]), np.array([10.0, 6.0, 4.0, 2.0, 4.0]))
+    x = np.array([[1, 1], [1, 9], [7, 1]], np.uint8)
+    base, terms = H.tree_terms(tree, tree.value[:, 0])
+    phi = H.terms_values(terms, np.ascontiguousarray(x.T))
+    assert base == pytest.approx(0.2 + 0.8 + 1.6) and all((t[3] is None) == (most == 0) for t in terms)
+    assert (base + phi.sum(axis=0)).tolist() == pytest.approx([1.0, 2.0, 4.0])
+
+
+def test_windows_and_bursts_by_hashes(spark, monkeypatch):
+    """Counts over more partitions than the session has, and bursts found by hashes, where other
+    keys share a burst's hash."""
+    from flowsight.operators import ordering as O
+    from flowsight.operators import sliding as L
+    rows = [(i, i % 7, (i // 7) * 1_000_000) for i in range(700)] + [(1000 + i, 99, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, k long, us long")
+    want = {i: sum(1 for _, q, t in rows if q == k and u - 5_000_000 < t <= u) for i, k, u in rows}
+    monkeypatch.setattr(O, "TASK_ROWS", 20)
+    assert O.spread(df, len(rows), "k").rdd.getNumPartitions() == 38
+    got = {r.id: r.n for r in L.sliding_counts(df, ["k"], "us", 5.0, "n").collect()}
+    assert got == want
+    monkeypatch.setattr(L, "HASHES", 1)
+    monkeypatch.setattr(L, "BUCKET_SECS", 10.0)
+    keys = L.burst_keys(df, {"k": ["k"], "none": ["id"]}, "us", 5.0, 20)
+    assert keys["none"] is None and [r._key for r in keys["k"].collect()] == ['{"k":99}']
+
+
+def test_edges_and_levels_meet_by_key(spark, monkeypatch):
+    """Distinct edges and betweenness with all and with no edges sent to every task."""
+    from flowsight.operators import graph as G
+    e = G.distinct_edges(spark.createDataFrame([(0, 1), (0, 1), (1, 2), (2, 3), (0, 3), (3, 0), (None, 1)], "src long, dst long"))
+    assert "partial_count" not in e._jdf.queryExecution().executedPlan().toString() and e.count() == 6
+    got = []
+    for sent in (0, 100):
+        monkeypatch.setattr(G, "SENT_EDGES", sent)
+        got.append({r.node: round(r.betweenness, 9) for r in G.betweenness(e.where("src is not null")).collect()})
+    assert got[0] == got[1] == {0: 0.5, 1: round(1 / 3, 9), 2: round(1 / 3, 9), 3: 0.5}
