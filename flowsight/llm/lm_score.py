@@ -7,8 +7,10 @@ their counts are read from log-frequency Bloom filters: a count of c is the leve
 count is read by probing levels until one is missing.  Bigrams whose relative
 frequency is at least ``1 / bigram_rate`` are in one filter that is broadcast.  The
 others are dealt by key hash to filters of bounded size, one a shard; texts are
-taken in chunks, a chunk's distinct other bigrams go to the shards' filters in packed
-blocks, and the levels read there come back to the chunk, where the sums are made.
+taken in chunks, and a chunk's distinct bigrams, held-out ones too, go to the shards
+once, in packed blocks with their counts in training texts: a shard adds up the
+counts, fills its filter and reads it for the bigrams of the blocks.  The levels read
+come back to the chunk, where the sums are made.
 The read count is the lower end of its level, so that with the absolute discount the
 mass of a history's bigrams stays below one and the rest of it is spread by the
 smoothed unigram:
@@ -54,11 +56,18 @@ FLUSH_WORDS = 250_000
 LEAST = 2
 #: Tokens whose bigrams make a shard, and distinct words of a shard of their counts.
 SHARD_TOKENS = 4_000_000
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 3 << 20
 #: Keys probed at a time: their places stay in the processor's cache.
 PROBED = 1 << 15
+#: A probe asks one 64-bit cell for this many bits; with CELL_SHARE bits of the filter
+#: a probe, a key that is not a member passes it once in 2^7.5 times.
+CELL_BITS = 6
+CELL_SHARE = 15
+#: The patterns of bits that are asked for.
+PATTERNS = np.bitwise_or.reduce(np.uint64(1) << np.argsort(
+    np.random.default_rng(6).random((1 << 14, 64)), axis=1)[:, :CELL_BITS].astype(np.uint64), axis=1)
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -80,24 +89,26 @@ class LogFrequencyFilter:
         self.least, self.base = float(least), base
         level = self.level(counts)
         self.top = int(level.max()) if len(level) else 0
-        self.hashes = max(1, round(-np.log2(error)))
-        self.bits = 64 * max(1, -(-int(level.sum() * self.hashes / np.log(2)) // 64))
-        flags = np.zeros(self.bits, bool)
+        self.probes = max(1, round(-np.log2(error) / 7.5))
+        self.cells = np.zeros(max(64, -(-int(level.sum()) * self.probes * CELL_SHARE // 64)), np.uint64)
         for k in range(1, self.top + 1):
             a, b = self._starts(keys[level >= k], k)
-            for _ in range(self.hashes):
-                flags[self._place(a)] = True
+            for _ in range(self.probes):
+                np.bitwise_or.at(self.cells, self._place(a), self._pattern(a))
                 a = self._next(a, b)
-        self.cells = np.packbits(flags, bitorder="little")
 
     @classmethod
     def stored(cls, cells: bytes, bits: int, top: int, least: float, base: float = LEVEL_BASE,
                error: float = FALSE_POSITIVES) -> LogFrequencyFilter:
         """A filter from its cells."""
         f = cls(np.zeros(0, np.uint64), np.zeros(0), least, base, error)
-        f.cells, f.bits, f.top = np.frombuffer(cells, np.uint8), bits, top
+        f.cells, f.top = np.frombuffer(cells, np.uint64, bits // 64), top
         return f
 
+    @property
+    def bits(self) -> int:
+        return 64 * len(self.cells)
+
     def level(self, counts: np.ndarray) -> np.ndarray:
         return 1 + np.floor(np.log(counts / self.least) / np.log(self.base) + 1e-9).astype(np.int64)
 
@@ -112,8 +123,13 @@ class LogFrequencyFilter:
         return x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
     def _place(self, a: np.ndarray) -> np.ndarray:
-        """The place of a key's state among fewer than 2^32 bits."""
-        return (a.astype(np.uint64) * np.uint64(self.bits) >> np.uint64(32)).view(np.int64)
+        """The cell of a key's state, one of fewer than 2^32."""
+        return (a.astype(np.uint64) * np.uint64(len(self.cells)) >> np.uint64(32)).view(np.int64)
+
+    @staticmethod
+    def _pattern(a: np.ndarray) -> np.ndarray:
+        """The bits of a key's state, by its lower digits; the cell is by its upper ones."""
+        return PATTERNS[a & np.uint32(len(PATTERNS) - 1)]
 
     @staticmethod
     def _next(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,16 +140,16 @@ class LogFrequencyFilter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level 1, 2, .. are probed until one is missing; a key leaves a level at its
-        first missing bit."""
+        first missing pattern."""
         level = np.zeros(len(keys), np.uint8)
         for first in range(0, len(keys), PROBED):
             part = keys[first:first + PROBED]
             live = np.arange(len(part))
             for k in range(1, self.top + 1):
                 a, b = self._starts(part[live], k)
-                for _ in range(self.hashes):
-                    at = self._place(a)
-                    hit = (self.cells[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                for _ in range(self.probes):
+                    asked = self._pattern(a)
+                    hit = self.cells[self._place(a)] & asked == asked
                     if not hit.all():
                         live, a, b = live[hit], a[hit], b[hit]
                     a = self._next(a, b)
@@ -189,8 +205,8 @@ class _Numbers(dict):
 
 
 def _chunks(rows: DataFrame, words: dict[bytes, int], kind: str) -> DataFrame:
-    """Texts in chunks of about CHUNK_BYTES: ids, marks, sizes (tokens) and the tokens'
-    numbers.  Number len(words) is the start of a text; the chunk's rare words
+    """Texts in chunks of about CHUNK_BYTES: ids, marks, sizes (tokens), the tokens'
+    numbers and how many they are.  Number len(words) is the start of a text; the chunk's rare words
     follow it, in the order of ``rare`` and of their digests.  Must be written before use."""
     shared = rows.sparkSession.sparkContext.broadcast(words)
 
@@ -213,11 +229,11 @@ def _chunks(rows: DataFrame, words: dict[bytes, int], kind: str) -> DataFrame:
                                           for i in (0, 2)],
                      pa.array([_planes(np.array(sizes))], pa.binary()), pa.array([_planes(w, 4)], pa.binary()),
                      pa.array([_packed(b"\n".join(rare))], pa.binary()),
-                     pa.array([_planes(np.array([_number(x) for x in rare], np.int64))], pa.binary())],
-                    ["chunk", "ids", "held", "sizes", "numbers", "rare", "digests"])
+                     pa.array([_planes(np.array([_number(x) for x in rare], np.int64))], pa.binary()), pa.array([len(flat)])],
+                    ["chunk", "ids", "held", "sizes", "numbers", "rare", "digests", "tokens"])
                 chunk += 1
     return rows.select("doc_id", "text", "held_out").mapInArrow(
-        run, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, numbers binary, rare binary, digests binary")
+        run, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, numbers binary, rare binary, digests binary, tokens long")
 
 
 def _pairs(sizes: np.ndarray, w: np.ndarray, start: int) -> np.ndarray:
@@ -233,12 +249,18 @@ def _global(pairs: np.ndarray, digests: bytes, start: int) -> tuple[np.ndarray,
     return number[pairs >> 32], number[pairs & 0xFFFFFFFF]
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(len(x[:1]), bool), x[1:] != x[:-1]]))
+
+
 def _deal(shards: int, h: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Shard and indices of its bigrams, those of frequent words first."""
-    shard = (_pair_keys(h, w) % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort(((h < 0) | (w < 0), shard))
-    used, at = np.unique(shard[order], return_index=True)
-    for s, a, z in zip(used.tolist(), at.tolist(), [*at.tolist()[1:], len(order)]):
+    shard = (_pair_keys(h, w) % np.uint64(shards)).astype(np.min_scalar_type(2 * shards))
+    order = np.argsort(shard * 2 + ((h < 0) | (w < 0)), kind="stable")  # small numbers are sorted by their digits
+    shard = shard[order]
+    at = _runs(shard)
+    for s, a, z in zip(shard[at].tolist(), at.tolist(), [*at.tolist()[1:], len(order)]):
         yield s, order[a:z]
 
 
@@ -291,43 +313,61 @@ def _read(counts: np.ndarray) -> np.ndarray:
 
 def _kept(chunks: DataFrame, start: int, pair_words: int, least: float, shards: int) -> DataFrame:
     """The bigrams seen at least LEAST times, per shard: per history the discounted
-    mass of its bigrams (h, used); the frequent ones (h, w, c); the filter of the
-    others (shard, cells, bits, top)."""
+    mass of its bigrams (h, used); the frequent ones (h, w, c); and what the filter of
+    the others reads for the distinct bigrams of each chunk, in the order they were
+    dealt (shard, chunk, levels)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for held, sizes, w, digests in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for chunk, held, sizes, w, digests in zip(*(b.column(i).to_pylist() for i in range(5))):
                 sizes = _numbers(sizes)
-                learnt = np.repeat(~np.array(held, bool), sizes)
-                p, c = np.unique(_pairs(sizes, _numbers(w, 4), start)[learnt], return_counts=True)
-                h, w = _global(p, digests, start)
-                out = [(s, *_pack(h[at], w[at]), _planes(c[at])) for s, at in _deal(shards, h, w)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["shard", "known", "h", "w", "c"])
-
-    def count(t: pa.Table) -> pa.Table:
-        blocks = [_unpack(*x) for x in zip(*(t.column(x).to_pylist() for x in ("known", "h", "w")))]
-        h, w = (np.concatenate(x) for x in zip(*blocks))
-        c = np.concatenate([_numbers(x) for x in t.column("c").to_pylist()])
-        keys = _pair_keys(h, w)
+                # in ascending order, a bigram's places in training texts first
+                p = np.sort(_pairs(sizes, _numbers(w, 4), start) << 1 | np.repeat(np.array(held, bool), sizes))
+                first = _runs(p >> 1)
+                c = np.add.reduceat(1 - (p & 1), first)
+                h, w = _global(p[first] >> 1, digests, start)
+                out = [(s, chunk, *_pack(h[at], w[at]), _planes(c[at], 4)) for s, at in _deal(shards, h, w)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["shard", "chunk", "known", "h", "w", "c"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        keys, h, w, c, sizes = _blocks(t)
         order = np.argsort(keys)
-        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-        c = np.add.reduceat(c[order], first)
-        at, c = order[first[c >= LEAST]], c[c >= LEAST]
+        keys = keys[order]
+        first = _runs(keys)
+        keys = keys[first]
+        c = np.add.reduceat(c[order], first, dtype=np.int64)
+        at, seen = order[first][c >= LEAST], c[c >= LEAST]
         h, w = h[at], w[at]
-        top = (c >= least) & _in_filter(h, w, start, pair_words)
-        f = LogFrequencyFilter(keys[at[~top]], c[~top].astype(float), LEAST)
+        top = (seen >= least) & _in_filter(h, w, start, pair_words)
+        f = LogFrequencyFilter(keys[c >= LEAST][~top], seen[~top].astype(float), LEAST)
+        levels = np.empty(len(order), np.uint8)
+        levels[order] = np.repeat(f.levels(keys), np.diff(first, append=len(order)))
         hist, back = np.unique(h, return_inverse=True)
-        used = np.bincount(back, _read(c) - DISCOUNT, minlength=len(hist))
+        used = np.bincount(back, _read(seen) - DISCOUNT, minlength=len(hist)).astype(float)
         none = [pa.nulls(len(hist), pa.int64())] * 2
         mass = pa.table([pa.array(hist), *none, pa.array(used)], ["h", "w", "c", "used"])
-        often = pa.table({"h": h[top], "w": w[top], "c": c[top].astype(np.int64)})
-        cells = pa.table({"shard": t.column("shard").slice(0, 1), "cells": pa.array([f.cells.tobytes()], pa.binary()),
-                          "bits": [f.bits], "top": [f.top]})
-        return pa.concat_tables([mass, often, cells], promote_options="default") \
-            .select(["h", "w", "c", "used", "shard", "cells", "bits", "top"])
-    return chunks.select("held", "sizes", "numbers", "digests") \
-        .mapInArrow(run, "shard long, known binary, h binary, w binary, c binary").groupBy("shard") \
-        .applyInArrow(count, "h long, w long, c long, used double, shard long, cells binary, bits long, top long")
+        often = pa.table({"h": h[top], "w": w[top], "c": seen[top].astype(np.int64)})
+        read = pa.table({"shard": t.column("shard"), "chunk": t.column("chunk"),
+                         "levels": pa.array([_packed(x.tobytes()) for x in np.split(levels, np.cumsum(sizes)[:-1])], pa.binary())})
+        return pa.concat_tables([mass, often, read], promote_options="default") \
+            .select(["h", "w", "c", "used", "shard", "chunk", "levels"])
+    return chunks.select("chunk", "held", "sizes", "numbers", "digests") \
+        .mapInArrow(run, "shard long, chunk long, known binary, h binary, w binary, c binary").groupBy("shard") \
+        .applyInArrow(meet, "h long, w long, c long, used double, shard long, chunk long, levels binary")
+
+
+def _blocks(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Keys, histories, words and counts of a shard's blocks, and the blocks' sizes."""
+    c = [_numbers(x.as_py(), 4).astype(np.int32) for x in t.column("c")]
+    sizes = [len(x) for x in c]
+    c = np.concatenate(c)
+    h, w, keys = (np.empty(len(c), kind) for kind in (np.int64, np.int64, np.uint64))
+    a = 0
+    for n, *block in zip(sizes, *(t.column(x) for x in ("known", "h", "w"))):
+        z = a + n
+        h[a:z], w[a:z] = _unpack(*(x.as_py() for x in block))
+        keys[a:z] = _pair_keys(h[a:z], w[a:z])
+        a = z
+    return keys, h, w, c, sizes
 
 
 def _in_filter(h: np.ndarray, w: np.ndarray, start: int, pair_words: int) -> np.ndarray:
@@ -416,35 +456,6 @@ def _word_answers(chunks: DataFrame, rare_words: DataFrame, shards: int) -> Data
         .applyInArrow(meet, "chunk long, at binary, c binary, left binary")
 
 
-def _level_answers(chunks: DataFrame, kept: DataFrame, model: Model, shards: int) -> DataFrame:
-    """Per chunk and shard the levels that the shard's filter reads for the chunk's
-    distinct bigrams outside the broadcast one, in the order they were dealt."""
-    shared = chunks.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            for chunk, sizes, w, digests in zip(*(b.column(i).to_pylist() for i in range(4))):
-                h, w = _global(np.unique(_pairs(_numbers(sizes), _numbers(w, 4), m.start)), digests, m.start)
-                rest = np.flatnonzero(m.levels(h, w) == 0)
-                h, w = h[rest], w[rest]
-                out = [(s, chunk, *_pack(h[at], w[at])) for s, at in _deal(shards, h, w)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["shard", "chunk", "known", "h", "w"])
-
-    def meet(asked: pa.Table, cells: pa.Table) -> pa.Table:
-        f = LogFrequencyFilter.stored(*(cells.column(x)[0].as_py() for x in ("cells", "bits", "top")), LEAST) if len(cells) else None
-        out = []
-        for known, h, w in zip(*(asked.column(x).to_pylist() for x in ("known", "h", "w"))):
-            keys = _pair_keys(*_unpack(known, h, w))
-            out.append(_packed((f.levels(keys) if f else np.zeros(len(keys), np.uint8)).tobytes()))
-        return pa.table([asked.column("chunk"), asked.column("shard"), pa.array(out, pa.binary())], ["chunk", "shard", "levels"])
-    asked = chunks.select("chunk", "sizes", "numbers", "digests") \
-        .mapInArrow(run, "shard long, chunk long, known binary, h binary, w binary")
-    filters = kept.where("cells is not null").select("shard", "cells", "bits", "top")
-    return asked.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(meet, "chunk long, shard long, levels binary")
-
-
 def _sums(chunks: DataFrame, answers: DataFrame, model: Model, shards: int, kind: str) -> DataFrame:
     """Per text its sums, made in its chunk."""
     shared = chunks.sparkSession.sparkContext.broadcast(model)
@@ -465,9 +476,8 @@ def _sums(chunks: DataFrame, answers: DataFrame, model: Model, shards: int, kind
         pairs, back = np.unique(_pairs(sizes, w, m.start), return_inverse=True)
         h, v = _global(pairs, digests, m.start)
         level = m.levels(h, v)
-        rest = np.flatnonzero(level == 0)
-        for s, at in _deal(shards, h[rest], v[rest]):
-            level[rest[at]] = levels[s]
+        for s, at in _deal(shards, h, v):
+            level[at] = np.maximum(level[at], levels[s])  # a bigram is in one of the filters
         gain = m.log_p(count, left, pairs >> 32, pairs & 0xFFFFFFFF, level)[back]
         first = np.cumsum(sizes) - sizes
         base = np.add.reduceat(np.log10(m.p1(count))[w], first)
@@ -478,7 +488,7 @@ def _sums(chunks: DataFrame, answers: DataFrame, model: Model, shards: int, kind
 
     def known_words(count: np.ndarray) -> np.ndarray:
         return (count > 0).astype(np.int64)
-    return chunks.drop("rare").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    return chunks.drop("rare", "tokens").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -500,7 +510,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     least = max(LEAST, n / bigram_rate)
     model = Model(words, n, v, n_texts, sum(c >= least for c in words.values()))
     chunks = materialise(_chunks(rows, model.words, kind), "lm-chunks")
-    shards, word_shards = parts_for(n, SHARD_TOKENS), parts_for(v, SHARD_WORDS)
+    tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
+    shards, word_shards = parts_for(tokens, SHARD_TOKENS), parts_for(v, SHARD_WORDS)
     kept = materialise(_kept(chunks, model.start, model.pair_words, least, shards), "lm-pairs")
     release(rows.sparkSession)
     top = kept.where("c is not null").select("h", "w", "c").collect()  # at most bigram_rate bigrams
@@ -511,6 +522,5 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         model.left[u.h] = _left(u.used, model.count[u.h])
     known = materialise(_word_answers(chunks, _rare_words(counts, kept, often, word_shards), word_shards), "lm-words")
     release(rows.sparkSession)
-    read = materialise(_level_answers(chunks, kept, model, shards), "lm-levels")
-    release(rows.sparkSession)
+    read = kept.where("levels is not null").select("chunk", "shard", "levels")
     return _sums(chunks, read.unionByName(known, allowMissingColumns=True), model, shards, kind)

@@ -1,5 +1,6 @@
 """Language-model scores against brute force."""
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -109,3 +110,57 @@ def test_a_stored_filter_reads_the_same():
     f = lm.LogFrequencyFilter(keys, rng.integers(2, 900, len(keys)).astype(float), 2)
     again = lm.LogFrequencyFilter.stored(f.cells.tobytes(), f.bits, f.top, 2)
     assert (again.levels(keys) == f.levels(keys)).all() and f.levels(keys).min() == 1
+
+
+def test_a_filter_is_filled_in_the_memory_of_its_cells():
+    """Building takes no byte a bit: a key here has ten levels, 75 bytes of cells."""
+    keys = np.random.default_rng(3).integers(0, 1 << 62, 100_000).astype(np.uint64)
+    counts = np.full(len(keys), 2 * 1.5 ** 9)
+    tracemalloc.start()
+    try:
+        f = lm.LogFrequencyFilter(keys, counts, 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert f.top == 10 and peak < 250 * len(keys)
+
+
+def test_false_answers_of_a_filter_are_rare():
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 1 << 62, 50_000).astype(np.uint64)
+    f = lm.LogFrequencyFilter(keys, rng.integers(2, 50, len(keys)).astype(float), 2, error=1e-4)
+    assert (f.levels(keys) > 0).all()
+    assert (f.levels(rng.integers(1 << 62, 1 << 63, 500_000).astype(np.uint64)) > 0).mean() < 3e-4
+
+
+def test_shards_follow_all_tokens_where_few_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 50)
+    kept, shards = lm._kept, []
+    monkeypatch.setattr(lm, "_kept", lambda *x: shards.append(x[-1]) or kept(*x))
+    docs = spark.createDataFrame([(i, "a b c d e f g h i") for i in range(30)], "doc_id long, text string")
+    assert lm.score(docs, F.lit(True)).count() == 30
+    assert shards == [6]
+
+
+def test_a_chunk_reads_all_its_bigrams_where_they_are_counted(spark, monkeypatch):
+    """One answer per chunk and shard, for held-out bigrams too; a level per distinct bigram."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 120)
+    texts = [(i, f"x y z x y {i} {i % 3} w{i % 5} w{i % 2}") for i in range(40)]
+    rows = spark.createDataFrame([(i, t, i % 4 == 0) for i, t in texts], "doc_id long, text string, held_out boolean").coalesce(1)
+    words = {b"x": 0, b"y": 1}
+    chunks = lm._chunks(rows, words, "bigint").cache()
+    answers = lm._kept(chunks, 2, 2, 1e9, 3).where("levels is not null").collect()
+    asked = {c.chunk: lm._pairs(lm._numbers(c.sizes), lm._numbers(c.numbers, 4), 2) for c in chunks.collect()}
+    assert len(asked) > 3 and len({(a.chunk, a.shard) for a in answers}) == len(answers)
+    train = Counter(p for i, t in texts if i % 4 for p in zip([None, *tokens(t)], tokens(t)))
+    level = {p: 1 + math.floor(math.log(c / 2) / math.log(1.5) + 1e-9) for p, c in train.items() if c >= 2}
+    got, want = Counter(), Counter()
+    for a in answers:
+        got.update((a.chunk, k) for k in lm._unpacked(a.levels))
+    for c in chunks.collect():
+        texts_of = dict(texts)
+        distinct = {p for i in c.ids for p in zip([None, *tokens(texts_of[i])], tokens(texts_of[i]))}
+        assert len(distinct) == len(np.unique(asked[c.chunk]))
+        want.update((c.chunk, level.get(p, 0)) for p in distinct)
+    chunks.unpersist()
+    assert got == want
