@@ -55,7 +55,7 @@ FLUSH_WORDS = 250_000
 #: Bigrams seen less often are not kept; the first level of the read counts.
 LEAST = 2
 #: Tokens whose bigrams make a shard, and distinct words of a shard of their counts.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 SHARD_WORDS = 250_000
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 3 << 20
