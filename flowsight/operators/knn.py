@@ -363,10 +363,10 @@ def smote(df: DataFrame, label: str, vec: str = "vec", key: str = "id", k: int =
     st = sizes.agg(F.max("_nc").alias("mx"), F.min("_nc").alias("mn")).first()
     kk = max(1, min(k, st["mn"] - 1))
     nn = knn_edges(df.select(label, key, vec), vec, key, kk, part=[label])
-    from flowsight.operators.ordering import join_same, rank_within
+    from flowsight.operators.ordering import few, join_same, rank_within
     base = rank_within(df.select(label, F.col(key).alias("id"), F.col(vec).alias("vec"))
                        .withColumn("_h", hash32("id", seed=seed)), [label], "_h", "id", "_rk")
-    base = join_same(base, sizes, [label])
+    base = join_same(base, few(sizes), [label])
     # synthetic j of a class uses base row (j mod n_c); rows with rank r own j = r, r + n_c, ...
     need = F.col("_mx") - F.col("_nc")
     base = base.withColumn("_mx", F.lit(st["mx"])).withColumn(
